@@ -9,8 +9,10 @@ frequent, such pairs still meet under one of the rest (prefix).  Tokens that no
 other class has drop out first, and with them most classes.
 
 Pairs are not spelled out inside a token's list.  Each class is compared with
-the smallest of the list; then only classes whose lists still hold more than one
-component are compared with those of other components.  Collisions of a pair
+the most central one of the list, whose tokens are the most frequent: among near
+copies, the one most like the original.  Classes whose lists still hold more
+than one component are compared in cells of bounded size, which return links
+between components only.  Collisions of a pair
 are counted over whole signatures (the tokens that the prefix skipped), and
 pairs with LEAST or more are confirmed on the full shingle sets.
 """
@@ -30,6 +32,8 @@ from .shared import components, saved
 COORDINATES = 64
 #: At a similarity of 0.8, 51.2 of 64 coordinates agree; fewer than 36 do in about 1 of 500,000 pairs.
 LEAST = 36
+#: Members of a cluster's chunk; a cell compares two chunks.
+CHUNK = 512
 _SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, tokens array<bigint>"
 
 
@@ -99,37 +103,82 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, coordinates: in
     # rare tokens first; those of one class only can't be shared
     posted = classes.select("rep", "n_shingles", F.explode("tokens").alias("token"))
     common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    prefix = (
-        posted.join(common, "token")
-        .groupBy("rep", "n_shingles")
-        .agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list"))
-        .where(F.size("list") >= least)
-        .select("rep", "n_shingles", F.explode(F.expr(f"slice(list, 1, size(list) - {least - 1}).token")).alias("token"))
-    )
-    prefix = saved(prefix, "prefix")
-
-    hubs = prefix.groupBy("token").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"))
-    near = f"100 * least(n_shingles, m_shingles) >= {percent} * greatest(n_shingles, m_shingles)"
-    first = prefix.join(hubs, "token").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), "n_shingles", F.col("hub.n_shingles").alias("m_shingles")).where("a < b and " + near).select("a", "b").distinct()
-    tested = saved(first, "pairs")
-    links = saved(_confirmed(tested, classes, own, k, percent, least), "links")
-
-    # what the hubs left apart, in lists with more than one component
-    part = components(links)
-    split = prefix.join(part, F.col("rep") == F.col("node"), "left").select("token", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    open_lists = split.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    split = saved(split.join(open_lists, "token"), "split")
-    other = split.select("token", F.col("rep").alias("b"), F.col("n_shingles").alias("m_shingles"), F.col("component").alias("other"))
-    rest = split.withColumnRenamed("rep", "a").join(other, "token").where("a < b and component <> other and " + near).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = saved(_confirmed(saved(rest, "pairs"), classes, own, k, percent, least), "links")
-
-    part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    listed = posted.join(common, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list")).where(F.size("list") >= least)
+    central = F.aggregate("list", F.lit(0).cast("long"), lambda s, x: s + x["often"])
+    prefix = saved(listed.select("rep", "n_shingles", central.alias("central"), F.explode(F.expr(f"slice(list, 1, size(list) - {least - 1}).token")).alias("token")), "prefix")
+    texts = saved(own.join(prefix.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+
+    hubs = prefix.groupBy("token").agg(F.max(F.struct("central", -F.col("rep"), "rep", F.col("n_shingles").alias("m_shingles"))).alias("hub"))
+    near = f"100 * least(n_shingles, hub.m_shingles) >= {percent} * greatest(n_shingles, hub.m_shingles)"
+    pairs = prefix.join(hubs, "token").where("rep <> hub.rep and " + near).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    links = saved(_confirmed(pairs, classes, texts, k, percent, least), "links")
+    apart = _open(prefix, components(links))
+    part = components(links.union(saved(_rest(saved(apart, "lists"), classes, texts, k, percent, least), "links")))
     named = classes.join(part, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     linked = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone)
 
 
+def _open(prefix: DataFrame, part: DataFrame) -> DataFrame:
+    """The lists with members of more than one component."""
+    split = prefix.join(part, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    apart = split.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    return split.join(apart, "token")
+
+
+def _rest(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """Links between components that share a list.
+
+    Lists with common members are one cluster.  Its members are dealt into
+    chunks of at most about CHUNK, and each two chunks meet in a cell, which
+    compares signatures, then whole sets, of members of different components,
+    and returns the links only.  Small clusters share cells.
+    """
+    first = lists.groupBy("token").agg(F.min("rep").alias("b"))
+    cluster = components(lists.join(first, "token").select(F.col("rep").alias("a"), "b")).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    members = saved(lists.select("rep", "component").distinct().join(cluster, "rep"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    shared = max(16, -(-members.count() // (4 * CHUNK)))
+    dealt = members.join(sizes, "cluster").withColumn("chunk", F.expr("pmod(hash(rep), chunks)")).withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.select("rep", "component", "cluster", "chunk", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), F.when(F.col("chunks") == 1, F.expr(f"pmod(hash(cluster), {shared})")).otherwise(-1).alias("bucket"))
+    dealt = dealt.withColumn("cell", F.when(F.col("bucket") < 0, F.col("cluster")).otherwise(-1))
+    rows = dealt.join(classes.groupBy("rep").agg(F.max("tokens").alias("tokens")), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        value, first = W.shingles(table.column("text").combine_chunks(), k)
+        tokens = table.column("tokens").combine_chunks().values.to_numpy().reshape(table.num_rows, -1)
+        rep, component, cluster, chunk = (table.column(c).to_numpy() for c in ("rep", "component", "cluster", "chunk"))
+        crossed = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        n, found = np.diff(first), []
+        order = np.argsort(cluster, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            root = component[group].copy()
+            for at, i in enumerate(group[:-1]):
+                later = group[at + 1 :]
+                open_to = root[at + 1 :] != root[at]
+                if crossed:
+                    open_to &= chunk[later] != chunk[i]
+                open_to &= 100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])
+                near = later[open_to]
+                near = near[(tokens[near] == tokens[i]).sum(1) >= least]
+                if not len(near):
+                    continue
+                mine = value[first[i] : first[i + 1]]
+                theirs = np.concatenate([value[first[j] : first[j + 1]] for j in near])
+                hit = np.searchsorted(mine, theirs)
+                same = mine[np.minimum(hit, len(mine) - 1)] == theirs
+                both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(n[near])[:-1]]), dtype=np.int64)
+                for j in near[100 * both >= percent * (n[i] + n[near] - both)]:
+                    other = root[group == j][0]
+                    if other != root[at]:  # one link between two components will do
+                        root[root == other] = root[at]
+                        found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("cell", "bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, own: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in `least` coordinates, and whose whole sets are near enough."""
     a = classes.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na"))
