@@ -1,15 +1,59 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences, in five stages.
+
+Each stage works on all rows that its predecessor kept, written as Parquet and
+read again, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import minhash_dedup, mix_sources, packing, quality_model, secret_scan
+from strandline.llm.shared import saved
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label scorer rejects go."""
+    weights = quality_model.quality_model(docs)[0]
+    return docs.where(quality_model.score_column(weights, "text") >= quality_model.KEEP_FROM)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays; so do rows without an id."""
+    gone = minhash_dedup.minhash_dedup(docs, k=5).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials are replaced in the texts; every document stays."""
+    return secret_scan.redact_live(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it as a whole."""
+    return mix_sources.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality classifier", quality_classifier), ("MinHash near-dedup", near_dedup), ("secret scans", secret_scans), ("mixing sources to target weights", mix), ("packing", pack)]
 
-STAGES: list = []
+#: A fitted scorer, approximate candidates and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs, name.replace(" ", "-"))
     return docs
