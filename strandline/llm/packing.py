@@ -138,20 +138,25 @@ class Service:
         return np.sum(parts, axis=0) if parts else np.zeros(len(w), np.int64)
 
 
-def pieces_of(service: Service, source: int, at: int, n: int, length: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of a document whose n tokens begin at token `at` of its source."""
-    ends = service.window_of(source, np.array([at, at + n - 1]))
-    w = np.arange(ends[0], ends[1] + 1)
-    w = w[service.before(source, w + 1) > service.before(source, w)]
-    low, high = np.maximum(service.before(source, w), at), np.minimum(service.before(source, w + 1), at + n)
-    place = service.place(source, w) + low - service.before(source, w)
-    out = []
-    for a, b, p in zip((low - at).tolist(), (high - at).tolist(), place.tolist(), strict=True):
-        while a < b:
-            size = min(b - a, length - p % length)
-            out.append((a, size, p // length, p % length))
-            a, p = a + size, p + size
-    return out
+def pieces_of(service: Service, source: int, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, start, size, sequence, offset) of documents of one source, whose n tokens each begin at token `at` of its queue."""
+    first, last = service.window_of(source, at), service.window_of(source, at + n - 1)
+    doc, w = _spread(first, last - first + 1)
+    begin = service.before(source, w)
+    low, high = np.maximum(begin, at[doc]), np.minimum(service.before(source, w + 1), (at + n)[doc])
+    full = high > low
+    doc, w, low, high, begin = doc[full], w[full], low[full], high[full], begin[full]
+    place = service.place(source, w) + low - begin
+    part, sequence = _spread(place // length, (place + high - low - 1) // length - place // length + 1)
+    p = np.maximum(sequence * length, place[part])
+    size = np.minimum((sequence + 1) * length, (place + high - low)[part]) - p
+    return doc[part], (low - at[doc])[part] + p - place[part], size, sequence, p - sequence * length
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of first, first + 1, ... `count` times for each row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
 def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, shares: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -201,14 +206,18 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in PIECE.split(", ")]
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "base", "at", "n")]
-            out: list[tuple] = []
-            for i, (doc, s, base, at, n) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<u4" if wide else "<u2").astype("<u4")
-                for a, size, sequence, offset in pieces_of(service, number[s], base + at, n, length):
-                    out.append((doc, a, size, zlib.crc32(ids[a : a + size].tobytes()), n, sequence, offset))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+            queue = np.array([number[x] for x in batch.column("source").to_pylist()])
+            base, at, n = (batch.column(c).to_numpy() for c in ("base", "at", "n"))
+            for q in np.unique(queue):
+                rows = np.flatnonzero(queue == q)
+                doc, start, size, sequence, offset = pieces_of(service, int(q), (base + at)[rows], n[rows], length)
+                rows = rows[doc]
+                checks, of, ids = np.empty(len(rows), np.int64), -1, b""
+                for i, (row, a, k) in enumerate(zip(rows.tolist(), start.tolist(), size.tolist(), strict=True)):
+                    if row != of:
+                        of, ids = row, np.frombuffer(batch.column("ids")[row].as_buffer(), "<u4" if wide else "<u2").astype("<u4")
+                    checks[i] = zlib.crc32(ids[a : a + k])
+                yield pa.record_batch([batch.column("doc_id").take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (start, size, checks, n[rows], sequence, offset))], names)
 
     placed = tokens.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     return placed.select("doc_id", "source", "base", "at", "n", "ids").mapInArrow(cut, PIECE)
