@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, minhash_dedup, mix_sources, nearest, packing, quality_model, quality_rules, secret_scan, substring_dedup, warc
+from . import html_text, minhash_dedup, mix_sources, nearest, oracle, packing, quality_model, quality_rules, secret_scan, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,4 +55,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_minhash_dedup, op4_html_text, op5_packing, op6_quality_classifier, op7_nearest, op8_secret_scan, op9_warc, op10_mix_sources)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Compression, a trained tree, a fitted scorer, token ids and an approximate index are beyond SQL.
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracle.SUBSTRING, "op3_minhash_dedup": oracle.NEAR, "op8_secret_scan": oracle.SECRETS, "op9_warc": oracle.ARCHIVES, "op10_mix_sources": oracle.MIX}
