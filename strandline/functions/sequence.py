@@ -59,12 +59,20 @@ def codon_aa(codon: Column) -> Column:
     return F.when(fit, F.substr(F.lit(STANDARD_CODE), 16 * at[0] + 4 * at[1] + at[2] + 1, F.lit(1)))
 
 
+#: All codons in the order of the code, each after a blank.
+_CODONS = "".join(f" {a}{b}{c}" for a in BASES for b in BASES for c in BASES)
+
+
+def translate_all(cds: Column) -> Column:
+    """Amino acids of all whole codons, stops included; X for a codon that has none."""
+    place = lambda i: F.instr(F.lit(_CODONS), F.concat(F.lit(" "), F.substr(cds, 3 * i + 1, F.lit(3))))
+    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(cds) / 3).cast("int") - 1), lambda i: F.substr(F.lit("X" + STANDARD_CODE), F.shiftright(place(i) + 3, 2) + 1, F.lit(1)))
+    return F.when(F.length(cds) >= 3, F.array_join(codons, "")).when(cds.isNotNull(), "")
+
+
 def translate(cds: Column) -> Column:
     """Protein of whole codons, up to and with the first stop."""
-    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(cds) / 3) - 1), lambda i: codon_aa(F.substr(cds, (3 * i + 1).cast("int"), F.lit(3))))
-    full = F.when(F.length(cds) >= 3, F.array_join(codons, "")).otherwise("")
-    stop = F.instr(full, "*")
-    return F.when(stop > 0, F.substr(full, F.lit(1), stop)).otherwise(full)
+    return F.regexp_extract(translate_all(cds), r"^[^*]*\*?", 0)
 
 
 def codons_of(aa: Column) -> Column:
@@ -83,12 +91,19 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
     return F.array_min(apart) - 1
 
 
-def trim(ref: Column, alt: Column, most: int = 64) -> Column:
+def first_difference(a: Column, b: Column) -> Column:
+    """Where two strings first differ, from 1; null if one begins with the other."""
+    apart = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    at = F.array_position(apart, F.lit(True)).cast("int")
+    return F.when((F.length(a) > 0) & (F.length(b) > 0) & (at > 0), at)
+
+
+def trim(ref: Column, alt: Column) -> Column:
     """struct(ref, alt, head): the common prefix cut off first, then the common suffix."""
     bind = lambda columns, then: F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), then), F.lit(0))  # noqa: E731  evaluates each once
 
     def shared(a: Column, b: Column) -> Column:
-        return F.coalesce(common_prefix(F.concat(a, F.lit("-")), F.concat(b, F.lit("+")), most), F.least(F.length(a), F.length(b)))
+        return F.coalesce(first_difference(a, b) - 1, F.least(F.length(a), F.length(b)))
 
     def cut(x: Column) -> Column:
         return bind({"r": F.substr(x["r"], x["head"] + 1, F.length(x["r"])), "a": F.substr(x["a"], x["head"] + 1, F.length(x["a"])), "head": x["head"]}, back)

@@ -51,7 +51,8 @@ def snv_consequence(pairs: DataFrame) -> DataFrame:
 def roll_right(seq: Column, beg: Column, end: Column, narrow: int = 32, wide: int = 4096) -> Column:
     """How far a deletion of beg..end shifts right: the common prefix of what it deletes and what follows."""
     own = lambda most: sequence.common_prefix(F.substr(seq, beg, F.lit(most)), F.concat(F.substr(seq, end + 1, F.lit(most)), F.lit("-")), most)
-    return F.coalesce(own(narrow), own(wide))
+    rest = lambda first: F.substr(seq, first, F.lit(2**31 - 1))
+    return F.coalesce(own(narrow), own(wide), sequence.first_difference(rest(beg), F.concat(rest(end + 1), F.lit("-"))) - 1)
 
 
 def roll_left(seq: Column, beg: Column, end: Column, narrow: int = 32, wide: int = 4096) -> Column:
@@ -61,7 +62,14 @@ def roll_left(seq: Column, beg: Column, end: Column, narrow: int = 32, wide: int
         tail = lambda last: F.reverse(F.substr(seq, F.greatest(last - most + 1, F.lit(1)), F.least(F.lit(most), last)))
         return sequence.common_prefix(tail(end), F.concat(tail(beg - 1), F.lit("-")), most)
 
-    return F.when(beg <= 1, 0).otherwise(F.coalesce(own(narrow), own(wide)))
+    head = lambda last: F.reverse(F.substr(seq, F.lit(1), last))
+    return F.when(beg <= 1, 0).otherwise(F.coalesce(own(narrow), own(wide), sequence.first_difference(head(end), F.concat(head(beg - 1), F.lit("-"))) - 1))
+
+
+def roll_insertion(seq: Column, at: Column, ins: Column) -> Column:
+    """How far an insertion after position at shifts right; the inserted string turns with it."""
+    rest = F.substr(seq, at + 1, F.lit(2**31 - 1))
+    return F.coalesce(sequence.first_difference(F.concat(ins, rest), F.concat(rest, F.lit("-"))) - 1, F.lit(0))
 
 
 def protein_candidates(rows: DataFrame) -> DataFrame:

@@ -43,7 +43,9 @@ class Genome:
         if not with_cds:
             return t.select(*keep)
         bases = F.array_join(F.transform("segs", lambda s: F.substr(F.col("seq"), s["gb"].cast("int"), (s["ge"] - s["gb"] + 1).cast("int"))), "")
-        return t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).select(*keep, "cds")
+        low, high = F.greatest(F.col("cds_beg") - 300, F.lit(1)).cast("int"), F.col("cds_end").cast("int") + 1
+        after = F.when(F.col("strand") == "+", F.substr("seq", high, F.lit(300))).otherwise(sequence.reverse_complement(F.substr("seq", low, F.col("cds_beg").cast("int") - low)))
+        return t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("tail", after).select(*keep, "cds", "tail")
 
     def variants(self) -> DataFrame:
         """vid, contig_id, pos, ref, alt, qty; ref and alt are bases of the + strand."""
@@ -75,6 +77,9 @@ segment AS (
   FROM (SELECT *, greatest(eb, cds_beg) AS gb, least(ee, cds_end) AS ge FROM exon) WHERE gb <= ge),
 cds0 AS (SELECT s.tid, s.strand, string_agg(substr(c.seq, gb, ge - gb + 1), '' ORDER BY i) AS bases FROM segment s JOIN contig c USING (contig_id) GROUP BY 1, 2),
 cds AS (SELECT tid, strand, CASE WHEN strand = '+' THEN bases ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END AS cds FROM cds0),
+tail AS (
+  SELECT tid, CASE WHEN strand = '+' THEN substr(seq, cds_end + 1, 300) ELSE reverse(translate(substr(seq, greatest(cds_beg - 300, 1), cds_beg - greatest(cds_beg - 300, 1)), 'ACGT', 'TGCA')) END AS tail
+  FROM tx JOIN contig USING (contig_id)),
 snv AS (
   SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS vid, contig_id, pos, substr(seq, pos, 1) AS ref,
          translate(substr(seq, pos, 1), 'AGTC', 'GTCA') AS alt, qty

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
-from ..operators import annotate, intervals, lookup
+from ..operators import annotate, coding, intervals, lookup
 from .fixture import SQL, Genome
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,3 +404,108 @@ def longest_overlap_tx(g: Genome) -> DataFrame:
 def csqn_counts(g: Genome) -> DataFrame:
     x = annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True)))
     return x.groupBy("csqn").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("n_tx"))
+
+
+def _read(s: str) -> str:
+    """SQL of all amino acids of s."""
+    base = lambda k: f"(strpos('TCAG', substr({s}, 3 * i + {k}, 1)) - 1)"
+    return f"array_to_string([substr('{sequence.STANDARD_CODE}', CAST(16 * {base(1)} + 4 * {base(2)} + {base(3)} + 1 AS INT), 1) for i in range(0, length({s}) // 3)], '')"
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL of the place where two strings first differ; null if one begins with the other."""
+    return f"list_position([substr({a}, CAST(i AS INT), 1) <> substr({b}, CAST(i AS INT), 1) for i in range(1, least(length({a}), length({b})) + 1)], true)"
+
+
+#: Edits of one CDS segment: what is done to which bases, by the remainder of qty.
+_EDITS = {
+    "deletion": ("qty % 4 = 1", "pos + qty % 6", "''", "false"),
+    "insertion": ("qty % 4 = 2", "pos + 1", "substr(seq, CAST(pos + 9 AS INT), CAST(2 + qty % 3 AS INT))", "true"),
+    "block": ("qty % 4 = 3", "pos + 3", "substr(seq, CAST(pos + 7 AS INT), CAST(3 + qty % 3 AS INT))", "false"),
+}
+
+
+def _edits(g: Genome, kind: str) -> DataFrame:
+    test, till, alt, between = _EDITS[kind]
+    v = g.variants().where(test).drop("ref", "alt").join(g.contigs, "contig_id").where("pos + 20 <= len")
+    v = v.select("vid", "contig_id", "pos", F.expr(till).alias("till"), F.expr(alt).alias("alt"), F.expr(between).alias("between"))
+    return coding.on_coding(v, g.transcripts(with_cds=True))
+
+
+def _edit_sql(kind: str) -> str:
+    test, till, alt, between = _EDITS[kind]
+    return f""", v AS (SELECT vid, contig_id, pos, {till} AS till, {alt} AS alt FROM snv JOIN contig USING (contig_id) WHERE {test} AND pos + 20 <= length(seq)),
+edit0 AS (SELECT v.vid, g.tid, g.strand, CASE g.strand WHEN '+' THEN cprev + v.pos - gb + 1 ELSE cprev + ge - v.till + 1 END AS lo, CASE g.strand WHEN '+' THEN cprev + v.till - gb + 1 ELSE cprev + ge - v.pos + 1 END AS hi,
+  CASE g.strand WHEN '+' THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END AS alt FROM v JOIN segment g ON g.contig_id = v.contig_id AND v.pos >= gb AND v.till <= ge),
+edit AS (SELECT e.vid, e.tid, {'hi' if between == 'true' else 'lo'} AS cbeg, {'lo' if between == 'true' else 'hi'} AS cend, alt, cds, tail FROM edit0 e JOIN cds USING (tid) JOIN tail USING (tid)),
+made AS (SELECT *, (cbeg + 2) // 3 AS one, (cend + 2) // 3 AS last, substr(cds, 1, cbeg - 1) || alt || substr(cds, cend + 1) AS new_cds, (length(alt) - (cend - cbeg + 1)) % 3 = 0 AS level FROM edit),
+prot AS (SELECT *, {_read("cds")} AS p, {_read("new_cds")} AS q, {_read("(new_cds || tail)")} AS q_on, {_read("(cds || tail)")} AS p_on FROM made),
+-- both readings from the first codon touched
+readings AS (SELECT *, substr(p_on, one) AS was, substr(q_on, one) AS is_, substr(p, one, last - one + 1) AS o, substr(q, one, last - one + 1 + (length(alt) - (cend - cbeg + 1)) // 3) AS w FROM prot),
+shift AS (SELECT *, {_apart("was", "is_")} AS a, strpos(is_, '*') AS stop FROM readings) """
+
+
+_SHIFTED = "CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN '(=)' ELSE substr(was, a, 1) || (one + a - 1) || substr(is_, a, 1) || 'fs*' || CASE WHEN stop > 0 THEN (stop - a + 1) || '' ELSE '?' END END"
+
+
+@query(_edit_sql("deletion") + f"SELECT vid, tid, {_SHIFTED} AS change, CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN 'Synonymous' ELSE 'Frameshift' END AS csqn FROM shift WHERE NOT level")
+def del_frameshift(g: Genome) -> DataFrame:
+    x = _edits(g, "deletion").where("(cend - cbeg + 1) % 3 <> 0")
+    return coding.protein_change(x).select(*KEYS, "change", "csqn")
+
+
+@query(
+    _edit_sql("deletion")
+    + """, cut AS (SELECT *, CASE WHEN w = '' THEN one WHEN right(o, 1) = w THEN one WHEN left(o, 1) = w THEN one + 1 END AS b, CASE WHEN w = '' THEN last WHEN right(o, 1) = w THEN last - 1 WHEN left(o, 1) = w THEN last END AS e FROM shift WHERE level),
+rolled AS (SELECT *, (SELECT min(j) FROM range(0, 200) r(j) WHERE substr(p, b + j, 1) <> substr(p, e + 1 + j, 1)) AS k FROM cut)
+SELECT vid, tid, CASE WHEN b IS NOT NULL THEN 'InFrameDeletion' WHEN w = '*' THEN 'Nonsense' WHEN o = w THEN 'Synonymous' ELSE 'MultiAAMissense' END AS csqn,
+ CASE WHEN b IS NULL THEN CASE WHEN w = '*' THEN left(o, 1) || one || '*' ELSE left(o, 1) || one || '_' || right(o, 1) || last || 'delins' || w END
+  WHEN b = e THEN substr(p, b + k, 1) || (b + k) || 'del' || substr(p, b + k, 1)
+  ELSE substr(p, b + k, 1) || (b + k) || '_' || substr(p, e + k, 1) || (e + k) || 'del' || substr(p, b + k, e - b + 1) END AS change FROM rolled"""
+)
+def del_inframe(g: Genome) -> DataFrame:
+    x = _edits(g, "deletion").where("(cend - cbeg + 1) % 3 = 0")
+    return coding.protein_change(x).select(*KEYS, "csqn", "change")
+
+
+@query(
+    _edit_sql("insertion")
+    + f""", known AS (SELECT *, level AND strpos(w, '*') = 0 AS framed FROM shift),
+put AS (SELECT *, CASE WHEN o = '' THEN one - 1 WHEN left(w, 1) = o THEN one WHEN right(w, 1) = o THEN one - 1 END AS i, CASE WHEN o = '' THEN w WHEN left(w, 1) = o THEN substr(w, 2) WHEN right(w, 1) = o THEN substr(w, 1, length(w) - 1) END AS s FROM known),
+rolled AS (SELECT *, (SELECT min(j) FROM range(0, 400) r(j) WHERE substr(s || substr(p, i + 1), j + 1, 1) <> substr(substr(p, i + 1) || '-', j + 1, 1)) AS k FROM put),
+turned AS (SELECT *, substr(s || s, k % greatest(length(s), 1) + 1, length(s)) AS t, i + k AS j FROM rolled)
+SELECT vid, tid, CASE WHEN NOT framed THEN CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN 'Synonymous' WHEN substr(is_, a, 1) = '*' THEN 'Nonsense' ELSE 'Frameshift' END WHEN i IS NOT NULL THEN 'InFrameInsertion' ELSE 'MultiAAMissense' END AS csqn,
+ CASE WHEN NOT framed THEN {_SHIFTED} WHEN i IS NULL THEN o || one || 'delins' || w
+  WHEN j - length(t) + 1 > 0 AND substr(p, j - length(t) + 1, length(t)) = t THEN CASE WHEN length(t) = 1 THEN '' ELSE substr(p, j - length(t) + 1, 1) || (j - length(t) + 1) || '_' END || substr(p, j, 1) || j || 'dup' || t
+  ELSE substr(p, j, 1) || j || '_' || substr(p, j + 1, 1) || (j + 1) || 'ins' || t END AS change FROM turned"""
+)
+def ins_coding(g: Genome) -> DataFrame:
+    return coding.protein_change(_edits(g, "insertion")).select(*KEYS, "csqn", "change")
+
+
+@query(
+    _edit_sql("block")
+    + f""", h AS (SELECT *, (SELECT min(j) FROM range(0, 5) r(j) WHERE j >= length(o) OR substr(o, j + 1, 1) <> substr(w, j + 1, 1)) AS h FROM shift),
+t AS (SELECT *, (SELECT min(j) FROM range(0, 5) r(j) WHERE j >= length(o) - h OR substr(o, length(o) - j, 1) <> substr(w, length(w) - j, 1)) AS t FROM h),
+x AS (SELECT *, substr(o, h + 1, length(o) - h - t) AS ref, substr(w, h + 1, length(w) - h - t) AS alt_aa, one + h AS b FROM t)
+SELECT vid, tid, CASE WHEN NOT level THEN CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN 'Synonymous' ELSE 'Frameshift' END WHEN o = w THEN 'Synonymous' WHEN length(ref) = 1 THEN 'Missense' ELSE 'MultiAAMissense' END AS csqn,
+ CASE WHEN NOT level THEN {_SHIFTED} WHEN o = w THEN '(=)' WHEN length(ref) = 1 THEN ref || b || alt_aa ELSE left(ref, 1) || b || '_' || right(ref, 1) || (last - t) || 'delins' || alt_aa END AS change FROM x"""
+)
+def mnv_coding(g: Genome) -> DataFrame:
+    return coding.protein_change(_edits(g, "block")).select(*KEYS, "csqn", "change")
+
+
+@query(_edit_sql("insertion") + "SELECT vid, tid, md5(CASE WHEN strpos(v, '*') > 0 THEN substr(v, 1, strpos(v, '*')) ELSE v END) AS protein_md5 FROM (SELECT *, CASE WHEN level AND strpos(w, '*') = 0 THEN q ELSE q_on END AS v FROM shift)")
+def variant_protein(g: Genome) -> DataFrame:
+    return coding.protein_change(_edits(g, "insertion")).select(*KEYS, F.md5("variant_protein").alias("protein_md5"))
+
+
+@query(f"""SELECT vid, tid, sum(CAST(eb >= pos AND ee <= till AS INT))::BIGINT AS whole, sum(CASE strand WHEN '+' THEN at_end ELSE at_beg END)::BIGINT AS donors, sum(CASE strand WHEN '+' THEN at_beg ELSE at_end END)::BIGINT AS acceptors,
+ bool_or(CASE strand WHEN '+' THEN cds_beg ELSE cds_end END BETWEEN pos AND till) AS start, bool_or(CASE strand WHEN '+' THEN cds_end ELSE cds_beg END BETWEEN pos AND till) AS stop FROM (
+ SELECT *, CAST(NOT (eb >= pos AND ee <= till) AND i > 0 AND eb BETWEEN pos - 1 AND till + 1 AS INT) AS at_beg, CAST(NOT (eb >= pos AND ee <= till) AND NOT (i > 0 AND eb BETWEEN pos - 1 AND till + 1) AND i < nex - 1 AND ee BETWEEN pos - 1 AND till + 1 AS INT) AS at_end
+ FROM (SELECT s.vid, s.pos, s.till, e.* FROM ({SPAN}) s JOIN exon e ON e.contig_id = s.contig_id AND e.beg <= s.till AND e.tend >= s.pos)) GROUP BY 1, 2""")
+def span_region(g: Genome) -> DataFrame:
+    spans = g.variants().withColumn("till", F.col("pos") + F.col("qty") * 20)
+    hit = intervals.range_join(spans, g.transcripts(), "contig_id", ("pos", "till"), ("beg", "tend"), width=200)
+    s = coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"))
+    return hit.select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
