@@ -509,3 +509,38 @@ def span_region(g: Genome) -> DataFrame:
     hit = intervals.range_join(spans, g.transcripts(), "contig_id", ("pos", "till"), ("beg", "tend"), width=200)
     s = coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"))
     return hit.select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
+
+
+@query("SELECT contig_id, tid, cdslen FROM (SELECT t.contig_id, t.tid, length(cds) AS cdslen, row_number() OVER (PARTITION BY t.contig_id ORDER BY length(cds) DESC, t.tid) AS r FROM tx t JOIN cds USING (tid)) WHERE r = 1")
+def longest_coding_per_gene(g: Genome) -> DataFrame:
+    t = g.transcripts().select("contig_id", "tid", coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
+    return t.groupBy("contig_id").agg(F.max(F.struct("cdslen", (-F.col("tid")).alias("neg"))).alias("m")).select("contig_id", (-F.col("m.neg")).alias("tid"), "m.cdslen")
+
+
+_KNOWN = "SELECT contig_id, pos - 1 AS anchor, 'rs' || vid AS id, substr(seq, CAST(pos - 1 AS INT), CAST(2 + qty % 6 AS INT)) AS padded FROM snv JOIN contig USING (contig_id) WHERE qty % 4 = 1 AND qty % 3 = 0 AND pos > 1 AND pos + 10 <= length(seq)"
+
+
+@query(f"""SELECT v.vid, string_agg(DISTINCT k.id, ',' ORDER BY k.id) AS ids FROM (SELECT vid, contig_id, pos, substr(seq, pos, 1 + qty % 6) AS gone FROM snv JOIN contig USING (contig_id) WHERE qty % 4 = 1 AND pos + 10 <= length(seq)) v
+LEFT JOIN ({_KNOWN}) k ON k.contig_id = v.contig_id AND k.anchor = v.pos - 1 AND substr(k.padded, 2) = v.gone GROUP BY v.vid""")
+def dbsnp_indel(g: Genome) -> DataFrame:
+    """Known deletions stand at the base before, with that base in front of their own."""
+    v = g.variants().where("qty % 4 = 1").join(g.contigs, "contig_id").where("pos + 10 <= len").withColumn("p", F.col("pos").cast("int")).withColumn("n", (F.col("qty") % 6).cast("int"))
+    known = v.where("qty % 3 = 0 and pos > 1").select("contig_id", (F.col("pos") - 1).alias("anchor"), F.concat(F.lit("rs"), "vid").alias("id"), F.substr("seq", F.col("p") - 1, F.col("n") + 2).alias("padded"))
+    known = known.groupBy("contig_id", "anchor", F.substr("padded", F.lit(2)).alias("gone")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
+    asked = v.select("vid", "contig_id", (F.col("pos") - 1).alias("anchor"), F.substr("seq", F.col("p"), F.col("n") + 1).alias("gone")).distinct()
+    return asked.join(known, ["contig_id", "anchor", "gone"], "left").select("vid", "ids")
+
+
+@query(_CASCADE.format(strict="") + " AND way = 3", bare=True)
+def idmap_lookup(g: Genome) -> DataFrame:
+    """What only the map of identifiers finds."""
+    return lookup.cascade(*_sources(g)).where("way = 3")
+
+
+@query("SELECT contig_id, beg, tend, strand, count(*)::BIGINT AS n, string_agg(tid % 3 || '', ',' ORDER BY tid % 3, tid) AS sources, min(tid) AS first_tid FROM tx GROUP BY 1, 2, 3, 4")
+def tx_union_sources(g: Genome) -> DataFrame:
+    """Transcripts of three sources put together; those that share their span and strand with others, once."""
+    t = g.transcripts().select("tid", "contig_id", "beg", "tend", "strand")
+    all_of = t.where("tid % 3 = 0").withColumn("source", F.lit(0)).unionByName(t.where("tid % 3 = 1").withColumn("source", F.lit(1))).unionByName(t.where("tid % 3 = 2").withColumn("source", F.lit(2)))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list("source")), lambda s: s.cast("string")), ",")
+    return all_of.groupBy("contig_id", "beg", "tend", "strand").agg(F.count(F.lit(1)).alias("n"), own.alias("sources"), F.min("tid").alias("first_tid"))
