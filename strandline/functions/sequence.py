@@ -75,6 +75,12 @@ def translate(cds: Column) -> Column:
     return F.regexp_extract(translate_all(cds), r"^[^*]*\*?", 0)
 
 
+def until_stops(s: Column) -> Column:
+    """s up to where each of its three frames has had a stop codon, so that reading on into it misses none; all of s if a frame has none."""
+    ends = [F.length(F.regexp_extract(F.substr(s, F.lit(k + 1), F.length(s)), "^(?s:...)*?(?:TAA|TAG|TGA)", 0)) for k in range(3)]
+    return F.substr(s, F.lit(1), F.greatest(*(F.when(n > 0, n + k).otherwise(F.length(s)) for k, n in enumerate(ends))))
+
+
 def codons_of(aa: Column) -> Column:
     return F.element_at(literal_map(CODONS_OF), aa)
 

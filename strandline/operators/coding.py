@@ -61,7 +61,8 @@ def protein_change(edits: DataFrame, seqmax: int = 10) -> DataFrame:
     is Nonsense.  An edit out of frame, or an insertion that brings a stop codon,
     names the first amino acid that changes and the codons from there to the
     stop; it reads on into `tail`, the bases after the coding sequence, and ends
-    in `?` if these hold no stop.  A coding sequence cut off inside the last
+    in `?` if these hold no stop (sequence.until_stops of all bases up to the
+    contig's end is tail enough for any edit).  A coding sequence cut off inside the last
     codon touched gives null, as does a null input; a null tail is empty.
     """
     cds, b, e, alt = (F.col(c) for c in ("cds", "cbeg", "cend", "alt"))

@@ -43,9 +43,8 @@ class Genome:
         if not with_cds:
             return t.select(*keep)
         bases = F.array_join(F.transform("segs", lambda s: F.substr(F.col("seq"), s["gb"].cast("int"), (s["ge"] - s["gb"] + 1).cast("int"))), "")
-        low, high = F.greatest(F.col("cds_beg") - 300, F.lit(1)).cast("int"), F.col("cds_end").cast("int") + 1
-        after = F.when(F.col("strand") == "+", F.substr("seq", high, F.lit(300))).otherwise(sequence.reverse_complement(F.substr("seq", low, F.col("cds_beg").cast("int") - low)))
-        return t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("tail", after).select(*keep, "cds", "tail")
+        after = F.when(F.col("strand") == "+", F.substr("seq", F.col("cds_end").cast("int") + 1, F.length("seq"))).otherwise(sequence.reverse_complement(F.substr("seq", F.lit(1), F.col("cds_beg").cast("int") - 1)))
+        return t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("tail", sequence.until_stops(after)).select(*keep, "cds", "tail")
 
     def variants(self) -> DataFrame:
         """vid, contig_id, pos, ref, alt, qty; ref and alt are bases of the + strand."""

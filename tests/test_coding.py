@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.functions import sequence
 from strandline.operators import coding
+from strandline.plans import fixture
 
 AA = {c: sequence.STANDARD_CODE[i] for i, c in enumerate(a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG")}
 
@@ -69,6 +71,32 @@ def test_nulls_and_cut_sequences(spark):
     assert [got[i]["change"] for i in range(3)] == [None, None, None]
 
 
+def test_tail_ends_where_no_frame_reads_on(spark):
+    rng = random.Random(8)
+    rests = ["", "TA", "TAA", "ACG" * 500 + "TAA" + "C", "".join(rng.choices("ACG", k=700)) + "TAACTAACTAAGGGGGGG", "C" * 20_000 + "TAGCTAGCTAG" + "C" * 50, *("".join(rng.choices("ACGT", k=rng.randint(1, 400))) for _ in range(200))]
+    d = spark.createDataFrame(list(enumerate(rests)), "id int, rest string").withColumn("tail", sequence.until_stops(F.col("rest")))
+    for r in d.collect():
+        read = [_read(r["rest"][k:]) for k in range(3)]
+        ends = [k + 3 * p.index("*") + 3 if "*" in p else len(r["rest"]) for k, p in enumerate(read)]
+        assert r["tail"] == r["rest"][: max(ends)]
+
+
+@pytest.mark.parametrize("strand", ["+", "-"])
+def test_shifted_frame_is_read_on_to_its_stop(spark, tmp_path, strand):
+    """One contig whose only stop in the shifted frame lies 900 bases behind the coding sequence."""
+    tid, seq = (50, "C" * 1200 + "TAACTAACTAA" + "C" * 100) if strand == "+" else (199, "G" * 1500)
+    spark.createDataFrame([(1, "".join({"A": "a", "C": "b", "G": "c", "T": "d"}[x] for x in seq) + " " * 300)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(tid, 0)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    (t,) = fixture.Genome(spark, str(tmp_path)).transcripts(with_cds=True).collect()
+    rest = seq[t["cds_end"] :] if strand == "+" else "C" * (t["cds_beg"] - 1)
+    assert t["tail"] == (rest[: rest.rindex("TAA") + 3] if strand == "+" else rest)
+    got = _changed(spark, [(k, t["cds"], t["tail"], 4, 3 + k, "") for k in (1, 2)])
+    for k in (1, 2):
+        whole = _read(t["cds"][:3] + t["cds"][3 + k :] + rest)
+        assert got[k]["variant_protein"] == (whole[: whole.index("*") + 1] if "*" in whole else whole)
+        assert got[k]["csqn"] == "Synonymous" or got[k]["change"].endswith("?") == ("*" not in whole)
+
+
 def test_long_trim(spark):
     a, b = "A" * 100 + "G" + "C" * 90, "A" * 100 + "TT" + "C" * 90
     from pyspark.sql import functions as F
