@@ -5,6 +5,9 @@ words and share of linked words, those of the blocks before and after it, and
 where it stands: inside furniture (menus, footers, adverts, comments, forms by
 element or class), inside an article or main element, in a heading.  A decision
 tree, grown here from a small labelled table, says which blocks are main text.
+A class or id is only a hint: an element that it marks as furniture is read as
+any other if it holds most of the page's words and next to nothing, and no text
+of an article, is kept outside it.
 """
 
 from __future__ import annotations
@@ -74,6 +77,9 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _NAMES = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget".split())
+#: Beginnings and ends of class names that speak of a state or a topic of the element, not of what it is: has-sidebar, tag-legal, comments-open.
+_STATES = set("has have with without no not is show shows hide hides tag tags category cat topic format supports".split())
+_STATE_ENDS = set("open opened closed enabled disabled allowed on off".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -89,6 +95,22 @@ class Block(NamedTuple):
     furniture: bool
     article: bool
     heading: bool
+    named: int  # innermost element that its class or id calls furniture; -1 if none
+
+
+def _says_furniture(token: str, whole: bool) -> bool:
+    """Whether one class or id is a name of furniture; if whole, only a name with nothing beside it."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    if len(parts) > 1 and (whole or parts[0] in _STATES or parts[-1] in _STATE_ENDS):
+        return False
+    return any(p in _NAMES for p in parts)
+
+
+def _is_named(tag: str, attributes: str) -> bool:
+    if tag in ("html", "body", "main"):
+        return False
+    values = (m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return any(_says_furniture(t, tag == "article") for v in values for t in v.split())
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -102,15 +124,17 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and any(p.lower() in _NAMES for p in _PART.findall(value)):
-            return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; blocks without a visible character are left out."""
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Text blocks in page order, and for each element named furniture the next one around it.
+
+    Blocks without a visible character are left out; their furniture is that of elements and roles.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside furniture, inside an article
+    around: list[int] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, inside furniture, inside an article, named
     pieces: list[tuple[str, bool]] = []
     links = 0
 
@@ -118,8 +142,8 @@ def blocks_of(page: str) -> list[Block]:
         text = _WHITE.sub(" ", html.unescape("".join(t for t, _ in pieces))).strip()
         if text:
             linked = sum(len(html.unescape(t).split()) for t, a in pieces if a)
-            furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, len(text.split()), linked, furniture, article, any(e[0] in _HEADINGS for e in stack)))
+            furniture, article, named = stack[-1][1:] if stack else (False, False, -1)
+            out.append(Block(text, len(text.split()), linked, furniture, article, any(e[0] in _HEADINGS for e in stack), named))
         pieces.clear()
 
     at, size = 0, len(page)
@@ -173,13 +197,16 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[i][0] not in _INLINE | {"p"}:
                         break
-            furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            own = _is_furniture(name, attributes, article)
-            if own and not block:
+            furniture, article, named = stack[-1][1:] if stack else (False, False, -1)
+            own, called = _is_furniture(name, attributes, article), _is_named(name, attributes)
+            if (own or called) and not block:
                 close()
-            stack.append((name, furniture or own, article or name in ("article", "main")))
+            if called:
+                around.append(named)
+                named = len(around) - 1
+            stack.append((name, furniture or own, article or name in ("article", "main"), named))
     close()
-    return out
+    return out, around
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
@@ -217,11 +244,34 @@ def decide(tree: list | float, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_names(blocks: list[Block], around: list[int], free: set[int]) -> list[Block]:
+    """Blocks with names taken as furniture too, but for the elements in free."""
+    marked: list[bool] = []
+    for i, outer in enumerate(around):
+        marked.append(i not in free or outer >= 0 and marked[outer])
+    return [b._replace(furniture=b.furniture or b.named >= 0 and marked[b.named]) for b in blocks]
+
+
 def main_text(page: str | None, tree: list | float) -> str:
-    blocks = blocks_of(page or "")
+    blocks, around = blocks_of(page or "")
     if not blocks:
         return ""
-    return " ".join(b.text for b, main in zip(blocks, decide(tree, features_of(blocks)), strict=True) if main)
+    main = decide(tree, features_of(_with_names(blocks, around, set())))
+    if around:
+        held = [0] * len(around)
+        for b in blocks:
+            if b.named >= 0 and not b.furniture:
+                held[b.named] += b.words
+        for i in range(len(around) - 1, -1, -1):
+            if around[i] >= 0:
+                held[around[i]] += held[i]
+        left = [b for b, m in zip(blocks, main, strict=True) if m]
+        kept, total = sum(b.words for b in left), sum(b.words for b in blocks)
+        short = not any(b.article and not b.heading for b in left)  # a short article before long comments is the text
+        free = {i for i, n in enumerate(held) if short and 2 * n > total and 10 * kept < n}
+        if free:
+            main = decide(tree, features_of(_with_names(blocks, around, free)))
+    return " ".join(b.text for b, m in zip(blocks, main, strict=True) if m)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", labelled: np.ndarray = LABELLED) -> DataFrame:

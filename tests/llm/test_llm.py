@@ -190,6 +190,25 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+_TEXT = "".join(f"<p>Paragraph {i} has many words of plain text that follow each other in a row, as they do on most pages.</p>" for i in range(6))
+_ALL = " ".join(f"Paragraph {i} has many words of plain text that follow each other in a row, as they do on most pages." for i in range(6))
+
+
+@pytest.mark.parametrize("start", ["div id=content class='post has-sidebar'", "article class='post comments-open'", "div class='post tag-legal'", "div class=no-ad", "div class=widget", "div class='widget'><div id=share", "article class=related", "article class=post-related", "article><h1>Title</h1><div class=social"])
+def test_class_names_do_not_throw_the_article_away(start):
+    page = f"<body><nav><a href=1>Home</a></nav><{start}>{_TEXT}<div class=share><p>Tell all your friends</p></div></div></body>"
+    assert html_text.main_text(page, html_text.grow(html_text.LABELLED)) == "Title " * ("Title" in start) + _ALL
+
+
+@pytest.mark.parametrize("rest", ["<section id=comments>{}{}</section>", "<div class=site-footer>{}</div>", "<div class='comments-open comments'>{}{}</div>", "<div hidden>{}{}</div>", "<aside>{}{}</aside>"])
+def test_class_names_still_tell_furniture_beside_the_article(rest):
+    tree, other = html_text.grow(html_text.LABELLED), _TEXT.replace("Paragraph", "Reader")
+    assert html_text.main_text(f"<body><article>{_TEXT}{rest.format(other, other)}</article></body>", tree) == _ALL
+    assert html_text.main_text(f"<body><article>{_TEXT}</article>{rest.format(other, other)}</body>", tree) == _ALL
+    short = "One short text stands here, and its readers say more than it does."
+    assert html_text.main_text(f"<body><article><p>{short}</p>{rest.format(other, other)}</article></body>", tree) == short
+
+
 @pytest.mark.parametrize("shares", [None, {"hot": 0.5, "a": 0.4}])
 def test_packing(docs, rows, none, shares):
     public_tokenizers = pytest.importorskip("public_tokenizers")
