@@ -50,9 +50,17 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1_000_000, overlap:
 
 
 def fetch(spans: DataFrame, genome: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """spans (chrom, beg, end: no longer than the overlap of chunks) with their bases, as far as the contig goes."""
+    """spans (chrom, beg, end) with their bases, as far as the contig goes; a span may run over any number of chunks."""
+    key = ["chrom", "beg", "end"]
+    first = F.floor((F.greatest("beg", F.lit(1)) - 1) / chunk).cast("int")
+    last = F.greatest(F.floor((F.col("end") - 1) / chunk).cast("int"), first)
     g = genome.select("chrom", "chunk", F.col("beg").alias("__beg"), "seq")
-    return spans.withColumn("chunk", F.floor((F.col("beg") - 1) / chunk).cast("int")).join(g, ["chrom", "chunk"], "left").withColumn("bases", F.substr("seq", (F.col("beg") - F.col("__beg") + 1).cast("int"), (F.col("end") - F.col("beg") + 1).cast("int"))).drop("chunk", "seq", "__beg")
+    # chunks overlap: each gives what lies before the next one
+    low, high = F.greatest("beg", "__beg"), F.least(F.col("end"), F.col("__beg") + chunk - 1)
+    part = F.substr("seq", (low - F.col("__beg") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+    parts = spans.select(*key).distinct().where("beg is not null and end is not null").withColumn("chunk", F.explode(F.sequence(first, last))).join(g, ["chrom", "chunk"])
+    whole = parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", part.alias("part")))), lambda x: x["part"]), "").alias("bases"))
+    return spans.join(whole, key, "left").select(*spans.columns, "bases")
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_fasta_chunks(spark, tmp_path):
     assert {(r["chrom"], r["beg"]): r["bases"] for r in tracks.fetch(spans, g, chunk=4).collect()} == {("c1", 3): "GTAC", ("c1", 7): "GT", ("c9", 1): None}
 
 
+def test_fetch_over_many_chunks(spark, tmp_path):
+    seq = "ACGTTGCATTACGGATCCAGT"
+    g = tracks.read_fasta(spark, put(tmp_path, "x.fa", ">c1", seq), chunk=4, overlap=3)
+    rows = [("c1", b, e) for b in range(1, len(seq) + 1) for e in range(b - 1, len(seq) + 3)] + [("c1", 2, 20), ("c1", None, 3), ("c9", 1, 9)]
+    spans = spark.createDataFrame(rows, "chrom string, beg bigint, end bigint")
+    got = sorted((tuple(r) for r in tracks.fetch(spans, g, chunk=4).collect()), key=str)
+    assert got == sorted(((c, b, e, seq[b - 1 : e] if c == "c1" and b else None) for c, b, e in rows), key=str)
+
+
 def test_lists(spark, tmp_path):
     path = put(tmp_path, "l", ("chr1", 5, "A", "T", "NM_1"))
     (r,) = tracks.read_list(spark, path, gene=1, position=2, ref=3, alt=4, transcript=5, keep="1,4-").collect()
