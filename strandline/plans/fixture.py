@@ -1,7 +1,7 @@
 """A deterministic genome derived from the driver's tables, once as DataFrames and once as SQL.
 
-The numbering of contigs sorts document ids (not texts) in one task; it belongs
-to this fixture, not to the operators.
+Contigs are numbered by document id: within ranges of ids, after the sum of the
+ranges before, so that one task sees a row for each range, not for each document.
 """
 
 from __future__ import annotations
@@ -16,15 +16,24 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TO_BASES = "ACGTGTCAACGTTGCACATGGCTAGT" * 2
 
 
+def numbered(ids: DataFrame, width: int = 8192) -> DataFrame:
+    """ids (doc_id) with contig_id, their place in the order of doc_id, from 1."""
+    x = ids.withColumn("__range", F.floor(F.col("doc_id") / width))
+    sums = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n")).select("__of", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"))
+    within = x.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy("doc_id")))
+    return within.join(before, F.col("__range").eqNullSafe(F.col("__of"))).select("doc_id", (F.col("__before") + F.col("__k")).cast("bigint").alias("contig_id"))
+
+
 class Genome:
     """contigs, transcripts, variants: lazy DataFrames of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         docs = self.read("documents").where(F.length("text").between(1500, 20000))
-        ids = docs.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("bigint").alias("contig_id"))
+        ids = docs.select("doc_id")
         seq = F.regexp_replace(F.translate("text", LETTERS, TO_BASES), "[^ACGT]", "")
-        self.contigs = docs.select("doc_id", seq.alias("seq")).join(ids, "doc_id").select("contig_id", "seq", F.length("seq").cast("bigint").alias("len"))
+        self.contigs = docs.select("doc_id", seq.alias("seq")).join(numbered(ids), "doc_id").select("contig_id", "seq", F.length("seq").cast("bigint").alias("len"))
         self.number = ids.agg(F.count(F.lit(1)).alias("n_contigs"))
 
     def transcripts(self, with_cds: bool = False) -> DataFrame:

@@ -97,6 +97,14 @@ def test_shifted_frame_is_read_on_to_its_stop(spark, tmp_path, strand):
         assert got[k]["csqn"] == "Synonymous" or got[k]["change"].endswith("?") == ("*" not in whole)
 
 
+def test_contigs_are_numbered_by_ranges(spark):
+    rng = random.Random(2)
+    ids = [None, *rng.sample(range(-500, 5000), 900), 10**12]
+    d = fixture.numbered(spark.createDataFrame([(i,) for i in ids], "doc_id bigint").repartition(5), width=64)
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert {r["doc_id"]: r["contig_id"] for r in d.collect()} == {x: i + 1 for i, x in enumerate(order)}
+
+
 def test_long_trim(spark):
     a, b = "A" * 100 + "G" + "C" * 90, "A" * 100 + "TT" + "C" * 90
     from pyspark.sql import functions as F
