@@ -3,9 +3,11 @@
 Sources get target words by weight, up to a number of epochs of what they have.
 A target is whole copies of the source, which every document gets for certain,
 and a part of one more copy.  For that part documents are ranked by their random
-odds u / (1 - u) over their inclusion odds p / (1 - p), and the first ones fill
-the words wanted: a sample of fixed size, with unequal probabilities where
-targets, or the utility of documents, differ.
+odds u / (1 - u) over their inclusion odds, and the first ones fill the words
+wanted: a sample of fixed size.  Probabilities are unequal: a document's odds are
+those of its source, p / (1 - p), times its utility, which by default is its
+size over the mean size of its source, from a quarter to four, so that the
+extra copy goes to fuller documents rather than to scraps.
 
 Ranks are cut at fine buckets of the ranking value, whose sums are small; only
 the documents of the one bucket a source's target falls into are sorted.
@@ -24,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """source, source_size, target for sizes (source, size).
+    """source, source_size, rows, target for sizes (source, size).
 
     Sources by code point, null last, have the weights in turn.  Targets share
     `share` of all words by weight, none above `epochs` times its size, the
@@ -32,7 +34,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     weight, the first ones are full, and the others get the rest by weight.
     One row a source is all that is sorted here.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     ranked = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("limit", (F.col("source_size") * epochs).cast("double"))
@@ -43,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     ranked = ranked.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("limit"))
     # the level of the first source that isn't full holds for it and all after it; those computed after it are lower
     final = F.max(F.when(~F.col("full"), F.col("level"))).over(every)
-    return ranked.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(final * F.col("weight")).alias("target"))
+    return ranked.select("source", "source_size", "rows", F.when(F.col("full"), F.col("limit")).otherwise(final * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, utility: str | None = None, whole: bool = False, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -52,13 +54,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     size: words of the text, null as none.  taken: words the mix takes of the
     document, repeats counted.  One document a source is taken in part, so that
     the sum is the target; with whole=True it is taken if half or more is wanted.
-    utility names a column that multiplies a document's inclusion odds (null: 1,
-    under 0: 0).  A null source is a source, the last one.  Ties in rank go by
+    utility names a column that multiplies a document's inclusion odds in place
+    of its size (null: 1, under 0: 0).  A null source is a source, the last one.  Ties in rank go by
     id, then size; rows alike are interchangeable, so repeated ones get results
     that are right together.  The same rows and seed give the same results.
     Other columns are ignored; an empty table gives no rows.
     """
-    tilt = F.greatest(F.coalesce(F.col(utility).cast("double"), F.lit(1.0)), F.lit(0.0)) if utility else F.lit(1.0)
+    tilt = F.greatest(F.coalesce(F.col(utility).cast("double"), F.lit(1.0)), F.lit(0.0)) if utility else F.lit(None).cast("double")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), tilt.alias("tilt"))
     code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long")
     own = saved(own.withColumn("u", (code + 0.5) / float(1 << 52)), "sizes")
@@ -67,9 +69,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     aims = aims.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     aims = aims.withColumn("wanted", F.round(F.col("target")).cast("long") - F.col("copies") * F.col("source_size"))
     aims = aims.withColumn("p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("copies")).otherwise(0.0))
-    aims = saved(aims.select(F.col("source").alias("of"), "source_size", "target", "copies", "wanted", "p"), "targets")
+    aims = saved(aims.select(F.col("source").alias("of"), "source_size", "rows", "target", "copies", "wanted", "p"), "targets")
 
-    odds = F.col("p") / (1 - F.col("p")) * F.col("tilt")
+    fuller = F.least(F.greatest(F.col("size").cast("double") * F.col("rows") / F.col("source_size"), F.lit(0.25)), F.lit(4.0))
+    odds = F.col("p") / (1 - F.col("p")) * F.coalesce(F.col("tilt"), fuller)
     ratio = F.when(odds > 0, F.col("u") / (1 - F.col("u")) / odds).otherwise(F.lit(float("inf")))
     place = F.when(odds > 0, F.least(F.floor(F.col("ratio") / (1 + F.col("ratio")) * buckets), F.lit(buckets - 1))).otherwise(buckets - 1)
     ranked = own.join(aims, F.col("source").eqNullSafe(F.col("of"))).withColumn("ratio", ratio).withColumn("bucket", place)

@@ -62,12 +62,12 @@ _SEED_HEX = f"('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT"
 
 MIX = f"""
 WITH own AS (SELECT doc_id, source, len({_WORDS}) AS size, ({_SEED_HEX} + 0.5::DOUBLE) / {float(1 << 52)}::DOUBLE AS u FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY 1),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM own GROUP BY 1),
 wt AS (SELECT *, {list(WEIGHTS)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT]::DOUBLE AS weight, (source_size * {EPOCHS})::DOUBLE AS cap FROM per),
 lv AS (SELECT *, ((SELECT sum(source_size) FROM per)::DOUBLE * {SHARE}::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((SELECT sum(weight) FROM wt) - coalesce(sum(weight) OVER o, 0)) AS level FROM wt WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-aim AS (SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE weight * (SELECT max(level) FROM lv WHERE level * weight < cap) END AS target FROM lv),
+aim AS (SELECT source, source_size, n_rows, CASE WHEN level * weight >= cap THEN cap ELSE weight * (SELECT max(level) FROM lv WHERE level * weight < cap) END AS target FROM lv),
 part AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM aim),
-r AS (SELECT own.*, source_size, target, copies, round(target)::BIGINT - copies::BIGINT * source_size AS wanted, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) ELSE 'inf'::DOUBLE END AS ratio FROM own JOIN part ON own.source IS NOT DISTINCT FROM part.source),
+r AS (SELECT own.*, source_size, target, copies, round(target)::BIGINT - copies::BIGINT * source_size AS wanted, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p) * least(greatest(size::DOUBLE * n_rows / source_size, 0.25::DOUBLE), 4::DOUBLE)) ELSE 'inf'::DOUBLE END AS ratio FROM own JOIN part ON own.source IS NOT DISTINCT FROM part.source),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM r)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size + greatest(least(wanted - (upto - size), size), 0))::BIGINT AS taken FROM c
 """

@@ -1,7 +1,7 @@
 """Mixture-controlled packing (operator 5).
 
 Each source is a queue of its documents' tokens.  Deficit round-robin fills
-window after window: in each, a source is due its share of the window's tokens,
+window after window: in each, a source is due its target share of the window's tokens,
 and what a whole number of tokens leaves over is carried to the next window, so
 after w windows a source has been served floor(w * its tokens a window), never a
 token or more behind.  When a queue ends, its share goes to the others.  As
@@ -15,6 +15,8 @@ only the last sequence is short.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,29 +29,45 @@ from pyspark.sql import Window
 from . import words as W
 from .shared import saved
 
-LENGTH, WINDOW, END = 1024, 64 * 1024, 0
+LENGTH, WINDOW, END, WEIGHTS = 1024, 64 * 1024, 0, (3, 1, 2)
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class Encoder:
-    """Byte-pair ids of whole texts, by the rank file of the same vocabulary.
+    """Byte-pair ids of whole texts, as the `tokenizers` file at `path` gives them without special tokens added.
 
-    Texts are cut before single spaces between characters that are no white
-    space, where the vocabulary's pattern always cuts; equal pieces of a batch
-    are encoded once.
+    Vocabulary, merges and added tokens are those of the file, which must be a
+    byte-level one without a normalizer; a text that spells an added token gets
+    that token's id.  Texts are cut before single spaces between characters that
+    are no white space, where such a vocabulary's pattern always cuts; equal
+    pieces of a batch are encoded once.
     """
 
-    def __init__(self, ranks: str, pattern: str):
-        import base64
-
+    def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.wide = max(table.values()) > 65535
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in file["model"]["merges"]]
+        first = len(vocabulary.keys() - merged - added.keys())
+        plain = file["normalizer"] is None and file["pre_tokenizer"]["type"] == "ByteLevel" and not file["pre_tokenizer"]["add_prefix_space"]
+        if not plain or any(vocabulary[m] != first + i for i, m in enumerate(merged)) or any(re.search(r"\s", t) for t in added):
+            raise ValueError(f"{path} is no byte-level vocabulary whose ids follow its merges")
+        byte = {c: b for b, c in enumerate(self.characters())}
+        table = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+        self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=added)
+        self.added = [t.encode() for t in added]
+        self.wide = max([*table.values(), *added.values()]) > 65535
         self.known: dict[int, np.ndarray] = {}
 
+    @staticmethod
+    def characters() -> list[str]:
+        """The visible character that stands for each byte in byte-level vocabularies."""
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(256, 512))
+        return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
     @staticmethod
     def cuts(data: np.ndarray) -> np.ndarray:
         """Bytes that begin a piece: spaces between bytes of surely visible characters."""
@@ -65,6 +83,12 @@ class Encoder:
         out[1:-1] = (data[1:-1] == 0x20) & (plain | second)[:-2] & (plain | first)[2:]
         return out
 
+    def _ids(self, piece: bytes, special: bool) -> list[int]:
+        text = piece.decode()
+        if special and any(t in piece for t in self.added):
+            return self.one.encode(text, allowed_special="all")
+        return self.one.encode_ordinary(text)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of the texts."""
         data, at = W.raw(texts)
@@ -80,12 +104,13 @@ class Encoder:
         keys = W.word_hashes(W.Words(data, at, start, end, of))
         unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         raw, known, found = data.tobytes(), self.known, []
+        special = any(t in raw for t in self.added)
         if len(known) > 400_000:
             known.clear()
         for key, i in zip(unique.tolist(), where.tolist(), strict=True):
             ids = known.get(key)
             if ids is None:
-                ids = known[key] = np.array(self.one.encode_ordinary(raw[start[i] : end[i]].decode()), np.uint16 if not self.wide else np.uint32)
+                ids = known[key] = np.array(self._ids(raw[start[i] : end[i]], special), np.uint16 if not self.wide else np.uint32)
             found.append(ids)
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat, first = np.concatenate(found), np.cumsum(size) - size
@@ -159,26 +184,28 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
-def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, shares: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, weights: tuple[float, ...] | None = WEIGHTS, shares: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Pieces (PIECE): every token of every row of docs, in exactly one piece.
 
-    A row's tokens are the ids of its text (null: none), then END.  shares gives
-    sources target proportions of every window (others: as little as can be);
-    None, those of the queues.  A null source is a source, and a null doc_id
-    stays null.  Repeated rows are packed as often as they come.  ranks and
-    pattern name another rank file of ids under 2**16, or its pattern.  Other
-    columns are ignored; an empty table gives no pieces.  There is one row a
-    source on the driver.
+    A row's tokens are the ids of its text (null: none), then END.  Every window
+    of the stream has the target proportions as long as the queues last:
+    `weights`, given to the sources in turn by code point, null last, or the
+    `shares` of named sources (others: as little as can be); with neither, those
+    of the queues.  A null source is a source, and a null doc_id stays null.
+    Repeated rows are packed as often as they come.  tokenizer and pattern name
+    another byte-level vocabulary file and its pattern.  Other columns are
+    ignored; an empty table gives no pieces.  There is one row a source on the
+    driver.
     """
-    if ranks is None or pattern is None:
+    if tokenizer is None or pattern is None:
         import public_tokenizers
 
-        ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+        tokenizer, pattern = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, served = Encoder(ranks, pattern), {}
+        encoder, served = Encoder(tokenizer, pattern), {}
         part = TaskContext.get().partitionId()
         for whole in batches:
             for batch in W.slices(whole):
@@ -199,9 +226,9 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), before.alias("base"))
     queues = tokens.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").isNull(), "source").collect()
     number = {r["source"]: i for i, r in enumerate(queues)}
-    share = None if shares is None else [float(shares.get(s, 0.0)) for s in number]
+    share = [float(shares.get(s, 0.0)) for s in number] if shares is not None else weights and [float(weights[i % len(weights)]) for i in range(len(number))]
     service = Service([r["n"] for r in queues], window, share)
-    wide = Encoder(ranks, pattern).wide
+    wide = Encoder(tokenizer, pattern).wide
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in PIECE.split(", ")]

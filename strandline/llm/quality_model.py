@@ -5,11 +5,17 @@ maximisation over the counts of all vote patterns in the corpus estimates how
 often each heuristic votes what in either class, and with that the posterior of
 each pattern.  A linear scorer over hashed features learns the posteriors, and
 scores every document.
+
+The scorer is fitted with both classes weighted alike, so a score s means odds of
+s / (1 - s) before the share of either class counts.  With the share g of good
+documents that expectation-maximisation found, a document is more likely good
+than bad from a score of 1 - g on: that is the limit, and nothing is set by hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +26,9 @@ from . import words as W
 from .quality_rules import _repeat_words
 from .shared import saved
 
-#: Documents that the scorer is fitted on: those with the smallest hashes of id and votes.
+#: Distinct texts that the scorer is fitted on: those with the smallest hashes.
 FIT_DOCUMENTS = 6000
 BITS = 15
-#: Documents with a score under this, at odds of four to one against, are rejected.
-KEEP_FROM = 0.2
 LABELLERS = ("symbols", "repeats", "compression", "word_length", "capitals", "bare_marks", "prose")
 
 _LETTER, _UPPER, _DIGIT, _MARK, _END = (np.zeros(256, bool) for _ in range(5))
@@ -74,8 +78,13 @@ def votes_of(m: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([*(np.where(f, 0, 2) for f in faults), np.where(prose, 1, 2)], 1).astype(np.int8)
 
 
+#: Steps of the measures that are features of a text, and the weight of each beside its words.
+_STEPS = {"ratio": 4.0, "same": 40.0, "repeat": 20.0, "marked": 20.0, "bare": 20.0, "caps": 20.0, "length": 1.0, "distinct": 20.0}
+MEASURE_WEIGHT = 0.35
+
+
 def features_of(w: W.Words, hashes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features as (slot, weight, offsets): shapes of words, pairs of shapes, word endings; weights have length 1 by text."""
+    """Hashed features as (slot, weight, offsets): shapes of words, pairs of shapes, word endings, whose weights have length 1 by text; and steps of the measures, each with and without the step of the text's length."""
     per_word = lambda table: (lambda c: c[w.end] - c[w.start])(np.concatenate([[0], np.cumsum(table[w.data], dtype=np.int64)]))
     letters, upper, digits, marks = per_word(_LETTER), per_word(_UPPER), per_word(_DIGIT), per_word(_MARK)
     length = w.end - w.start
@@ -92,7 +101,15 @@ def features_of(w: W.Words, hashes: np.ndarray, bits: int = BITS) -> tuple[np.nd
     owner, slot = key >> bits, key & ((1 << bits) - 1)
     weight = np.sqrt(count)
     norm = np.sqrt(np.bincount(owner, weight**2, len(w.counts)))
-    return slot, weight / norm[owner], np.searchsorted(owner, np.arange(len(w.counts) + 1))
+    m = _measures(w, hashes)
+    steps = [np.minimum(m[name] * by, 200).astype(np.uint64) for name, by in _STEPS.items()]
+    long = np.log2(np.maximum(m["n"], 1)).astype(np.uint64)
+    more = [W.mix(x + np.uint64((j + 8) << 40) + with_length * ((long + np.uint64(1)) << np.uint64(20))) >> np.uint64(64 - bits) for j, x in enumerate(steps) for with_length in (np.uint64(0), np.uint64(1))]
+    some = np.flatnonzero(w.counts > 0)
+    owner, slot, weight = np.concatenate([owner, *[some] * len(more)]), np.concatenate([slot, *(x[some].astype(np.int64) for x in more)]), np.concatenate([weight / norm[owner], np.full(len(some) * len(more), MEASURE_WEIGHT)])
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    return slot[order], weight[order], np.searchsorted(owner, np.arange(len(w.counts) + 1))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -149,42 +166,57 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(whole):
             w = W.words_of(batch.column("text"))
             pattern = votes_of(_measures(w, W.word_hashes(w))) @ base
-            yield pa.record_batch([batch.column("doc_id"), pa.array(pattern, pa.int32())], ["doc_id", "pattern"])
+            yield pa.record_batch([batch.column("hash"), pa.array(pattern, pa.int32())], ["hash", "pattern"])
+
+
+class Model(NamedTuple):
+    weights: np.ndarray
+    rates: np.ndarray
+    share: float
+
+    @property
+    def limit(self) -> float:
+        """The score from which a document is more likely good than bad."""
+        return 1.0 - self.share
 
 
-def quality_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_documents: int = FIT_DOCUMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of the scorer, rates of the labellers, and their names.
+def quality_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_documents: int = FIT_DOCUMENTS) -> Model:
+    """Weights of the scorer, rates of the labellers (in the order of LABELLERS), and the share of good.
 
     Votes of all documents are counted by pattern, of which there are 3**7 at
-    most.  The scorer is fitted on fit_documents documents at most, on the
-    driver, half of them from patterns that are more likely bad; their features
-    are what reaches it.
+    most.  The scorer is fitted on the driver, on fit_documents distinct texts at
+    most, half of them of patterns that are more likely bad; their features are
+    what reaches it.  Texts are known by a hash, so ids may be null or repeat,
+    and copies of a text count once in the fit.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    voted = saved(own.mapInArrow(_votes, "doc_id bigint, pattern int"), "votes")
+    own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    voted = saved(own.mapInArrow(_votes, "hash bigint, pattern int"), "votes")
     found = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     code, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["n"] for r in found], float)
     patterns = code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     rates, share = estimate(patterns, counts)
     belief = dict(zip(code.tolist(), posteriors(patterns, rates, share).tolist(), strict=True))
     bad = [c for c, p in belief.items() if p < 0.5]
-    mark = F.xxhash64("doc_id", "pattern")
-    halves = [voted.where(c).orderBy(mark, "doc_id").limit(fit_documents // 2) for c in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
-    chosen = saved(halves[0].union(halves[1]).select(F.col("doc_id").alias("c_id"), F.col("pattern").alias("c_pattern")).distinct(), "chosen")
+    halves = [voted.where(c).groupBy("hash").agg(F.min("pattern").alias("pattern")).orderBy("hash").limit(fit_documents // 2) for c in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
+    chosen = saved(halves[0].union(halves[1]).select(F.col("hash").alias("c_hash"), F.col("pattern").alias("c_pattern")), "chosen")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of fit_documents at most
         for whole in batches:
-            for batch in W.slices(whole):
+            keys = whole.column("hash").to_pylist()
+            fresh = [i for i, h in enumerate(keys) if not (h in seen or seen.add(h))]
+            for batch in W.slices(whole.take(pa.array(fresh, pa.int64()))):
                 w = W.words_of(batch.column("text"))
                 slot, weight, at = features_of(w, W.word_hashes(w))
                 lists = [pa.LargeListArray.from_arrays(pa.array(at), pa.array(x)).cast(pa.list_(t)) for x, t in ((slot, pa.int32()), (weight, pa.float32()))]
-                yield pa.record_batch([batch.column("c_pattern"), *lists], ["pattern", "slot", "weight"])
+                yield pa.record_batch([batch.column("hash"), batch.column("c_pattern"), *lists], ["hash", "pattern", "slot", "weight"])
 
-    sample = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id"))).select("doc_id", "c_pattern", "text").mapInArrow(features, "pattern int, slot array<int>, weight array<float>").toArrow()
+    picked = own.join(F.broadcast(chosen), F.col("hash") == F.col("c_hash")).select("hash", "c_pattern", "text")  # fit_documents rows at most
+    sample = picked.mapInArrow(features, "hash bigint, pattern int, slot array<int>, weight array<float>").dropDuplicates(["hash"]).orderBy("hash").toArrow()
     slot, weight = (sample.column(c).combine_chunks() for c in ("slot", "weight"))
     at = np.concatenate([[0], np.cumsum(np.asarray(slot.value_lengths().to_numpy(zero_copy_only=False), np.int64))])
     label = np.array([belief[p] for p in sample.column("pattern").to_pylist()])
-    return fit(slot.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weight.flatten().to_numpy(zero_copy_only=False).astype(float), at, label), rates, np.array(LABELLERS)
+    return Model(fit(slot.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weight.flatten().to_numpy(zero_copy_only=False).astype(float), at, label), rates, share)
 
 
 def score_column(weights: np.ndarray, text: str) -> Column:
@@ -212,5 +244,5 @@ def quality_classifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     are scored alike; whole texts are read.  Other columns are ignored.  An
     empty table gives no rows, and a scorer that is never used.
     """
-    weights = quality_model(docs, doc_id, text, **options)[0]
-    return docs.select(F.col(doc_id).alias("doc_id"), score_column(weights, text).alias("score")).withColumn("kept", F.col("score") >= KEEP_FROM)
+    model = quality_model(docs, doc_id, text, **options)
+    return docs.select(F.col(doc_id).alias("doc_id"), score_column(model.weights, text).alias("score")).withColumn("kept", (F.col("score") > 0) & (F.col("score") >= model.limit))

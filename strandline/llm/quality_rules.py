@@ -20,9 +20,9 @@ from . import words as W
 #: (bytes from which a band holds, least ratio, greatest ratio); no judgement below the first.
 DOCUMENT_BANDS = ((300, 1.05, 2.8), (1000, 1.2, 3.0), (4000, 1.35, 3.3), (16000, 1.45, 3.8), (64000, 1.5, 4.2))
 CHUNK_BYTES = 4096
-#: For chunks of CHUNK_BYTES, and for a last one of at least a quarter of that.
+#: For chunks, which all have CHUNK_BYTES: the last one is the text's last CHUNK_BYTES.
 CHUNK_BAND = (1.15, 3.3)
-#: Share of a document's judged chunk bytes that may lie outside the band.
+#: Share of a document's bytes, each in the first chunk that has it, that may lie in chunks outside the band.
 CHUNK_SHARE = 0.34
 LEVEL = 3
 
@@ -88,10 +88,12 @@ def rules_of(texts: pa.Array) -> pa.StructArray:
         band = [x for x in DOCUMENT_BANDS if len(text) >= x[0]][-1:]
         kept[i] &= all(low <= ratio[i] <= high for _, low, high in band)
         if len(text) > CHUNK_BYTES:
-            chunks = [text[j : j + CHUNK_BYTES] for j in range(0, len(text), CHUNK_BYTES)]
-            judged = [x for x in chunks if 4 * len(x) >= CHUNK_BYTES]
-            outside = sum(len(x) for x in judged if not CHUNK_BAND[0] <= len(x) / len(squeeze(x)) <= CHUNK_BAND[1])
-            bad[i] = outside / sum(map(len, judged))
+            outside = 0
+            for j in range(0, len(text), CHUNK_BYTES):
+                first = min(j, len(text) - CHUNK_BYTES)
+                if not CHUNK_BAND[0] <= CHUNK_BYTES / len(squeeze(text[first : first + CHUNK_BYTES])) <= CHUNK_BAND[1]:
+                    outside += min(CHUNK_BYTES, len(text) - j)
+            bad[i] = outside / len(text)
             kept[i] &= bad[i] <= CHUNK_SHARE
     values = (n_words, per_text(lead & ~W._SEPARATOR[w.data]), per_text(_SYMBOLS[w.data]), dup, repeat, base_failed, kept, ratio, bad)
     return pa.StructArray.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])

@@ -29,6 +29,10 @@ FURTHER = (
 EXAMPLE_OWNERS = 3
 #: Or distinct repositories, under two owners at least.
 EXAMPLE_REPOSITORIES = 10
+#: Parts that the rows of one value are split into where they meet its counts.
+SALTS = 8
+#: Matches whose spans are appended one by one; longer lists are put together from such runs.
+RUN = 256
 
 
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -36,6 +40,7 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(hits) / RUN).cast("int") - 1, F.lit(0))), lambda i: F.slice(pairs, i * RUN + 1, F.lit(RUN)))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["piece"])
@@ -44,7 +49,13 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    def run(state: Column, some: Column) -> Column:
+        own = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("found")), step)
+        both = F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(state["found"], F.array(x["found"])).alias("found")))  # own is evaluated once
+        return F.get(both, F.lit(0))
+
+    none = F.array().cast("array<array<struct<start:int,rank:int,end:int,kind:string,value:string>>>")
+    found = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("found")), run, lambda s: F.flatten(s["found"]))
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -72,49 +83,55 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def judge(found: DataFrame, **limits: int) -> DataFrame:
+    """row, judged for rows (row, owner, repository, spans): each span with its value's counts, by start, then kind.
+
+    The rows of one value are split over SALTS tasks, each with a copy of its counts.
+    """
+    each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
+    each = each.withColumn("hash", F.sha2("s.value", 256)).withColumn("salt", F.expr(f"pmod(xxhash64(row), {SALTS})"))
+    counts = ownership(found, **limits).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    one = F.struct("s.start", "s.rank", "s.end", "s.kind", "hash", "owners", "repositories", "example")
+    return each.join(counts, ["hash", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("judged"))
+
+
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, **limits: int) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, judged.
 
     spans: kind:start:end of all candidates, by start, then kind, in code points;
     base_sha256 hashes those of the three base kinds.  judged has each span with
     its value's counts, and whether it is an example.  A null text is empty; ids
-    may repeat or be null (rows alike in id and spans are judged alike); other
-    columns are ignored; an empty table gives no rows.
+    may repeat or be null; other columns are ignored; an empty table gives no rows.
     """
-    found = saved(candidates(docs, doc_id, text, owner, repository), "candidates")
-    keyed = found.withColumn("spans_text", _text_of(F.col("spans")))
-    values = keyed.where(F.size("spans") > 0).select("doc_id", "spans_text", F.explode("spans").alias("s")).distinct()
-    judged = (
-        values.withColumn("hash", F.sha2("s.value", 256))
-        .join(ownership(found, **limits), "hash")
-        .groupBy("doc_id", "spans_text")
-        .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.kind", "hash", "owners", "repositories", "example"))).alias("judged"))
-        .withColumnsRenamed({"doc_id": "j_id", "spans_text": "j_text"})
-    )
+    found = saved(candidates(docs, doc_id, text, owner, repository).withColumn("row", F.monotonically_increasing_id()), "candidates")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    live = lambda flag: F.coalesce(F.size(F.filter("judged", lambda x: x["example"] == F.lit(flag))), F.lit(0)).cast("long")
-    out = keyed.join(judged, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("spans_text") == F.col("j_text")), "left")
-    return out.select("doc_id", *(count(k[0]) for k in BASE), F.sha2(_text_of(base), 256).alias("base_sha256"), F.col("spans_text").alias("spans"), F.when(F.col("judged").isNull(), 0).otherwise(live(False)).cast("long").alias("n_live"), F.when(F.col("judged").isNull(), 0).otherwise(live(True)).cast("long").alias("n_example"), "judged")
+    own = lambda flag: F.when(F.col("judged").isNull(), 0).otherwise(F.size(F.filter("judged", lambda x: x["example"] == F.lit(flag)))).cast("long")
+    out = found.join(judge(found, **limits), "row", "left")
+    return out.select("doc_id", *(count(k[0]) for k in BASE), F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), own(False).alias("n_live"), own(True).alias("n_example"), "judged")
 
 
-def redact_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[SECRET]", **limits: int) -> DataFrame:
+def redact_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, mark: str = "[SECRET]", **limits: int) -> DataFrame:
     """docs with every live-looking credential replaced by mark; all columns and rows stay.
 
-    Overlapping spans are replaced as one.  Rows with a null text or without live spans stay as they are.
+    Overlapping spans are replaced as one.  Rows with a null text or without live
+    spans stay as they are.  Texts are scanned once, and only those with
+    candidates are shuffled.
     """
-    found = secret_scan(docs, doc_id, text, owner, **limits).where("n_live > 0")
-    cut = found.select(F.col("doc_id").alias("__cut_id"), F.col("spans").alias("__cut_spans"), F.filter("judged", lambda x: ~x["example"]).alias("__cut")).distinct()
+    spans = F.sort_array(F.concat(*(_spans(F.coalesce(F.col(text).cast("string"), F.lit("")), i, *kind) for i, kind in enumerate(BASE + FURTHER))))
+    scanned = saved(docs.withColumn("__spans", spans).withColumn("__row", F.monotonically_increasing_id()), "scanned")
+    held = scanned.where(F.size("__spans") > 0)
+    found = held.select(F.col("__row").alias("row"), F.col(owner).cast("string").alias("owner"), F.col(repository or doc_id).cast("string").alias("repository"), F.col("__spans").alias("spans"))
+    live = judge(found, **limits).select(F.col("row").alias("__of"), F.filter("judged", lambda x: ~x["example"]).alias("__cut"))
     body = F.col(text)
-    tail = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         gap = F.substring(body, state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
         fresh = x["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("__cut", tail, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
-    spans = [_spans(F.col(text), i, *kind) for i, kind in enumerate(BASE + FURTHER)]
-    keyed = docs.withColumn("__spans", _text_of(F.sort_array(F.concat(*spans))))
-    joined = keyed.join(cut, F.col(doc_id).eqNullSafe(F.col("__cut_id")) & (F.col("__spans") == F.col("__cut_spans")), "left")
-    return joined.select(*(F.when(F.col("__cut").isNotNull(), clean).otherwise(body).alias(text) if c == text else F.col(c) for c in docs.columns))
+    tail = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("__cut", tail, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    joined = held.join(live, F.col("__row") == F.col("__of"), "left")
+    changed = joined.select(*(F.when(F.size("__cut") > 0, clean).otherwise(body).alias(text) if c == text else F.col(c) for c in docs.columns))
+    return changed.union(scanned.where(F.size("__spans") == 0).select(*docs.columns))

@@ -9,22 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables written by saved() and not yet removed, by session.
+_SAVED: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own on a single machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which remove() will find."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SAVED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    The table stays until remove(), as results that read it are lazy.
+    """
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the given tables of saved(), which nothing may read any more; without any, all of this application."""
+    mine = _SAVED.get(spark.sparkContext.applicationId, [])
+    wanted = {p for t in tables for f in t.inputFiles() for p in mine if f"/{p.rsplit('/', 1)[1]}/" in f} if tables else set(mine)
+    for path in wanted:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        mine.remove(path)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
@@ -40,7 +66,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = saved(small, "edges")
+        old, now = now, saved(small, "edges")
+        remove(now.sparkSession, old)
         was, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == was:
             break

@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import shared_path
 
 #: Fields of the header line by version, as the version block names them.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 DATE = "20000101000000"
 _GAP = re.compile(rb"[\x00-\x20\x7f]")
+#: Plain bytes from which an archive is full, so that a task holds one of them, and no file grows with the input.
+ARCHIVE_BYTES = 32_000_000
+#: Parts that the records of one payload are split into where they meet its response.
+SALTS = 8
 RECORD = "page_id bigint, url string, ip string, date string, content_type string, block binary, payload_bytes bigint, payload_digest string"
 
 
@@ -147,21 +151,35 @@ def _gunzip(content: bytes) -> bytes:
     return b"".join(parts)
 
 
-def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """One gzip ARC file for each partition, of version 1 or 2 in turn."""
+def _archives(records: Iterator[bytes], head: bytes, between: bytes, most: int) -> Iterator[pa.RecordBatch]:
+    """Records put together to archives of about `most` bytes, each with its own head; one archive a row."""
+    parts, size = [head], 0
+    for record in records:
+        if size and size + len(record) > most:
+            yield pa.record_batch([pa.array([between.join(parts)], pa.binary())], ["value"])
+            parts, size = [head], 0
+        parts.append(record)
+        size += len(record)
+    yield pa.record_batch([pa.array([between.join(parts)] if size else [], pa.binary())], ["value"])
+
+
+def _write(archives: DataFrame, path: str, end: str) -> None:
+    """Each row as a gzip file."""
+    archives.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
+
+
+def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Gzip ARC files of about archive_bytes, of version 1 or 2 by the partition in turn."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         version = TaskContext.get().partitionId() % 2 + 1
-        head = [arc_header(version)]
-        for batch in batches:
-            values = (arc_record(version, i, u, (h or "").encode()) for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            yield pa.record_batch([pa.array([*head, *values], pa.binary())], ["value"])
-            head = []
+        records = (arc_record(version, i, u, (h or "").encode()) for batch in batches for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from _archives(records, arc_header(version), b"\n", archive_bytes)
 
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    own.mapInArrow(rows, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write(own.mapInArrow(rows, "value binary"), path, "\n")
 
 
 def read_arcs(files: DataFrame) -> DataFrame:
@@ -186,26 +204,25 @@ def read_arcs(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(rows, RECORD)
 
 
-def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """One gzip WARC file for each partition.
+def write_warc(records: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Gzip WARC files of about archive_bytes.
 
     Of records with equal payloads of least_bytes or more, that with the largest
     page_id is the response, the others (smaller or null ids) revisit it.
     """
     index = records.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_bytes", "payload_digest")
     top = index.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null")
-    again = index.join(top, ["payload_digest", "payload_bytes"]).where("page_id is null or page_id < top").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest"), "top").distinct()
+    top = top.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    again = index.withColumn("salt", F.expr(f"pmod(xxhash64(page_id), {SALTS})")).join(top, ["payload_digest", "payload_bytes", "salt"]).where("page_id is null or page_id < top").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest"), "top").distinct()
     told = records.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("digest")), "left").select(*records.columns, "top")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: strandline\r\nformat: WARC File Format 1.1\r\n"
-        head = [_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(info).digest()[:16], version=5)}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info)]
-        for batch in batches:
-            values = [warc_record(r, r["top"], r["top"] is not None) for r in batch.to_pylist()]
-            yield pa.record_batch([pa.array([*head, *values], pa.binary())], ["value"])
-            head = []
+        head = _head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(info).digest()[:16], version=5)}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info)
+        records = (warc_record(r, r["top"], r["top"] is not None) for batch in batches for r in batch.to_pylist())
+        yield from _archives(records, head, b"\r\n\r\n", archive_bytes)
 
-    told.mapInArrow(rows, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    _write(told.mapInArrow(rows, "value binary"), path, "\r\n\r\n")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
@@ -242,7 +259,7 @@ def archive_round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     gives no rows.
     """
     spark = pages.sparkSession
-    base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    base = shared_path(spark, "archives")
     write_arc(pages, f"{base}/arc", **columns)
     files = lambda kind: spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(f"{base}/{kind}")
     write_warc(read_arcs(files("arc")), f"{base}/warc")

@@ -215,7 +215,6 @@ def test_packing(docs, rows, none, shares):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = [e.ids + [0] for e in t.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]
     got = packing.pack(docs, shares=shares, window=4096).collect()
     stream = collections.defaultdict(list)
@@ -243,8 +242,7 @@ def test_encoder_on_odd_white_space():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     rng = random.Random(4)
     parts = ["a", " ", "  ", "\n", "\t", "é", "ß ", " ", " ", "　", "\u0085", "中", "😀", "'s", "12", "...", "<|endoftext|>", "Ā", "\x1c", "\x00", " b", "ñ"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
