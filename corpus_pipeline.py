@@ -18,29 +18,52 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label scorer rejects go."""
-    weights = quality_model.quality_model(docs)[0]
-    return docs.where(quality_model.score_column(weights, "text") >= quality_model.KEEP_FROM)
+    """Documents that the weak-label scorer rejects go.
+
+    Null, empty and wordless texts are rejected; rows with a null id or columns of
+    any other content stay or go by their text alone, so repeated rows go
+    together; an empty table stays empty.
+    """
+    model = quality_model.quality_model(docs)
+    score = quality_model.score_column(model.weights, "text")
+    return docs.where((score > 0) & (score >= model.limit))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays; so do rows without an id."""
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays.
+
+    So do rows without an id and texts without words, which are linked with
+    nothing; rows that share an id stay or go together; an empty table stays empty.
+    """
     gone = minhash_dedup.minhash_dedup(docs, k=5).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are replaced in the texts; every document stays."""
+    """Live-looking credentials are replaced in the texts; every document stays.
+
+    Null texts stay null; ids may be null or repeat, and repeated rows are changed
+    alike; an empty table stays empty.
+    """
     return secret_scan.redact_live(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it as a whole."""
+    """Each document comes as often as the mix takes it as a whole, which may be never.
+
+    Documents without words, so also null and empty texts, go; a null source is a
+    source; rows that share an id, null too, are taken alike; an empty table
+    stays empty.
+    """
     return mix_sources.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens, each window of them in the target proportions.
+
+    A null text has only its end token; null ids and sources stay; repeated rows
+    are packed as often as they come; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
