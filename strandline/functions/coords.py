@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequence import bind
+
 SEGMENTS = "array<struct<gb:bigint,ge:bigint,cprev:bigint>>"
 
 
@@ -37,19 +39,30 @@ def cdna(pos: Column, segs: Column, strand: Column) -> Column:
     the CDS length, by genomic distance.
     """
     plus = strand == "+"
-    size = total_length(segs, "gb", "ge")
-    inside = F.try_element_at(F.filter(segs, lambda s: (s["gb"] <= pos) & (pos <= s["ge"])), F.lit(1))
-    own = inside["cprev"] + F.when(plus, pos - inside["gb"]).otherwise(inside["ge"] - pos) + 1
-    low, high = F.try_element_at(F.filter(segs, lambda s: s["ge"] < pos), F.lit(-1)), F.try_element_at(F.filter(segs, lambda s: s["gb"] > pos), F.lit(1))
-    # the CDS base before and after, in the direction of the transcript
-    before = F.when(plus, pos - low["ge"]).otherwise(high["gb"] - pos)
-    after = F.when(plus, high["gb"] - pos).otherwise(pos - low["ge"])
-    index = F.when(plus, low["cprev"] + low["ge"] - low["gb"] + 1).otherwise(high["cprev"] + high["ge"] - high["gb"] + 1)
-    first, last = F.when(plus, F.get(segs, F.lit(0))["gb"]).otherwise(F.try_element_at(segs, F.lit(-1))["ge"]), F.when(plus, F.try_element_at(segs, F.lit(-1))["ge"]).otherwise(F.get(segs, F.lit(0))["gb"])
-    lead, tail = F.when(plus, first - pos).otherwise(pos - first), F.when(plus, pos - last).otherwise(last - pos)
-    at = F.when(inside.isNotNull(), own).when(lead > 0, 1).when(tail > 0, size).when(before < after, index).otherwise(index + 1)
-    offset = F.when(inside.isNotNull(), 0).when(lead > 0, -lead).when(tail > 0, tail).when(before < after, before).otherwise(-after)
-    return F.when(F.size(segs) > 0, F.struct(at.cast("bigint").alias("pos"), offset.cast("bigint").alias("offset")))
+    known = {
+        "plus": plus, "pos": pos, "size": total_length(segs, "gb", "ge"), "first": F.get(segs, F.lit(0))["gb"], "last": F.try_element_at(segs, F.lit(-1))["ge"],
+        "inside": F.try_element_at(F.filter(segs, lambda s: (s["gb"] <= pos) & (pos <= s["ge"])), F.lit(1)),
+        "low": F.try_element_at(F.filter(segs, lambda s: s["ge"] < pos), F.lit(-1)), "high": F.try_element_at(F.filter(segs, lambda s: s["gb"] > pos), F.lit(1)),
+    }
+
+    def place(x: Column) -> Column:
+        by = lambda a, b: F.when(x["plus"], a).otherwise(b)
+        low, high, at = x["low"], x["high"], x["pos"]
+        # the CDS base before and after, in the direction of the transcript
+        gap = {
+            "before": by(at - low["ge"], high["gb"] - at), "after": by(high["gb"] - at, at - low["ge"]), "index": by(low["cprev"] + low["ge"] - low["gb"] + 1, high["cprev"] + high["ge"] - high["gb"] + 1),
+            "lead": by(x["first"] - at, at - x["last"]), "tail": by(at - x["last"], x["first"] - at), "own": x["inside"]["cprev"] + by(at - x["inside"]["gb"], x["inside"]["ge"] - at) + 1, "size": x["size"],
+        }
+        return bind(gap, choose)
+
+    def choose(y: Column) -> Column:
+        def pick(own: Column, lead: Column, tail: Column, near: Column, far: Column) -> Column:
+            return F.when(y["own"].isNotNull(), own).when(y["lead"] > 0, lead).when(y["tail"] > 0, tail).when(y["before"] < y["after"], near).otherwise(far).cast("bigint")
+
+        zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+        return F.struct(pick(y["own"], one, y["size"], y["index"], y["index"] + 1).alias("pos"), pick(zero, -y["lead"], y["tail"], y["before"], -y["after"]).alias("offset"))
+
+    return F.when(F.size(segs) > 0, bind(known, place))
 
 
 def genomic(cpos: Column, segs: Column, strand: Column) -> Column:
@@ -58,6 +71,45 @@ def genomic(cpos: Column, segs: Column, strand: Column) -> Column:
     return F.when(strand == "+", s["gb"] + cpos - s["cprev"] - 1).otherwise(s["ge"] - (cpos - s["cprev"] - 1))
 
 
+def genomic_at(p: Column, segs: Column, strand: Column) -> Column:
+    """Genomic position of struct(pos, offset); pos -1 is the last CDS base."""
+    at = F.when(p["pos"] == -1, total_length(segs, "gb", "ge")).otherwise(p["pos"].cast("bigint"))
+    return bind({"base": genomic(at, segs, strand), "shift": p["offset"].cast("bigint"), "plus": strand == "+"}, lambda x: F.when(x["plus"], x["base"] + x["shift"]).otherwise(x["base"] - x["shift"]))
+
+
+def codon_places(index: Column, segs: Column, strand: Column) -> Column:
+    """The three genomic positions of a codon, ascending; null unless all are in the CDS."""
+    three = F.array_sort(F.transform(F.array(*(3 * index - 2 + i for i in range(3))), lambda c: genomic(c.cast("bigint"), segs, strand)))
+    return F.when(F.forall(three, lambda g: g.isNotNull()), three)
+
+
+def lean(p: Column, segs: Column, strand: Column, later: bool) -> Column:
+    """The CDS base that struct(pos, offset) leans to: itself, or else the next one in the given direction (of the transcript)."""
+    size = total_length(segs, "gb", "ge")
+    return F.when(p["offset"] == 0, p["pos"]).when(p["offset"] > 0, F.when(F.lit(later), F.least(p["pos"] + 1, size)).otherwise(p["pos"])).otherwise(F.when(F.lit(later), p["pos"]).otherwise(F.greatest(p["pos"] - 1, F.lit(1))))
+
+
+def on_boundary(p: Column, segs: Column, strand: Column) -> Column:
+    """Whether n+k and n-k name a real edge: a positive offset follows the last base of a segment, a negative one comes before the first; the CDS ends are free."""
+    size = total_length(segs, "gb", "ge")
+    edge = F.exists(segs, lambda s: F.when(p["offset"] > 0, s["cprev"] + s["ge"] - s["gb"] + 1 == p["pos"]).otherwise(s["cprev"] + 1 == p["pos"]))
+    free = (p["offset"] == 0) | (p["pos"] == -1) | ((p["offset"] > 0) & (p["pos"] == size)) | ((p["offset"] < 0) & (p["pos"] == 1))
+    return free | edge
+
+
+def same_intron(a: Column, b: Column) -> Column:
+    """Whether two structs (pos, offset) lie between the same CDS bases, or beyond the same end of the CDS."""
+    before = lambda p: F.when(p["offset"] > 0, p["pos"]).when(p["offset"] < 0, p["pos"] - 1)  # noqa: E731  the CDS base before
+    return F.coalesce(before(a) == before(b), F.lit(False))
+
+
+def segment_numbers(beg: Column, end: Column, segs: Column, strand: Column) -> Column:
+    """Numbers of the segments that CDS bases beg..end lie in, in the direction of the transcript."""
+    n = F.size(segs)
+    hit = F.transform(segs, lambda s, i: F.when((s["cprev"] + 1 <= end) & (s["cprev"] + s["ge"] - s["gb"] + 1 >= beg), F.when(strand == "+", i + 1).otherwise(n - i)))
+    return F.array_sort(F.filter(hit, lambda i: i.isNotNull()))
+
+
 def position_text(p: Column) -> Column:
     return F.concat(p["pos"].cast("string"), F.when(p["offset"] > 0, F.concat(F.lit("+"), p["offset"].cast("string"))).when(p["offset"] < 0, p["offset"].cast("string")).otherwise(""))
 
@@ -71,24 +123,33 @@ def site(pos: Column, exons: Column, strand: Column, cds_beg: Column, cds_end: C
     own outer base (on one-base exons the genomically first rule wins); codon:
     CdsStart or CdsStop; edge: TSS or TES.
     """
-    plus, n = strand == "+", F.size(exons)
-    number = lambda i: F.when(plus, i + 1).otherwise(n - i)
+    n = F.size(exons)
     index = lambda test: F.try_element_at(F.filter(F.sequence(F.lit(0), n - 1), lambda i: test(F.get(exons, i))), F.lit(1))
-    inside, later = index(lambda e: (e["beg"] <= pos) & (pos <= e["end"])), index(lambda e: e["beg"] > pos)
-    first, last = F.get(exons, F.lit(0))["beg"], F.try_element_at(exons, F.lit(-1))["end"]
-    part = F.when((pos < first) | (pos > last), "outside").when(inside.isNotNull(), "exonic").otherwise("intronic")
-    here, prior, following = F.get(exons, inside), F.get(exons, later - 1), F.get(exons, later)
-    by = lambda a, b: F.when(plus, a).otherwise(b)
-    splice = (
-        F.when(part == "outside", None)
-        .when(pos == here["beg"], by("NextToAcceptor", "NextToDonor"))
-        .when(pos == here["end"], by("NextToDonor", "NextToAcceptor"))
-        .when((part == "intronic") & (pos <= prior["end"] + 2), by("SpliceDonor", "SpliceAcceptor"))
-        .when((part == "intronic") & (pos >= following["beg"] - 2), by("SpliceAcceptor", "SpliceDonor"))
-    )
-    utr = F.when(coding & (part != "outside"), F.when(pos < cds_beg, by(F.lit(5), F.lit(3))).when(pos > cds_end, by(F.lit(3), F.lit(5))))
-    low, high = (pos >= cds_beg) & (pos <= cds_beg + 2), (pos <= cds_end) & (pos >= cds_end - 2)
-    codon = F.when(coding & (part == "exonic"), F.when(low, by("CdsStart", "CdsStop")).when(high, by("CdsStop", "CdsStart")))
-    edge = F.when(pos == first, by("TSS", "TES")).when(pos == last, by("TES", "TSS"))
-    exon = F.when(part == "exonic", number(inside)).when(part == "intronic", F.when(plus, number(later - 1)).otherwise(number(later)))
-    return F.struct(part.alias("part"), exon.cast("int").alias("exon"), utr.cast("int").alias("utr"), splice.alias("splice"), codon.alias("codon"), edge.alias("edge"))
+    known = {
+        "plus": strand == "+", "n": n, "pos": pos, "inside": index(lambda e: (e["beg"] <= pos) & (pos <= e["end"])), "later": index(lambda e: e["beg"] > pos), "first": F.get(exons, F.lit(0))["beg"], "last": F.try_element_at(exons, F.lit(-1))["end"],
+        "cds_beg": cds_beg, "cds_end": cds_end, "coding": coding,
+    }
+
+    def around(x: Column) -> Column:
+        more = {f: x[f] for f in known} | {"here": F.get(exons, x["inside"]), "prior": F.get(exons, x["later"] - 1), "following": F.get(exons, x["later"]), "part": F.when((x["pos"] < x["first"]) | (x["pos"] > x["last"]), "outside").when(x["inside"].isNotNull(), "exonic").otherwise("intronic")}
+        return bind(more, described)
+
+    def described(y: Column) -> Column:
+        by = lambda a, b: F.when(y["plus"], a).otherwise(b)
+        number = lambda i: by(i + 1, y["n"] - i)
+        at, part = y["pos"], y["part"]
+        splice = (
+            F.when(part == "outside", None)
+            .when(at == y["here"]["beg"], by("NextToAcceptor", "NextToDonor"))
+            .when(at == y["here"]["end"], by("NextToDonor", "NextToAcceptor"))
+            .when((part == "intronic") & (at <= y["prior"]["end"] + 2), by("SpliceDonor", "SpliceAcceptor"))
+            .when((part == "intronic") & (at >= y["following"]["beg"] - 2), by("SpliceAcceptor", "SpliceDonor"))
+        )
+        utr = F.when(y["coding"] & (part != "outside"), F.when(at < y["cds_beg"], by(F.lit(5), F.lit(3))).when(at > y["cds_end"], by(F.lit(3), F.lit(5))))
+        low, high = (at >= y["cds_beg"]) & (at <= y["cds_beg"] + 2), (at <= y["cds_end"]) & (at >= y["cds_end"] - 2)
+        codon = F.when(y["coding"] & (part == "exonic"), F.when(low, by("CdsStart", "CdsStop")).when(high, by("CdsStop", "CdsStart")))
+        edge = F.when(at == y["first"], by("TSS", "TES")).when(at == y["last"], by("TES", "TSS"))
+        exon = F.when(part == "exonic", number(y["inside"])).when(part == "intronic", by(number(y["later"] - 1), number(y["later"])))
+        return F.struct(part.alias("part"), exon.cast("int").alias("exon"), utr.cast("int").alias("utr"), splice.alias("splice"), codon.alias("codon"), edge.alias("edge"))
+
+    return bind(known, around)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ THREE_LETTERS = {
 }
 
 
+def bind(columns: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """then(struct of columns), each of which is evaluated once however often `then` mentions it."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), then), F.lit(0))
+
+
 def literal_map(values: dict[str, str | list[str]]) -> Column:
     lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), lit(v))))
@@ -52,17 +59,16 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTN", "TGCAN"))
 
 
-def codon_aa(codon: Column) -> Column:
-    """One-letter amino acid; null unless the codon is three of ACGT."""
-    at = [F.instr(F.lit(BASES), F.substring(codon, i, 1)) - 1 for i in (1, 2, 3)]
-    fit = codon.rlike("^[ACGT]{3}$")
-    return F.when(fit, F.substr(F.lit(STANDARD_CODE), 16 * at[0] + 4 * at[1] + at[2] + 1, F.lit(1)))
-
-
 #: All codons in the order of the code, each after a blank.
 _CODONS = "".join(f" {a}{b}{c}" for a in BASES for b in BASES for c in BASES)
 
 
+def codon_aa(codon: Column) -> Column:
+    """One-letter amino acid; null unless the codon is three of ACGT."""
+    at = F.instr(F.lit(_CODONS), F.concat(F.lit(" "), codon))
+    return F.nullif(F.substr(F.lit(STANDARD_CODE), F.shiftright(at + 3, 2), F.when((at > 0) & (F.length(codon) == 3), 1).otherwise(0)), F.lit(""))
+
+
 def translate_all(cds: Column) -> Column:
     """Amino acids of all whole codons, stops included; X for a codon that has none."""
     place = lambda i: F.instr(F.lit(_CODONS), F.concat(F.lit(" "), F.substr(cds, 3 * i + 1, F.lit(3))))
@@ -85,16 +91,15 @@ def codons_of(aa: Column) -> Column:
     return F.element_at(literal_map(CODONS_OF), aa)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many of three bases differ."""
-    return sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in (1, 2, 3)), F.lit(0))
+def alternatives(codon: str, aa: str) -> list[tuple[int, str]]:
+    """Other codons of an amino acid with the number of bases that differ, the fewest first, then in table order."""
+    others = [(sum(x != y for x, y in zip(c, codon, strict=True)), c) for c in CODONS_OF[aa] if c != codon]
+    return sorted(others, key=lambda x: x[0])
 
 
-def common_prefix(a: Column, b: Column, most: int) -> Column:
-    """Length of the common prefix of two strings, if it ends within `most` characters, else null."""
-    a, b = F.substr(a, F.lit(1), F.lit(most)), F.substr(b, F.lit(1), F.lit(most))
-    apart = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda j: F.substr(a, j, F.lit(1)) != F.substr(b, j, F.lit(1)))
-    return F.array_min(apart) - 1
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two short strings of bases: the first place after which they go on differently, or one ends."""
+    return F.length(F.regexp_extract(F.concat(a, F.lit("|"), b), r"^([^|]*?)(?:([^|])[^|]*+)?\|\1(?!\2)", 1))
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -106,8 +111,6 @@ def first_difference(a: Column, b: Column) -> Column:
 
 def trim(ref: Column, alt: Column) -> Column:
     """struct(ref, alt, head): the common prefix cut off first, then the common suffix."""
-    bind = lambda columns, then: F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), then), F.lit(0))  # noqa: E731  evaluates each once
-
     def shared(a: Column, b: Column) -> Column:
         return F.coalesce(first_difference(a, b) - 1, F.least(F.length(a), F.length(b)))
 

@@ -6,10 +6,11 @@ segs (functions.coords); with cds, the spliced coding sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, sequence
+from . import genome
 from .intervals import range_join
 
 
@@ -22,48 +23,59 @@ def region_text(s: Column) -> Column:
     return F.when(s["part"] == "intronic", "Intronic").when(s["utr"] == 5, "5-UTR").when(s["utr"] == 3, "3-UTR").otherwise("Unclassified")
 
 
+def located(pairs: DataFrame, pos: str = "pos") -> DataFrame:
+    """pairs with __site and __c, of coords.site and coords.cdna.
+
+    They come from a generator of one row, so that a filter on what is made of
+    them doesn't evaluate them again.
+    """
+    s = coords.site(F.col(pos), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"), F.lit(True))
+    one = F.struct(s.alias("__site"), coords.cdna(F.col(pos), F.col("segs"), F.col("strand")).alias("__c"))
+    return pairs.select("*", F.inline(F.array(one)))
+
+
 def snv_consequence(pairs: DataFrame) -> DataFrame:
     """pairs of SNV (pos, ref, alt) and transcript (with cds), with cpos, codon, aa_pos, aa_ref, aa_alt and csqn.
 
     True splice sites and start or stop codons come first, and end the matter;
     transcription start and end leave Unclassified; then amino acids; then the region.
     """
-    s = coords.site(F.col("pos"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"), F.lit(True))
-    x = pairs.withColumn("__site", s).withColumn("__c", coords.cdna(F.col("pos"), F.col("segs"), F.col("strand")))
-    coding = F.col("__c.offset") == 0
-    index = F.floor((F.col("__c.pos") + 2) / 3).cast("bigint")
-    plus = F.col("strand") == "+"
-    x = x.withColumn("aa_pos", F.when(coding, index)).withColumn("__codon", F.when(coding, F.substr("cds", (3 * index - 2).cast("int"), F.lit(3))))
-    place = ((F.col("__c.pos") - 1) % 3).cast("int")
-    new = F.concat(F.substr("__codon", F.lit(1), place), F.when(plus, F.col("alt")).otherwise(F.translate("alt", "ACGT", "TGCA")), F.substr("__codon", place + 2, F.lit(3)))
-    x = x.withColumn("aa_ref", sequence.codon_aa(F.col("__codon"))).withColumn("aa_alt", F.when(coding & (F.length("__codon") == 3), sequence.codon_aa(new)))
-    amino = F.when(F.col("aa_ref") == F.col("aa_alt"), "Synonymous").when(F.col("aa_alt") == "*", "Nonsense").otherwise("Missense")
-    label = (
-        F.when(F.col("__site.splice").startswith("Splice"), F.concat("__site.splice", F.lit("SNV")))
-        .when(F.col("__site.codon").isNotNull(), F.concat("__site.codon", F.lit("SNV")))
-        .when(F.col("__site.edge").isNotNull(), "Unclassified")
-        .when(F.col("aa_ref").isNotNull() & F.col("aa_alt").isNotNull(), amino)
-        .otherwise(F.concat(region_text(F.col("__site")), F.lit("SNV")))
-    )
-    return x.withColumn("cpos", coords.position_text(F.col("__c"))).withColumn("codon", F.col("__codon")).withColumn("csqn", label).drop("__site", "__c", "__codon")
-
-
-def roll_right(seq: Column, beg: Column, end: Column, narrow: int = 32, wide: int = 4096) -> Column:
-    """How far a deletion of beg..end shifts right: the common prefix of what it deletes and what follows."""
-    own = lambda most: sequence.common_prefix(F.substr(seq, beg, F.lit(most)), F.concat(F.substr(seq, end + 1, F.lit(most)), F.lit("-")), most)
+    x = located(pairs)
+    c, site = F.col("__c"), F.col("__site")
+    coding = c["offset"] == 0
+    index = F.floor((c["pos"] + 2) / 3).cast("bigint")
+    own = F.when(F.col("strand") == "+", F.col("alt")).otherwise(F.translate("alt", "ACGT", "TGCA"))
+    first = {"index": F.when(coding, index), "codon": F.when(coding, F.substr("cds", (3 * index - 2).cast("int"), F.lit(3))), "place": ((c["pos"] - 1) % 3).cast("int")}
+
+    def changed(y: Column) -> Column:
+        new = F.concat(F.substr(y["codon"], F.lit(1), y["place"]), own, F.substr(y["codon"], y["place"] + 2, F.lit(3)))
+        aa = {"index": y["index"], "codon": y["codon"], "ref": sequence.codon_aa(y["codon"]), "alt": F.when(F.length(y["codon"]) == 3, sequence.codon_aa(new))}
+        return sequence.bind(aa, labelled)
+
+    def labelled(z: Column) -> Column:
+        amino = F.when(z["ref"] == z["alt"], "Synonymous").when(z["alt"] == "*", "Nonsense").otherwise("Missense")
+        label = (
+            F.when(site["splice"].startswith("Splice"), F.concat(site["splice"], F.lit("SNV")))
+            .when(site["codon"].isNotNull(), F.concat(site["codon"], F.lit("SNV")))
+            .when(site["edge"].isNotNull(), "Unclassified")
+            .when(z["ref"].isNotNull() & z["alt"].isNotNull(), amino)
+            .otherwise(F.concat(region_text(site), F.lit("SNV")))
+        )
+        return F.struct(z["index"].alias("aa_pos"), z["ref"].alias("aa_ref"), z["alt"].alias("aa_alt"), coords.position_text(c).alias("cpos"), z["codon"].alias("codon"), label.alias("csqn"))
+
+    return x.select(*pairs.columns, F.inline(F.array(sequence.bind(first, changed))))
+
+
+def roll_right(seq: Column, beg: Column, end: Column) -> Column:
+    """How far a deletion of beg..end in a whole sequence shifts right: the common prefix of what it deletes on and what follows."""
     rest = lambda first: F.substr(seq, first, F.lit(2**31 - 1))
-    return F.coalesce(own(narrow), own(wide), sequence.first_difference(rest(beg), F.concat(rest(end + 1), F.lit("-"))) - 1)
+    return F.coalesce(sequence.first_difference(rest(beg), F.concat(rest(end + 1), F.lit("-"))) - 1, F.lit(0))
 
 
-def roll_left(seq: Column, beg: Column, end: Column, narrow: int = 32, wide: int = 4096) -> Column:
+def roll_left(seq: Column, beg: Column, end: Column) -> Column:
     """How far it shifts left: the mirror image; base 1 stays in place."""
-
-    def own(most: int) -> Column:
-        tail = lambda last: F.reverse(F.substr(seq, F.greatest(last - most + 1, F.lit(1)), F.least(F.lit(most), last)))
-        return sequence.common_prefix(tail(end), F.concat(tail(beg - 1), F.lit("-")), most)
-
     head = lambda last: F.reverse(F.substr(seq, F.lit(1), last))
-    return F.when(beg <= 1, 0).otherwise(F.coalesce(own(narrow), own(wide), sequence.first_difference(head(end), F.concat(head(beg - 1), F.lit("-"))) - 1))
+    return F.when(beg <= 1, 0).otherwise(sequence.first_difference(head(end), F.concat(head(beg - 1), F.lit("-"))) - 1)
 
 
 def roll_insertion(seq: Column, at: Column, ins: Column) -> Column:
@@ -72,11 +84,53 @@ def roll_insertion(seq: Column, at: Column, ins: Column) -> Column:
     return F.coalesce(sequence.first_difference(F.concat(ins, rest), F.concat(rest, F.lit("-"))) - 1, F.lit(0))
 
 
+def turned(ins: Column, by: Column) -> Column:
+    """The inserted string after a shift to the right."""
+    n = F.length(ins)
+    return F.substr(F.concat(ins, ins), by % F.greatest(n, F.lit(1)) + 1, n)
+
+
+def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame, window: int = 64, most: int = 64) -> DataFrame:
+    """rows (contig_id, pos, till) with right and left, how far the deletion of pos..till shifts either way.
+
+    Compared in a window taken from chunks; only rows that are longer than
+    `most`, or whose window ends before the repeat does, meet their whole contig.
+    """
+    n = (F.col("till") - F.col("pos") + 1).cast("int")
+    x = genome.bases_at(rows, chunks, __back=(-window, window), __fore=(0, window + most)).withColumn("__short", n <= most)
+    fore, back = F.col("__fore"), F.col("__back")
+    right = sequence.common_prefix(F.substr(fore, F.lit(1), F.lit(window)), F.substr(fore, n + 1, F.lit(window)))
+    left = sequence.common_prefix(F.substr(F.reverse(F.concat(back, F.substr(fore, F.lit(1), n))), F.lit(1), F.lit(window)), F.reverse(back))
+    x = x.withColumn("__right", F.when(F.col("__short"), right)).withColumn("__left", F.when(F.col("__short"), left))
+    done = F.col("__short") & (F.col("__right") < window) & (F.col("__left") < window)
+    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"))
+    far = x.where(~done).select(*rows.columns).join(contigs.select("contig_id", "seq"), "contig_id")
+    place = lambda c: F.col(c).cast("int")
+    return near.union(far.select(*rows.columns, roll_right(F.col("seq"), place("pos"), place("till")).alias("right"), roll_left(F.col("seq"), place("pos"), place("till")).alias("left")))
+
+
+def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame, window: int = 64) -> DataFrame:
+    """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions."""
+    x = genome.bases_at(rows, chunks, __fore=(1, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
+    done = (F.col("__right") < window) & (F.length("ins") <= window)
+    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"))
+    far = x.where(~done).select(*rows.columns).join(contigs.select("contig_id", "seq"), "contig_id")
+    return near.union(far.select(*rows.columns, roll_insertion(F.col("seq"), F.col("pos").cast("int"), F.col("ins")).alias("right")))
+
+
+def candidate_codons(spark: SparkSession) -> DataFrame:
+    """codon, aa_alt, best, apart, others: alternative codons of each amino acid, fewest differing bases first, then in table order; 64 x 23 rows at most."""
+    rows = []
+    for codon in (a + b + c for a in sequence.BASES for b in sequence.BASES for c in sequence.BASES):
+        for aa in sequence.CODONS_OF:
+            if found := sequence.alternatives(codon, aa):
+                rows.append((codon, aa, found[0][1], found[0][0], ",".join(c for _, c in found[1:])))
+    return spark.createDataFrame(rows, "codon string, aa_alt string, best string, apart int, others string")
+
+
 def protein_candidates(rows: DataFrame) -> DataFrame:
-    """rows with codon and aa_alt, and their alternative codons: fewest differing bases first, then in table order."""
-    table = F.transform(sequence.codons_of(F.col("aa_alt")), lambda c, i: F.struct(sequence.differing(c, F.col("codon")).alias("apart"), i.alias("ord"), c.alias("codon")))
-    ranked = F.array_sort(F.filter(table, lambda c: c["codon"] != F.col("codon")))
-    return rows.withColumn("best", F.get(ranked, F.lit(0))["codon"]).withColumn("apart", F.get(ranked, F.lit(0))["apart"]).withColumn("others", F.array_join(F.transform(F.slice(ranked, 2, 10), lambda c: c["codon"]), ","))
+    """rows with codon and aa_alt, and the best alternative codon, how many bases it differs in, and the others."""
+    return rows.join(F.broadcast(candidate_codons(rows.sparkSession)), ["codon", "aa_alt"], "left")
 
 
 def collapse(labels: DataFrame, key: str) -> DataFrame:

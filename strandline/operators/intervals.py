@@ -32,13 +32,13 @@ def nearest(sites: DataFrame, features: DataFrame, contig: str, pos: str, beg: s
     Within a bin a sorted pass carries the last feature on; what reaches a bin
     from earlier ones comes from a running maximum over bins.  So no task sees
     more than a bin's rows, and a row a bin of its contig.  Of features as near,
-    the smallest name counts; none gives null.
+    the smallest name counts, whatever its type; none gives null.
     """
     sign = 1 if upstream else -1
     edge, at = F.col(end if upstream else beg), F.col(pos)
     bin_of = lambda c: F.floor(c * sign / width)
-    key = lambda e: F.struct((e * sign).alias("at"), (-F.col(name)).alias("id"))
-    marks = features.select(contig, bin_of(edge).alias("__bin"), (edge * sign).alias("__at"), F.lit(1).alias("__kind"), key(edge).alias("__near"))
+    edges = features.groupBy(contig, (edge * sign).alias("__at")).agg(F.min(name).alias("__name"))
+    marks = edges.select(contig, F.floor(F.col("__at") / width).alias("__bin"), "__at", F.lit(1).alias("__kind"), F.struct(F.col("__at").alias("at"), F.col("__name").alias("id")).alias("__near"))
     tops = marks.groupBy(contig, "__bin").agg(F.max("__near").alias("__top"))
     asked = sites.select(contig, F.struct(*[F.col(c) for c in sites.columns]).alias("__row"), bin_of(at).alias("__bin"), (at * sign).alias("__at"), F.lit(0).alias("__kind"))
     inside = Window.partitionBy(contig, "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,4 +47,4 @@ def nearest(sites: DataFrame, features: DataFrame, contig: str, pos: str, beg: s
     earlier = Window.partitionBy(contig).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.withColumn("__carry", F.max("__top").over(earlier)).select(contig, "__bin", "__carry")
     found = local.join(carried, [contig, "__bin"], "left").withColumn("__best", F.coalesce("__in", "__carry"))
-    return found.select("__row.*", (-F.col("__best.id")).alias("near_name"), (F.col("__at") - F.col("__best.at")).alias("near_dist"))
+    return found.select("__row.*", F.col("__best.id").alias("near_name"), (F.col("__at") - F.col("__best.at")).alias("near_dist"))

@@ -1,16 +1,23 @@
 """A deterministic genome derived from the driver's tables, once as DataFrames and once as SQL.
 
-Contigs are numbered by document id: within ranges of ids, after the sum of the
-ranges before, so that one task sees a row for each range, not for each document.
+Every document is a contig with all its letters, transcripts and variants lie
+anywhere on it.  Contigs are numbered by document id: within ranges of ids, after
+the sum of the ranges before, so that one task sees a row for each range, not for
+each document.  What all queries read (contigs, chunks, transcripts, variants) is
+kept for a session, as the tables of a genome would be.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, sequence
+from ..operators import genome
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TO_BASES = "ACGTGTCAACGTTGCACATGGCTAGT" * 2
@@ -26,58 +33,93 @@ def numbered(ids: DataFrame, width: int = 8192) -> DataFrame:
 
 
 class Genome:
-    """contigs, transcripts, variants: lazy DataFrames of one data folder."""
+    """The tables of one data folder, each built at its first use and kept."""
+
+    _known: dict[tuple[str, str], Genome] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Genome:
+        return cls._known.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        docs = self.read("documents").where(F.length("text").between(1500, 20000))
-        ids = docs.select("doc_id")
+        self.spark, self.read = spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    @staticmethod
+    def _kept(df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def contigs(self) -> DataFrame:
+        """contig_id, seq, len."""
+        docs = self.read("documents").where("text is not null")
         seq = F.regexp_replace(F.translate("text", LETTERS, TO_BASES), "[^ACGT]", "")
-        self.contigs = docs.select("doc_id", seq.alias("seq")).join(numbered(ids), "doc_id").select("contig_id", "seq", F.length("seq").cast("bigint").alias("len"))
-        self.number = ids.agg(F.count(F.lit(1)).alias("n_contigs"))
+        return self._kept(docs.select("doc_id", seq.alias("seq")).join(numbered(docs.select("doc_id")), "doc_id").select("contig_id", "seq", F.length("seq").cast("bigint").alias("len")))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return self._kept(self.contigs.select("contig_id", "len"))
 
-    def transcripts(self, with_cds: bool = False) -> DataFrame:
+    @cached_property
+    def number(self) -> DataFrame:
+        return self.sizes.agg(F.count(F.lit(1)).alias("n_contigs"))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self._kept(genome.chunks(self.contigs))
+
+    @cached_property
+    def transcripts(self) -> DataFrame:
+        """tid, contig_id, strand, beg, tend, cds_beg, cds_end, exons, segs, cds, tail."""
         p = self.read("part").crossJoin(F.broadcast(self.number))  # one row
         t = p.select(
-            F.col("p_partkey").alias("tid"), (1 + F.col("p_partkey") % F.col("n_contigs")).alias("contig_id"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"),
-            (1 + F.col("p_size") % 4).cast("bigint").alias("nex"), (30 + 3 * (F.col("p_size") % 15)).cast("bigint").alias("elen"), (20 + F.col("p_partkey") % 30).alias("ilen"), (50 + F.col("p_partkey") % 200).alias("off"),
+            F.col("p_partkey").alias("tid"), F.expr("1 + (p_partkey div 4 * 4) % n_contigs").alias("contig_id"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"),
+            (1 + F.col("p_size") % 4).cast("bigint").alias("nex"), (30 + 3 * (F.col("p_size") % 15)).cast("bigint").alias("elen"), (20 + F.col("p_partkey") % 30).alias("ilen"),
         )
+        t = t.withColumn("span", F.col("nex") * F.col("elen") + (F.col("nex") - 1) * F.col("ilen")).join(self.contigs, "contig_id").where("span + 60 <= len")
+        t = t.withColumn("off", F.expr("20 + (tid div 4 * 7919) % 97 * (len - span - 40) div 97"))  # four of a gene lie near each other
         begin = lambda i: F.col("off") + i * (F.col("elen") + F.col("ilen")) + 1
         t = t.withColumn("exons", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("nex") - 1), lambda i: F.struct(begin(i).alias("beg"), (begin(i) + F.col("elen") - 1).alias("end"))))
-        t = t.withColumn("beg", F.col("exons")[0]["beg"]).withColumn("tend", F.element_at("exons", -1)["end"])
-        contigs = self.contigs if with_cds else self.contigs.drop("seq")
-        t = t.join(contigs, "contig_id").where("tend + 10 <= len").withColumn("cds_beg", F.col("beg") + 6).withColumn("cds_end", F.col("tend") - 6)
+        t = t.withColumn("beg", F.col("off") + 1).withColumn("tend", F.col("off") + F.col("span")).withColumn("cds_beg", F.col("beg") + 6).withColumn("cds_end", F.col("tend") - 6)
         t = t.withColumn("segs", coords.segments(F.col("exons"), F.col("cds_beg"), F.col("cds_end"), F.col("strand")))
-        keep = ["tid", "contig_id", "strand", "beg", "tend", "cds_beg", "cds_end", "exons", "segs"]
-        if not with_cds:
-            return t.select(*keep)
         bases = F.array_join(F.transform("segs", lambda s: F.substr(F.col("seq"), s["gb"].cast("int"), (s["ge"] - s["gb"] + 1).cast("int"))), "")
         after = F.when(F.col("strand") == "+", F.substr("seq", F.col("cds_end").cast("int") + 1, F.length("seq"))).otherwise(sequence.reverse_complement(F.substr("seq", F.lit(1), F.col("cds_beg").cast("int") - 1)))
-        return t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("tail", sequence.until_stops(after)).select(*keep, "cds", "tail")
+        t = t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("after", after).withColumn("tail", sequence.until_stops(F.col("after")))
+        return self._kept(t.select("tid", "contig_id", "strand", "beg", "tend", "cds_beg", "cds_end", "exons", "segs", "cds", "tail"))
 
-    def variants(self) -> DataFrame:
-        """vid, contig_id, pos, ref, alt, qty; ref and alt are bases of the + strand."""
+    @cached_property
+    def places(self) -> DataFrame:
+        """vid, contig_id, pos, qty, len of a variant for each row of lineitem on a contig that isn't empty."""
         n = self.read("lineitem").crossJoin(F.broadcast(self.number))  # one row
         v = n.select(
             F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("vid"), (1 + F.col("l_partkey") % F.col("n_contigs")).alias("contig_id"),
-            (1 + (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101) % 900).cast("bigint").alias("pos"), F.col("l_quantity").cast("bigint").alias("qty"),
+            (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101 + F.col("l_partkey") * 13).alias("at"), F.col("l_quantity").cast("bigint").alias("qty"),
         )
-        v = v.join(self.contigs, "contig_id").where("pos <= len").withColumn("ref", F.substr("seq", F.col("pos").cast("int"), F.lit(1)))
-        return v.select("vid", "contig_id", "pos", "ref", F.translate("ref", "AGTC", "GTCA").alias("alt"), "qty")
+        return v.join(self.sizes, "contig_id").where("len > 0").select("vid", "contig_id", (1 + F.col("at") % F.col("len")).cast("bigint").alias("pos"), "qty", "len")
+
+    @cached_property
+    def variants(self) -> DataFrame:
+        """vid, contig_id, pos, ref, alt, qty, len; ref and alt are bases of the + strand."""
+        v = genome.bases_at(self.places, self.chunks, ref=(0, 1))
+        return self._kept(v.select("vid", "contig_id", "pos", "ref", F.translate("ref", "AGTC", "GTCA").alias("alt"), "qty", "len"))
+
+    def around(self, **parts: tuple[int, int]) -> DataFrame:
+        """variants with the bases of some parts, each (first place after pos, length); what lies outside the contig is missing."""
+        return genome.bases_at(self.variants, self.chunks, **parts)
 
 
 SQL = f"""
 WITH contig AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS contig_id, regexp_replace(translate(text, '{LETTERS}', '{TO_BASES}'), '[^ACGT]', '', 'g') AS seq
-  FROM documents WHERE length(text) BETWEEN 1500 AND 20000),
+  FROM documents WHERE text IS NOT NULL),
 nc AS (SELECT count(*) AS n FROM contig),
 raw_tx AS (
-  SELECT p_partkey AS tid, 1 + p_partkey % n AS contig_id, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
-         CAST(1 + p_size % 4 AS BIGINT) AS nex, CAST(30 + 3 * (p_size % 15) AS BIGINT) AS elen, 20 + p_partkey % 30 AS ilen, 50 + p_partkey % 200 AS off
+  SELECT p_partkey AS tid, 1 + (p_partkey // 4 * 4) % n AS contig_id, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+         CAST(1 + p_size % 4 AS BIGINT) AS nex, CAST(30 + 3 * (p_size % 15) AS BIGINT) AS elen, 20 + p_partkey % 30 AS ilen
   FROM part, nc),
+laid_tx AS (SELECT r.*, 20 + (tid // 4 * 7919) % 97 * (length(c.seq) - span - 40) // 97 AS off FROM (SELECT *, nex * elen + (nex - 1) * ilen AS span FROM raw_tx) r JOIN contig c USING (contig_id) WHERE span + 60 <= length(c.seq)),
 tx AS (
   SELECT r.*, off + 1 AS beg, off + (nex - 1) * (elen + ilen) + elen AS tend, off + 7 AS cds_beg, off + (nex - 1) * (elen + ilen) + elen - 6 AS cds_end
-  FROM raw_tx r JOIN contig c USING (contig_id) WHERE off + (nex - 1) * (elen + ilen) + elen + 10 <= length(c.seq)),
+  FROM laid_tx r),
 exon AS (
   SELECT tx.*, i, off + i * (elen + ilen) + 1 AS eb, off + i * (elen + ilen) + elen AS ee FROM tx, range(0, 4) r(i) WHERE i < nex),
 segment AS (
@@ -85,14 +127,13 @@ segment AS (
   FROM (SELECT *, greatest(eb, cds_beg) AS gb, least(ee, cds_end) AS ge FROM exon) WHERE gb <= ge),
 cds0 AS (SELECT s.tid, s.strand, string_agg(substr(c.seq, gb, ge - gb + 1), '' ORDER BY i) AS bases FROM segment s JOIN contig c USING (contig_id) GROUP BY 1, 2),
 cds AS (SELECT tid, strand, CASE WHEN strand = '+' THEN bases ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END AS cds FROM cds0),
-tail AS (
-  SELECT tid, CASE WHEN strand = '+' THEN substr(seq, cds_end + 1, 300) ELSE reverse(translate(substr(seq, greatest(cds_beg - 300, 1), cds_beg - greatest(cds_beg - 300, 1)), 'ACGT', 'TGCA')) END AS tail
-  FROM tx JOIN contig USING (contig_id)),
+rest AS (SELECT tid, CASE WHEN strand = '+' THEN substr(seq, cds_end + 1) ELSE reverse(translate(substr(seq, 1, cds_beg - 1), 'ACGT', 'TGCA')) END AS rest FROM tx JOIN contig USING (contig_id)),
+tail AS (SELECT tid, substr(rest, 1, greatest(coalesce(nullif(length(regexp_extract(rest, '^(?:...)*?(?:TAA|TAG|TGA)')), 0), length(rest)), coalesce(1 + nullif(length(regexp_extract(substr(rest, 2), '^(?:...)*?(?:TAA|TAG|TGA)')), 0), length(rest)), coalesce(2 + nullif(length(regexp_extract(substr(rest, 3), '^(?:...)*?(?:TAA|TAG|TGA)')), 0), length(rest)))) AS tail FROM rest),
 snv AS (
   SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS vid, contig_id, pos, substr(seq, pos, 1) AS ref,
          translate(substr(seq, pos, 1), 'AGTC', 'GTCA') AS alt, qty
-  FROM (SELECT *, 1 + l_partkey % n AS contig_id, CAST(1 + (l_orderkey * 37 + l_linenumber * 101) % 900 AS BIGINT) AS pos, CAST(l_quantity AS BIGINT) AS qty FROM lineitem, nc) l
-  JOIN contig USING (contig_id) WHERE pos <= length(seq)),
+  FROM (SELECT l.*, seq, CAST(1 + (l_orderkey * 37 + l_linenumber * 101 + l_partkey * 13) % length(seq) AS BIGINT) AS pos, CAST(l_quantity AS BIGINT) AS qty
+    FROM (SELECT lineitem.*, 1 + l_partkey % n AS contig_id FROM lineitem, nc) l JOIN contig USING (contig_id) WHERE length(seq) > 0) l),
 pair AS (SELECT s.*, t.tid, t.strand, t.beg, t.tend, t.cds_beg, t.cds_end, t.off, t.elen, t.ilen, t.nex FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND s.pos BETWEEN t.beg AND t.tend),
 place AS (
   SELECT p.*, (pos - off - 1) // (elen + ilen) AS ei, (pos - off - 1) % (elen + ilen) AS ew FROM pair p),

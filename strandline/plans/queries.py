@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
-from ..operators import annotate, coding, intervals, lookup
+from ..operators import annotate, coding, genome, intervals, lookup
 from .fixture import SQL, Genome
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,7 @@ def query(sql: str | None, bare: bool = False) -> Callable:
     """Registers a function of a Genome; sql follows the fixture's views, unless bare."""
 
     def of(f: Callable[[Genome], DataFrame]) -> Callable[[Genome], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Genome(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Genome.of(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql if bare else SQL + sql
         return f
@@ -31,9 +32,9 @@ def query(sql: str | None, bare: bool = False) -> Callable:
 KEYS = ("vid", "tid")
 
 
-@query("SELECT vid, tid, contig_id, pos, ref, alt, cpos, aa_pos, aa_ref, aa_alt, csqn FROM (SELECT * EXCLUDE (cpos), cpos FROM consequence)".replace(" FROM (SELECT * EXCLUDE (cpos), cpos FROM consequence)", " FROM consequence"))
+@query("SELECT vid, tid, contig_id, pos, ref, alt, cpos, aa_pos, aa_ref, aa_alt, csqn FROM consequence")
 def gsnv_consequence(g: Genome) -> DataFrame:
-    out = annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True)))
+    out = annotate.snv_consequence(annotate.on_transcripts(g.variants, g.transcripts))
     return out.select("vid", "tid", "contig_id", "pos", "ref", "alt", F.when(F.col("aa_pos").isNotNull(), F.col("cpos").try_cast("bigint")).alias("cpos"), "aa_pos", "aa_ref", "aa_alt", "csqn")
 
 
@@ -50,46 +51,46 @@ def revcomp_contig(g: Genome) -> DataFrame:
 
 @query("SELECT tid, contig_id, strand, beg, tend, cds_beg, cds_end, nex AS n_exons FROM tx")
 def tx_build(g: Genome) -> DataFrame:
-    return g.transcripts().select("tid", "contig_id", "strand", "beg", "tend", "cds_beg", "cds_end", F.size("exons").cast("bigint").alias("n_exons"))
+    return g.transcripts.select("tid", "contig_id", "strand", "beg", "tend", "cds_beg", "cds_end", F.size("exons").cast("bigint").alias("n_exons"))
 
 
 @query("SELECT tid, CASE WHEN strand = '+' THEN i + 1 ELSE nex - i END AS exon, eb AS beg, ee AS end_pos, lag(ee) OVER (PARTITION BY tid ORDER BY i) AS previous_end FROM exon")
 def exon_explode(g: Genome) -> DataFrame:
-    e = g.transcripts().select("tid", "strand", F.size("exons").alias("n"), "exons", F.posexplode("exons").alias("i", "e"))
+    e = g.transcripts.select("tid", "strand", F.size("exons").alias("n"), "exons", F.posexplode("exons").alias("i", "e"))
     number = F.when(F.col("strand") == "+", F.col("i") + 1).otherwise(F.col("n") - F.col("i"))
     return e.select("tid", number.cast("bigint").alias("exon"), F.col("e.beg").alias("beg"), F.col("e.end").alias("end_pos"), F.get("exons", F.col("i") - 1)["end"].alias("previous_end"))
 
 
 @query("SELECT tid, gb, ge, cprev FROM segment")
 def segment_cumulative(g: Genome) -> DataFrame:
-    return g.transcripts().select("tid", F.inline("segs")).select("tid", "gb", "ge", "cprev")
+    return g.transcripts.select("tid", F.inline("segs")).select("tid", "gb", "ge", "cprev")
 
 
 @query("SELECT tid, sum(ee - eb + 1)::BIGINT AS tlen, sum(greatest(0, least(ee, cds_end) - greatest(eb, cds_beg) + 1))::BIGINT AS cdslen FROM exon GROUP BY tid")
 def tlen_cdslen(g: Genome) -> DataFrame:
-    return g.transcripts().select("tid", coords.total_length(F.col("exons")).alias("tlen"), coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
+    return g.transcripts.select("tid", coords.total_length(F.col("exons")).alias("tlen"), coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
 
 
 @query("SELECT contig_id, tid, tlen FROM (SELECT contig_id, tid, nex * elen AS tlen, row_number() OVER (PARTITION BY contig_id ORDER BY nex * elen DESC, tid) AS r FROM tx) WHERE r = 1")
 def longest_tx_per_gene(g: Genome) -> DataFrame:
-    t = g.transcripts().select("contig_id", "tid", coords.total_length(F.col("exons")).alias("tlen"))
+    t = g.transcripts.select("contig_id", "tid", coords.total_length(F.col("exons")).alias("tlen"))
     return t.groupBy("contig_id").agg(F.max(F.struct("tlen", (-F.col("tid")).alias("neg"))).alias("m")).select("contig_id", (-F.col("m.neg")).alias("tid"), "m.tlen")
 
 
 @query("SELECT tid, length(cds) AS cds_len, md5(cds) AS cds_md5 FROM cds")
 def cds_sequence(g: Genome) -> DataFrame:
-    return g.transcripts(with_cds=True).select("tid", F.length("cds").cast("bigint").alias("cds_len"), F.md5("cds").alias("cds_md5"))
+    return g.transcripts.select("tid", F.length("cds").cast("bigint").alias("cds_len"), F.md5("cds").alias("cds_md5"))
 
 
 @query("""SELECT tid, CASE WHEN strpos(p, '*') > 0 THEN substr(p, 1, strpos(p, '*')) ELSE p END AS protein FROM (
  SELECT tid, string_agg(a.aa, '' ORDER BY i) AS p FROM cds, range(0, 200) r(i) JOIN aa a ON true WHERE i < length(cds) // 3 AND a.codon = substr(cds, 3 * i + 1, 3) GROUP BY tid)""")
 def cds_translate(g: Genome) -> DataFrame:
-    return g.transcripts(with_cds=True).select("tid", sequence.translate(F.col("cds")).alias("protein"))
+    return g.transcripts.select("tid", sequence.translate(F.col("cds")).alias("protein"))
 
 
 @query("SELECT vid, tid, pos FROM pair")
 def snv_tx_overlap(g: Genome) -> DataFrame:
-    return annotate.on_transcripts(g.variants(), g.transcripts()).select("vid", "tid", "pos")
+    return annotate.on_transcripts(g.variants, g.transcripts).select("vid", "tid", "pos")
 
 
 SPAN = "SELECT *, pos + qty * 20 AS till FROM snv"
@@ -97,18 +98,18 @@ SPAN = "SELECT *, pos + qty * 20 AS till FROM snv"
 
 @query(f"SELECT s.vid, t.tid FROM ({SPAN}) s JOIN tx t ON s.contig_id = t.contig_id AND t.beg <= s.till AND t.tend >= s.pos")
 def span_tx_overlap(g: Genome) -> DataFrame:
-    spans = g.variants().withColumn("till", F.col("pos") + F.col("qty") * 20)
-    return intervals.range_join(spans, g.transcripts(), "contig_id", ("pos", "till"), ("beg", "tend"), width=200).select("vid", "tid")
+    spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
+    return intervals.range_join(spans, g.transcripts, "contig_id", ("pos", "till"), ("beg", "tend"), width=200).select("vid", "tid")
 
 
 @query("SELECT s.vid, t.tid FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND t.beg - 100 <= s.pos AND t.tend + 100 >= s.pos")
 def flank_overlap(g: Genome) -> DataFrame:
-    return intervals.range_join(g.variants(), g.transcripts(), "contig_id", ("pos", "pos"), ("beg", "tend"), flank=100).select("vid", "tid")
+    return intervals.range_join(g.variants, g.transcripts, "contig_id", ("pos", "pos"), ("beg", "tend"), flank=100).select("vid", "tid")
 
 
 @query("SELECT s.vid, t.tid FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND s.pos BETWEEN t.cds_beg AND t.cds_end")
 def cds_overlap(g: Genome) -> DataFrame:
-    return intervals.range_join(g.variants(), g.transcripts(), "contig_id", ("pos", "pos"), ("cds_beg", "cds_end")).select("vid", "tid")
+    return intervals.range_join(g.variants, g.transcripts, "contig_id", ("pos", "pos"), ("cds_beg", "cds_end")).select("vid", "tid")
 
 
 def _near(edge: str, test: str, best: str) -> str:
@@ -117,7 +118,7 @@ FROM snv s LEFT JOIN (SELECT p.contig_id, p.pos, {best}(t.{edge}) AS e FROM (SEL
 
 
 def _nearest(g: Genome, upstream: bool) -> DataFrame:
-    found = intervals.nearest(g.variants(), g.transcripts(), "contig_id", "pos", "beg", "tend", "tid", upstream, width=200)
+    found = intervals.nearest(g.variants, g.transcripts, "contig_id", "pos", "beg", "tend", "tid", upstream, width=200)
     return found.select("vid", F.col("near_name").alias("near_tid"), "near_dist")
 
 
@@ -134,7 +135,7 @@ def nearest_downstream(g: Genome) -> DataFrame:
 @query(f"""SELECT s.vid, 'intergenic_between_' || coalesce('T' || u.near_tid || '(' || u.near_dist || '_bp_upstream)', '5''-telomere') || '_and_' || coalesce('T' || d.near_tid || '(' || d.near_dist || '_bp_downstream)', '3''-telomere') AS region
 FROM snv s JOIN ({_near("tend", "<", "max")}) u USING (vid) JOIN ({_near("beg", ">", "min")}) d USING (vid) WHERE NOT EXISTS (SELECT 1 FROM tx t WHERE t.contig_id = s.contig_id AND s.pos BETWEEN t.beg AND t.tend)""")
 def intergenic_desc(g: Genome) -> DataFrame:
-    v, t = g.variants(), g.transcripts()
+    v, t = g.variants, g.transcripts
     outside = v.join(annotate.on_transcripts(v, t).select("vid").distinct(), "vid", "left_anti")
     args = ("contig_id", "pos", "beg", "tend", "tid")
     up = intervals.nearest(outside, t, *args, True, width=200).withColumnsRenamed({"near_name": "u", "near_dist": "ud"})
@@ -147,21 +148,21 @@ def intergenic_desc(g: Genome) -> DataFrame:
 @query("SELECT vid, tid, part, CAST(exon AS INT) AS exon, utr, splice, codon, edge FROM site")
 def site_region(g: Genome) -> DataFrame:
     s = coords.site(F.col("pos"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"), F.lit(True))
-    return annotate.on_transcripts(g.variants(), g.transcripts()).select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
+    return annotate.on_transcripts(g.variants, g.transcripts).select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
 
 
 @query("SELECT s.vid, t.tid, CASE t.strand WHEN '+' THEN s.pos - t.beg ELSE t.tend - s.pos END AS dist2tss FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND CASE t.strand WHEN '+' THEN s.pos - t.beg ELSE t.tend - s.pos END BETWEEN -100 AND 0")
 def promoter_site(g: Genome) -> DataFrame:
     plus = F.col("strand") == "+"
-    t = g.transcripts().withColumn("p_beg", F.when(plus, F.col("beg") - 100).otherwise(F.col("tend"))).withColumn("p_end", F.when(plus, F.col("beg")).otherwise(F.col("tend") + 100))
-    hit = intervals.range_join(g.variants(), t, "contig_id", ("pos", "pos"), ("p_beg", "p_end"))
+    t = g.transcripts.withColumn("p_beg", F.when(plus, F.col("beg") - 100).otherwise(F.col("tend"))).withColumn("p_end", F.when(plus, F.col("beg")).otherwise(F.col("tend") + 100))
+    hit = intervals.range_join(g.variants, t, "contig_id", ("pos", "pos"), ("p_beg", "p_end"))
     return hit.select("vid", "tid", F.when(plus, F.col("pos") - F.col("beg")).otherwise(F.col("tend") - F.col("pos")).alias("dist2tss"))
 
 
 @query(f"SELECT s.vid, t.tid, round(100.0 * (least(s.till, t.beg) - greatest(s.pos, t.beg - 100) + 1) / (s.till - s.pos + 1), 2) AS promoter_pct FROM ({SPAN}) s JOIN tx t ON t.strand = '+' AND s.contig_id = t.contig_id AND t.beg - 100 <= s.till AND t.beg >= s.pos")
 def promoter_overlap_pct(g: Genome) -> DataFrame:
-    t = g.transcripts().where("strand = '+'").withColumn("p_beg", F.col("beg") - 100).withColumn("p_end", F.col("beg"))
-    spans = g.variants().withColumn("till", F.col("pos") + F.col("qty") * 20)
+    t = g.transcripts.where("strand = '+'").withColumn("p_beg", F.col("beg") - 100).withColumn("p_end", F.col("beg"))
+    spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
     hit = intervals.range_join(spans, t, "contig_id", ("pos", "till"), ("p_beg", "p_end"), width=200)
     share = 100.0 * (F.least("till", "p_end") - F.greatest("pos", "p_beg") + 1) / (F.col("till") - F.col("pos") + 1)
     return hit.select("vid", "tid", F.round(share, 2).alias("promoter_pct"))
@@ -182,12 +183,12 @@ CDNA_SQL = """SELECT p.vid, p.tid, CASE WHEN inside IS NOT NULL THEN inside || '
 @query(CDNA_SQL)
 def cdna_position(g: Genome) -> DataFrame:
     p = coords.cdna(F.col("pos"), F.col("segs"), F.col("strand"))
-    return annotate.on_transcripts(g.variants(), g.transcripts()).select(*KEYS, coords.position_text(p).alias("cpos"))
+    return annotate.on_transcripts(g.variants, g.transcripts).select(*KEYS, coords.position_text(p).alias("cpos"))
 
 
 @query("SELECT vid, tid, cpos, pos AS back FROM cbase JOIN pair USING (vid, tid)")
 def tnuc2gnuc_roundtrip(g: Genome) -> DataFrame:
-    p = annotate.on_transcripts(g.variants(), g.transcripts()).withColumn("c", coords.cdna(F.col("pos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
+    p = annotate.on_transcripts(g.variants, g.transcripts).withColumn("c", coords.cdna(F.col("pos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
     return p.select(*KEYS, F.col("c.pos").alias("cpos"), coords.genomic(F.col("c.pos"), F.col("segs"), F.col("strand")).alias("back"))
 
 
@@ -195,7 +196,7 @@ def tnuc2gnuc_roundtrip(g: Genome) -> DataFrame:
 FROM (SELECT tid, length(cds) AS cdslen, cds FROM cds) JOIN segment s USING (tid) WHERE 1 + (tid * 7) % cdslen BETWEEN cprev + 1 AND cprev + ge - gb + 1""")
 def csnv_annotate(g: Genome) -> DataFrame:
     """cDNA positions, as if from queries, to genomic ones."""
-    t = g.transcripts(with_cds=True).withColumn("cpos", (1 + (F.col("tid") * 7) % F.length("cds")).cast("bigint"))
+    t = g.transcripts.withColumn("cpos", (1 + (F.col("tid") * 7) % F.length("cds")).cast("bigint"))
     pos = coords.genomic(F.col("cpos"), F.col("segs"), F.col("strand"))
     return t.select("tid", "cpos", pos.isNotNull().alias("found"), pos.alias("pos"), F.substr("cds", F.col("cpos").cast("int"), F.lit(1)).alias("ref"))
 
@@ -203,7 +204,7 @@ def csnv_annotate(g: Genome) -> DataFrame:
 @query("SELECT vid, tid, qty, cpos FROM cbase JOIN pair USING (vid, tid) WHERE CASE WHEN qty % 3 = 0 THEN alt ELSE ref END = ref")
 def ref_mismatch_filter(g: Genome) -> DataFrame:
     """Queries that claim a wrong reference base in a third of cases go."""
-    p = annotate.on_transcripts(g.variants(), g.transcripts()).withColumn("c", coords.cdna(F.col("pos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
+    p = annotate.on_transcripts(g.variants, g.transcripts).withColumn("c", coords.cdna(F.col("pos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
     claimed = F.when(F.col("qty") % 3 == 0, F.col("alt")).otherwise(F.col("ref"))
     return p.where(claimed == F.col("ref")).select(*KEYS, "qty", F.col("c.pos").alias("cpos"))
 
@@ -217,14 +218,14 @@ SELECT vid, tid, max(CASE WHEN r = 1 THEN codon END) AS best, max(CASE WHEN r =
   SELECT c.vid, c.tid, k.codon, k.ord, CAST(substr(k.codon, 1, 1) <> substr(codon0, 1, 1) AS INT) + CAST(substr(k.codon, 2, 1) <> substr(codon0, 2, 1) AS INT) + CAST(substr(k.codon, 3, 1) <> substr(codon0, 3, 1) AS INT) AS d
   FROM consequence c JOIN (VALUES {_TABLE}) k(aa, codon, ord) ON k.aa = c.aa_alt WHERE c.csqn IN ('Missense', 'Nonsense') AND k.codon <> codon0)) GROUP BY 1, 2)""")
 def psnv_candidates(g: Genome) -> DataFrame:
-    out = annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True))).where(F.col("csqn").isin("Missense", "Nonsense"))
+    out = annotate.snv_consequence(annotate.on_transcripts(g.variants, g.transcripts)).where(F.col("csqn").isin("Missense", "Nonsense"))
     return annotate.protein_candidates(out).select(*KEYS, "best", "apart", "others")
 
 
 @query("SELECT tid, count(*)::BIGINT AS n, min(i)::BIGINT AS first FROM (SELECT tid, i FROM cds, range(0, 200) r(i) WHERE i + 3 <= length(cds) // 3 AND substr(cds, 3 * i + 1, 3) IN (SELECT codon FROM aa WHERE aa = 'S') AND substr(cds, 3 * i + 7, 3) IN (SELECT codon FROM aa WHERE aa = 'T')) GROUP BY tid")
 def motif_search(g: Genome) -> DataFrame:
     """Where SxT begins, x for any amino acid, by codon; stops are read through."""
-    t = g.transcripts(with_cds=True).where("length(cds) >= 9")
+    t = g.transcripts.where("length(cds) >= 9")
     aa = lambda i: sequence.codon_aa(F.substr("cds", (3 * i + 1).cast("int"), F.lit(3)))
     hits = F.filter(F.sequence(F.lit(0).cast("bigint"), F.floor(F.length("cds") / 3) - 3), lambda i: (aa(i) == "S") & (aa(i + 2) == "T"))
     return t.select("tid", hits.alias("h")).where("size(h) > 0").select("tid", F.size("h").cast("bigint").alias("n"), F.col("h")[0].alias("first"))
@@ -238,7 +239,7 @@ def _hgvs(g: Genome) -> DataFrame:
         .when(q == 2, F.concat(F.lit("g."), p, F.lit("_"), (F.col("pos") + 1).cast("string"), F.lit("ins"), "alt", "ref")).when(q == 3, F.concat(F.lit("g."), p, F.lit("del"), "ref", F.lit("insAC")))
         .when(q == 4, F.concat(F.lit("g."), p, F.lit("_"), e, F.lit("dup"))).otherwise(F.concat(F.lit("g."), p, F.lit("x")))
     )
-    return g.variants().withColumn("hgvs", text)
+    return g.variants.withColumn("hgvs", text)
 
 
 @query("""SELECT vid, CASE q WHEN 0 THEN 'SNV' WHEN 1 THEN 'DEL' WHEN 2 THEN 'INS' WHEN 3 THEN 'MNV' WHEN 4 THEN 'DUP' END AS kind, CASE WHEN q < 5 THEN pos || '' END AS beg,
@@ -252,15 +253,21 @@ def hgvs_g_parse(g: Genome) -> DataFrame:
 def pos_parse(g: Genome) -> DataFrame:
     q, p, k = F.col("qty") % 5, F.col("pos").cast("string"), F.col("qty").cast("string")
     text = F.when(q == 0, p).when(q == 1, F.concat(p, F.lit("+"), k)).when(q == 2, F.concat(F.lit("-"), k)).when(q == 3, F.concat(F.lit("*"), k)).otherwise("n/a")
-    return g.variants().where("qty > 0").select("vid", hgvs.parse_position(text).alias("x")).select("vid", "x.pos", F.col("x.offset").alias("offset_bp"))
+    return g.variants.where("qty > 0").select("vid", hgvs.parse_position(text).alias("x")).select("vid", "x.pos", F.col("x.offset").alias("offset_bp"))
 
 
-@query("SELECT vid, CASE q WHEN 0 THEN 'SNV' WHEN 1 THEN 'FS' WHEN 2 THEN 'REG' END AS kind, CASE WHEN q < 3 THEN aa_ref END AS ref, CASE WHEN q < 3 THEN aa_pos END::INT AS pos, CASE q WHEN 0 THEN aa_alt WHEN 1 THEN aa_alt WHEN 2 THEN '' END AS alt, CASE WHEN q = 1 THEN 12 END AS stop FROM (SELECT *, tid % 4 AS q FROM consequence WHERE csqn = 'Missense' AND aa_ref <> '*')")
+_PROTEIN_FORMS = ("p.{r}{n}{a}", "p.{r}{n}{a}fs*12", "{r}{n}", "p.??", "p.{r}{n}fs", "p.{r}{n}del", "p.{r}{n}_{a}{m}delins{a}{r}", "p.{r}{n}_{a}{m}ins{a}{a}", "p.{r}{n}delins{a}", "p.{r}{n}_{a}{m}del2", "p.{r}{n}=")
+
+
+@query("""SELECT vid, tid, CASE q WHEN 0 THEN 'SNV' WHEN 1 THEN 'FS' WHEN 2 THEN 'REG' WHEN 4 THEN 'FS' WHEN 5 THEN 'DEL' WHEN 6 THEN 'MNV' WHEN 7 THEN 'INS' WHEN 8 THEN 'SNV' WHEN 9 THEN 'DEL' WHEN 10 THEN 'SNV' END AS kind, CASE WHEN q <> 3 THEN aa_pos END::INT AS beg, CASE WHEN q IN (6, 7, 9) THEN aa_pos + 1 WHEN q <> 3 THEN aa_pos END::INT AS end_pos,
+ CASE WHEN q <> 3 THEN aa_ref END AS beg_aa, CASE WHEN q IN (6, 7, 9) THEN aa_alt WHEN q <> 3 THEN aa_ref END AS end_aa, CASE WHEN q IN (0, 1, 4, 8, 10) THEN aa_ref WHEN q <> 3 THEN '' END AS ref, CASE WHEN q IN (0, 1, 8) THEN aa_alt WHEN q = 6 THEN aa_alt || aa_ref WHEN q = 7 THEN aa_alt || aa_alt WHEN q = 10 THEN aa_ref WHEN q <> 3 THEN '' END AS alt, CASE WHEN q = 1 THEN 12 END::INT AS stop
+FROM (SELECT *, (tid + aa_pos) % 11 AS q FROM consequence WHERE csqn = 'Missense' AND aa_ref <> '*')""")
 def hgvs_p_parse(g: Genome) -> DataFrame:
-    x = annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True))).where("csqn = 'Missense' and aa_ref <> '*'")
-    q, head = F.col("tid") % 4, F.concat(F.lit("p."), "aa_ref", F.col("aa_pos").cast("string"))
-    text = F.when(q == 0, F.concat(head, "aa_alt")).when(q == 1, F.concat(head, "aa_alt", F.lit("fs*12"))).when(q == 2, head).otherwise("p.??")
-    return x.select("vid", hgvs.parse_protein(text).alias("p")).select("vid", "p.*")
+    x = annotate.snv_consequence(annotate.on_transcripts(g.variants, g.transcripts)).where("csqn = 'Missense' and aa_ref <> '*'")
+    parts = {"r": F.col("aa_ref"), "a": F.col("aa_alt"), "n": F.col("aa_pos").cast("string"), "m": (F.col("aa_pos") + 1).cast("string")}
+    made = [F.concat(*(parts[p[1]] if p[:1] == "{" else F.lit(p) for p in re.findall(r"{.}|[^{]+", form))) for form in _PROTEIN_FORMS]
+    text = F.element_at(F.array(*made), ((F.col("tid") + F.col("aa_pos")) % len(made) + 1).cast("int"))
+    return x.select(*KEYS, text.alias("text")).select(*KEYS, F.inline(F.array(hgvs.parse_protein(F.col("text"))))).withColumnRenamed("end", "end_pos")
 
 
 @query("SELECT event_id, CASE WHEN k = 22 THEN 'chrX' WHEN k = 23 THEN 'chrY' WHEN k IN (24, 25) THEN 'chrM' WHEN k = 26 THEN 'scaffold_1' ELSE 'chr' || (k + 1) END AS chrom, CASE WHEN k = 22 THEN 'X' WHEN k = 23 THEN 'Y' WHEN k IN (24, 25) THEN 'MT' WHEN k = 26 THEN 'scaffold_1' ELSE (k + 1) || '' END AS plain FROM (SELECT event_id, event_id % 27 AS k FROM events)", bare=True)
@@ -268,22 +275,21 @@ def chrom_normalize(g: Genome) -> DataFrame:
     k = F.col("event_id") % 27
     name = F.when(k == 25, "MT").when(k == 26, "scaffold_1").when(F.col("event_id") % 2 == 0, (k + 1).cast("string")).otherwise(F.concat(F.lit("chr"), (k + 1).cast("string")))
     e = g.read("events").withColumn("c", name)
-    normal = F.when(F.col("c").rlike(r"^chr(\d+)$") & F.col("c").isin("chr23", "chr24", "chr25"), F.substr("c", F.lit(4))).otherwise(F.col("c"))
-    return e.select("event_id", hgvs.normalize_chromosome(normal).alias("chrom"), hgvs.dbsnp_chromosome(F.col("c")).alias("plain"))
+    return e.select("event_id", hgvs.normalize_chromosome(F.col("c")).alias("chrom"), hgvs.dbsnp_chromosome(F.col("c")).alias("plain"))
 
 
 def _sources(g: Genome) -> tuple[DataFrame, DataFrame, DataFrame]:
     p, s = g.read("part"), g.read("supplier")
-    t = p.select(F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("source"), F.concat(F.lit("G"), (F.col("p_partkey") % 50).cast("string")).alias("gene_name"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") % 3).alias("version"))
+    t = p.select(F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("source"), F.concat(F.lit("G"), F.expr("p_partkey div 4").cast("string")).alias("gene_name"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") % 3).alias("version"))
     k, m = F.col("o_orderkey"), F.col("o_orderkey") % 4
-    text = F.when(m == 0, F.concat(F.lit("g"), (k % 60).cast("string"))).when(m == 1, F.concat(F.lit("T"), (k % 300).cast("string"))).when(m == 2, F.concat(F.lit("t"), (k % 300).cast("string"), F.lit("."), (k % 3).cast("string"))).otherwise(F.concat(F.lit("ID"), (k % 40).cast("string")))
-    idmap = s.select(F.concat(F.lit("ID"), F.col("s_suppkey").cast("string")).alias("synonym"), F.concat(F.lit("G"), (F.col("s_suppkey") % 7).cast("string")).alias("canonical"))
+    text = F.when(m == 0, F.concat(F.lit("g"), (k % 900).cast("string"))).when(m == 1, F.concat(F.lit("T"), (k % 3000).cast("string"))).when(m == 2, F.concat(F.lit("t"), (k % 3000).cast("string"), F.lit("."), (k % 3).cast("string"))).otherwise(F.concat(F.lit("ID"), (k % 400).cast("string")))
+    idmap = s.select(F.concat(F.lit("ID"), F.col("s_suppkey").cast("string")).alias("synonym"), F.concat(F.lit("G"), (F.col("s_suppkey") % 70).cast("string")).alias("canonical"))
     return g.read("orders").select(k.alias("qid"), text.alias("tok")), t, idmap
 
 
-_CASCADE = """WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS source, 'G' || p_partkey % 50 AS gene_name, 'T' || p_partkey AS name, p_size % 3 AS version FROM part),
-q AS (SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'G' || o_orderkey % 60 WHEN 1 THEN 'T' || o_orderkey % 300 WHEN 2 THEN 'T' || o_orderkey % 300 || '.' || o_orderkey % 3 ELSE 'ID' || o_orderkey % 40 END AS tok FROM orders),
-m AS (SELECT 'ID' || s_suppkey AS synonym, 'G' || s_suppkey % 7 AS canonical FROM supplier),
+_CASCADE = """WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS source, 'G' || p_partkey // 4 AS gene_name, 'T' || p_partkey AS name, p_size % 3 AS version FROM part),
+q AS (SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'G' || o_orderkey % 900 WHEN 1 THEN 'T' || o_orderkey % 3000 WHEN 2 THEN 'T' || o_orderkey % 3000 || '.' || o_orderkey % 3 ELSE 'ID' || o_orderkey % 400 END AS tok FROM orders),
+m AS (SELECT 'ID' || s_suppkey AS synonym, 'G' || s_suppkey % 70 AS canonical FROM supplier),
 f AS (SELECT DISTINCT q.*, t.*, 1 AS way FROM q JOIN t ON tok = gene_name UNION SELECT DISTINCT q.*, t.*, 2 FROM q JOIN t ON split_part(tok, '.', 1) = name {strict} UNION SELECT DISTINCT q.*, t.*, 3 FROM q JOIN m ON tok = synonym JOIN t ON canonical = gene_name)
 SELECT qid, tok, source, gene_name, name, version, way FROM (SELECT *, min(way) OVER (PARTITION BY qid, source) AS w FROM f) WHERE way = w"""
 
@@ -299,42 +305,54 @@ def strict_version(g: Genome) -> DataFrame:
 
 
 def _deletions(g: Genome) -> DataFrame:
-    v = g.variants().where("qty % 4 = 1").withColumn("till", F.col("pos") + F.col("qty") % 6).join(g.contigs, "contig_id").where("till < len")
-    return v.withColumns({c: F.col(c).cast("int") for c in ("pos", "till")})
+    """A deletion of one to six bases at each variant."""
+    return g.variants.withColumn("till", F.col("pos") + F.col("qty") % 6).where("till < len")
+
+
+_DELETIONS = "(SELECT s.*, seq, pos + qty % 6 AS till FROM snv s JOIN contig USING (contig_id) WHERE pos + qty % 6 < length(seq))"
 
 
-_DELETIONS = "(SELECT s.*, seq, pos + qty % 6 AS till FROM snv s JOIN contig USING (contig_id) WHERE qty % 4 = 1 AND pos + qty % 6 < length(seq))"
+def _until(test: str) -> str:
+    """SQL of the first j from 0 that passes the test: the first 64 are tried before all."""
+    first = lambda n: f"list_position([{test} for j in range(0, {n})], true)"
+    return f"(coalesce(nullif({first(64)}, 0), {first('length(seq) + 1')}) - 1)::INT"
 
 
-@query(f"SELECT vid, (SELECT min(j) FROM range(0, 400) r(j) WHERE till + 1 + j > length(seq) OR substr(seq, pos + j, 1) <> substr(seq, till + 1 + j, 1))::INT AS roll FROM {_DELETIONS} d")
+@query(f"SELECT vid, {_until('till + 1 + j > length(seq) OR substr(seq, pos + j, 1) <> substr(seq, till + 1 + j, 1)')} AS roll FROM {_DELETIONS} d")
 def del_right_align(g: Genome) -> DataFrame:
-    return _deletions(g).select("vid", annotate.roll_right(F.col("seq"), F.col("pos"), F.col("till")).alias("roll"))
+    return annotate.align_deletions(_deletions(g), g.chunks, g.contigs).select("vid", F.col("right").alias("roll"))
 
 
-@query(f"SELECT vid, (SELECT min(j) FROM range(0, 400) r(j) WHERE pos - 1 - j < 1 OR substr(seq, till - j, 1) <> substr(seq, pos - 1 - j, 1))::INT AS roll FROM {_DELETIONS} d")
+@query(f"SELECT vid, {_until('pos - 1 - j < 1 OR substr(seq, till - j, 1) <> substr(seq, pos - 1 - j, 1)')} AS roll FROM {_DELETIONS} d")
 def del_left_align(g: Genome) -> DataFrame:
-    return _deletions(g).select("vid", annotate.roll_left(F.col("seq"), F.col("pos"), F.col("till")).alias("roll"))
+    return annotate.align_deletions(_deletions(g), g.chunks, g.contigs).select("vid", F.col("left").alias("roll"))
 
 
-@query("SELECT vid, substr(seq, pos, 2) AS ins, CASE WHEN pos >= 3 AND substr(seq, pos - 1, 2) = ins THEN (pos - 1) || '_' || pos || 'dup' || ins ELSE pos || '_' || (pos + 1) || 'ins' || ins END AS id FROM (SELECT s.*, seq, substr(seq, pos, 2) AS ins FROM snv s JOIN contig USING (contig_id) WHERE qty % 4 = 2 AND pos > 2)".replace("SELECT vid, substr(seq, pos, 2) AS ins,", "SELECT vid, ins,"))
+@query(f"""SELECT vid, t AS ins, CASE WHEN p >= n AND substr(seq, p - n + 1, n) = t THEN (CASE WHEN n = 1 THEN '' ELSE (p - n + 1) || '_' END) || p || 'dup' || t ELSE p || '_' || (p + 1) || 'ins' || t END AS id FROM (
+ SELECT *, pos + k AS p, substr(ins || ins, CAST(k % n AS INT) + 1, CAST(n AS INT)) AS t FROM (
+  SELECT *, {_until("pos + 1 + j > length(seq) OR CASE WHEN j < n THEN substr(ins, j + 1, 1) ELSE substr(seq, pos + 1 + j - n, 1) END <> substr(seq, pos + 1 + j, 1)")} AS k FROM (
+   SELECT s.*, seq, 1 + qty % 3 AS n, substr(seq, pos, CAST(1 + qty % 3 AS INT)) AS ins FROM snv s JOIN contig USING (contig_id) WHERE pos + 4 <= length(seq))))""")
 def ins_dup_detect(g: Genome) -> DataFrame:
-    """An insertion that repeats the bases before it is a duplication."""
-    v = g.variants().where("qty % 4 = 2 and pos > 2").join(g.contigs, "contig_id").withColumn("p", F.col("pos").cast("int")).withColumn("ins", F.substr("seq", F.col("p"), F.lit(2)))
-    s = lambda d: (F.col("pos") + d).cast("string")
-    dup = F.substr("seq", F.col("p") - 1, F.lit(2)) == F.col("ins")
-    return v.select("vid", "ins", F.when(dup, F.concat(s(-1), F.lit("_"), s(0), F.lit("dup"), "ins")).otherwise(F.concat(s(0), F.lit("_"), s(1), F.lit("ins"), "ins")).alias("id"))
+    """An insertion, shifted right as far as it goes, that repeats the bases before it is a duplication."""
+    v = g.around(three=(0, 3)).where("pos + 4 <= len").withColumn("ins", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int"))).drop("three")
+    x = annotate.align_insertions(v, g.chunks, g.contigs)
+    x = x.select("vid", "contig_id", (F.col("pos") + F.col("right")).alias("pos"), annotate.turned(F.col("ins"), F.col("right")).alias("ins"))
+    x = genome.bases_at(x, g.chunks, before=(-2, 3))
+    n, s = F.length("ins"), lambda d: (F.col("pos") + d).cast("string")
+    dup = F.right("before", n) == F.col("ins")
+    return x.select("vid", "ins", F.when(dup, F.concat(F.when(n == 1, "").otherwise(F.concat(s(1 - n), F.lit("_"))), s(0), F.lit("dup"), "ins")).otherwise(F.concat(s(0), F.lit("_"), s(1), F.lit("ins"), "ins")).alias("id"))
 
 
-_TRIM = "(SELECT vid, pos, substr(seq, pos, 6) AS r, substr(seq, pos, 2) || alt || substr(seq, pos + 4, 2) AS a FROM snv JOIN contig USING (contig_id) WHERE qty % 4 = 3 AND pos + 6 <= length(seq))"
+_TRIM = "(SELECT vid, pos, substr(seq, pos, 6) AS r, substr(seq, pos, 2) || alt || substr(seq, pos + 4, 2) AS a FROM snv JOIN contig USING (contig_id) WHERE pos + 6 <= length(seq))"
 
 
 @query(f"""SELECT vid, substr(r, h + 1, length(r) - h - t) AS ref, substr(a, h + 1, length(a) - h - t) AS alt, h::INT AS head FROM (
  SELECT *, (SELECT min(j) FROM range(0, 6) x(j) WHERE j >= least(length(r), length(a)) - h OR substr(r, length(r) - j, 1) <> substr(a, length(a) - j, 1)) AS t FROM (
   SELECT *, (SELECT min(j) FROM range(0, 7) x(j) WHERE j >= length(a) OR substr(r, j + 1, 1) <> substr(a, j + 1, 1)) AS h FROM {_TRIM} z) y) w""")
 def mnv_trim_reduce(g: Genome) -> DataFrame:
-    v = g.variants().where("qty % 4 = 3").join(g.contigs, "contig_id").where("pos + 6 <= len").withColumn("p", F.col("pos").cast("int"))
-    s = lambda d, n: F.substr("seq", F.col("p") + d, F.lit(n))
-    return v.select("vid", sequence.trim(s(0, 6), F.concat(s(0, 2), "alt", s(4, 2))).alias("x")).select("vid", "x.*")
+    v = g.around(six=(0, 6)).where("pos + 6 <= len")
+    s = lambda d, n: F.substr("six", F.lit(d + 1), F.lit(n))
+    return v.select("vid", sequence.trim(F.col("six"), F.concat(s(0, 2), "alt", s(4, 2))).alias("x")).select("vid", "x.*")
 
 
 _DBSNP = "(SELECT contig_id, pos, ref, list_sort(list(DISTINCT alt)) AS alts, min('rs' || vid) AS id FROM snv WHERE qty % 7 = 0 GROUP BY 1, 2, 3)"
@@ -342,17 +360,17 @@ _DBSNP = "(SELECT contig_id, pos, ref, list_sort(list(DISTINCT alt)) AS alts, mi
 
 @query(f"SELECT s.vid, d.id FROM snv s LEFT JOIN {_DBSNP} d ON d.contig_id = s.contig_id AND d.pos = s.pos AND d.ref = s.ref AND list_contains(d.alts, s.alt)")
 def dbsnp_snv(g: Genome) -> DataFrame:
-    v = g.variants()
+    v = g.variants
     known = v.where("qty % 7 = 0").groupBy("contig_id", "pos", "ref").agg(F.collect_set("alt").alias("alts"), F.min(F.concat(F.lit("rs"), "vid")).alias("id"))
     return v.join(known, ["contig_id", "pos", "ref"], "left").select("vid", F.when(F.array_contains("alts", F.col("alt")), F.col("id")).alias("id"))
 
 
-@query("SELECT s.vid, string_agg(f.name, ',' ORDER BY f.name) AS features FROM snv s LEFT JOIN (SELECT 1 + c_custkey % n AS contig_id, 1 + (c_custkey * 31) % 800 AS fb, 1 + (c_custkey * 31) % 800 + c_custkey % 40 AS fe, c_name AS name FROM customer, nc) f ON f.contig_id = s.contig_id AND s.pos BETWEEN fb AND fe GROUP BY s.vid")
+@query("SELECT s.vid, string_agg(f.name, ',' ORDER BY f.name) AS features FROM snv s LEFT JOIN (SELECT 1 + c_custkey % n AS contig_id, 1 + (c_custkey * 31) % 2000 AS fb, 1 + (c_custkey * 31) % 2000 + c_custkey % 400 AS fe, c_name AS name FROM customer, nc) f ON f.contig_id = s.contig_id AND s.pos BETWEEN fb AND fe GROUP BY s.vid")
 def feature_overlap(g: Genome) -> DataFrame:
     c = g.read("customer").crossJoin(F.broadcast(g.number))  # one row
-    f = c.select((1 + F.col("c_custkey") % F.col("n_contigs")).alias("contig_id"), (1 + (F.col("c_custkey") * 31) % 800).alias("fb"), (1 + (F.col("c_custkey") * 31) % 800 + F.col("c_custkey") % 40).alias("fe"), F.col("c_name").alias("name"))
-    hits = intervals.range_join(g.variants(), f, "contig_id", ("pos", "pos"), ("fb", "fe")).groupBy("vid").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("features"))
-    return g.variants().select("vid").distinct().join(hits, "vid", "left")
+    f = c.select((1 + F.col("c_custkey") % F.col("n_contigs")).alias("contig_id"), (1 + (F.col("c_custkey") * 31) % 2000).alias("fb"), (1 + (F.col("c_custkey") * 31) % 2000 + F.col("c_custkey") % 400).alias("fe"), F.col("c_name").alias("name"))
+    hits = intervals.range_join(g.variants, f, "contig_id", ("pos", "pos"), ("fb", "fe")).groupBy("vid").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("features"))
+    return g.variants.select("vid").distinct().join(hits, "vid", "left")
 
 
 @query("""SELECT a.tid AS tid1, b.tid AS tid2, a.k AS codon1, (b.cpos + 2) // 3 AS codon2, min(a.g) AS gpos FROM (
@@ -363,7 +381,7 @@ JOIN LATERAL (SELECT s2.tid AS tid, s2.cprev + CASE s2.strand WHEN '+' THEN a.g
 JOIN cds ON cds.tid = b.tid WHERE (b.cpos + 2) // 3 <> a.k AND ((b.cpos + 2) // 3) * 3 <= length(cds.cds) GROUP BY 1, 2, 3, 4""")
 def codonsearch(g: Genome) -> DataFrame:
     """Codons of other transcripts that share a base with one codon of each transcript, under another number."""
-    t = g.transcripts()
+    t = g.transcripts
     ask = t.withColumn("k", 1 + F.col("tid") % 8).withColumn("o", F.explode(F.array(*(F.lit(i) for i in range(3)))))
     ask = ask.select(F.col("tid").alias("tid1"), "contig_id", F.col("k").alias("codon1"), coords.genomic(3 * F.col("k") - 2 + F.col("o"), F.col("segs"), F.col("strand")).alias("gpos")).where("gpos is not null")
     hit = intervals.range_join(ask, t, "contig_id", ("gpos", "gpos"), ("beg", "tend")).where("tid <> tid1").withColumn("c", coords.cdna(F.col("gpos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
@@ -373,21 +391,21 @@ def codonsearch(g: Genome) -> DataFrame:
 
 @query(f"SELECT s.vid, count(t.tid)::BIGINT AS n, CASE WHEN count(t.tid) <= 5 THEN string_agg(t.tid || '', ',' ORDER BY t.tid) END AS names FROM ({SPAN}) s JOIN tx t ON t.contig_id = s.contig_id AND t.beg >= s.pos AND t.tend <= s.till GROUP BY s.vid")
 def spanned_genes(g: Genome) -> DataFrame:
-    spans = g.variants().withColumn("till", F.col("pos") + F.col("qty") * 20)
-    hit = intervals.range_join(spans, g.transcripts(), "contig_id", ("pos", "till"), ("beg", "tend"), width=200).where("beg >= pos and tend <= till")
+    spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
+    hit = intervals.range_join(spans, g.transcripts, "contig_id", ("pos", "till"), ("beg", "tend"), width=200).where("beg >= pos and tend <= till")
     return hit.groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("tid")).alias("l")).select("vid", "n", F.when(F.col("n") <= 5, F.array_join("l", ",")).alias("names"))
 
 
 @query("SELECT vid, CASE WHEN count(DISTINCT csqn) = 1 THEN max(csqn) ELSE 'Multi:' || string_agg(DISTINCT csqn, ',' ORDER BY csqn) END AS csqn FROM consequence GROUP BY vid")
 def csqn_summary(g: Genome) -> DataFrame:
-    return annotate.collapse(annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True))), "vid")
+    return annotate.collapse(annotate.snv_consequence(annotate.on_transcripts(g.variants, g.transcripts)), "vid")
 
 
 @query("SELECT vid, string_agg('T' || tid || chr(9) || strand || chr(9) || csqn, chr(9) || '|||' || chr(9) ORDER BY tid) AS line FROM consequence GROUP BY vid UNION ALL SELECT vid, '.' || chr(9) || '.' || chr(9) || 'no_valid_transcript_found' FROM snv WHERE vid NOT IN (SELECT vid FROM pair)")
 def oneline_render(g: Genome) -> DataFrame:
     """All records of a query in one line; queries without any get their own."""
-    v = g.variants()
-    x = annotate.snv_consequence(annotate.on_transcripts(v, g.transcripts(with_cds=True)))
+    v = g.variants
+    x = annotate.snv_consequence(annotate.on_transcripts(v, g.transcripts))
     record = F.concat_ws("\t", F.concat(F.lit("T"), F.col("tid").cast("string")), "strand", "csqn")
     lines = x.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("tid", record.alias("r")))).alias("l")).select("vid", F.array_join("l.r", "\t|||\t").alias("line"))
     return v.select("vid").join(lines, "vid", "left").withColumn("line", F.coalesce("line", F.lit(".\t.\tno_valid_transcript_found")))
@@ -395,14 +413,14 @@ def oneline_render(g: Genome) -> DataFrame:
 
 @query("SELECT vid, tid, elen * nex AS tlen FROM (SELECT *, row_number() OVER (PARTITION BY vid, contig_id ORDER BY elen * nex DESC, tid) AS r FROM pair) WHERE r = 1")
 def longest_overlap_tx(g: Genome) -> DataFrame:
-    p = annotate.on_transcripts(g.variants(), g.transcripts()).withColumn("tlen", coords.total_length(F.col("exons")))
+    p = annotate.on_transcripts(g.variants, g.transcripts).withColumn("tlen", coords.total_length(F.col("exons")))
     rank = F.row_number().over(Window.partitionBy("vid", "contig_id").orderBy(F.desc("tlen"), "tid"))
     return p.withColumn("r", rank).where("r = 1").select("vid", "tid", "tlen")
 
 
 @query("SELECT csqn, count(*)::BIGINT AS n, count(DISTINCT tid)::BIGINT AS n_tx FROM consequence GROUP BY csqn")
 def csqn_counts(g: Genome) -> DataFrame:
-    x = annotate.snv_consequence(annotate.on_transcripts(g.variants(), g.transcripts(with_cds=True)))
+    x = annotate.snv_consequence(annotate.on_transcripts(g.variants, g.transcripts))
     return x.groupBy("csqn").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("n_tx"))
 
 
@@ -417,24 +435,25 @@ def _apart(a: str, b: str) -> str:
     return f"list_position([substr({a}, CAST(i AS INT), 1) <> substr({b}, CAST(i AS INT), 1) for i in range(1, least(length({a}), length({b})) + 1)], true)"
 
 
-#: Edits of one CDS segment: what is done to which bases, by the remainder of qty.
+#: Edits at every variant: the last base replaced, the new bases, and whether they go between pos and till.
 _EDITS = {
-    "deletion": ("qty % 4 = 1", "pos + qty % 6", "''", "false"),
-    "insertion": ("qty % 4 = 2", "pos + 1", "substr(seq, CAST(pos + 9 AS INT), CAST(2 + qty % 3 AS INT))", "true"),
-    "block": ("qty % 4 = 3", "pos + 3", "substr(seq, CAST(pos + 7 AS INT), CAST(3 + qty % 3 AS INT))", "false"),
+    "deletion": ("pos + qty % 6", "''", "false"),
+    "insertion": ("pos + 1", "substr(seq, CAST(pos + 9 AS INT), CAST(2 + qty % 3 AS INT))", "true"),
+    "block": ("pos + 3", "substr(seq, CAST(pos + 7 AS INT), CAST(3 + qty % 3 AS INT))", "false"),
 }
 
 
 def _edits(g: Genome, kind: str) -> DataFrame:
-    test, till, alt, between = _EDITS[kind]
-    v = g.variants().where(test).drop("ref", "alt").join(g.contigs, "contig_id").where("pos + 20 <= len")
+    till, alt, between = _EDITS[kind]
+    v = g.around(after=(0, 20)).where("pos + 20 <= len")
+    alt = alt.replace("seq", "after").replace("pos", "1")
     v = v.select("vid", "contig_id", "pos", F.expr(till).alias("till"), F.expr(alt).alias("alt"), F.expr(between).alias("between"))
-    return coding.on_coding(v, g.transcripts(with_cds=True))
+    return coding.on_coding(v, g.transcripts)
 
 
 def _edit_sql(kind: str) -> str:
-    test, till, alt, between = _EDITS[kind]
-    return f""", v AS (SELECT vid, contig_id, pos, {till} AS till, {alt} AS alt FROM snv JOIN contig USING (contig_id) WHERE {test} AND pos + 20 <= length(seq)),
+    till, alt, between = _EDITS[kind]
+    return f""", v AS (SELECT vid, contig_id, pos, {till} AS till, {alt} AS alt FROM snv JOIN contig USING (contig_id) WHERE pos + 20 <= length(seq)),
 edit0 AS (SELECT v.vid, g.tid, g.strand, CASE g.strand WHEN '+' THEN cprev + v.pos - gb + 1 ELSE cprev + ge - v.till + 1 END AS lo, CASE g.strand WHEN '+' THEN cprev + v.till - gb + 1 ELSE cprev + ge - v.pos + 1 END AS hi,
   CASE g.strand WHEN '+' THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END AS alt FROM v JOIN segment g ON g.contig_id = v.contig_id AND v.pos >= gb AND v.till <= ge),
 edit AS (SELECT e.vid, e.tid, {'hi' if between == 'true' else 'lo'} AS cbeg, {'lo' if between == 'true' else 'hi'} AS cend, alt, cds, tail FROM edit0 e JOIN cds USING (tid) JOIN tail USING (tid)),
@@ -505,29 +524,29 @@ def variant_protein(g: Genome) -> DataFrame:
  SELECT *, CAST(NOT (eb >= pos AND ee <= till) AND i > 0 AND eb BETWEEN pos - 1 AND till + 1 AS INT) AS at_beg, CAST(NOT (eb >= pos AND ee <= till) AND NOT (i > 0 AND eb BETWEEN pos - 1 AND till + 1) AND i < nex - 1 AND ee BETWEEN pos - 1 AND till + 1 AS INT) AS at_end
  FROM (SELECT s.vid, s.pos, s.till, e.* FROM ({SPAN}) s JOIN exon e ON e.contig_id = s.contig_id AND e.beg <= s.till AND e.tend >= s.pos)) GROUP BY 1, 2""")
 def span_region(g: Genome) -> DataFrame:
-    spans = g.variants().withColumn("till", F.col("pos") + F.col("qty") * 20)
-    hit = intervals.range_join(spans, g.transcripts(), "contig_id", ("pos", "till"), ("beg", "tend"), width=200)
+    spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
+    hit = intervals.range_join(spans, g.transcripts, "contig_id", ("pos", "till"), ("beg", "tend"), width=200)
     s = coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"))
     return hit.select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
 
 
 @query("SELECT contig_id, tid, cdslen FROM (SELECT t.contig_id, t.tid, length(cds) AS cdslen, row_number() OVER (PARTITION BY t.contig_id ORDER BY length(cds) DESC, t.tid) AS r FROM tx t JOIN cds USING (tid)) WHERE r = 1")
 def longest_coding_per_gene(g: Genome) -> DataFrame:
-    t = g.transcripts().select("contig_id", "tid", coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
+    t = g.transcripts.select("contig_id", "tid", coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
     return t.groupBy("contig_id").agg(F.max(F.struct("cdslen", (-F.col("tid")).alias("neg"))).alias("m")).select("contig_id", (-F.col("m.neg")).alias("tid"), "m.cdslen")
 
 
-_KNOWN = "SELECT contig_id, pos - 1 AS anchor, 'rs' || vid AS id, substr(seq, CAST(pos - 1 AS INT), CAST(2 + qty % 6 AS INT)) AS padded FROM snv JOIN contig USING (contig_id) WHERE qty % 4 = 1 AND qty % 3 = 0 AND pos > 1 AND pos + 10 <= length(seq)"
+_KNOWN = "SELECT contig_id, pos - 1 AS anchor, 'rs' || vid AS id, substr(seq, CAST(pos - 1 AS INT), CAST(2 + qty % 6 AS INT)) AS padded FROM snv JOIN contig USING (contig_id) WHERE qty % 3 = 0 AND pos > 1 AND pos + 10 <= length(seq)"
 
 
-@query(f"""SELECT v.vid, string_agg(DISTINCT k.id, ',' ORDER BY k.id) AS ids FROM (SELECT vid, contig_id, pos, substr(seq, pos, 1 + qty % 6) AS gone FROM snv JOIN contig USING (contig_id) WHERE qty % 4 = 1 AND pos + 10 <= length(seq)) v
+@query(f"""SELECT v.vid, string_agg(DISTINCT k.id, ',' ORDER BY k.id) AS ids FROM (SELECT vid, contig_id, pos, substr(seq, pos, 1 + qty % 6) AS gone FROM snv JOIN contig USING (contig_id) WHERE pos + 10 <= length(seq)) v
 LEFT JOIN ({_KNOWN}) k ON k.contig_id = v.contig_id AND k.anchor = v.pos - 1 AND substr(k.padded, 2) = v.gone GROUP BY v.vid""")
 def dbsnp_indel(g: Genome) -> DataFrame:
     """Known deletions stand at the base before, with that base in front of their own."""
-    v = g.variants().where("qty % 4 = 1").join(g.contigs, "contig_id").where("pos + 10 <= len").withColumn("p", F.col("pos").cast("int")).withColumn("n", (F.col("qty") % 6).cast("int"))
-    known = v.where("qty % 3 = 0 and pos > 1").select("contig_id", (F.col("pos") - 1).alias("anchor"), F.concat(F.lit("rs"), "vid").alias("id"), F.substr("seq", F.col("p") - 1, F.col("n") + 2).alias("padded"))
+    v = g.around(near=(-1, 8)).where("pos + 10 <= len").withColumn("n", (F.col("qty") % 6).cast("int"))
+    known = v.where("qty % 3 = 0 and pos > 1").select("contig_id", (F.col("pos") - 1).alias("anchor"), F.concat(F.lit("rs"), "vid").alias("id"), F.substr("near", F.lit(1), F.col("n") + 2).alias("padded"))
     known = known.groupBy("contig_id", "anchor", F.substr("padded", F.lit(2)).alias("gone")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
-    asked = v.select("vid", "contig_id", (F.col("pos") - 1).alias("anchor"), F.substr("seq", F.col("p"), F.col("n") + 1).alias("gone")).distinct()
+    asked = v.select("vid", "contig_id", (F.col("pos") - 1).alias("anchor"), F.substr("near", F.when(F.col("pos") > 1, 2).otherwise(1), F.col("n") + 1).alias("gone")).distinct()
     return asked.join(known, ["contig_id", "anchor", "gone"], "left").select("vid", "ids")
 
 
@@ -540,7 +559,7 @@ def idmap_lookup(g: Genome) -> DataFrame:
 @query("SELECT contig_id, beg, tend, strand, count(*)::BIGINT AS n, string_agg(tid % 3 || '', ',' ORDER BY tid % 3, tid) AS sources, min(tid) AS first_tid FROM tx GROUP BY 1, 2, 3, 4")
 def tx_union_sources(g: Genome) -> DataFrame:
     """Transcripts of three sources put together; those that share their span and strand with others, once."""
-    t = g.transcripts().select("tid", "contig_id", "beg", "tend", "strand")
+    t = g.transcripts.select("tid", "contig_id", "beg", "tend", "strand")
     all_of = t.where("tid % 3 = 0").withColumn("source", F.lit(0)).unionByName(t.where("tid % 3 = 1").withColumn("source", F.lit(1))).unionByName(t.where("tid % 3 = 2").withColumn("source", F.lit(2)))
     own = F.array_join(F.transform(F.sort_array(F.collect_list("source")), lambda s: s.cast("string")), ",")
     return all_of.groupBy("contig_id", "beg", "tend", "strand").agg(F.count(F.lit(1)).alias("n"), own.alias("sources"), F.min("tid").alias("first_tid"))

@@ -87,7 +87,7 @@ def test_shifted_frame_is_read_on_to_its_stop(spark, tmp_path, strand):
     tid, seq = (50, "C" * 1200 + "TAACTAACTAA" + "C" * 100) if strand == "+" else (199, "G" * 1500)
     spark.createDataFrame([(1, "".join({"A": "a", "C": "b", "G": "c", "T": "d"}[x] for x in seq) + " " * 300)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(tid, 0)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    (t,) = fixture.Genome(spark, str(tmp_path)).transcripts(with_cds=True).collect()
+    (t,) = fixture.Genome(spark, str(tmp_path)).transcripts.collect()
     rest = seq[t["cds_end"] :] if strand == "+" else "C" * (t["cds_beg"] - 1)
     assert t["tail"] == (rest[: rest.rindex("TAA") + 3] if strand == "+" else rest)
     got = _changed(spark, [(k, t["cds"], t["tail"], 4, 3 + k, "") for k in (1, 2)])

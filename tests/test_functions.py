@@ -84,7 +84,7 @@ def test_rolls_keep_the_edited_sequence(spark):
         beg = rng.randint(1, 39)
         rows.append((i, seq, beg, min(40, beg + rng.randint(0, 4))))
     d = spark.createDataFrame(rows, "i int, seq string, b int, e int")
-    for r in d.withColumn("right", annotate.roll_right(F.col("seq"), F.col("b"), F.col("e"), 4)).withColumn("left", annotate.roll_left(F.col("seq"), F.col("b"), F.col("e"), 4)).collect():
+    for r in d.withColumn("right", annotate.roll_right(F.col("seq"), F.col("b"), F.col("e"))).withColumn("left", annotate.roll_left(F.col("seq"), F.col("b"), F.col("e"))).collect():
         edit = lambda by: r["seq"][: r["b"] - 1 + by] + r["seq"][r["e"] + by :]  # noqa: B023, E731
         assert edit(r["right"]) == edit(0) == edit(-r["left"])
         assert r["e"] + r["right"] >= 40 or edit(r["right"] + 1) != edit(0)
