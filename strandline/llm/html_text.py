@@ -58,6 +58,9 @@ LABELLED = np.array(
         [5, 0.0, 70, 0.0, 55, 0.0, 0, 0, 1, 1],
         [7, 0.0, 65, 0.0, 45, 0.0, 0, 0, 0, 1],
         [12, 0.1, 40, 0.1, 30, 0.0, 0, 0, 0, 1],
+        [16, 0.0, 22, 0.0, 1, 0.0, 0, 0, 0, 1],
+        [15, 0.0, 20, 0.0, 4, 1.0, 0, 0, 0, 1],
+        [18, 0.0, 19, 0.0, 0, 0.0, 0, 0, 0, 1],
         [6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0],
         [4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0],
         [8, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0],
@@ -72,9 +75,9 @@ LABELLED = np.array(
     ]
 )
 
-_SKIP = {"script", "style", "noscript", "template", "head", "title", "select", "textarea", "svg", "iframe", "object", "canvas", "math", "option", "button", "audio", "video"}
+_SKIP = {"script", "style", "noscript", "template", "head", "title", "select", "textarea", "svg", "iframe", "object", "canvas", "option", "button", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+_INLINE = {"math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "semantics", "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _NAMES = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget".split())
 #: Beginnings and ends of class names that speak of a state or a topic of the element, not of what it is: has-sidebar, tag-legal, comments-open.
@@ -161,13 +164,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                 pieces.append((m[0][9:].removesuffix("]]>"), links > 0))
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in _SKIP and not ends and not (name in ("svg", "math") and attributes.endswith("/")):
+        if name in _SKIP and not ends and not (name == "svg" and attributes.endswith("/")):
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if name == "head" and not end:
                 end = re.compile(r"(?=<body\b)", re.I).search(page, at)
             if end:
                 at = end.end()
-            elif name not in ("head", "option", "button", "title", "svg", "math"):
+            elif name not in ("head", "option", "button", "title", "svg"):
                 at = size  # what is never closed hides the rest
             pieces.append((" ", links > 0))
             continue

@@ -15,6 +15,7 @@ only the last sequence is short.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -178,6 +179,12 @@ def pieces_of(service: Service, source: int, at: np.ndarray, n: np.ndarray, leng
     return doc[part], (low - at[doc])[part] + p - place[part], size, sequence, p - sequence * length
 
 
+@functools.cache
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each file and process, as it takes a while to read; it remembers pieces up to a bound."""
+    return Encoder(path, pattern)
+
+
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and value of first, first + 1, ... `count` times for each row."""
     row = np.repeat(np.arange(len(count)), count)
@@ -205,18 +212,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = No
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, served = Encoder(tokenizer, pattern), {}
+        coder, served = encoder(tokenizer, pattern), {}
         part = TaskContext.get().partitionId()
         for whole in batches:
             for batch in W.slices(whole):
-                ids, of = encoder.encode(batch.column("text"))
+                ids, of = coder.encode(batch.column("text"))
                 n = np.diff(of) + 1
                 at = np.zeros(len(n), np.int64)
                 sources = batch.column("source").to_pylist()
                 for i, s in enumerate(sources):
                     at[i] = served.get(s, 0)
                     served[s] = at[i] + int(n[i])
-                blobs = [np.append(ids[a:b], END).astype("<u4" if encoder.wide else "<u2").tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
+                blobs = [np.append(ids[a:b], END).astype("<u4" if coder.wide else "<u2").tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
                 yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(at), pa.array(n), pa.array(blobs, pa.binary())], ["doc_id", "source", "part", "at", "n", "ids"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
@@ -228,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = No
     number = {r["source"]: i for i, r in enumerate(queues)}
     share = [float(shares.get(s, 0.0)) for s in number] if shares is not None else weights and [float(weights[i % len(weights)]) for i in range(len(number))]
     service = Service([r["n"] for r in queues], window, share)
-    wide = Encoder(tokenizer, pattern).wide
+    wide = encoder(tokenizer, pattern).wide
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in PIECE.split(", ")]

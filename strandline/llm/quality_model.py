@@ -88,12 +88,15 @@ def features_of(w: W.Words, hashes: np.ndarray, bits: int = BITS) -> tuple[np.nd
     per_word = lambda table: (lambda c: c[w.end] - c[w.start])(np.concatenate([[0], np.cumsum(table[w.data], dtype=np.int64)]))
     letters, upper, digits, marks = per_word(_LETTER), per_word(_UPPER), per_word(_DIGIT), per_word(_MARK)
     length = w.end - w.start
+    first = w.of[:-1][w.of[:-1] < len(hashes)]  # words that have none before them in their text
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
+    same[first] = False
     last = w.data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
     shape = np.minimum(length, 31) // 4 + 8 * np.minimum(upper, 2) + 24 * (letters == 0) + 48 * np.minimum(marks, 2) + 144 * (digits > 0) + 288 * same + 576 * _END[last]
     pair = np.zeros(len(shape), np.int64)
     pair[1:] = shape[:-1] * 2048 + shape[1:]
+    pair[first] = shape[first]
     ending = np.where(length > 1, w.data[np.maximum(w.end - 2, 0)].astype(np.int64), 0) * 256 + last if len(w.end) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(w.counts)), w.counts)
     slot = np.concatenate([(W.mix(x.astype(np.uint64) + np.uint64(s << 40)) >> np.uint64(64 - bits)).astype(np.int64) for s, x in ((1, shape), (2, pair), (3, ending))])

@@ -139,13 +139,20 @@ def _remove(window: int):
 def blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """docs with `block`, a range of doc_id with about block_bytes of text, and the bytes of all texts.
 
-    The bounds are quantiles, eight bytes a block; they travel with the task.
+    The bounds are quantiles of ids, in which each id counts as often as its
+    text has steps of a 64th of a block, begun ones too.  So long texts that stand
+    together make more blocks, not longer ones, and many tiny ones don't make a
+    long list; only a text longer than a block makes one of its own size.  The
+    bounds are eight bytes a block; they travel with the task.
     """
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // block_bytes))
+    step = max(1, block_bytes // 64)
+    weighed = docs.select("doc_id", F.ceil(F.octet_length("text") / step).cast("int").alias("steps")).where("doc_id is not null and steps > 0")
+    found = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.ceil(F.octet_length("text") / step)).alias("s")).first()
+    total, n = found["b"] or 0, max(1, -(-(found["s"] or 0) // 64))
     cuts = np.zeros(0, np.int64)
     if n > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"]
+        each = weighed.select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("steps"))))
+        found = each.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"]
         cuts = np.unique(np.array(found or [], np.int64))
 
     @F.arrow_udf("int")

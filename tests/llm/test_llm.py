@@ -87,6 +87,29 @@ def test_compression_bands():
     assert bad[0] == 0 and bad[1] > quality_rules.CHUNK_SHARE and ratio[2] > 20
 
 
+def test_verdict_step_by_step(docs, rows):
+    import zstandard
+
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    got = collections.Counter((r["doc_id"], r["kept"], round(r["ratio"], 9)) for r in quality_rules.quality_rules(docs).collect())
+    want = collections.Counter()
+    failed = {(r["doc_id"], r["n_words"]): r["base_failed"] for r in quality_rules.quality_rules(docs).collect()}
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        ratio, kept = len(b) / size(b) if b else 1.0, not failed[i, len(WORD.findall(t or ""))]
+        for least, low, high in reversed(quality_rules.DOCUMENT_BANDS):
+            if len(b) >= least:
+                kept = kept and low <= ratio <= high
+                break
+        if len(b) > 4096:
+            low, high = quality_rules.CHUNK_BAND
+            own = [min(j // 4096 * 4096, len(b) - 4096) for j in range(len(b))]  # the chunk that each byte is judged in
+            off = {a: not low <= 4096 / size(b[a : a + 4096]) <= high for a in set(own)}
+            kept = kept and sum(off[a] for a in own) / len(b) <= quality_rules.CHUNK_SHARE
+        want[i, kept, round(ratio, 9)] += 1
+    assert got == want
+
+
 def brute_substrings(rows, n):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     first = {}
@@ -200,6 +223,25 @@ def test_class_names_do_not_throw_the_article_away(start):
     assert html_text.main_text(page, html_text.grow(html_text.LABELLED)) == "Title " * ("Title" in start) + _ALL
 
 
+_HEAD = "<nav class=menu><ul><li><a href=1>Home</a></li><li><a href=2>News of the day</a></li></ul></nav><div class=cookie-banner><p>This site uses cookies to remember you, and so do its partners.</p></div>"
+_SIDE = "<div class=sidebar><h3>Latest</h3><ul><li><a href=3>One more thing to read</a></li><li><a href=4>And another one</a></li></ul></div>"
+TEMPLATES = {
+    "blog": "<body>" + _HEAD + "<div id=page><div class='post hentry'>{}</div>" + _SIDE + "</div><div id=comments><p class=comment>I like this very much, thank you for all your work on it.</p></div><footer>c</footer></body>",
+    "table": "<body><table><tr><td class=nav><a href=1>a</a> <a href=2>b</a></td><td class=content>{}</td></tr></table><div class=footer>Written by us, all rights reserved by us</div></body>",
+    "news": "<body><header>" + _HEAD + "</header><main><article class=story>{}<aside><p>Read also what others wrote about it.</p></aside></article></main><section class=related-links><a href=9>Related story number one</a></section></body>",
+    "wiki": "<body>" + _HEAD + "<div id=content role=main><div class=mw-body>{}</div></div><div id=mw-panel role=navigation><p>Tools and other things for you to use</p></div></body>",
+    "plain": "<body>{}</body>",
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_templates(name):
+    """The step-by-step answer: the article is what was put into the template."""
+    math = "<p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is what this paragraph talks about, and it has enough words.</p>"
+    got = html_text.main_text(TEMPLATES[name].format(_TEXT + math), html_text.grow(html_text.LABELLED))
+    assert got == _ALL + " The sum a+b is what this paragraph talks about, and it has enough words."
+
+
 @pytest.mark.parametrize("rest", ["<section id=comments>{}{}</section>", "<div class=site-footer>{}</div>", "<div class='comments-open comments'>{}{}</div>", "<div hidden>{}{}</div>", "<aside>{}{}</aside>"])
 def test_class_names_still_tell_furniture_beside_the_article(rest):
     tree, other = html_text.grow(html_text.LABELLED), _TEXT.replace("Paragraph", "Reader")
@@ -250,6 +292,24 @@ def test_encoder_on_odd_white_space():
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(at.tolist())] == [x.ids for x in t.encode_batch([*texts, ""], add_special_tokens=False)]
 
 
+def test_windows_have_the_target_proportions(spark):
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, "word " * 90, "abc"[i % 3]) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    per = collections.defaultdict(collections.Counter)
+    for r in packing.pack(d, window=1024).collect():
+        per[r["sequence_id"]]["abc"[r["doc_id"] % 3]] += r["length"]
+    # weights 3, 1, 2 hold in every window until the first queue ends
+    for s in range(6):
+        assert sum(per[s].values()) == 1024 and all(abs(per[s][x] - 1024 * n / 6) <= 1 for x, n in (("a", 3), ("b", 1), ("c", 2)))
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError, match="no byte-level vocabulary"):
+        packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN)
+
+
 def test_service_is_deficit_round_robin():
     totals, window = [5000, 1234, 40, 1, 0, 9999], 700
     s = packing.Service(totals, window)
@@ -287,6 +347,39 @@ def test_quality_classifier(spark, none):
     assert quality_model.quality_classifier(none).count() == 0
 
 
+def test_scores_depend_on_texts_alone(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60, 4000), "x") for i in range(60)] + [(100 + i, "# | # | " * 40, "x") for i in range(12)]
+    rows += [(None, rows[0][1], None), (0, rows[0][1], "y"), (5, "ok then " * 20_000, "z"), (None, rows[1][1], None), (7, None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, hash string").repartition(3)
+    got = [tuple(r) for r in quality_model.quality_classifier(d, fit_documents=20).join(d.select(F.lit(0).alias("z")).limit(1)).select("doc_id", "score", "kept").collect()]
+    assert len(got) == len(rows)
+    by_id = collections.defaultdict(set)
+    for i, s, k in got:
+        by_id[i].add((round(s, 12), k))
+    assert len(by_id[0]) == 1 and len(by_id[None]) == 2 and by_id[7] == {(0.0, False), *by_id[7]}
+
+
+def test_fit_is_bounded_whatever_ids_repeat(spark, monkeypatch):
+    rng, seen = random.Random(3), []
+    rows = [(None, prose(rng, 20, 500)) for _ in range(300)] + [(None, "same text again")] * 200
+    fit = quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda slot, weight, at, label: seen.append(len(label)) or fit(slot, weight, at, label))
+    quality_model.quality_model(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), fit_documents=10)
+    assert 0 < seen[0] <= 10
+
+
+def test_held_out_labels(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/labels.parquet"):
+        pytest.skip("no labels here")
+    got = quality_model.quality_classifier(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["n"] for r in got.groupBy("quality", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n.get((0, True), 0) <= 0.05 * (n.get((0, True), 0) + n[0, False]) and n.get((1, False), 0) <= 0.02 * n[1, True]
+
+
 def test_estimate_finds_noise():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.85
@@ -408,6 +501,13 @@ def test_mix(docs, rows, none):
     assert mix_sources.mixed(docs).columns == docs.columns
 
 
+def test_sampling_takes_fuller_documents_sooner(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(if(id % 2 = 0, 30, 10) as int))").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("size"), F.lit(2).alias("taken"), F.lit("t").alias("target"))
+    got = mix_sources.mix_sources(d, weights=(1,), share=0.5).groupBy("size").agg(F.avg((F.col("taken") > 0).cast("int")).alias("share"), F.sum("taken").alias("n")).collect()
+    share, n = {r["size"]: r["share"] for r in got}, sum(r["n"] for r in got)
+    assert n == 40_000 and share[30] > share[10] + 0.15
+
+
 def test_utility_tilts_the_sample(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("good"))
     got = mix_sources.mix_sources(d, weights=(1,), share=0.5, utility="good").withColumn("even", F.col("doc_id") % 2 == 0).groupBy("even").agg(F.sum("taken").alias("n")).collect()
