@@ -23,15 +23,15 @@ def region_text(s: Column) -> Column:
     return F.when(s["part"] == "intronic", "Intronic").when(s["utr"] == 5, "5-UTR").when(s["utr"] == 3, "3-UTR").otherwise("Unclassified")
 
 
-def located(pairs: DataFrame, pos: str = "pos") -> DataFrame:
-    """pairs with __site and __c, of coords.site and coords.cdna.
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, made by a generator of one row: filters and projections after it don't evaluate them again."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
-    They come from a generator of one row, so that a filter on what is made of
-    them doesn't evaluate them again.
-    """
+
+def located(pairs: DataFrame, pos: str = "pos") -> DataFrame:
+    """pairs with __site and __c, of coords.site and coords.cdna."""
     s = coords.site(F.col(pos), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"), F.lit(True))
-    one = F.struct(s.alias("__site"), coords.cdna(F.col(pos), F.col("segs"), F.col("strand")).alias("__c"))
-    return pairs.select("*", F.inline(F.array(one)))
+    return once(pairs, __site=s, __c=coords.cdna(F.col(pos), F.col("segs"), F.col("strand")))
 
 
 def snv_consequence(pairs: DataFrame) -> DataFrame:
@@ -90,11 +90,16 @@ def turned(ins: Column, by: Column) -> Column:
     return F.substr(F.concat(ins, ins), by % F.greatest(n, F.lit(1)) + 1, n)
 
 
-def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame, window: int = 64, most: int = 64) -> DataFrame:
+#: Bases around a row that are read where a window isn't enough, and there is no table of whole contigs.
+REACH = 32_768
+
+
+def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64, most: int = 64) -> DataFrame:
     """rows (contig_id, pos, till) with right and left, how far the deletion of pos..till shifts either way.
 
     Compared in a window taken from chunks; only rows that are longer than
-    `most`, or whose window ends before the repeat does, meet their whole contig.
+    `most`, or whose window ends before the repeat does, meet their whole contig
+    (contig_id, seq), or, without such a table, the REACH bases around them.
     """
     n = (F.col("till") - F.col("pos") + 1).cast("int")
     x = genome.bases_at(rows, chunks, __back=(-window, window), __fore=(0, window + most)).withColumn("__short", n <= most)
@@ -104,18 +109,20 @@ def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame, wind
     x = x.withColumn("__right", F.when(F.col("__short"), right)).withColumn("__left", F.when(F.col("__short"), left))
     done = F.col("__short") & (F.col("__right") < window) & (F.col("__left") < window)
     near = x.where(done).select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"))
-    far = x.where(~done).select(*rows.columns).join(contigs.select("contig_id", "seq"), "contig_id")
-    place = lambda c: F.col(c).cast("int")
-    return near.union(far.select(*rows.columns, roll_right(F.col("seq"), place("pos"), place("till")).alias("right"), roll_left(F.col("seq"), place("pos"), place("till")).alias("left")))
+    far = x.where(~done).select(*rows.columns)
+    far = far.join(contigs.select("contig_id", F.col("seq").alias("region")), "contig_id").withColumn("region_first", F.lit(1)) if contigs is not None else genome.regions(far, chunks, REACH)
+    place = lambda c: (F.col(c) - F.col("region_first") + 1).cast("int")
+    return near.union(far.select(*rows.columns, roll_right(F.col("region"), place("pos"), place("till")).alias("right"), roll_left(F.col("region"), place("pos"), place("till")).alias("left")))
 
 
-def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame, window: int = 64) -> DataFrame:
+def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64) -> DataFrame:
     """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions."""
     x = genome.bases_at(rows, chunks, __fore=(1, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
     done = (F.col("__right") < window) & (F.length("ins") <= window)
     near = x.where(done).select(*rows.columns, F.col("__right").alias("right"))
-    far = x.where(~done).select(*rows.columns).join(contigs.select("contig_id", "seq"), "contig_id")
-    return near.union(far.select(*rows.columns, roll_insertion(F.col("seq"), F.col("pos").cast("int"), F.col("ins")).alias("right")))
+    far = x.where(~done).select(*rows.columns)
+    far = far.join(contigs.select("contig_id", F.col("seq").alias("region")), "contig_id").withColumn("region_first", F.lit(1)) if contigs is not None else genome.regions(far, chunks, REACH, "pos", "pos")
+    return near.union(far.select(*rows.columns, roll_insertion(F.col("region"), (F.col("pos") - F.col("region_first") + 1).cast("int"), F.col("ins")).alias("right")))
 
 
 def candidate_codons(spark: SparkSession) -> DataFrame:

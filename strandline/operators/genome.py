@@ -32,3 +32,17 @@ def bases_at(rows: DataFrame, genome: DataFrame, chunk: int = CHUNK, margin: int
         return F.substr("bases", F.greatest(beg, F.lit(1)), F.greatest(F.least(beg, F.lit(1)) + n - 1, F.lit(0)))
 
     return x.select(*(F.col(c) for c in rows.columns), *(part(*p).alias(name) for name, p in parts.items()))
+
+
+def regions(rows: DataFrame, genome: DataFrame, reach: int, beg: str = "pos", end: str = "till", chunk: int = CHUNK) -> DataFrame:
+    """rows (contig_id, beg, end) with region_first and region: the bases from reach before beg to reach after end, as far as the contig goes.
+
+    Rows meet all chunks that they span, a few at a time; for rows that bases_at doesn't reach.
+    """
+    low, high = F.greatest(F.col(beg) - reach, F.lit(1)), F.col(end) + reach
+    x = rows.withColumn("__row", F.struct(*rows.columns)).withColumn("__low", low).withColumn("__high", high)
+    x = x.select("contig_id", "__row", "__low", "__high", F.explode(F.sequence(F.floor((F.col("__low") - 1) / chunk), F.floor((F.col("__high") - 1) / chunk))).alias("chunk")).join(genome, ["contig_id", "chunk"])
+    a, b = F.greatest("__low", F.col("chunk") * chunk + 1), F.least("__high", (F.col("chunk") + 1) * chunk)
+    part = F.substr("bases", (a - F.col("first") + 1).cast("int"), (b - a + 1).cast("int"))
+    whole = x.groupBy("__row", "__low").agg(F.sort_array(F.collect_list(F.struct("chunk", part.alias("s")))).alias("__parts"))
+    return whole.select("__row.*", F.col("__low").alias("region_first"), F.array_join(F.transform("__parts", lambda p: p["s"]), "").alias("region"))

@@ -86,6 +86,20 @@ class Genome:
         t = t.withColumn("cds", F.when(F.col("strand") == "+", bases).otherwise(sequence.reverse_complement(bases))).withColumn("after", after).withColumn("tail", sequence.until_stops(F.col("after")))
         return self._kept(t.select("tid", "contig_id", "strand", "beg", "tend", "cds_beg", "cds_end", "exons", "segs", "cds", "tail"))
 
+    @cached_property
+    def named(self) -> DataFrame:
+        """transcripts with source, gene_name, name, version, transcript_type, aliases and gene_dbxref; four make a gene."""
+        tid = F.col("tid").cast("string")
+        return self.transcripts.withColumns({
+            "source": F.lit("S"), "gene_name": F.concat(F.lit("G"), F.expr("tid div 4").cast("string")), "name": F.concat(F.lit("T"), tid), "version": F.lit(1), "transcript_type": F.lit("protein_coding"),
+            "aliases": F.when(F.col("tid") % 3 == 0, F.array(F.concat(F.lit("P"), tid))).otherwise(F.array().cast("array<string>")), "gene_dbxref": F.when(F.col("tid") % 5 == 0, F.concat(F.lit("ID:"), tid)),
+        })
+
+    @cached_property
+    def idmap(self) -> DataFrame:
+        """P names of transcripts to their genes."""
+        return self.named.select(F.explode("aliases").alias("synonym"), F.col("gene_name").alias("canonical"))
+
     @cached_property
     def places(self) -> DataFrame:
         """vid, contig_id, pos, qty, len of a variant for each row of lineitem on a contig that isn't empty."""

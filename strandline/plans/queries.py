@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
-from ..operators import annotate, coding, genome, intervals, lookup
+from ..operators import annotate, coding, genome, intervals, levels, lookup, records
 from .fixture import SQL, Genome
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,17 +451,20 @@ def _edits(g: Genome, kind: str) -> DataFrame:
     return coding.on_coding(v, g.transcripts)
 
 
+_READINGS = f"""made AS (SELECT *, (cbeg + 2) // 3 AS one, (cend + 2) // 3 AS last, substr(cds, 1, cbeg - 1) || alt || substr(cds, cend + 1) AS new_cds, (length(alt) - (cend - cbeg + 1)) % 3 = 0 AS level FROM edit),
+prot AS (SELECT *, {_read("cds")} AS p, {_read("new_cds")} AS q, {_read("(new_cds || tail)")} AS q_on, {_read("(cds || tail)")} AS p_on FROM made),
+-- both readings from the first codon touched
+readings AS (SELECT *, substr(p_on, one) AS was, substr(q_on, one) AS is_, substr(p, one, last - one + 1) AS o, substr(q, one, last - one + 1 + (length(alt) - (cend - cbeg + 1)) // 3) AS w FROM prot),
+shift AS (SELECT *, {_apart("was", "is_")} AS a, strpos(is_, '*') AS stop FROM readings) """
+
+
 def _edit_sql(kind: str) -> str:
     till, alt, between = _EDITS[kind]
     return f""", v AS (SELECT vid, contig_id, pos, {till} AS till, {alt} AS alt FROM snv JOIN contig USING (contig_id) WHERE pos + 20 <= length(seq)),
 edit0 AS (SELECT v.vid, g.tid, g.strand, CASE g.strand WHEN '+' THEN cprev + v.pos - gb + 1 ELSE cprev + ge - v.till + 1 END AS lo, CASE g.strand WHEN '+' THEN cprev + v.till - gb + 1 ELSE cprev + ge - v.pos + 1 END AS hi,
   CASE g.strand WHEN '+' THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END AS alt FROM v JOIN segment g ON g.contig_id = v.contig_id AND v.pos >= gb AND v.till <= ge),
 edit AS (SELECT e.vid, e.tid, {'hi' if between == 'true' else 'lo'} AS cbeg, {'lo' if between == 'true' else 'hi'} AS cend, alt, cds, tail FROM edit0 e JOIN cds USING (tid) JOIN tail USING (tid)),
-made AS (SELECT *, (cbeg + 2) // 3 AS one, (cend + 2) // 3 AS last, substr(cds, 1, cbeg - 1) || alt || substr(cds, cend + 1) AS new_cds, (length(alt) - (cend - cbeg + 1)) % 3 = 0 AS level FROM edit),
-prot AS (SELECT *, {_read("cds")} AS p, {_read("new_cds")} AS q, {_read("(new_cds || tail)")} AS q_on, {_read("(cds || tail)")} AS p_on FROM made),
--- both readings from the first codon touched
-readings AS (SELECT *, substr(p_on, one) AS was, substr(q_on, one) AS is_, substr(p, one, last - one + 1) AS o, substr(q, one, last - one + 1 + (length(alt) - (cend - cbeg + 1)) // 3) AS w FROM prot),
-shift AS (SELECT *, {_apart("was", "is_")} AS a, strpos(is_, '*') AS stop FROM readings) """
+{_READINGS}"""
 
 
 _SHIFTED = "CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN '(=)' ELSE substr(was, a, 1) || (one + a - 1) || substr(is_, a, 1) || 'fs*' || CASE WHEN stop > 0 THEN (stop - a + 1) || '' ELSE '?' END END"
@@ -473,23 +476,21 @@ def del_frameshift(g: Genome) -> DataFrame:
     return coding.protein_change(x).select(*KEYS, "change", "csqn")
 
 
-@query(
-    _edit_sql("deletion")
-    + """, cut AS (SELECT *, CASE WHEN w = '' THEN one WHEN right(o, 1) = w THEN one WHEN left(o, 1) = w THEN one + 1 END AS b, CASE WHEN w = '' THEN last WHEN right(o, 1) = w THEN last - 1 WHEN left(o, 1) = w THEN last END AS e FROM shift WHERE level),
+_DELETED = """, cut AS (SELECT *, CASE WHEN w = '' THEN one WHEN right(o, 1) = w THEN one WHEN left(o, 1) = w THEN one + 1 END AS b, CASE WHEN w = '' THEN last WHEN right(o, 1) = w THEN last - 1 WHEN left(o, 1) = w THEN last END AS e FROM shift WHERE level),
 rolled AS (SELECT *, (SELECT min(j) FROM range(0, 200) r(j) WHERE substr(p, b + j, 1) <> substr(p, e + 1 + j, 1)) AS k FROM cut)
 SELECT vid, tid, CASE WHEN b IS NOT NULL THEN 'InFrameDeletion' WHEN w = '*' THEN 'Nonsense' WHEN o = w THEN 'Synonymous' ELSE 'MultiAAMissense' END AS csqn,
  CASE WHEN b IS NULL THEN CASE WHEN w = '*' THEN left(o, 1) || one || '*' ELSE left(o, 1) || one || '_' || right(o, 1) || last || 'delins' || w END
   WHEN b = e THEN substr(p, b + k, 1) || (b + k) || 'del' || substr(p, b + k, 1)
   ELSE substr(p, b + k, 1) || (b + k) || '_' || substr(p, e + k, 1) || (e + k) || 'del' || substr(p, b + k, e - b + 1) END AS change FROM rolled"""
-)
+
+
+@query(_edit_sql("deletion") + _DELETED)
 def del_inframe(g: Genome) -> DataFrame:
     x = _edits(g, "deletion").where("(cend - cbeg + 1) % 3 = 0")
     return coding.protein_change(x).select(*KEYS, "csqn", "change")
 
 
-@query(
-    _edit_sql("insertion")
-    + f""", known AS (SELECT *, level AND strpos(w, '*') = 0 AS framed FROM shift),
+_INSERTED = f""", known AS (SELECT *, level AND strpos(w, '*') = 0 AS framed FROM shift),
 put AS (SELECT *, CASE WHEN o = '' THEN one - 1 WHEN left(w, 1) = o THEN one WHEN right(w, 1) = o THEN one - 1 END AS i, CASE WHEN o = '' THEN w WHEN left(w, 1) = o THEN substr(w, 2) WHEN right(w, 1) = o THEN substr(w, 1, length(w) - 1) END AS s FROM known),
 rolled AS (SELECT *, (SELECT min(j) FROM range(0, 400) r(j) WHERE substr(s || substr(p, i + 1), j + 1, 1) <> substr(substr(p, i + 1) || '-', j + 1, 1)) AS k FROM put),
 turned AS (SELECT *, substr(s || s, k % greatest(length(s), 1) + 1, length(s)) AS t, i + k AS j FROM rolled)
@@ -497,19 +498,21 @@ SELECT vid, tid, CASE WHEN NOT framed THEN CASE WHEN a IS NULL OR a = 0 OR (stop
  CASE WHEN NOT framed THEN {_SHIFTED} WHEN i IS NULL THEN o || one || 'delins' || w
   WHEN j - length(t) + 1 > 0 AND substr(p, j - length(t) + 1, length(t)) = t THEN CASE WHEN length(t) = 1 THEN '' ELSE substr(p, j - length(t) + 1, 1) || (j - length(t) + 1) || '_' END || substr(p, j, 1) || j || 'dup' || t
   ELSE substr(p, j, 1) || j || '_' || substr(p, j + 1, 1) || (j + 1) || 'ins' || t END AS change FROM turned"""
-)
+
+
+@query(_edit_sql("insertion") + _INSERTED)
 def ins_coding(g: Genome) -> DataFrame:
     return coding.protein_change(_edits(g, "insertion")).select(*KEYS, "csqn", "change")
 
 
-@query(
-    _edit_sql("block")
-    + f""", h AS (SELECT *, (SELECT min(j) FROM range(0, 5) r(j) WHERE j >= length(o) OR substr(o, j + 1, 1) <> substr(w, j + 1, 1)) AS h FROM shift),
+_REPLACED = f""", h AS (SELECT *, (SELECT min(j) FROM range(0, 5) r(j) WHERE j >= length(o) OR substr(o, j + 1, 1) <> substr(w, j + 1, 1)) AS h FROM shift),
 t AS (SELECT *, (SELECT min(j) FROM range(0, 5) r(j) WHERE j >= length(o) - h OR substr(o, length(o) - j, 1) <> substr(w, length(w) - j, 1)) AS t FROM h),
 x AS (SELECT *, substr(o, h + 1, length(o) - h - t) AS ref, substr(w, h + 1, length(w) - h - t) AS alt_aa, one + h AS b FROM t)
 SELECT vid, tid, CASE WHEN NOT level THEN CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN 'Synonymous' ELSE 'Frameshift' END WHEN o = w THEN 'Synonymous' WHEN length(ref) = 1 THEN 'Missense' ELSE 'MultiAAMissense' END AS csqn,
  CASE WHEN NOT level THEN {_SHIFTED} WHEN o = w THEN '(=)' WHEN length(ref) = 1 THEN ref || b || alt_aa ELSE left(ref, 1) || b || '_' || right(ref, 1) || (last - t) || 'delins' || alt_aa END AS change FROM x"""
-)
+
+
+@query(_edit_sql("block") + _REPLACED)
 def mnv_coding(g: Genome) -> DataFrame:
     return coding.protein_change(_edits(g, "block")).select(*KEYS, "csqn", "change")
 
@@ -563,3 +566,183 @@ def tx_union_sources(g: Genome) -> DataFrame:
     all_of = t.where("tid % 3 = 0").withColumn("source", F.lit(0)).unionByName(t.where("tid % 3 = 1").withColumn("source", F.lit(1))).unionByName(t.where("tid % 3 = 2").withColumn("source", F.lit(2)))
     own = F.array_join(F.transform(F.sort_array(F.collect_list("source")), lambda s: s.cast("string")), ",")
     return all_of.groupBy("contig_id", "beg", "tend", "strand").agg(F.count(F.lit(1)).alias("n"), own.alias("sources"), F.min("tid").alias("first_tid"))
+
+
+#: Changes of coding sequences, told as text: the change, the same edit in SQL (first and last base replaced, new bases), by a place p of the transcript.
+_CODING = {
+    "snv": ("c.{p}{r}>{x}", "p", "p", "x"), "del": ("c.{p}_{e}del{d}", "p", "p + tid % 4", "''"), "ins": ("c.{p}_{q}ins{y}", "p + 1", "p", "y"), "dup": ("c.{p}_{e}dup", "p + tid % 4 + 1", "p + tid % 4", "d"), "mnv": ("c.{p}_{f}delins{y}", "p", "p + 3", "y"),
+}
+_PLACED = "SELECT tid, tid AS vid, strand, cds, tail, p, substr(cds, p::INT, 1) AS r0, translate(substr(cds, p::INT, 1), 'AGTC', 'GTCA') AS x, substr(cds, p::INT, (1 + tid % 4)::INT) AS d, substr(cds, (1 + (p * 5) % (length(cds) - 5))::INT, (2 + tid % 4)::INT) AS y FROM (SELECT *, 1 + (tid * 7) % (length(cds) - 8) AS p FROM cds JOIN tail USING (tid) WHERE length(cds) > 20)"
+
+
+def _coding_queries(g: Genome, form: str, name: str = "T") -> DataFrame:
+    """A c. change for each transcript, by its name; a fifth of those that tell a base tell a wrong one."""
+    n, t = F.length("cds"), F.col("tid")
+    x = g.transcripts.where("length(cds) > 20").withColumn("p", (1 + (t * 7) % (n - 8)).cast("int"))
+    y = F.substr("cds", (1 + (F.col("p") * 5) % (n - 5)).cast("int"), (2 + t % 4).cast("int"))
+    base = F.substr("cds", F.col("p"), F.lit(1))
+    other = F.translate(base, "AGTC", "GTCA")
+    parts = {"p": F.col("p").cast("string"), "q": (F.col("p") + 1).cast("string"), "e": (F.col("p") + t % 4).cast("string"), "f": (F.col("p") + 3).cast("string"), "r": F.when(t % 5 == 0, other).otherwise(base), "x": other, "y": y, "d": F.when(t % 2 == 0, F.substr("cds", F.col("p"), (1 + t % 4).cast("int"))).otherwise("")}
+    text = F.concat(*(parts[w[1]] if w[0] == "{" else F.lit(w) for w in re.findall(r"{.}|[^{]+", form)))
+    return x.select(t.alias("qid"), F.concat(F.lit(f"{name.lower()}"), t.cast("string"), F.lit(":"), text).alias("input")).withColumn("s", hgvs.split_identifier(F.col("input"))).select("qid", "input", "s.tok", "s.change")
+
+
+def _coding_changes(g: Genome, kind: str) -> DataFrame:
+    x = levels.coding_changes(levels.named(_coding_queries(g, _CODING[kind][0]), g.named, g.idmap))
+    return x.select(F.col("qid").alias("vid"), "tid", "csqn", "change", "gbeg", "gend", "galt")
+
+
+def _coding_sql(kind: str, then: str) -> str:
+    _, beg, end, alt = _CODING[kind]
+    where = "WHERE tid % 5 <> 0" if kind == "snv" else ""
+    return f""", placed AS ({_PLACED}),
+edit AS (SELECT vid, tid, strand, cds, tail, {beg} AS cbeg, {end} AS cend, {alt} AS alt FROM placed {where}),
+{_READINGS}, changed AS ({then}),
+spots AS (SELECT tid, p AS one_c, {'p + 1' if kind == 'ins' else end if kind != 'dup' else 'p + tid % 4'} AS last_c, {alt} AS own FROM placed),
+ends AS (SELECT o.tid, o.own, o.strand, min(CASE o.strand WHEN '+' THEN gb + c - cprev - 1 ELSE ge - (c - cprev - 1) END) AS gbeg, max(CASE o.strand WHEN '+' THEN gb + c - cprev - 1 ELSE ge - (c - cprev - 1) END) AS gend
+  FROM (SELECT spots.*, strand, unnest([one_c, last_c]) AS c FROM spots JOIN cds USING (tid)) o JOIN segment s ON s.tid = o.tid AND c BETWEEN cprev + 1 AND cprev + ge - gb + 1 GROUP BY 1, 2, 3)
+SELECT vid, tid, csqn, change, gbeg, gend, CASE strand WHEN '+' THEN own ELSE reverse(translate(own, 'ACGT', 'TGCA')) END AS galt FROM changed JOIN ends USING (tid)"""
+
+
+_SUBSTITUTED = "SELECT vid, tid, CASE WHEN o = w THEN 'Synonymous' WHEN w = '*' THEN 'Nonsense' ELSE 'Missense' END AS csqn, CASE WHEN o = w THEN '(=)' ELSE o || one || w END AS change FROM shift"
+_SHIFT = f"SELECT vid, tid, CASE WHEN a IS NULL OR a = 0 OR (stop > 0 AND stop < a) THEN 'Synonymous' ELSE 'Frameshift' END AS csqn, {_SHIFTED} AS change FROM shift WHERE NOT level"
+
+
+@query(_coding_sql("snv", _SUBSTITUTED))
+def coding_snv(g: Genome) -> DataFrame:
+    """c. substitutions by transcript name: to the genome and the protein; wrong reference bases go."""
+    return _coding_changes(g, "snv")
+
+
+def _with(sql: str) -> str:
+    """SQL of _DELETED and its like, whose tables follow a comma, as one query."""
+    return f"WITH {sql.lstrip(', ')}"
+
+
+@query(_coding_sql("del", f"SELECT vid, tid, csqn, change FROM ({_with(_DELETED)}) UNION ALL SELECT vid, tid, csqn, change FROM ({_SHIFT})"))
+def coding_deletion(g: Genome) -> DataFrame:
+    return _coding_changes(g, "del")
+
+
+@query(_coding_sql("ins", _with(_INSERTED)))
+def coding_insertion(g: Genome) -> DataFrame:
+    return _coding_changes(g, "ins")
+
+
+@query(_coding_sql("dup", _with(_INSERTED)))
+def coding_duplication(g: Genome) -> DataFrame:
+    return _coding_changes(g, "dup")
+
+
+@query(_coding_sql("mnv", _with(_REPLACED)))
+def coding_block(g: Genome) -> DataFrame:
+    return _coding_changes(g, "mnv")
+
+
+def _protein_queries(g: Genome, form: str) -> DataFrame:
+    """A p. change for each transcript, by its name; of every seventh, the amino acid named is another."""
+    t = F.col("tid")
+    x = g.transcripts.where("length(cds) > 20").withColumn("aa", sequence.translate_all(F.col("cds"))).withColumn("n", (1 + (t * 5) % (F.length("aa") - 4)).cast("int"))
+    letter = lambda by: F.substr(F.lit("ACDEFGHIKLMNPQRSTVWY"), ((t * by) % 20 + 1).cast("int"), F.lit(1))
+    own = lambda d: F.substr("aa", F.col("n") + d, F.lit(1))
+    parts = {"n": F.col("n").cast("string"), "m": (F.col("n") + 1).cast("string"), "k": (F.col("n") + 2).cast("string"), "r": F.when(t % 7 == 0, F.when(own(0) == "W", "A").otherwise("W")).otherwise(own(0)), "s": own(1), "u": own(2), "x": letter(3), "y": letter(11)}
+    text = F.concat(*(parts[w[1]] if w[0] == "{" else F.lit(w) for w in re.findall(r"{.}|[^{]+", form)))
+    return x.select(t.alias("qid"), F.concat(F.lit("T"), t.cast("string"), F.lit(":"), text).alias("input")).withColumn("s", hgvs.split_identifier(F.col("input"))).select("qid", "input", "s.tok", "s.change")
+
+
+def _protein_pairs(g: Genome, form: str) -> DataFrame:
+    return levels.named(_protein_queries(g, form), g.named, g.idmap, coding_only=True)
+
+
+_PROTEIN_SQL = f""", asked AS MATERIALIZED (SELECT tid, strand, cds, aa, n, substr(aa, n::INT, 1) AS r, substr('ACDEFGHIKLMNPQRSTVWY', ((tid * 3) % 20 + 1)::INT, 1) AS x, substr('ACDEFGHIKLMNPQRSTVWY', ((tid * 11) % 20 + 1)::INT, 1) AS y
+ FROM (SELECT *, 1 + (tid * 5) % (length(aa) - 4) AS n FROM (SELECT tid, strand, cds, {_read("cds")} AS aa FROM cds WHERE length(cds) > 20)) WHERE tid % 7 <> 0),
+firsts AS (SELECT aa, codon, n_codons FROM (SELECT aa, codon, ord, count(*) OVER (PARTITION BY aa) AS n_codons FROM (VALUES {_TABLE}) k(aa, codon, ord)) WHERE ord = 0),
+base_at AS (SELECT a.tid, k, CASE s.strand WHEN '+' THEN gb + 3 * n - 2 + k - cprev - 1 ELSE ge - (3 * n - 2 + k - cprev - 1) END AS g FROM asked a JOIN segment s ON s.tid = a.tid, range(0, 9) r(k) WHERE 3 * n - 2 + k BETWEEN cprev + 1 AND cprev + ge - gb + 1),
+spread AS (SELECT a.*, b.* EXCLUDE (tid) FROM asked a JOIN (SELECT tid, max(g) FILTER (WHERE k = 0) AS g0, max(g) FILTER (WHERE k = 1) AS g1, max(g) FILTER (WHERE k = 2) AS g2, max(g) FILTER (WHERE k = 3) AS g3, max(g) FILTER (WHERE k = 5) AS g5, max(g) FILTER (WHERE k = 8) AS g8 FROM base_at GROUP BY tid) b USING (tid)) """
+
+
+@query(_PROTEIN_SQL + """, ranked AS (SELECT s.*, substr(cds, (3 * n - 2)::INT, 3) AS own, k.codon AS best, row_number() OVER (PARTITION BY tid ORDER BY (substr(k.codon, 1, 1) <> substr(cds, (3 * n - 2)::INT, 1))::INT + (substr(k.codon, 2, 1) <> substr(cds, (3 * n - 1)::INT, 1))::INT + (substr(k.codon, 3, 1) <> substr(cds, (3 * n)::INT, 1))::INT, ord) AS rank
+ FROM spread s JOIN (VALUES """ + _TABLE + """) k(aa, codon, ord) ON k.aa = s.x AND k.codon <> substr(cds, (3 * n - 2)::INT, 3)),
+top AS (SELECT *, CASE WHEN substr(own, 1, 1) <> substr(best, 1, 1) THEN 1 WHEN substr(own, 2, 1) <> substr(best, 2, 1) THEN 2 ELSE 3 END AS i, CASE WHEN substr(own, 3, 1) <> substr(best, 3, 1) THEN 3 WHEN substr(own, 2, 1) <> substr(best, 2, 1) THEN 2 ELSE 1 END AS j FROM ranked WHERE rank = 1)
+SELECT tid AS qid, tid, own AS codon, best, least(CASE i WHEN 1 THEN g0 WHEN 2 THEN g1 ELSE g2 END, CASE j WHEN 1 THEN g0 WHEN 2 THEN g1 ELSE g2 END) AS vbeg, greatest(CASE i WHEN 1 THEN g0 WHEN 2 THEN g1 ELSE g2 END, CASE j WHEN 1 THEN g0 WHEN 2 THEN g1 ELSE g2 END) AS vend,
+ CASE strand WHEN '+' THEN substr(own, i, j - i + 1) ELSE reverse(translate(substr(own, i, j - i + 1), 'ACGT', 'TGCA')) END AS vref, CASE strand WHEN '+' THEN substr(best, i, j - i + 1) ELSE reverse(translate(substr(best, i, j - i + 1), 'ACGT', 'TGCA')) END AS valt FROM top""")
+def protein_snv(g: Genome) -> DataFrame:
+    """p. substitutions by transcript name: the nearest codon and its change of the genome; wrong reference amino acids go."""
+    return levels.protein_snvs(_protein_pairs(g, "p.{r}{n}{x}")).select("qid", "tid", "codon", "best", "vbeg", "vend", "vref", "valt")
+
+
+@query(_PROTEIN_SQL + "SELECT tid AS qid, tid, 'DEL' AS kind, least(g0, g8) AS gbeg, greatest(g0, g8) AS gend, substr(cds, (3 * n - 2)::INT, 9) AS bases FROM spread")
+def protein_deletion(g: Genome) -> DataFrame:
+    """p. deletions: the codons taken out, and where they lie."""
+    return levels.protein_changes(_protein_pairs(g, "p.{r}{n}_{u}{k}del")).select("qid", "tid", "kind", "gbeg", "gend", "bases")
+
+
+@query(_PROTEIN_SQL + "SELECT tid AS qid, tid, 'INS' AS kind, least(g0, g5) AS gbeg, greatest(g0, g5) AS gend, a.codon || b.codon AS put, a.n_codons * b.n_codons AS n_put FROM spread JOIN firsts a ON a.aa = x JOIN firsts b ON b.aa = y")
+def protein_insertion(g: Genome) -> DataFrame:
+    """p. insertions: one way to write them, and how many there are."""
+    return levels.protein_changes(_protein_pairs(g, "p.{r}{n}_{s}{m}ins{x}{y}")).select("qid", "tid", "kind", "gbeg", "gend", "put", "n_put")
+
+
+@query(_PROTEIN_SQL + "SELECT tid AS qid, tid, 'MNV' AS kind, least(g0, g5) AS gbeg, greatest(g0, g5) AS gend, substr(cds, (3 * n - 2)::INT, 6) AS bases, a.codon || b.codon AS put, a.n_codons * b.n_codons AS n_put FROM spread JOIN firsts a ON a.aa = x JOIN firsts b ON b.aa = y")
+def protein_block(g: Genome) -> DataFrame:
+    return levels.protein_changes(_protein_pairs(g, "p.{r}{n}_{s}{m}delins{x}{y}")).select("qid", "tid", "kind", "gbeg", "gend", "bases", "put", "n_put")
+
+
+@query(_PROTEIN_SQL + "SELECT tid AS qid, tid, 'REG' AS kind, least(g0, g8) AS gbeg, greatest(g0, g8) AS gend, substr(cds, (3 * n - 2)::INT, 9) AS bases FROM spread WHERE substr(aa, (n + 1)::INT, 1) <> '*'")
+def protein_region(g: Genome) -> DataFrame:
+    """Regions with a motif, x for any amino acid."""
+    return levels.protein_changes(_protein_pairs(g, "p.{r}{n}_{u}{k}{r}x{u}")).select("qid", "tid", "kind", "gbeg", "gend", "bases")
+
+
+@query(f"""SELECT tid, "index", codon, string_agg(DISTINCT k.id || ':' || k.aa, ',' ORDER BY k.id || ':' || k.aa) AS ids FROM (SELECT tid, 1 + tid % 8 AS "index", strand, substr(cds, CAST(3 * (1 + tid % 8) - 2 AS INT), 3) AS codon FROM cds WHERE 3 * (1 + tid % 8) <= length(cds)) c LEFT JOIN (
+ SELECT b.tid AS k_tid, d.id, aa.aa FROM (SELECT s.tid, s.contig_id, s.strand, o, CASE s.strand WHEN '+' THEN gb + (3 * (1 + s.tid % 8) - 3 + o) - cprev - 1 ELSE ge - (3 * (1 + s.tid % 8) - 3 + o - cprev - 1) END AS g FROM segment s, range(1, 4) r(o) WHERE 3 * (1 + s.tid % 8) - 3 + o BETWEEN cprev + 1 AND cprev + ge - gb + 1) b
+ JOIN cds USING (tid) JOIN (SELECT contig_id, pos, alt, 'rs' || vid AS id FROM snv WHERE qty % 7 = 0) d ON d.contig_id = b.contig_id AND d.pos = b.g
+ JOIN aa ON aa.codon = substr(cds, CAST(3 * (1 + b.tid % 8) - 2 AS INT), CAST(o - 1 AS INT)) || CASE b.strand WHEN '+' THEN d.alt ELSE translate(d.alt, 'ACGT', 'TGCA') END || substr(substr(cds, CAST(3 * (1 + b.tid % 8) - 2 AS INT), 3), CAST(o + 1 AS INT))) k ON k.k_tid = c.tid GROUP BY 1, 2, 3""")
+def codon_dbsnp(g: Genome) -> DataFrame:
+    """Known single-base variants in one codon of each transcript, with the amino acid that each makes."""
+    known = g.variants.where("qty % 7 = 0").select("contig_id", "pos", "alt", F.concat(F.lit("rs"), "vid").alias("id"))
+    c = g.transcripts.withColumn("index", 1 + F.col("tid") % 8).where("3 * index <= length(cds)").withColumn("codon", F.substr("cds", (3 * F.col("index") - 2).cast("int"), F.lit(3)))
+    return levels.codon_known(c, known)
+
+
+@query("""SELECT t.tid, p, k, CASE WHEN k > 0 THEN p = size OR EXISTS (SELECT 1 FROM segment s WHERE s.tid = t.tid AND cprev + ge - gb + 1 = p) ELSE p = 1 OR EXISTS (SELECT 1 FROM segment s WHERE s.tid = t.tid AND cprev + 1 = p) END AS fits FROM (
+ SELECT tid, length(cds) AS size, CASE WHEN tid % 3 = 0 THEN 1 + tid % 20 ELSE least(length(cds), c.edge + tid % 2) END AS p, CASE WHEN tid % 2 = 0 THEN 2 ELSE -2 END AS k FROM cds JOIN (SELECT tid, min(cprev + ge - gb + 1) AS edge FROM segment GROUP BY 1) c USING (tid)) t""")
+def exon_boundary_check(g: Genome) -> DataFrame:
+    """Whether n+k and n-k stand at a real edge of an exon."""
+    t = F.col("tid")
+    edge = F.array_min(F.transform("segs", lambda s: s["cprev"] + s["ge"] - s["gb"] + 1))
+    x = g.transcripts.withColumn("p", F.when(t % 3 == 0, 1 + t % 20).otherwise(F.least(F.length("cds").cast("bigint"), edge + t % 2))).withColumn("k", F.when(t % 2 == 0, 2).otherwise(-2))
+    return x.select("tid", "p", "k", coords.on_boundary(F.struct(F.col("p").alias("pos"), F.col("k").alias("offset")), F.col("segs"), F.col("strand")).alias("fits"))
+
+
+@query("SELECT tid, CASE strand WHEN '+' THEN beg - 1000 ELSE tend END AS promoter_beg, CASE strand WHEN '+' THEN beg ELSE tend + 1000 END AS promoter_end, nex AS n_exons, cds_beg, cds_end, left(p, 1) AS first_aa, right(p, 1) AS last_aa, length(p) AS protein_len FROM (SELECT tx.*, CASE WHEN strpos(a, '*') > 0 THEN substr(a, 1, strpos(a, '*')) ELSE a END AS p FROM tx JOIN (SELECT tid, " + _read("cds") + " AS a FROM cds) USING (tid))")
+def gene_summary(g: Genome) -> DataFrame:
+    return levels.summary(g.transcripts)
+
+
+_LONG = "SELECT *, least(pos + qty * 200, length(seq)) AS till FROM snv JOIN contig USING (contig_id)"
+
+
+@query(f"SELECT s.vid, a.tid AS beg_tid, b.tid AS end_tid, (SELECT count(*) FROM tx t WHERE t.contig_id = s.contig_id AND t.beg >= s.pos AND t.tend <= s.till) AS n_spanned FROM ({_LONG}) s LEFT JOIN tx a ON a.contig_id = s.contig_id AND s.pos BETWEEN a.beg AND a.tend LEFT JOIN tx b ON b.contig_id = s.contig_id AND s.till BETWEEN b.beg AND b.tend")
+def long_region_endpoints(g: Genome) -> DataFrame:
+    """Regions of up to ten thousand bases by the transcripts at their two ends."""
+    return levels.long_regions(g.variants.withColumn("till", F.least(F.col("pos") + F.col("qty") * 200, F.col("len"))), g.transcripts)
+
+
+_TAIL = "CASE WHEN tid % 5 = 0 THEN ';dbxref=ID:' || tid ELSE '' END || CASE WHEN tid % 3 = 0 THEN ';aliases=P' || tid ELSE '' END || ';source=S'"
+_PLACE = "CASE WHEN utr IS NOT NULL THEN utr || '-UTR;' ELSE '' END || CASE WHEN part = 'intronic' THEN 'intron_between_exon_' || exon || '_and_' || (exon + 1) WHEN {coding} THEN 'cds_in_exon_' || exon ELSE 'noncoding_exon_' || exon END"
+
+
+@query(f""", positions AS ({CDNA_SQL}), told AS (SELECT s.*, c.csqn, c.aa_ref, c.aa_alt, c.aa_pos, c.codon0, d.cpos AS ctext, c.cpos IS NOT NULL AS inside, c.csqn IN ('Missense', 'Nonsense', 'Synonymous') AS has_aa FROM site s JOIN consequence c USING (vid, tid) JOIN positions d USING (vid, tid)),
+three AS (SELECT t.vid, t.tid, string_agg(g || '', '-' ORDER BY g) AS places FROM (SELECT t.vid, t.tid, CASE s.strand WHEN '+' THEN gb + (3 * aa_pos - 2 + o) - cprev - 1 ELSE ge - (3 * aa_pos - 2 + o - cprev - 1) END AS g FROM told t, range(0, 3) r(o) JOIN segment s ON true WHERE s.tid = t.tid AND has_aa AND 3 * aa_pos - 2 + o BETWEEN cprev + 1 AND cprev + ge - gb + 1) t GROUP BY 1, 2)
+SELECT vid, concat_ws(chr(9), 'c' || contig_id || ':g.' || pos || ref || '>' || alt, 'T' || tid || '.1 (protein_coding)', 'G' || tid // 4, strand,
+ contig_id || ':g.' || pos || ref || '>' || alt || '/c.' || ctext || CASE strand WHEN '+' THEN ref || '>' || alt ELSE translate(ref, 'ACGT', 'TGCA') || '>' || translate(alt, 'ACGT', 'TGCA') END || '/' || CASE WHEN has_aa THEN 'p.' || aa_ref || aa_pos || aa_alt ELSE '.' END,
+ 'inside_[' || {_PLACE.format(coding="inside")} || ']',
+ 'CSQN=' || csqn || CASE WHEN splice IS NOT NULL THEN ';C2=' || replace(splice, 'NextTo', 'NextToSplice') || 'OfExon' || (exon + CASE WHEN part = 'intronic' AND strand = '+' THEN 1 ELSE 0 END) || '_At_' || contig_id || ':' || CASE WHEN (splice LIKE '%Acceptor') = (strand = '+') THEN off + (ei + CASE WHEN part = 'intronic' THEN 1 ELSE 0 END) * (elen + ilen) ELSE off + ei * (elen + ilen) + elen + 1 END ELSE '' END
+  || CASE codon WHEN 'CdsStart' THEN ';C2=cds_start_at_' || contig_id || ':' || pos WHEN 'CdsStop' THEN ';C2=cds_end_at_' || contig_id || ':' || pos ELSE '' END || CASE edge WHEN 'TSS' THEN ';transcription_start_at_' || contig_id || ':' || pos WHEN 'TES' THEN ';transcription_end_at_' || contig_id || ':' || pos ELSE '' END
+  || CASE WHEN has_aa THEN ';codon_pos=' || places || ';ref_codon_seq=' || codon0 ELSE '' END || {_TAIL}, contig_id || '', pos || '', ref, alt) AS value FROM told LEFT JOIN three USING (vid, tid)""")
+def snv_records(g: Genome) -> DataFrame:
+    """Text records of single-base variants, with the columns of the sequence."""
+    v = g.variants.withColumn("input", F.concat(F.lit("c"), F.col("contig_id").cast("string"), F.lit(":g."), F.col("pos").cast("string"), "ref", F.lit(">"), "alt"))
+    r = records.snv_records(annotate.on_transcripts(v, g.named))
+    return r.select("vid", F.struct(*records.FIELDS, "CHROM", "POS", "REF", "ALT").alias("r")).select("vid", F.concat_ws("\t", "r.*").alias("value"))

@@ -19,9 +19,11 @@ def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
 
 
 def _features(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of GTF and GFF files, and the attributes as text."""
+    """Columns of GTF and GFF files, the attributes as text, and the place of the line in its file."""
     f = lambda i: F.col("f")[i]
-    return _fields(spark, path, 9).select(f(0).alias("chrm"), f(1).alias("origin"), f(2).alias("feature"), f(3).cast("bigint").alias("b"), f(4).cast("bigint").alias("e"), f(6).alias("strand"), f(8).alias("attributes"))
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("line"))
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "line").where(F.size("f") >= 9)
+    return lines.select("line", f(0).alias("chrm"), f(1).alias("origin"), f(2).alias("feature"), f(3).cast("bigint").alias("b"), f(4).cast("bigint").alias("e"), f(6).alias("strand"), f(8).alias("attributes"))
 
 
 def quoted(attribute: str) -> Column:
@@ -40,7 +42,7 @@ def _gather(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
     edge = lambda f, kinds, c: f(F.when(F.col("feature").isin(*kinds), F.col(c)))
     t = rows.groupBy("name", "chrm", "strand").agg(
         F.max("gene_name").alias("gene_name"), F.max("version").alias("version"), F.max("transcript_type").alias("transcript_type"), spans(["exon"]).alias("own"), spans(["CDS"]).alias("coding"), F.sort_array(F.collect_set("alias")).alias("aliases"),
-        edge(F.min, ["transcript", "mRNA"], "b").alias("tb"), edge(F.max, ["transcript", "mRNA"], "e").alias("te"), edge(F.min, ["CDS"], "b").alias("cb"), edge(F.max, ["CDS", "stop_codon"], "e").alias("ce"), F.max("gene_dbxref").alias("gene_dbxref"),
+        edge(F.min, ["transcript", "mRNA"], "b").alias("tb"), edge(F.max, ["transcript", "mRNA"], "e").alias("te"), edge(F.min, ["CDS"], "b").alias("cb"), edge(F.max, ["CDS"], "e").alias("ce"), F.max("gene_dbxref").alias("gene_dbxref"),
     )
     t = t.withColumn("exons", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("coding"))).where(F.size("exons") > 0)
     beg, end = F.coalesce("tb", F.get("exons", F.lit(0))["beg"]), F.coalesce("te", F.array_max(F.transform("exons", lambda x: x["end"])))
@@ -50,7 +52,7 @@ def _gather(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
 def read_gtf(spark: SparkSession, path: str, source: str = "Ensembl") -> DataFrame:
     """Ensembl and GENCODE GTF; also old files without transcript rows, whose bounds are those of the exons."""
     full = quoted("transcript_id")
-    rows = _features(spark, path).where(F.col("feature").isin("transcript", "exon", "CDS", "stop_codon")).withColumn("full", full).where("full is not null")
+    rows = _features(spark, path).where(F.col("feature").isin("transcript", "exon", "CDS")).withColumn("full", full).where("full is not null")
     kind = F.coalesce(quoted("transcript_biotype"), quoted("transcript_type"), F.col("origin"))
     rows = rows.withColumns({
         "name": F.regexp_extract("full", r"^(.*?)(\.\d+)?$", 1), "version": F.coalesce(quoted("transcript_version"), F.nullif(F.regexp_extract("full", r"\.(\d+)$", 1), F.lit(""))).try_cast("int"),
@@ -76,9 +78,9 @@ def read_refseq(spark: SparkSession, path: str) -> DataFrame:
     rows = _features(spark, path).withColumnRenamed("chrm", "seqid").withColumns({"id": assigned("ID"), "parent": assigned("Parent")})
     regions = rows.where("feature = 'region'").where(assigned("chromosome").isNotNull() & ~F.coalesce(assigned("map"), F.lit("")).isin("unlocalized")).select("seqid", F.concat(F.lit("chr"), assigned("chromosome")).alias("chrm")).dropDuplicates(["seqid"])
     rows = rows.join(regions, "seqid")
-    genes = rows.where((F.col("feature") == "gene") & (F.coalesce(assigned("pseudo"), F.lit("")) != "true")).select("chrm", F.col("id").alias("gene_id"), assigned("Name").alias("gene_name"), assigned("Dbxref").alias("gene_dbxref"), "b")
-    first = F.row_number().over(Window.partitionBy("chrm", "gene_name").orderBy("b", "gene_id"))
-    genes = genes.withColumn("r", first).where("r = 1").drop("r", "b")
+    genes = rows.where((F.col("feature") == "gene") & (F.coalesce(assigned("pseudo"), F.lit("")) != "true")).select("chrm", F.col("id").alias("gene_id"), assigned("Name").alias("gene_name"), assigned("Dbxref").alias("gene_dbxref"), "line")
+    first = F.row_number().over(Window.partitionBy("chrm", "gene_name").orderBy("line"))
+    genes = genes.withColumn("r", first).where("r = 1").drop("r", "line")
     kinds = F.when(F.col("feature") == "mRNA", "protein_coding").when(F.col("feature") == "ncRNA", assigned("ncrna_class")).otherwise(F.col("feature"))
     made = rows.where(F.col("feature").isin("mRNA", "ncRNA", "rRNA", "tRNA", "lnc_RNA", "transcript", "primary_transcript")).select(F.col("id").alias("tx_id"), F.col("parent").alias("gene_id"), F.coalesce(assigned("Name"), F.col("id")).alias("full"), kinds.alias("transcript_type"), "chrm", F.col("b").alias("tb"), F.col("e").alias("te"))
     parts = rows.where(F.col("feature").isin("exon", "CDS")).select("feature", "b", "e", "strand", "parent", "chrm", assigned("protein_id").alias("alias"))
@@ -130,4 +132,19 @@ def read_knowngene(spark: SparkSession, path: str, aliases: str | None = None, s
 
 def write_transcripts(t: DataFrame, path: str) -> None:
     """Parquet by chromosome, sorted by place within files, so that row groups can be skipped."""
-    t.repartition("chrm").sortWithinPartitions("chrm", "beg", "tend", "name").write.partitionBy("chrm").parquet(path)
+    t.repartitionByRange("chrm", "beg").sortWithinPartitions("chrm", "beg", "tend", "name").write.partitionBy("chrm").parquet(path)
+
+
+def write_by_gene(t: DataFrame, path: str) -> None:
+    """Parquet in the order of genes, for by_gene."""
+    t.repartitionByRange("gene_name").sortWithinPartitions("gene_name", "name").write.parquet(path)
+
+
+def by_gene(spark: SparkSession, path: str, gene: str) -> DataFrame:
+    """Transcripts of one gene from a table of write_by_gene; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("gene_name") == gene.upper())
+
+
+def at_place(spark: SparkSession, path: str, chrm: str, beg: int, end: int) -> DataFrame:
+    """Transcripts that overlap a place, from a table of write_transcripts; chrm picks the folder, the bounds reach the scan."""
+    return spark.read.parquet(path).where((F.col("chrm") == chrm) & (F.col("beg") <= end) & (F.col("tend") >= beg))

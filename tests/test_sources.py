@@ -43,7 +43,7 @@ def test_refseq(spark, tmp_path):
 def test_tracks(spark, tmp_path):
     assert tracks.read_bed(spark, put(tmp_path, "b", ("chr1", 1, 5, "x"), ("chr1", 1, 5))).count() == 1
     assert tracks.read_vcf_features(spark, put(tmp_path, "v", ("1", 5, "rs1", "AC", "A"))).first()["label"] == "rs1|AC|A"
-    assert tracks.read_idmap(spark, put(tmp_path, "m", "#x", ("p1", "abc"), ("p1", "abd"))).first()["canonical"] == ["ABC", "ABD"]
+    assert sorted(tuple(r) for r in tracks.read_idmap(spark, put(tmp_path, "m", "#x", ("p1", "abc"), ("p1", "abd"), ("p1", "abc"))).collect()) == [("P1", "ABC"), ("P1", "ABD")]
     rows = tracks.read_vcf(spark, put(tmp_path, "q.vcf", "##x", ("1", 5, ".", "A", "T,G", ".", ".", ""), ("1", 9, ".", "ACT", "A", ".", ".", ""), ("1", 9, ".", "A", "ATT", ".", ".", ""), ("1", 9, ".", "C", "TCAG", ".", ".", ""), ("1", 9, ".", "C", "<DEL>", ".", ".", "SVTYPE=DEL;END=30"))).collect()
     assert sorted((r["kind"], r["beg"], r["end"], r["bases"]) for r in rows) == [("DEL", 10, 11, "CT"), ("DEL", 10, 30, ""), ("INS", 9, 10, "TT"), ("MNV", 9, 9, "TCAG"), ("SNV", 5, 5, "G"), ("SNV", 5, 5, "T")]
 
@@ -89,3 +89,60 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("spec", ["", "1"])
 def test_columns(spec):
     assert tracks.columns_of(spec, 3) == [0][: len(spec)]
+
+
+def test_stop_codons_do_not_move_the_ends(spark, tmp_path):
+    for strand in "+-":
+        a = f'gene_id "G"; transcript_id "T{strand}"; gene_name "abc";'
+        path = put(tmp_path, f"{ord(strand)}.gtf", ("1", "e", "exon", 11, 60, ".", strand, ".", a), ("1", "e", "CDS", 20, 40, ".", strand, ".", a), ("1", "e", "stop_codon", *((41, 43) if strand == "+" else (17, 19)), ".", strand, ".", a))
+        (r,) = transcripts.read_gtf(spark, path).collect()
+        assert (r["cds_beg"], r["cds_end"]) == (20, 40)
+
+
+def test_aceview_and_old_gtf(spark, tmp_path):
+    g = lambda f, b, e, t: ("1", "AceView", f, b, e, ".", "+", ".", f"gene_id abc; transcript_id {t};")
+    rows = transcripts.read_aceview(spark, put(tmp_path, "a.gff", g("exon", 5, 30, "t1"), g("CDS", 9, 20, "t1"), g("exon", 5, 30, "t2"))).collect()
+    assert [(r["name"], r["cds_beg"], r["cds_end"]) for r in rows] == [("t1", 9, 20)]
+    a = 'gene_id "ENSG1"; transcript_id "ENST9";'
+    (r,) = transcripts.read_gtf(spark, put(tmp_path, "o.gtf", ("1", "protein_coding", "exon", 41, 60, ".", "-", ".", a), ("1", "protein_coding", "exon", 11, 30, ".", "-", ".", a))).collect()
+    assert (r["beg"], r["tend"], r["gene_name"], r["transcript_type"]) == (11, 60, "ENSG1", "protein_coding")
+
+
+def test_first_gene_by_line(spark, tmp_path):
+    g = lambda f, b, e, a: ("NC_1", "R", f, b, e, ".", "+", ".", a)
+    path = put(tmp_path, "y.gff3", g("region", 1, 900, "ID=r1;chromosome=7"), g("gene", 500, 600, "ID=gene2;Name=ABC"), g("exon", 500, 600, "ID=e2;Parent=gene2"), g("gene", 11, 60, "ID=gene1;Name=ABC"), g("exon", 11, 60, "ID=e1;Parent=gene1"))
+    assert [r["beg"] for r in transcripts.read_refseq(spark, path).collect()] == [500]
+
+
+def test_tables_of_transcripts_and_features(spark, tmp_path):
+    row = (0, "NM_1", "chr1", "-", 9, 40, 12, 38, 2, "9,29,", "20,40,", 0, "abc", "cmpl", "cmpl", "0,0,")
+    t = transcripts.read_refgene(spark, put(tmp_path, "rg", row, (*row[:1], "NM_2", "chr2", *row[3:12], "xyz", *row[13:])))
+    transcripts.write_transcripts(t, str(tmp_path / "by_place"))
+    transcripts.write_by_gene(t, str(tmp_path / "by_gene"))
+    assert [r["name"] for r in transcripts.at_place(spark, str(tmp_path / "by_place"), "chr1", 40, 90).collect()] == ["NM_1"] and not transcripts.at_place(spark, str(tmp_path / "by_place"), "chr1", 41, 90).collect()
+    assert [r["name"] for r in transcripts.by_gene(spark, str(tmp_path / "by_gene"), "xyz").collect()] == ["NM_2"]
+    f = tracks.union_features(tracks.read_bed(spark, put(tmp_path, "b", ("chr1", 1, 5, "x"))), tracks.read_gff_features(spark, put(tmp_path, "g", ("chr1", "s", "promoter", 3, 9, ".", "+", ".", "."))))
+    tracks.write_features(f, str(tmp_path / "features"))
+    assert sorted((r["source"], r["beg"], r["label"]) for r in spark.read.parquet(str(tmp_path / "features")).collect()) == [("bed", 1, "x"), ("gff", 3, "promoter")]
+    tracks.write_idmap(tracks.idmap_of(t.withColumn("aliases", F.array(F.lit("NP_7"))).withColumn("gene_dbxref", F.lit("GeneID:5,HGNC:9"))), str(tmp_path / "idmap"))
+    assert {(r[0], r[1]) for r in spark.read.parquet(str(tmp_path / "idmap")).collect()} == {(i, g) for i in ("NP_7", "5", "9") for g in ("ABC", "XYZ")}
+    assert tracks.read_known_variants(spark, put(tmp_path, "k", ("1", 5, "rs1", "A", "C,G"))).first()["alts"] == ["C", "G"]
+    q = tracks.one_query(spark, "PIK3CA:p.E545K").first()
+    assert (q["tok"], q["change"], q["level"]) == ("PIK3CA", "p.E545K", "p") and tracks.one_query(spark, "PIK3CA").first()["change"] is None
+
+
+@pytest.mark.parametrize("width", [7, 64, 100_000])
+def test_fasta_over_splits(spark, tmp_path, width):
+    """Records that run over many splits, with lines of any width."""
+    import random
+
+    rng = random.Random(width)
+    seqs = {"c1": "".join(rng.choices("ACGT", k=5000)), "c2": "ACG", "c3": "".join(rng.choices("acgt", k=2100))}
+    path = put(tmp_path, "x.fa", *(x for n, s in seqs.items() for x in (f">{n} text", *(s[i : i + width] for i in range(0, len(s), width)))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 900)
+    try:
+        got = {(r["chrom"], r["chunk"]): (r["beg"], r["seq"]) for r in tracks.read_fasta(spark, path, chunk=1000, overlap=30, before=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(n, c): (max(1, c * 1000 - 19), s.upper()[max(0, c * 1000 - 20) : (c + 1) * 1000 + 30]) for n, s in seqs.items() for c in range((len(s) - 1) // 1000 + 1)}
+    assert got == want
