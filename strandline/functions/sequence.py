@@ -122,3 +122,19 @@ def trim(ref: Column, alt: Column) -> Column:
         return bind(tail, lambda y: F.struct(F.substr(y["r"], F.lit(1), F.length(y["r"]) - y["tail"]).alias("ref"), F.substr(y["a"], F.lit(1), F.length(y["a"]) - y["tail"]).alias("alt"), y["head"].alias("head")))
 
     return bind({"r": ref, "a": alt, "head": shared(ref, alt)}, cut)
+
+
+def shortened(s: Column, ends: int = 3) -> Column:
+    """ABC..XYZ: a long text by its ends."""
+    return F.when(F.length(s) > 2 * ends + 2, F.concat(F.left(s, F.lit(ends)), F.lit(".."), F.right(s, F.lit(ends)))).otherwise(s)
+
+
+def context(protein: Column, pos: Column, around: int = 5) -> Column:
+    """xx[R]yy: the amino acid at pos between those around it."""
+    low = F.greatest(pos - around, F.lit(1))
+    return F.concat(F.substr(protein, low, pos - low), F.lit("["), F.substr(protein, pos, F.lit(1)), F.lit("]"), F.substr(protein, pos + 1, F.lit(around)))
+
+
+def clamped(beg: Column, end: Column, size: Column) -> Column:
+    """struct(beg, end) of a region cut to its contig."""
+    return F.struct(F.least(F.greatest(beg, F.lit(1)), size).alias("beg"), F.greatest(F.least(end, size), F.lit(1)).alias("end"))

@@ -115,7 +115,7 @@ def protein_change(edits: DataFrame, seqmax: int = 10) -> DataFrame:
         .otherwise(swapped)
     )
     protein = F.when(framed, sequence.translate(F.col("__new_cds"))).otherwise(sequence.translate(F.concat(F.col("__new_cds"), tail)))
-    x = x.withColumns({"csqn": F.when(whole, csqn), "change": F.when(whole, change), "variant_protein": protein})
+    x = annotate.once(x, csqn=F.when(whole, csqn), change=F.when(whole, change), variant_protein=protein)
     return x.drop("__one", "__last", "__new_cds", "__p", "__old", "__new", "__framed", "__was", "__is", "__at", "__stop", "__t", "__ref", "__alt", "__beg", "__end", "__roll")
 
 

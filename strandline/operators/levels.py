@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
 from . import annotate, coding
@@ -145,3 +146,38 @@ def long_regions(spans: DataFrame, transcripts: DataFrame) -> DataFrame:
     at = lambda c, name: annotate.on_transcripts(ends, transcripts.select("tid", "contig_id", "beg", "tend"), c, c).select("vid", F.col("tid").alias(name))
     inside = annotate.on_transcripts(ends, transcripts.select("tid", "contig_id", "beg", "tend"), "pos", "till").where("beg >= pos and tend <= till").groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
     return ends.join(at("pos", "beg_tid"), "vid", "left").join(at("till", "end_tid"), "vid", "left").join(inside, "vid", "left").select("vid", "beg_tid", "end_tid", F.coalesce("n", F.lit(0)).alias("n_spanned"))
+
+
+def frameshift_candidates(pairs: DataFrame, max_deletion: int = 4, max_insertion: int = 2, reach: int = 10, most: int = 10) -> DataFrame:
+    """qid, tid, edit, size, rank, n_omitted: deletions and insertions that give the frameshift of each pair (a p. change of kind FS).
+
+    Every edit at the last `reach` bases up to the end of the codon named is
+    made and read; those stay whose protein change is the one asked for (any new
+    amino acid, or stop, if it isn't told).  Edits that give the same coding
+    sequence are one, the last in the transcript's direction; shorter ones come
+    first, deletions before insertions, and the `most` first of a pair are
+    listed.  A pair has (reach * max_deletion + reach * 4 ** max_insertion) edits
+    at most, spread as rows; names must be those of the transcript.
+    """
+    x = protein_changes(pairs).where("kind = 'FS'")
+    p = F.col("p")
+    lengths = F.array(*(F.lit(n) for n in range(1, max_deletion + 1) if n % 3))
+    bases = [""]
+    strings: list[str] = []
+    for n in range(1, max_insertion + 1):
+        bases = [a + b for a in bases for b in "ACGT"]
+        strings += bases if n % 3 else []
+    keep = ["qid", "tid", "cds", "tail"]
+    at = F.explode(F.sequence(F.greatest(3 * p["beg"] - reach + 1, F.lit(2)), 3 * p["beg"])).alias("cbeg")
+    told = F.concat("__want.beg_aa", F.col("__want.beg").cast("string"), "__want.alt")
+    x = x.select(*keep, p.alias("__want"), at)
+    cut = x.withColumn("n", F.explode(lengths)).withColumn("cend", F.col("cbeg") + F.col("n") - 1).withColumn("alt", F.lit("")).where("cend <= length(cds)")
+    put = x.withColumn("alt", F.explode(F.array(*map(F.lit, strings)))).withColumn("n", F.length("alt")).withColumn("cend", F.col("cbeg") - 1)
+    edits = coding.protein_change(cut.unionByName(put).withColumn("__key", F.md5(F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds"))))))
+    stop = F.when(F.col("__want.stop").isNull(), F.col("change").contains("fs*")).otherwise(F.endswith("change", F.concat(F.lit("fs*"), F.col("__want.stop").cast("string"))))
+    fits = edits.where(F.startswith("change", told) & stop & F.col("change").contains("fs*"))
+    text = F.when(F.col("alt") == "", F.concat(F.col("cbeg").cast("string"), F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("cend").cast("string"))), F.lit("del"), F.substr("cds", F.col("cbeg"), F.col("n")))).otherwise(F.concat(F.col("cend").cast("string"), F.lit("_"), F.col("cbeg").cast("string"), F.lit("ins"), "alt"))
+    one = fits.groupBy("qid", "tid", "__key").agg(F.max_by(F.struct(text.alias("edit"), F.col("n").cast("int").alias("size"), (F.col("alt") != "").alias("put"), F.col("cbeg").alias("at")), F.col("cbeg")).alias("e"))
+    window = Window.partitionBy("qid", "tid")
+    ranked = one.select("qid", "tid", "e.*").withColumn("rank", F.row_number().over(window.orderBy("size", "put", F.desc("at"), "edit"))).withColumn("n_omitted", F.greatest(F.count(F.lit(1)).over(window) - most, F.lit(0)))
+    return ranked.where(F.col("rank") <= most).select("qid", "tid", "edit", "size", "rank", "n_omitted")

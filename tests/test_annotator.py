@@ -96,3 +96,39 @@ def test_names_in_any_case(spark):
 
     assert {(r["qid"], r["way"]) for r in lookup.cascade(q, t, none).select("qid", "way").collect()} == {(1, 2), (2, 1), (3, 3), (4, 2)}
     assert F
+
+
+def test_frameshifts_step_by_step(spark):
+    import random
+
+    from strandline.functions import sequence
+
+    rng = random.Random(6)
+    code = {a + b + c: sequence.STANDARD_CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+    read = lambda s: "".join(code[s[i : i + 3]] for i in range(0, len(s) // 3 * 3, 3))
+    cds = "ATG" + "".join(rng.choice(["GCT", "AAA", "CCG", "TTC", "GGA", "CAT"]) for _ in range(40)) + "TAA"
+    tail = "".join(rng.choices("ACGT", k=300))
+    old = read(cds + tail)
+
+    def change(new):
+        got = read(new + tail)
+        at = next(i for i in range(len(got)) if got[i] != old[i])
+        stop = got.find("*")
+        return at + 1, f"{old[at]}{at + 1}{got[at]}", stop - at + 1 if stop >= at else None
+
+    n, head, stop = change(cds[:60] + cds[61:])
+    want = set()
+    for b in range(3 * n - 9, 3 * n + 1):
+        for new in [cds[: b - 1] + cds[b - 1 + k :] for k in (1, 2, 4)] + [cds[: b - 1] + x + cds[b - 1 :] for x in [p + q for p in ("", *"ACGT") for q in "ACGT"]]:
+            if change(new)[1:] == (head, stop):
+                want.add(new)
+    t = spark.createDataFrame([(1, 7, f"p.{head}fs*{stop}", "+", cds, tail)], "qid bigint, tid bigint, change string, strand string, cds string, tail string").withColumn("segs", F.array(F.struct(F.lit(1).cast("bigint").alias("gb"), F.lit(len(cds)).cast("bigint").alias("ge"), F.lit(0).cast("bigint").alias("cprev"))))
+    rows = levels.frameshift_candidates(t, most=1000).orderBy("rank").collect()
+    made = set()
+    for r in rows:
+        span, kind, bases = __import__("re").match(r"([0-9_]+)(del|ins)(.*)", r["edit"]).groups()
+        a = int(span.split("_")[0])
+        made.add(cds[: a - 1] + cds[a - 1 + len(bases) :] if kind == "del" else cds[:a] + bases + cds[a:])
+    assert made == want and len(rows) == len(want) and rows[0]["size"] == 1 and [r["size"] for r in rows] == sorted(r["size"] for r in rows)
+    few = levels.frameshift_candidates(t, most=1).collect()
+    assert len(few) == 1 and few[0]["n_omitted"] == len(want) - 1

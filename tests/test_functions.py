@@ -100,3 +100,46 @@ def test_site_of_a_one_base_exon(spark):
     assert get(11, "+")["utr"] == 5 and get(11, "-")["utr"] == 3
     assert get(12, "+")["codon"] == "CdsStart" and get(12, "-")["codon"] == "CdsStop"
     assert get(50, "-")["edge"] == "TSS" and get(9, "+")["part"] == "outside"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("p.A12fs", ("FS", 12, 12, "A", "A", "A", "", None)), ("p.Ala12Glyfs*7", ("FS", 12, 12, "A", "A", "A", "G", 7)), ("p.A12del", ("DEL", 12, 12, "A", "A", "", "", None)), ("p.E17_K18del", ("DEL", 17, 18, "E", "K", "", "", None)),
+        ("p.A12dup", ("DUP", 12, 12, "A", "A", "", "", None)), ("p.T5delinsQQ", ("MNV", 5, 5, "T", "T", "", "QQ", None)), ("p.T5delinsQ", ("SNV", 5, 5, "T", "T", "T", "Q", None)), ("p.Glu17Lys", ("SNV", 17, 17, "E", "E", "E", "K", None)),
+        ("A12*", ("SNV", 12, 12, "A", "A", "A", "*", None)), ("p.A12?", ("REG", 12, 12, "A", "A", "", "", None)), ("p.D10_E20DxxE", ("REG", 10, 20, "D", "E", "DXXE", "", None)), ("p.??", (None,) * 8),
+    ],
+)
+def test_protein_forms(spark, text, want):
+    assert tuple(one(spark, hgvs.parse_protein(F.lit(text)))) == want
+
+
+def test_small_texts(spark):
+    assert one(spark, hgvs.three_letters(F.lit("AW*"))) == "AlaTrpX" and one(spark, hgvs.one_letter(F.lit("AlaTrpTer"))) == "AW*" and one(spark, hgvs.one_letter(F.lit("12"))) == ""
+    assert one(spark, sequence.shortened(F.lit("ABCDEFGHIJ"))) == "ABC..HIJ" and one(spark, sequence.shortened(F.lit("ABCD"))) == "ABCD"
+    assert one(spark, sequence.context(F.lit("MKTAYIAK"), F.lit(3), 2)) == "MK[T]AY"
+    assert tuple(one(spark, sequence.clamped(F.lit(-5), F.lit(99), F.lit(40)))) == (1, 40)
+    assert [one(spark, hgvs.normalize_chromosome(F.lit(c))) for c in ("23", "chr24", "MT", "7", "chrUn_1")] == ["chrX", "chrY", "chrM", "chr7", "chrUn_1"]
+
+
+def test_sql_functions(spark):
+    from strandline.functions import sql
+
+    sql.register(spark)
+    assert tuple(spark.sql("SELECT revcomp('ACGTN'), codon2aa('ATG'), codon2aa('ATN'), translate_cds('ATGTTTTAAATG'), translate_cds('AT')").first()) == ("NACGT", "M", None, "MF*", "")
+
+
+@pytest.mark.parametrize("strand", ["+", "-"])
+def test_segments_by_coding_places(spark, strand):
+    exons = F.array(*(F.struct(F.lit(b).cast("bigint").alias("beg"), F.lit(e).cast("bigint").alias("end")) for b, e in EXONS))
+    t = spark.range(1).withColumn("s", coords.segments(exons, F.lit(107), F.lit(240), F.lit(strand)))
+    bases = [p for b, e in EXONS for p in range(b, e + 1) if 107 <= p <= 240][:: 1 if strand == "+" else -1]
+    place = lambda pos, offset: F.struct(F.lit(pos).alias("pos"), F.lit(offset).alias("offset"))
+    get = lambda c: t.select(c.alias("x")).first()["x"]
+    edge = 24 if strand == "+" else 20
+    assert get(coords.codon_places(F.lit(8), F.col("s"), F.lit(strand))) == sorted(bases[21:24]) and get(coords.codon_places(F.lit(99), F.col("s"), F.lit(strand))) is None
+    assert get(coords.genomic_at(place(edge, 3), F.col("s"), F.lit(strand))) == bases[edge - 1] + (3 if strand == "+" else -3) and get(coords.genomic_at(place(-1, 2), F.col("s"), F.lit(strand))) == bases[-1] + (2 if strand == "+" else -2)
+    assert get(coords.on_boundary(place(edge, 1), F.col("s"), F.lit(strand))) and get(coords.on_boundary(place(edge + 1, -1), F.col("s"), F.lit(strand))) and not get(coords.on_boundary(place(edge, -1), F.col("s"), F.lit(strand)))
+    assert get(coords.segment_numbers(F.lit(edge), F.lit(edge + 1), F.col("s"), F.lit(strand))) == [1, 2]
+    assert get(coords.lean(place(edge, 4), F.col("s"), F.lit(strand), True)) == edge + 1 and get(coords.lean(place(edge + 1, -4), F.col("s"), F.lit(strand), False)) == edge
+    assert get(coords.same_intron(place(edge, 5), place(edge + 1, -7))) and not get(coords.same_intron(place(edge, 0), place(edge, 5)))
