@@ -173,7 +173,12 @@ def frameshift_candidates(pairs: DataFrame, max_deletion: int = 4, max_insertion
     x = x.select(*keep, p.alias("__want"), at)
     cut = x.withColumn("n", F.explode(lengths)).withColumn("cend", F.col("cbeg") + F.col("n") - 1).withColumn("alt", F.lit("")).where("cend <= length(cds)")
     put = x.withColumn("alt", F.explode(F.array(*map(F.lit, strings)))).withColumn("n", F.length("alt")).withColumn("cend", F.col("cbeg") - 1)
-    edits = coding.protein_change(cut.unionByName(put).withColumn("__key", F.md5(F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds"))))))
+    # what the answer says of single codons leaves few edits to read on
+    new = F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds")), F.coalesce("tail", F.lit("")))
+    codon = lambda i: sequence.codon_aa(F.substr(new, 3 * i - 2, F.lit(3)))
+    first, last = F.col("__want.beg"), F.col("__want.beg") + F.col("__want.stop") - 1
+    tried = cut.unionByName(put).where((F.col("__want.alt") == "") | (codon(first) == F.col("__want.alt"))).where(F.col("__want.stop").isNull() | (codon(last) == "*"))
+    edits = coding.protein_change(tried.withColumn("__key", F.md5(F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds"))))))
     stop = F.when(F.col("__want.stop").isNull(), F.col("change").contains("fs*")).otherwise(F.endswith("change", F.concat(F.lit("fs*"), F.col("__want.stop").cast("string"))))
     fits = edits.where(F.startswith("change", told) & stop & F.col("change").contains("fs*"))
     text = F.when(F.col("alt") == "", F.concat(F.col("cbeg").cast("string"), F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("cend").cast("string"))), F.lit("del"), F.substr("cds", F.col("cbeg"), F.col("n")))).otherwise(F.concat(F.col("cend").cast("string"), F.lit("_"), F.col("cbeg").cast("string"), F.lit("ins"), "alt"))

@@ -746,11 +746,3 @@ def snv_records(g: Genome) -> DataFrame:
     v = g.variants.withColumn("input", F.concat(F.lit("c"), F.col("contig_id").cast("string"), F.lit(":g."), F.col("pos").cast("string"), "ref", F.lit(">"), "alt"))
     r = records.snv_records(annotate.on_transcripts(v, g.named))
     return r.select("vid", F.struct(*records.FIELDS, "CHROM", "POS", "REF", "ALT").alias("r")).select("vid", F.concat_ws("\t", "r.*").alias("value"))
-
-
-@query(None)
-def frameshift_infer(g: Genome) -> DataFrame:
-    """Edits that explain a frameshift of each transcript: the one that a deletion of one base makes."""
-    made = levels.coding_changes(levels.named(_coding_queries(g, "c.{p}del"), g.named, g.idmap)).where("csqn = 'Frameshift'")
-    asked = made.select("qid", F.concat(F.lit("T"), F.col("tid").cast("string")).alias("tok"), F.concat(F.lit("p."), F.regexp_replace("change", r"\\?$", "")).alias("change"))
-    return levels.frameshift_candidates(levels.named(asked, g.named, g.idmap, coding_only=True))
