@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import components, saved
+from .shared import components, parts, saved, split_join, split_lookup
 
 COORDINATES = 64
 #: At a similarity of 0.8, 51.2 of 64 coordinates agree; fewer than 36 do in about 1 of 500,000 pairs.
@@ -102,16 +102,16 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, coordinates: in
 
     # rare tokens first; those of one class only can't be shared
     posted = classes.select("rep", "n_shingles", F.explode("tokens").alias("token"))
-    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    listed = posted.join(common, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list")).where(F.size("list") >= least)
+    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("often"), parts("rep")).where("often > 1")
+    listed = split_join(posted, common, "token", "rep").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list")).where(F.size("list") >= least)
     central = F.aggregate("list", F.lit(0).cast("long"), lambda s, x: s + x["often"])
     prefix = saved(listed.select("rep", "n_shingles", central.alias("central"), F.explode(F.expr(f"slice(list, 1, size(list) - {least - 1}).token")).alias("token")), "prefix")
     texts = saved(own.join(prefix.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
-    hubs = prefix.groupBy("token").agg(F.max(F.struct("central", -F.col("rep"), "rep", F.col("n_shingles").alias("m_shingles"))).alias("hub"))
+    hubs = prefix.groupBy("token").agg(F.max(F.struct("central", -F.col("rep"), "rep", F.col("n_shingles").alias("m_shingles"))).alias("hub"), parts("rep"))
     near = f"100 * least(n_shingles, hub.m_shingles) >= {percent} * greatest(n_shingles, hub.m_shingles)"
-    pairs = prefix.join(hubs, "token").where("rep <> hub.rep and " + near).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    links = saved(_confirmed(pairs, classes, texts, k, percent, least), "links")
+    pairs = split_join(prefix, hubs, "token", "rep").where("rep <> hub.rep and " + near).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    links = saved(_confirmed(saved(pairs, "pairs"), classes, texts, k, percent, least), "links")
     apart = _open(prefix, components(links))
     part = components(links.union(saved(_rest(saved(apart, "lists"), classes, texts, k, percent, least), "links")))
     named = classes.join(part, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -123,8 +123,8 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, coordinates: in
 def _open(prefix: DataFrame, part: DataFrame) -> DataFrame:
     """The lists with members of more than one component."""
     split = prefix.join(part, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = split.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return split.join(apart, "token")
+    apart = split.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts("rep")).where("x <> y").select("token", "__parts")
+    return split_join(split, apart, "token", "rep")
 
 
 def _rest(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
@@ -135,8 +135,8 @@ def _rest(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percen
     compares signatures, then whole sets, of members of different components,
     and returns the links only.  Small clusters share cells.
     """
-    first = lists.groupBy("token").agg(F.min("rep").alias("b"))
-    cluster = components(lists.join(first, "token").select(F.col("rep").alias("a"), "b")).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    first = lists.groupBy("token").agg(F.min("rep").alias("b"), parts("rep"))
+    cluster = components(split_join(lists, first, "token", "rep").select(F.col("rep").alias("a"), "b")).withColumnsRenamed({"node": "rep", "component": "cluster"})
     members = saved(lists.select("rep", "component").distinct().join(cluster, "rep"), "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     shared = max(16, -(-members.count() // (4 * CHUNK)))
@@ -180,13 +180,17 @@ def _rest(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percen
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, own: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in `least` coordinates, and whose whole sets are near enough."""
+    """The pairs (a, b) whose signatures agree in `least` coordinates, and whose whole sets are near enough.
+
+    A central document has many pairs; they are dealt into parts, each with a copy of its text.
+    """
     a = classes.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"), F.col("n_shingles").alias("na"))
     b = classes.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"), F.col("n_shingles").alias("nb"))
     agree = F.aggregate(F.zip_with("ta", "tb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(a, "a").join(b, "b").where(agree >= least).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
+    met = split_lookup(split_lookup(pairs, a, "a", "b"), b, "b", "a")
+    close = saved(met.where(agree >= least).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb")), "close")
     sides = close.select("a", "b", "na", "nb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("doc_id")))).alias("s")).select("a", "b", "na", "nb", "s.*")
-    texts = sides.join(own.where("doc_id is not null"), "doc_id").groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("right"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    texts = split_lookup(sides, own.where("doc_id is not null"), "doc_id", "a", "b").groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("right"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return texts.withColumn("both", _overlap(k)("left", "right")).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Tables written by saved() and not yet removed, by session.
 _SAVED: dict[str, list[str]] = {}
 
@@ -51,21 +50,51 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
         mine.remove(path)
 
 
+#: Tasks over which the rows of one key are dealt in a split join; a bit each in a long.
+PARTS = 64
+
+
+def part(*by: str) -> Column:
+    """The part of its key that a row belongs to."""
+    return F.pmod(F.hash(*by), F.lit(PARTS))
+
+
+def parts(*by: str) -> Column:
+    """Aggregate of a key's rows: the parts that they are in, as bits, for spread()."""
+    return F.bit_or(F.expr(f"shiftleft(1L, pmod(hash({', '.join(by)}), {PARTS}))")).alias("__parts")
+
+
+def spread(keys: DataFrame) -> DataFrame:
+    """keys with __parts, once for each part (__part) that has rows."""
+    return keys.withColumn("__part", F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), i -> (shiftright(__parts, i) & 1) = 1)"))).drop("__parts")
+
+
+def split_join(many: DataFrame, keys: DataFrame, key: str, *by: str) -> DataFrame:
+    """many joined on key with keys, which hold __parts: rows of one key are dealt into parts by the columns `by`, so that no task gets all of them."""
+    return many.withColumn("__part", part(*by)).join(spread(keys), [key, "__part"]).drop("__part")
+
+
+def split_lookup(many: DataFrame, table: DataFrame, key: str, *by: str) -> DataFrame:
+    """split_join with a table that has few rows a key; a row of it is copied only to the parts that want it."""
+    return split_join(many, table.join(many.groupBy(key).agg(parts(*by)), key), key, *by)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
     Alternates large-star and small-star steps: neighbours are linked to the
-    smallest one nearby until nothing changes.  A round is four shuffles of
-    edges, and the number of rounds grows with the logarithm of the longest path.
+    smallest one nearby until nothing changes.  A round is a few shuffles of
+    edges, those of one node dealt into parts, and the number of rounds grows with
+    the logarithm of the longest path.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), parts("b")).withColumn("m", F.least("a", "m"))
+        large = split_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), parts("b"))
+        small = split_join(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         old, now = now, saved(small, "edges")
         remove(now.sparkSession, old)
         was, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
