@@ -115,14 +115,19 @@ def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | Non
     return near.union(far.select(*rows.columns, roll_right(F.col("region"), place("pos"), place("till")).alias("right"), roll_left(F.col("region"), place("pos"), place("till")).alias("left")))
 
 
-def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64) -> DataFrame:
-    """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions."""
-    x = genome.bases_at(rows, chunks, __fore=(1, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
-    done = (F.col("__right") < window) & (F.length("ins") <= window)
-    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"))
+def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64, left: bool = False) -> DataFrame:
+    """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions; left: with left, too."""
+    x = genome.bases_at(rows, chunks, __fore=(1, window), __back=(1 - window, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
+    before = F.reverse("__back")
+    x = x.withColumn("__left", sequence.common_prefix(F.concat(F.reverse("ins"), before), before) if left else F.lit(0))
+    done = (F.col("__right") < window) & (F.col("__left") < window) & (F.length("ins") <= window)
+    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"), *([F.col("__left").alias("left")] if left else []))
     far = x.where(~done).select(*rows.columns)
     far = far.join(contigs.select("contig_id", F.col("seq").alias("region")), "contig_id").withColumn("region_first", F.lit(1)) if contigs is not None else genome.regions(far, chunks, REACH, "pos", "pos")
-    return near.union(far.select(*rows.columns, roll_insertion(F.col("region"), (F.col("pos") - F.col("region_first") + 1).cast("int"), F.col("ins")).alias("right")))
+    at = (F.col("pos") - F.col("region_first") + 1).cast("int")
+    head = F.reverse(F.substr("region", F.lit(1), at))
+    back = F.coalesce(sequence.first_difference(F.concat(F.reverse("ins"), head), F.concat(head, F.lit("-"))) - 1, F.lit(0))
+    return near.union(far.select(*rows.columns, roll_insertion(F.col("region"), at, F.col("ins")).alias("right"), *([back.alias("left")] if left else [])))
 
 
 def candidate_codons(spark: SparkSession) -> DataFrame:

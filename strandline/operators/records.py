@@ -75,6 +75,42 @@ def tail_items() -> list[Column]:
     return [F.concat(F.lit("dbxref="), F.col("gene_dbxref")), F.when(F.size("aliases") > 0, F.concat(F.lit("aliases="), F.array_join("aliases", ","))), F.concat(F.lit("source="), F.col("source"))]
 
 
+def site_items(site: Column) -> list[Column]:
+    """What info says of a point at pos: splice site, start or stop codon, end of the transcript."""
+    where = F.concat(F.col("contig_id").cast("string"), F.lit(":"), text(F.col("pos")))
+    codon = F.when(site["codon"].isNotNull(), F.concat(F.when(site["codon"] == "CdsStart", "C2=cds_start_at_").otherwise("C2=cds_end_at_"), where))
+    edge = F.when(site["edge"] == "TSS", "transcription_start_at_").when(site["edge"] == "TES", "transcription_end_at_")
+    return [splice_text(site, F.col("exons"), F.col("strand"), F.col("contig_id").cast("string"), F.col("pos")), codon, F.concat(edge, where)]
+
+
+def span_labels(span: Column, word: str) -> Column:
+    """Labels of a span that takes splice sites or the ends of the coding sequence (coding.span_site)."""
+    found = F.when(span["donors"] > 0, "SpliceDonor" + word), F.when(span["acceptors"] > 0, "SpliceAcceptor" + word), F.when(span["start"], "CdsStart" + word), F.when(span["stop"], "CdsStop" + word)
+    return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+
+def one_label(labels: Column) -> Column:
+    """The label; Multi: and all of them, if there are more; Unclassified, if none."""
+    return F.when(F.size(labels) == 0, "Unclassified").when(F.size(labels) == 1, F.get(labels, F.lit(0))).otherwise(F.concat(F.lit("Multi:"), F.array_join(labels, ",")))
+
+
+def placed(pairs: DataFrame, *points: Column) -> DataFrame:
+    """pairs with __c, the cDNA positions of points, and __sites, what the transcript has at pos and till."""
+    site = lambda p: coords.site(p, F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"), F.col("transcript_type") == "protein_coding")
+    return annotate.once(pairs, __c=F.transform(F.array(*points), lambda p: coords.cdna(p, F.col("segs"), F.col("strand"))), __sites=F.transform(F.array("pos", "till"), site))
+
+
+def between_text(a: Column, b: Column, ca: Column, cb: Column) -> Column:
+    """inside_[] of two ends that are in one place, or from_[]_to_[]."""
+    begin, last = place_text(a, ca["offset"] == 0, F.col("strand")), place_text(b, cb["offset"] == 0, F.col("strand"))
+    return F.when(begin == last, F.concat(F.lit("inside_["), begin, F.lit("]"))).otherwise(F.concat(F.lit("from_["), begin, F.lit("]_to_["), last, F.lit("]")))
+
+
+def named_fields(coordinates: Column, region: Column, *items: Column) -> list[Column]:
+    """vid, tid and FIELDS."""
+    return [F.col("vid"), F.col("tid"), F.col("input"), transcript_text().alias("transcript"), F.col("gene_name").alias("gene"), F.col("strand"), coordinates.alias("coordinates"), region.alias("region"), info(*items, *tail_items()).alias("info")]
+
+
 def snv_records(pairs: DataFrame) -> DataFrame:
     """pairs of SNV (vid, input, contig_id, pos, ref, alt) and transcript, with vid, tid and FIELDS, and the columns CHROM, POS, REF, ALT.
 
@@ -88,11 +124,9 @@ def snv_records(pairs: DataFrame) -> DataFrame:
     told = F.col("csqn").isin("Missense", "Nonsense", "Synonymous")
     protein = F.when(told, F.concat(F.lit("p."), "aa_ref", text(F.col("aa_pos")), "aa_alt")).otherwise(".")
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), text(F.col("pos")), "ref", F.lit(">"), "alt", F.lit("/c."), "cpos", turn("ref"), F.lit(">"), turn("alt"), F.lit("/"), protein)
-    hit = F.when(site["codon"].isNotNull(), F.concat(F.when(site["codon"] == "CdsStart", "C2=cds_start_at_").otherwise("C2=cds_end_at_"), F.col("contig_id").cast("string"), F.lit(":"), text(F.col("pos"))))
-    edge = F.when(site["edge"] == "TSS", "transcription_start_at_").when(site["edge"] == "TES", "transcription_end_at_")
     three = coords.codon_places(F.col("aa_pos"), F.col("segs"), F.col("strand"))
     codon = F.when(told, F.concat(F.lit("codon_pos="), F.array_join(F.transform(three, text), "-"), F.lit(";ref_codon_seq="), "codon"))
-    items = (F.concat(F.lit("CSQN="), "csqn"), splice_text(site, F.col("exons"), F.col("strand"), F.col("contig_id").cast("string"), F.col("pos")), hit, F.concat(edge, F.col("contig_id").cast("string"), F.lit(":"), text(F.col("pos"))), codon)
+    items = (F.concat(F.lit("CSQN="), "csqn"), *site_items(site), codon)
     return x.select(
         "vid", "tid", "input", transcript_text().alias("transcript"), F.col("gene_name").alias("gene"), "strand", coordinates.alias("coordinates"),
         F.concat(F.lit("inside_["), place_text(site, c["offset"] == 0, F.col("strand")), F.lit("]")).alias("region"), info(*items, *tail_items()).alias("info"),
@@ -129,17 +163,129 @@ def deletion_records(pairs: DataFrame, seqmax: int = 10) -> DataFrame:
 
     span = F.col("__span")
     same = coords.same_intron(a["c"], b["c"])
-    splice = F.when(span["donors"] > 0, "SpliceDonorDeletion"), F.when(span["acceptors"] > 0, "SpliceAcceptorDeletion"), F.when(span["start"], "CdsStartDeletion"), F.when(span["stop"], "CdsStopDeletion")
-    labels = F.array_distinct(F.filter(F.array(*splice), lambda s: s.isNotNull()))
+    labels = span_labels(span, "Deletion")
     hit = (F.size(labels) > 0) | (span["whole"] > 0)
     region = F.concat(annotate.region_text(a["site"]), F.lit("Deletion"))
-    csqn = F.when(~same & hit, F.when(F.size(labels) == 0, "Unclassified").when(F.size(labels) == 1, labels[0]).otherwise(F.concat(F.lit("Multi:"), F.array_join(labels, ",")))).when(framed, F.col("csqn")).when(same, region).otherwise("UnclassifiedDeletion")
+    csqn = F.when(~same & hit, one_label(labels)).when(framed, F.col("csqn")).when(same, region).otherwise("UnclassifiedDeletion")
     protein = F.when(framed & ~hit, F.concat(F.lit("p."), "change")).otherwise(".")
-    begin, last = (place_text(p["site"], p["c"]["offset"] == 0, F.col("strand")) for p in (a, b))
-    where = F.when(begin == last, F.concat(F.lit("inside_["), begin, F.lit("]"))).otherwise(F.concat(F.lit("from_["), begin, F.lit("]_to_["), last, F.lit("]")))
+    where = between_text(a["site"], b["site"], a["c"], b["c"])
     items = [F.concat(F.lit("CSQN="), csqn), F.concat(F.lit("left_align_gDNA="), genomic(shifts["left"])), F.concat(F.lit("unaligned_gDNA="), genomic(shifts["own"])), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own"))]
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic(shifts["right"]), F.lit("/"), transcript("right"), F.lit("/"), protein)
-    return x.select("vid", "tid", "input", transcript_text().alias("transcript"), F.col("gene_name").alias("gene"), "strand", coordinates.alias("coordinates"), where.alias("region"), info(*items, *tail_items()).alias("info"))
+    return x.select(*named_fields(coordinates, where, *items))
+
+
+def insertion_records(pairs: DataFrame) -> DataFrame:
+    """pairs of insertion (vid, input, contig_id, pos, ins, right, left), after pos, and transcript with vid, tid and FIELDS.
+
+    An insertion that repeats the bases before it is a duplication; it does so
+    wherever it can shift back by its own length.  A splice site, start or stop
+    at pos comes before the protein, and that before the region.
+    """
+    n = F.length("ins")
+    shifts = {"right": F.col("right").cast("bigint"), "left": -F.col("left").cast("bigint"), "own": F.lit(0).cast("bigint")}
+    x = pairs.withColumn("till", F.col("pos") + 1)
+    x = placed(x, *((F.col("pos") + by + d).cast("bigint") for by in shifts.values() for d in (F.lit(0), F.lit(1), 1 - n, n)))
+    c = lambda name, side: F.get("__c", F.lit(4 * list(shifts).index(name) + side))
+    a, b, site = c("own", 0), c("own", 1), F.get("__sites", F.lit(0))
+    plus, framed = F.col("strand") == "+", (a["offset"] == 0) & (b["offset"] == 0) & (F.abs(a["pos"] - b["pos"]) == 1)
+    x = x.withColumn("cbeg", F.when(framed, F.greatest(a["pos"], b["pos"])).cast("int")).withColumn("cend", F.col("cbeg") - 1)
+    x = coding.protein_change(x.withColumn("alt", F.when(plus, F.col("ins")).otherwise(sequence.reverse_complement(F.col("ins")))))
+    whole = F.col("right") + F.col("left") >= n
+    copies_before = {"right": whole, "left": F.lit(False), "own": F.col("left") >= n}
+    copies_after = {"left": whole, "right": F.lit(False), "own": F.col("right") >= n}
+    moved = lambda name: F.substr(F.concat("ins", "ins"), (F.pmod(shifts[name], n) + 1).cast("int"), n)
+
+    def genomic(name: str) -> Column:
+        at = F.col("pos") + shifts[name]
+        return F.concat(F.lit("g."), insertion_id(text(at), text(at + 1), text(at - n + 1), moved(name), copies_before[name], -1))
+
+    def transcript(name: str) -> Column:
+        mirror = {"right": "left", "left": "right", "own": "own"}[name]
+        told = lambda which, side: coords.position_text(c(which, side))
+        forward = insertion_id(told(name, 0), told(name, 1), told(name, 2), moved(name), copies_before[name], -1)
+        back = insertion_id(told(mirror, 1), told(mirror, 0), told(mirror, 3), sequence.reverse_complement(moved(mirror)), copies_after[mirror], -1)
+        return F.concat(F.lit("c."), F.when(plus, forward).otherwise(back))
+
+    labels = F.filter(F.array(F.when(site["splice"].startswith("Splice"), F.concat(site["splice"], F.lit("Insertion"))), F.concat(site["codon"], F.lit("Insertion"))), lambda s: s.isNotNull())
+    hit = (F.size(labels) > 0) | site["edge"].isNotNull()
+    csqn = F.when(hit, one_label(labels)).when(framed, F.col("csqn")).otherwise(F.concat(annotate.region_text(site), F.lit("Insertion")))
+    protein = F.when(framed & ~hit, F.concat(F.lit("p."), "change"))
+    phase = F.when(framed & ~hit & F.col("csqn").isin("InFrameInsertion", "MultiAAMissense"), F.concat(F.lit("phase="), text(F.col("cend") % 3)))
+    coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic("right"), F.lit("/"), F.coalesce(transcript("right"), F.lit(".")), F.lit("/"), F.coalesce(protein, F.lit(".")))
+    items = [F.concat(F.lit("CSQN="), csqn), F.concat(F.lit("left_align_gDNA="), genomic("left")), F.concat(F.lit("unalign_gDNA="), genomic("own")), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own"))]
+    where = F.concat(F.lit("inside_["), place_text(site, a["offset"] == 0, F.col("strand")), F.lit("]"))
+    return x.select(*named_fields(coordinates, where, *items, *site_items(site), phase))
+
+
+def block_records(pairs: DataFrame) -> DataFrame:
+    """pairs of block substitution (vid, input, contig_id, pos, till, ref, alt, without common ends) and transcript with vid, tid and FIELDS."""
+    x = placed(pairs.withColumnRenamed("alt", "galt"), F.col("pos"), F.col("till"))
+    x = annotate.once(x, __span=coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end")))
+    a, b, plus, span = F.get("__c", F.lit(0)), F.get("__c", F.lit(1)), F.col("strand") == "+", F.col("__span")
+    framed = (a["offset"] == 0) & (b["offset"] == 0) & (F.abs(a["pos"] - b["pos"]) == F.col("till") - F.col("pos"))
+    turn = lambda s: F.when(plus, F.col(s)).otherwise(sequence.reverse_complement(F.col(s)))
+    x = x.withColumn("cbeg", F.when(framed, F.least(a["pos"], b["pos"])).cast("int")).withColumn("cend", F.when(framed, F.greatest(a["pos"], b["pos"])).cast("int"))
+    x = coding.protein_change(x.withColumn("alt", turn("galt")))
+    labels = span_labels(span, "BlockSubstitution")
+    hit = (F.size(labels) > 0) | (span["whole"] > 0)
+    first, last = (F.get("__sites", F.lit(i)) for i in (0, 1))
+    region = F.when(annotate.region_text(first) == annotate.region_text(last), annotate.region_text(first)).otherwise("Unclassified")
+    csqn = F.when(hit, one_label(labels)).when(framed, F.col("csqn")).otherwise(F.concat(region, F.lit("BlockSubstitution")))
+    codon = lambda i: F.concat_ws("-", *(text(3 * i - 2 + k) for k in range(3)))
+    one, two = (F.floor((F.col(e) + 2) / 3) for e in ("cbeg", "cend"))
+    inside = framed & ~hit & ((F.length("alt") - F.length("ref")) % 3 == 0)
+    codons = F.when(inside, F.when(one == two, F.concat(F.lit("codon_cDNA="), codon(one))).otherwise(F.concat(F.lit("begin_codon_cDNA="), codon(one), F.lit(";end_codon_cDNA="), codon(two))))
+    ends = [coords.position_text(p) for p in (a, b)]
+    coding_id = F.concat(F.lit("c."), block_id(F.when(plus, ends[0]).otherwise(ends[1]), F.when(plus, ends[1]).otherwise(ends[0]), turn("ref"), F.col("alt")))
+    coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), block_id(text(F.col("pos")), text(F.col("till")), F.col("ref"), F.col("galt")), F.lit("/"), F.coalesce(coding_id, F.lit(".")), F.lit("/"), F.coalesce(F.when(framed & ~hit, F.concat(F.lit("p."), "change")), F.lit(".")))
+    return x.select(*named_fields(coordinates, between_text(first, last, a, b), F.concat(F.lit("CSQN="), csqn), codons))
+
+
+def span_items(beg: Column, end: Column, action: str) -> list[Column]:
+    """What info says of a span: splice sites by their first intronic base, whole exons, and the ends of the coding sequence in it."""
+    exons, plus, n = F.col("exons"), F.col("strand") == "+", F.size("exons")
+    contig = F.col("contig_id").cast("string")
+    number = lambda i: text(F.when(plus, i + 1).otherwise(n - i))
+    inside = lambda e: (e["beg"] >= beg) & (e["end"] <= end)
+    at_beg = lambda e, i: ~inside(e) & e["beg"].between(beg - 1, end + 1) & (i > 0)
+    at_end = lambda e, i: ~inside(e) & ~at_beg(e, i) & e["end"].between(beg - 1, end + 1) & (i < n - 1)
+    told = lambda kind, i, p: F.concat(F.lit(f"C2={kind}_splice_site_on_exon_"), number(i), F.lit("_at_"), contig, F.lit(":"), text(p), F.lit(action))
+    every = lambda kind, test, p: F.nullif(F.array_join(F.transform(exons, lambda e, i: F.when(test(e, i), told(kind, i, p(e)))), ";"), F.lit(""))
+    low, high = (lambda e: e["beg"] - 1), (lambda e: e["end"] + 1)
+    donors = F.when(plus, every("donor", at_end, high)).otherwise(every("donor", at_beg, low))
+    acceptors = F.when(plus, every("acceptor", at_beg, low)).otherwise(every("acceptor", at_end, high))
+    numbers = F.array_join(F.transform(exons, lambda e, i: F.when(inside(e), number(i))), ",")
+    edge = lambda c, forward, back: F.when(F.col(c).between(beg, end), F.concat(F.when(plus, forward).otherwise(back), F.lit("_at_"), contig, F.lit(":"), text(F.col(c)), F.lit(action)))
+    return [donors, acceptors, F.when(numbers != "", F.concat(F.lit("whole_exon_["), numbers, F.lit("]" + action))), edge("cds_beg", "cds_start", "cds_stop"), edge("cds_end", "cds_end", "cds_start")]
+
+
+def region_records(pairs: DataFrame) -> DataFrame:
+    """pairs of region (vid, input, contig_id, pos, till, ref, the base of a point) and a transcript that holds it, with vid, tid and FIELDS.
+
+    There is no label, as nothing changes.  An end in an intron leans to the
+    coding base inside the region.
+    """
+    x = placed(pairs, F.col("pos"), F.col("till"))
+    a, b, plus, point = F.get("__c", F.lit(0)), F.get("__c", F.lit(1)), F.col("strand") == "+", F.col("pos") == F.col("till")
+    size = F.length("cds")
+    index = lambda p, later: F.floor((coords.lean(p, F.col("segs"), F.col("strand"), later) + 2) / 3).cast("bigint")
+    x = annotate.once(x, __one=F.when(plus, index(a, True)).otherwise(index(b, True)), __two=F.when(plus, index(b, False)).otherwise(index(a, False)))
+    one, two = F.col("__one"), F.col("__two")
+    amino = lambda i: F.concat(sequence.codon_aa(F.substr("cds", (3 * i - 2).cast("int"), F.lit(3))), text(i))
+    places = lambda i: F.array_join(F.transform(coords.codon_places(i, F.col("segs"), F.col("strand")), text), "-")
+    told = ~coords.same_intron(a, b) & (size >= 3 * F.greatest(one, two))
+    protein = F.when(point, F.when(a["offset"] == 0, amino(one))).when(told, F.when(one == two, amino(one)).otherwise(F.concat_ws("_", amino(one), amino(two))))
+    start, end = F.when(plus, one).otherwise(two), F.when(plus, two).otherwise(one)
+    codons = F.when(told, F.when(one == two, F.concat(F.lit("codon="), places(one))).otherwise(F.concat(F.lit("start_codon="), places(start), F.lit(";end_codon="), places(end))))
+    own = F.when(plus, F.col("ref")).otherwise(F.translate("ref", "ACGT", "TGCA"))
+    ends = [coords.position_text(p) for p in (a, b)]
+    genomic = F.when(point, F.concat(text(F.col("pos")), "ref", F.lit(">"))).otherwise(F.concat(text(F.col("pos")), F.lit("_"), text(F.col("till"))))
+    cdna = F.when(point, F.concat(ends[0], own, F.lit(">"))).when(plus, F.concat(ends[0], F.lit("_"), ends[1])).otherwise(F.concat(ends[1], F.lit("_"), ends[0]))
+    coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), genomic, F.lit("/"), F.coalesce(F.concat(F.lit("c."), cdna), F.lit(".")), F.lit("/"), F.coalesce(F.concat(F.lit("p."), protein), F.lit(".")))
+    near = F.floor((a["pos"] + 2) / 3).cast("bigint")
+    body = F.concat(F.lit("is_gene_body"), F.coalesce(F.concat(F.lit(";codon_pos="), places(near)), F.lit("")))
+    items = [F.when(~point, s) for s in span_items(F.col("pos"), F.col("till"), "_included")]
+    return x.select(*named_fields(coordinates, between_text(F.get("__sites", F.lit(0)), F.get("__sites", F.lit(1)), a, b), F.when(point, body), *items, F.when(~point, codons)))
 
 
 def lines(records: DataFrame, *more: str) -> DataFrame:

@@ -60,21 +60,43 @@ def read_queries(lines: DataFrame) -> DataFrame:
 
 
 def genomic_records(queries: DataFrame, transcripts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """vid (qid) and the seven FIELDS of SNVs and deletions of the genome; queries without a transcript get a record of dots.
+    """vid (qid) and the seven FIELDS of changes and regions of the genome; queries without a transcript get a record of dots.
 
-    An SNV that tells another reference base than the genome's is an error record.
+    A duplication is an insertion after itself.  A block substitution loses its
+    common ends, and is what remains.  One that tells other bases than the
+    genome's, like such an SNV, is an error record.  A region must lie in its
+    transcript; levels.long_regions tells of others.
     """
-    q = annotate.once(queries.where("coalesce(level, 'g') = 'g'"), __h=hgvs.parse_genomic(F.col("change"))).where("__h.kind in ('SNV', 'DEL')")
+    q = annotate.once(queries.where("coalesce(level, 'g') = 'g'"), __h=hgvs.parse_genomic(F.col("change"))).where("__h.kind is not null")
     q = q.select(F.col("qid").alias("vid"), "input", hgvs.normalize_chromosome(F.col("tok")).alias("contig_id"), F.col("__h.kind").alias("kind"), F.col("__h.beg").cast("bigint").alias("pos"), F.col("__h.end").cast("bigint").alias("till"), F.col("__h.ref").alias("told"), "__h.alt")
-    snv = genome.bases_at(q.where("kind = 'SNV'").drop("till", "kind"), chunks, ref=(0, 1))
+    place = ["vid", "input", "contig_id", "pos"]
+    kind = lambda *names: q.where(F.col("kind").isin(*names)).drop("kind")
+    read = lambda rows, name: genome.regions(rows, chunks, 0).withColumnRenamed("region", name).drop("region_first")
     right = (F.col("told") == "") | (F.col("told") == F.col("ref"))
-    cut = annotate.align_deletions(q.where("kind = 'DEL'").select("vid", "input", "contig_id", "pos", "till"), chunks)
-    cut = genome.regions(cut, chunks, 0).withColumnRenamed("region", "bases").drop("region_first")
+    single = genome.bases_at(kind("SNV"), chunks, ref=(0, 1))
+    whole = read(kind("MNV"), "ref")
+    block = annotate.once(whole.where(right), __t=sequence.trim(F.col("ref"), F.col("alt"))).select("vid", "input", "contig_id", (F.col("pos") + F.col("__t.head")).alias("pos"), "__t.ref", "__t.alt")
+    block = block.withColumn("till", F.col("pos") + F.length("ref") - 1)
+    one = (F.length("ref") == 1) & (F.length("alt") == 1)
+    snv = single.where(right).select(*place, "ref", "alt").union(block.where(one).select(*place, "ref", "alt"))
+    cut = kind("DEL").select(*place, "till").union(block.where("alt = '' and ref <> ''").select(*place, "till"))
+    cut = read(annotate.align_deletions(cut, chunks), "bases")
+    twice = read(kind("DUP"), "ins").select("vid", "input", "contig_id", F.col("till").alias("pos"), "ins")
+    put = kind("INS").select(*place, F.col("alt").alias("ins")).union(twice).union(block.where("ref = '' and alt <> ''").select("vid", "input", "contig_id", F.col("pos") - 1, "alt"))
+    put = annotate.align_insertions(put, chunks, left=True)
+    region = genome.bases_at(kind("REG").select(*place, "till"), chunks, ref=(0, 1))
     t = transcripts.drop("source_file")
-    out = records.snv_records(annotate.on_transcripts(snv.where(right), t)).select("vid", *records.FIELDS)
-    out = out.union(records.deletion_records(annotate.on_transcripts(cut, t, "pos", "till")).select("vid", *records.FIELDS))
-    wrong = snv.where(~right).select("vid", "input", F.concat(F.lit("Error=invalid_reference_base_"), "told", F.lit("_(expect_"), "ref", F.lit(")")).alias("info"))
-    none = q.join(out.select("vid").distinct(), "vid", "left_anti").join(wrong.select("vid", "info"), "vid", "left")
+    swapped = block.where(~one & (F.col("ref") != "") & (F.col("alt") != ""))
+    parts = [
+        records.snv_records(annotate.on_transcripts(snv, t)), records.deletion_records(annotate.on_transcripts(cut, t, "pos", "till")), records.insertion_records(annotate.on_transcripts(put, t)),
+        records.block_records(annotate.on_transcripts(swapped, t, "pos", "till")), records.region_records(annotate.on_transcripts(region, t, "pos", "till").where("beg <= pos and till <= tend")),
+    ]
+    out = parts[0].select("vid", *records.FIELDS)
+    for more in parts[1:]:
+        out = out.union(more.select("vid", *records.FIELDS))
+    error = lambda rows, word: rows.where(~right).select("vid", F.concat(F.lit(f"Error=invalid_reference_{word}_"), "told", F.lit("_(expect_"), "ref", F.lit(")")).alias("info"))
+    wrong = error(single, "base").union(error(whole, "seq"))
+    none = q.join(out.select("vid").distinct(), "vid", "left_anti").join(wrong, "vid", "left")
     dot = F.lit(".")
     return out.union(none.select("vid", "input", dot, dot, dot, dot, dot, F.coalesce("info", F.lit("no_valid_transcript_found"))))
 

@@ -54,6 +54,31 @@ def test_genomic_records(spark, world):
     assert r["info"].startswith(f"CSQN=InFrameDeletion;left_align_gDNA=g.{beg - 1}_{beg + 1}delCCC;unaligned_gDNA=g.{beg}_{beg + 2}delCCC;left_align_cDNA=c.667_669delGGG;unalign_cDNA=c.669_671delGGG;")
 
 
+def test_insertions_blocks_regions(spark, world):
+    chunks, t, n = world
+    g = lambda c: 101 + n - c  # noqa: E731  place of c. in AAAS
+    e = g(667)  # the last base of CCCCCC in the genome
+    lines = ["chr3:g.1733_1735dup", f"chr12:g.{e - 6}_{e - 5}insC", "chr3:g.1733_1734delinsTT", "chr3:g.1733_1734delinsTTT", "chr3:g.1732_1733delCTinsCA", "chr3:g.1733_1800", "chr3:g.1733", "chr3:g.1735_1736insTAA"]
+    got = {r["input"]: r for r in annotator.genomic_records(annotator.read_queries(spark.createDataFrame([(x,) for x in lines], "value string")), t, chunks).collect()}
+    assert set(got) == set(lines)
+    r = got["chr3:g.1733_1735dup"]
+    assert r["coordinates"] == "chr3:g.1734_1736dupAGG/c.1634_1636dupAGG/p.E545dupE" and r["region"] == "inside_[cds_in_exon_1]"
+    assert r["info"] == "CSQN=InFrameInsertion;left_align_gDNA=g.1732_1733insGAG;unalign_gDNA=g.1733_1735dupGAG;left_align_cDNA=c.1632_1633insGAG;unalign_cDNA=c.1633_1635dupGAG;phase=0;dbxref=PIK3CA;source=CCDS"
+    r = got[f"chr12:g.{e - 6}_{e - 5}insC"]
+    assert r["coordinates"].startswith(f"chr12:g.{e}dupC/c.672dupG/p.") and "fs*" in r["coordinates"]
+    assert r["info"].startswith(f"CSQN=Frameshift;left_align_gDNA=g.{e - 6}_{e - 5}insC;unalign_gDNA=g.{e - 6}_{e - 5}insC;left_align_cDNA=c.666_667insG;unalign_cDNA=c.672dupG;")
+    r = got["chr3:g.1733_1734delinsTT"]
+    assert r["coordinates"] == "chr3:g.1733_1734delinsTT/c.1633_1634delinsTT/p.E545L" and r["info"].startswith("CSQN=Missense;codon_cDNA=1633-1634-1635;")
+    assert "fs*" in got["chr3:g.1733_1734delinsTTT"]["coordinates"]
+    assert got["chr3:g.1732_1733delCTinsCA"]["info"] == "Error=invalid_reference_seq_CT_(expect_TG)"
+    r = got["chr3:g.1733_1800"]
+    assert r["coordinates"] == "chr3:g.1733_1800/c.1633_1664+36/p.E545_A555" and r["region"] == "from_[cds_in_exon_1]_to_[intron_between_exon_1_and_2]"
+    assert r["info"] == "C2=donor_splice_site_on_exon_1_at_chr3:1765_included;start_codon=1733-1734-1735;end_codon=1763-1764-1865;dbxref=PIK3CA;source=CCDS"
+    r = got["chr3:g.1733"]
+    assert r["coordinates"] == "chr3:g.1733G>/c.1633G>/p.E545" and r["info"].startswith("is_gene_body;codon_pos=1733-1734-1735;")
+    assert got["chr3:g.1735_1736insTAA"]["info"].startswith("CSQN=Nonsense;")
+
+
 def test_coding_and_protein_queries(spark, world):
     _, t, _ = world
     q = annotator.read_queries(spark.createDataFrame([(x,) for x in ["PIK3CA:c.1633G>A", "CCDS43171.1:c.1633C>A", "PIK3CA:c.1664+1G>A", "PIK3CA:c.1600+1G>A", "AAAS:c.669_671del", "nobody:c.1A>T"]], "value string"))
