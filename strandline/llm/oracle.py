@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .mix_sources import BUCKETS, EPOCHS, SEED, SHARE, WEIGHTS, WORD  # noqa: F401
+from .merkle import FAN, TAMPER_EVERY
+from .mix_sources import EPOCHS, SEED, SHARE, WEIGHTS, WORD
+from .resampling import BUCKETS, LEAST_WORDS, LONGEST, PERCENT
+from .resampling import SEED as SAMPLE_SEED
 from .secret_scan import BASE, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, FURTHER
 
 _WORDS = rf"coalesce(regexp_extract_all(text, '{WORD}'), [])"
@@ -71,3 +74,73 @@ r AS (SELECT own.*, source_size, target, copies, round(target)::BIGINT - copies:
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM r)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size + greatest(least(wanted - (upto - size), size), 0))::BIGINT AS taken FROM c
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters, by the column t of crc_table."""
+    return f"xor(list_reduce(list_transform(range(1, strlen({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+_CRC_TABLE = "crc_table AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS v FROM range(256) x(b)))"
+
+
+def _levels(name: str, nodes: str, many: int) -> str:
+    """CTEs of a tree over nodes (g, i, n, d): name_0 .. name_many, and name_run_k, the lists of digests that become one."""
+    out = [f"{name}_0 AS ({nodes})"]
+    for k in range(many):
+        out.append(f"{name}_run_{k} AS (SELECT g, i // {FAN} AS i, max(n) AS n, list(d ORDER BY i) AS run FROM {name}_{k} GROUP BY 1, 2)")
+        out.append(f"{name}_{k + 1} AS (SELECT g, i, (n + {FAN - 1}) // {FAN} AS n, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d FROM {name}_run_{k})")
+    return ",\n".join(out)
+
+
+def _way(name: str, rows: str, place: str, group: str, many: int) -> str:
+    """CTEs that lead rows (folded, siblings) up a tree of _levels; the last one is name_way_many."""
+    out = [f"{name}_way_0 AS ({rows})"]
+    for k in range(many):
+        at = f"({place} // {FAN**k} % {FAN})"
+        before, after = f"array_to_string(run[1:{at}], '')", f"array_to_string(run[{at} + 2:], '')"
+        out.append(f"{name}_way_{k + 1} AS (SELECT w.* EXCLUDE (folded, siblings), CASE WHEN r.n = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded, siblings || CASE WHEN r.n = 1 THEN '' ELSE {before} || {after} END AS siblings FROM {name}_way_{k} w JOIN {name}_run_{k} r ON r.g = {group} AND r.i = {place} // {FAN ** (k + 1)})")
+    return ",\n".join(out)
+
+
+_SOURCE_LEVELS, _ROOT_LEVELS = 6, 4  # enough for 16 million leaves a source and 65,536 sources
+_told = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+MANIFEST = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {" || ".join(map(_told, ("doc_id", "source", "lang", "n_chars")))} AS head, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS changed, {_crc32("doc_id::VARCHAR")} % {TAMPER_EVERY} = 0 AS tampered FROM documents, crc_table),
+leaf AS (SELECT doc_id, g, sha256(head || {_told("text")}) AS leaf, CASE WHEN tampered THEN sha256(head || {_told("changed")}) ELSE sha256(head || {_told("text")}) END AS now FROM d),
+put AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+{_levels("s", "SELECT g, place AS i, n, leaf AS d FROM put", _SOURCE_LEVELS)},
+subroot AS (SELECT g AS source_g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS source_place, count(*) OVER () AS n FROM s_{_SOURCE_LEVELS}),
+{_levels("r", "SELECT '' AS g, source_place AS i, n, subroot AS d FROM subroot", _ROOT_LEVELS)},
+{_way("s", "SELECT doc_id, g, leaf, place, now AS folded, '' AS siblings FROM put", "w.place", "w.g", _SOURCE_LEVELS)},
+{_way("r", f"SELECT doc_id, leaf, subroot, source_place, folded, siblings FROM s_way_{_SOURCE_LEVELS} JOIN subroot ON g = source_g", "w.source_place", "''", _ROOT_LEVELS)}
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM r_way_{_ROOT_LEVELS}, (SELECT d AS root FROM r_{_ROOT_LEVELS})
+"""
+
+_GRAM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_HEX_CRC = "list_transform(range(1, strlen(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)"
+_grams = lambda table, key: " UNION ALL ".join(f"SELECT {key}, array_to_string(ws[i:i + {n - 1}], ' ') AS f FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM {table})" for n in range(1, LONGEST + 1))
+_lower_words = lambda table, key: f"SELECT {key}, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_GRAM_WORDS}'), []) AS ws FROM {table}"
+
+RESAMPLE = f"""
+WITH {_CRC_TABLE},
+dw AS ({_lower_words("documents", "doc_id")}),
+bw AS ({_lower_words("benchmark", "item_id")}),
+df AS ({_grams("dw", "doc_id")}),
+bf AS ({_grams("bw", "item_id")}),
+every AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+hashed AS (SELECT f, xor(list_reduce({_HEX_CRC}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket FROM every, crc_table),
+dc AS (SELECT doc_id, bucket, count(*) AS n FROM df JOIN hashed USING (f) GROUP BY 1, 2),
+s AS (SELECT bucket, sum(n) AS s FROM dc GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY 1),
+total AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS big_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS big_t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (big_s + {BUCKETS}) / ((s::DOUBLE + 1) * (big_t + {BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), total),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM dc JOIN gain USING (bucket) GROUP BY 1),
+sc AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('{SAMPLE_SEED}:', doc_id)), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM dw LEFT JOIN w USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE n_words >= {LEAST_WORDS}),
+drawn AS (SELECT * FROM k WHERE rank <= (SELECT floor({PERCENT} * count(*) / 100) FROM k))
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank::BIGINT AS rank FROM sc LEFT JOIN drawn USING (doc_id)
+"""

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Tables written by saved() and not yet removed, by session.
 _SAVED: dict[str, list[str]] = {}
@@ -79,6 +80,25 @@ def split_lookup(many: DataFrame, table: DataFrame, key: str, *by: str) -> DataF
     return split_join(many, table.join(many.groupBy(key).agg(parts(*by)), key), key, *by)
 
 
+def numbered(rows: DataFrame, order: list[str], within: str | None = None) -> DataFrame:
+    """rows with place, from 0 in the order of the columns `order` (nulls first), and n, how many rows are numbered together.
+
+    Rows are numbered on their own for each value of `within` (not null), if it is
+    given.  They are laid in ranges of within and order and written with the
+    range's number; a range adds what came before it to its own row numbers, so
+    that no task sees more than a range, and a row for each range before.
+    """
+    group = [within] if within else []
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = saved(rows.repartitionByRange(ranges, *(F.col(c).asc_nulls_first() for c in group + order)).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = laid.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(*group)
+    before = every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1
+    return laid.withColumn("__own", own).join(counts, [*group, "__range"]).select(*rows.columns, (F.col("__before") + F.col("__own")).cast("long").alias("place"), "n")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
