@@ -6,11 +6,14 @@ which are summed across partitions; texts are scored by the forward recursion,
 scaled as it goes, which is their exact likelihood under the model.
 
 Texts are encoded once, in blocks of a few MB, each with a dictionary of its own
-and its tokens as numbers into it.  The emission counts are a table with a row a
-word, however many there are; in each pass a block is given the rows of its own
-dictionary and returns their expected counts, so that neither the vocabulary nor
-the corpus passes through the driver or one task.  Only the counts of
-transitions, STATES + 1 rows, do.
+(hashes of words) and its tokens as numbers into it.  The emission counts are a
+table with a row a word, however many there are; in each pass a block is given
+the rows of its own dictionary and returns their expected counts, so that
+neither the vocabulary nor the corpus passes through the driver or one task.  Only
+the counts of transitions, STATES + 2 rows, do.  Words seen RARE times or less
+are emitted by each state in proportion to their counts: all together have one
+expected count a state, and no row of their own in the table.  Blocks and
+dictionaries are bucketed tables, so a pass shuffles only what it learns.
 
 Within a block the recursion runs over segments of all texts at once: products
 of transition and emission matrices carry a text's state over a segment, and
@@ -27,20 +30,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import words as W
-from .shared import remove, saved
+from .shared import bucketed, remove, saved
 
 STATES, PASSES, HELD_OUT_OF, HELD_OUT = 8, 3, 5, 1
+#: Words seen so often or less in training share their expected counts.
+RARE = 8
 #: Bytes of text in a block, and tokens in a segment.
-BLOCK_BYTES, SEGMENT = 4_000_000, 64
-#: Counts are summed as whole multiples of 2**-20, so that the order in which partitions arrive changes nothing.
-UNIT = float(1 << 20)
+BLOCK_BYTES, SEGMENT = 24_000_000, 64
+#: Expected counts are summed as whole multiples of 1 / UNIT, so that the order in which partitions arrive changes nothing.
+UNIT = 1 << 10
 #: The smoothing of all states together is that of the base model, half a count a word.
 HALF = 0.5
-#: The word that stands for a text's end; no word is empty.
-END = ""
-_BLOCK = "block bigint, doc_id array<bigint>, held array<boolean>, sizes array<int>, codes binary, words array<string>, counts array<bigint>"
+#: Stands for a text's end among the hashes of words.
+END = np.uint64(0)
+_WORD, _MOVE, _FIRST, _RARE = 0, 1, 2, 3
+_BLOCK = "doc_id array<bigint>, held array<boolean>, sizes array<int>, codes binary, words array<bigint>, counts array<bigint>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,42 +58,52 @@ def held_out(doc_id: Column) -> Column:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of texts (doc_id, held, text): ids, token counts, tokens as numbers, the dictionary, and its counts in training texts."""
     squeeze = zstandard.ZstdCompressor()
+    parts: list[tuple] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        ids, held, sizes, hashes = (np.concatenate(x) if i else pa.concat_arrays(x) for i, x in enumerate(zip(*parts, strict=True)))
+        parts.clear()
+        words, tokens = np.unique(hashes, return_inverse=True)
+        training = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        columns = [listed(ids), listed(pa.array(held)), listed(pa.array(sizes)), pa.array([squeeze.compress(tokens.astype(np.uint32).tobytes())]), listed(pa.array(words.view(np.int64))), listed(pa.array(training))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held", "sizes", "codes", "words", "counts"])
+
     for whole in batches:
-        for batch in W.slices(whole, most=BLOCK_BYTES):
+        for batch in W.slices(whole):
             w = W.words_of(batch.column("text"), lower=True)
-            data = w.data.tobytes()
-            numbers: dict[bytes, int] = {END.encode(): 0}
-            codes = np.fromiter((numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)), np.uint32, len(w.start))
             counts = w.counts
-            sizes = (counts + 1).astype(np.int32)
-            tokens = np.zeros(int(sizes.sum()), np.uint32)
-            tokens[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = codes
-            held = batch.column("held").to_numpy(zero_copy_only=False)
-            training = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(numbers))
-            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0]), listed(ids), listed(pa.array(held)), listed(pa.array(sizes)), pa.array([squeeze.compress(tokens.tobytes())]), listed(pa.array(list(numbers), pa.binary()).cast(pa.string())), listed(pa.array(training))],
-                names=["block", "doc_id", "held", "sizes", "codes", "words", "counts"],
-            )
+            hashes = np.full(len(w.start) + len(counts), END)
+            hashes[np.arange(len(w.start)) + np.repeat(np.arange(len(counts)), counts)] = W.word_hashes(w)
+            parts.append((batch.column("doc_id"), batch.column("held").to_numpy(zero_copy_only=False), (counts + 1).astype(np.int32), hashes))
+            size += len(w.data)
+            if size >= BLOCK_BYTES:
+                yield block()
+                size = 0
+    if parts:
+        yield block()
 
 
 class Model(NamedTuple):
-    """start: of states; moves: from state to state; totals: expected tokens of each state; tokens, kinds: of the training text."""
+    """start: of states; moves: from state to state; totals, rare: expected tokens, and of them rare words, of each state; tokens, kinds, rare_tokens: of the training text."""
 
     start: np.ndarray
     moves: np.ndarray
     totals: np.ndarray
+    rare: np.ndarray
     tokens: int
     kinds: int
+    rare_tokens: int
 
     @property
     def smoothing(self) -> float:
         return HALF / len(self.start)
 
-    def emissions(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities of words by state from their expected counts; those of all words, and of one unknown, have the sum 1."""
-        return (counts + self.smoothing) / (self.totals + self.smoothing * (self.kinds + 1))
+    def emissions(self, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words by state from their counts in training and their expected ones; those of all words, and of one unknown, have the sum 1."""
+        own = np.where((c > RARE)[:, None], counts, c[:, None] * (self.rare / max(self.rare_tokens, 1)))
+        return (own + self.smoothing) / (self.totals + self.smoothing * (self.kinds + 1))
 
 
 class Segments(NamedTuple):
@@ -205,42 +222,43 @@ def _parts(sizes: np.ndarray, most: int = 400_000) -> Iterator[slice]:
         i = j
 
 
-def _opened(block: pa.Table, words: pa.Table, m: Model) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's row, its tokens, the counts (c and by state) of its dictionary, and the words' ids."""
-    row = {c: block[c].combine_chunks().flatten() if isinstance(block[c].type, pa.ListType) else block[c][0].as_py() for c in ("doc_id", "held", "sizes", "codes")}
+def _opened(block: pa.Table, words: pa.Table, m: Model, unit: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's row, its tokens, and of its dictionary the words' hashes, counts in training and emissions."""
+    row = {c: block[c].combine_chunks().flatten() if isinstance(block[c].type, pa.ListType) else block[c][0].as_py() for c in ("doc_id", "held", "sizes", "codes", "words")}
     tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint32).astype(np.int64)
-    order = np.argsort(words["i"].to_numpy())
-    counts = np.stack([words[f"n{j}"].to_numpy()[order] for j in range(len(m.start))], 1) / UNIT
-    return row, tokens, words["c"].to_numpy()[order], counts, words["word_id"].to_numpy()[order]
+    at = words["i"].to_numpy()
+    c, counts = np.zeros(len(at), np.int64), np.zeros((len(at), len(m.start)))
+    c[at] = words["c"].to_numpy()
+    for j in range(len(m.start)):
+        counts[at, j] = words[f"n{j}"].to_numpy()
+    return row, tokens, row["words"].to_numpy(), c, m.emissions(c, counts / unit)
 
 
-def _pass(m: Model):
+def _pass(m: Model, unit: int):
     k = len(m.start)
 
     def learn(block: pa.Table, words: pa.Table) -> pa.Table:
-        """Expected counts of a block's training texts: a row a word; below them, with ids -1 to -k, moves from each state, and with -k - 1 first states."""
-        row, tokens, _, counts, ids = _opened(block, words, m)
+        """Expected counts of a block's training texts: of words, of moves from each state, of first states, and of rare words together."""
+        row, tokens, names, c, b = _opened(block, words, m, unit)
         sizes, training = row["sizes"].to_numpy().astype(np.int64), ~row["held"].to_numpy(zero_copy_only=False)
         tokens, sizes = tokens[np.repeat(training, sizes)], sizes[training]
-        b = m.emissions(counts)
         found, moves, first = np.zeros_like(b), np.zeros((k, k)), np.zeros(k)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for part in _parts(sizes):
             w, x, f, _ = expected(tokens[at[part.start] : at[part.stop]], sizes[part], b, m)
             found, moves, first = found + w, moves + x, first + f
-        some = found.any(1)
-        whole = np.rint(np.concatenate([found[some], moves, first[None]]) * UNIT).astype(np.int64)
-        names = np.concatenate([ids[some], -1 - np.arange(k + 1)])
-        return pa.table({"word_id": names} | {f"n{j}": whole[:, j] for j in range(k)})
+        some = np.flatnonzero(found.any(1) & (c > RARE))
+        whole = np.rint(np.concatenate([found[some], moves, first[None], found[c <= RARE].sum(0)[None]]) * unit).astype(np.int64)
+        kind = np.concatenate([np.full(len(some), _WORD), np.full(k, _MOVE), [_FIRST, _RARE]]).astype(np.int32)
+        return pa.table({"kind": kind, "h": np.concatenate([names[some], np.arange(k), [0, 0]])} | {f"n{j}": whole[:, j] for j in range(k)})
 
     return learn
 
 
-def _score(m: Model):
+def _score(m: Model, unit: int):
     def score(block: pa.Table, words: pa.Table) -> pa.Table:
-        row, tokens, c, counts, _ = _opened(block, words, m)
+        row, tokens, _, c, b = _opened(block, words, m, unit)
         sizes = row["sizes"].to_numpy().astype(np.int64)
-        b = m.emissions(counts)
         base = np.log10((c + HALF) / (m.tokens + HALF * (m.kinds + 1)))
         at = np.concatenate([[0], np.cumsum(sizes)])
         total = np.zeros(len(sizes))
@@ -254,49 +272,52 @@ def _score(m: Model):
     return score
 
 
-def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES, unit: int = UNIT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z in lower case, and one end; a null, empty
     or wordless text has only its end.  base_score is a unigram model with half
     a count added to every word and to one unknown one; score is the hidden
     Markov model's, with the same half count shared by its states.  Both are log10
-    probabilities, and both learn from the texts that are not held out.  A null id
-    is trained on; rows that share an id or are alike are texts of their own.
-    Other columns are ignored; an empty table gives no rows, and one without
-    training texts scores by what is added.  Reruns agree: counts are summed as
-    whole numbers, and first guesses come from a hash of the word.
+    probabilities, and both learn from the texts that are not held out.  Words
+    count as equal by 64-bit hashes: over n words, n^2 / 2^65 false pairs are
+    expected.  A null id is trained on; rows that share an id or are alike are
+    texts of their own.  Other columns are ignored; an empty table gives no rows,
+    and one without training texts scores by what is added.  Reruns agree:
+    counts are summed as whole numbers, and first guesses come from hashes.
     """
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = saved(own.mapInArrow(_encode, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    listed = saved(blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("c")), "dictionaries")
+    blocks = bucketed(own.mapInArrow(_encode, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "block", "blocks")
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("h"), F.col("x.counts").alias("c"))
+    words = bucketed(listed.withColumn("c", F.sum("c").over(Window.partitionBy("h"))), "h", "dictionaries")
+    each = words.groupBy("h").agg(F.first("c").alias("c"))
+    rare = F.col("c") <= RARE
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = each.agg(total("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), total(F.when(rare, F.col("c"))).alias("rare")).first()
     # a random preference of each word for some states breaks their symmetry
-    lean = [0.25 + F.pmod(F.xxhash64("word", F.lit(j)), F.lit(1024)) / 1024 for j in range(states)]
+    lean = [0.25 + F.pmod(F.xxhash64("h", F.lit(j)), F.lit(1024)) / 1024 for j in range(states)]
     even = sum(lean[1:], lean[0])
-    words = saved(listed.groupBy("word").agg(F.sum("c").alias("c")).withColumn("word_id", F.monotonically_increasing_id()), "words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     counts = [f"n{j}" for j in range(states)]
-    table = saved(words.select("word_id", "c", *(F.rint(F.col("c") * lean[j] / even * UNIT).cast("long").alias(counts[j]) for j in range(states))), "emissions")
-    where = saved(listed.join(words.select("word", "word_id"), "word").select("block", "i", "word_id"), "places")
-    remove(docs.sparkSession, listed)
-    packed = blocks.select("block", "doc_id", "held", "sizes", "codes")
+    table = saved(each.where(~rare).select("h", *(F.rint(F.col("c") * lean[j] / even * unit).cast("long").alias(counts[j]) for j in range(states))), "emissions")
+    packed = blocks.select("block", "doc_id", "held", "sizes", "codes", "words")
 
-    def model(start: np.ndarray, moves: np.ndarray) -> Model:
-        totals = table.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts)).first()
+    def model(start: np.ndarray, moves: np.ndarray, scarce: np.ndarray) -> Model:
+        totals = table.agg(*(total(n).alias(n) for n in counts)).first()
         smooth = lambda x: (x + 1 / states) / (x.sum(-1, keepdims=True) + 1)
-        return Model(smooth(start), smooth(moves), np.array(totals) / UNIT, sums.n, sums.v)
+        return Model(smooth(start), smooth(moves), np.array(totals) / unit + scarce, scarce, sums.n, sums.v, sums.rare)
 
     def with_words(run, schema: str) -> DataFrame:
-        given = where.join(table, "word_id").groupBy("block")
-        return packed.groupBy("block").cogroup(given).applyInArrow(run, schema)
+        given = words.join(table, "h", "left").select("block", "i", "c", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts))
+        return packed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
 
-    m = model(np.zeros(states), np.eye(states) * 4 * states)
+    m = model(np.zeros(states), np.eye(states) * 4 * states, np.full(states, sums.rare / states))
     for _ in range(passes):
-        found = with_words(_pass(m), "word_id bigint, " + ", ".join(f"{n} bigint" for n in counts)).groupBy("word_id").agg(*(F.sum(n).alias(n) for n in counts))
+        found = with_words(_pass(m, unit), "kind int, h bigint, " + ", ".join(f"{n} bigint" for n in counts)).groupBy("kind", "h").agg(*(F.sum(n).alias(n) for n in counts))
         found = saved(found, "expected")
-        told = {r.word_id: np.array(r[1:]) / UNIT for r in found.where("word_id < 0").collect()}
+        told = {(r.kind, r.h): np.array(r[2:]) / unit for r in found.where(F.col("kind") != _WORD).collect()}
+        remove(spark, table)
+        table = found.where(F.col("kind") == _WORD).drop("kind")
         none = np.zeros(states)
-        old, table = table, saved(words.select("word_id", "c").join(found, "word_id", "left").select("word_id", "c", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts)), "emissions")
-        remove(docs.sparkSession, old, found)
-        m = model(told.get(-1 - states, none), np.stack([told.get(-1 - j, none) for j in range(states)]))
-    return with_words(_score(m), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        m = model(told.get((_FIRST, 0), none), np.stack([told.get((_MOVE, j), none) for j in range(states)]), told.get((_RARE, 0), none))
+    return with_words(_score(m, unit), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -41,6 +41,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """saved(), in as many buckets by a column as there are shuffle partitions: joins and groupings by it read the table without a shuffle."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes the given tables of saved(), which nothing may read any more; without any, all of this application."""
     mine = _SAVED.get(spark.sparkContext.applicationId, [])
