@@ -39,7 +39,7 @@ STATES, PASSES, HELD_OUT_OF, HELD_OUT = 8, 3, 5, 1
 #: Words seen so often or less in training share their expected counts.
 RARE = 8
 #: Bytes of text in a block, and tokens in a segment.
-BLOCK_BYTES, SEGMENT = 24_000_000, 64
+BLOCK_BYTES, SEGMENT = 32_000_000, 64
 #: Expected counts are summed as whole multiples of 1 / UNIT, so that the order in which partitions arrive changes nothing.
 UNIT = 1 << 10
 #: The smoothing of all states together is that of the base model, half a count a word.
@@ -213,7 +213,7 @@ def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) ->
     return words, moves * m.moves, first, float(total.sum())
 
 
-def _parts(sizes: np.ndarray, most: int = 400_000) -> Iterator[slice]:
+def _parts(sizes: np.ndarray, most: int = 200_000) -> Iterator[slice]:
     """Runs of texts of about so many tokens; a longer text is one of its own."""
     end, i = np.cumsum(sizes), 0
     while i < len(sizes):
@@ -224,14 +224,14 @@ def _parts(sizes: np.ndarray, most: int = 400_000) -> Iterator[slice]:
 
 def _opened(block: pa.Table, words: pa.Table, m: Model, unit: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's row, its tokens, and of its dictionary the words' hashes, counts in training and emissions."""
-    row = {c: block[c].combine_chunks().flatten() if isinstance(block[c].type, pa.ListType) else block[c][0].as_py() for c in ("doc_id", "held", "sizes", "codes", "words")}
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint32).astype(np.int64)
+    row = {c: block[c].combine_chunks().flatten() if isinstance(block[c].type, pa.ListType) else block[c][0].as_py() for c in ("doc_id", "held", "sizes", "codes", "words", "totals")}
+    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint32)
+    c = row["totals"].to_numpy()
+    counts = np.zeros((len(c), len(m.start)))
     at = words["i"].to_numpy()
-    c, counts = np.zeros(len(at), np.int64), np.zeros((len(at), len(m.start)))
-    c[at] = words["c"].to_numpy()
     for j in range(len(m.start)):
-        counts[at, j] = words[f"n{j}"].to_numpy()
-    return row, tokens, row["words"].to_numpy(), c, m.emissions(c, counts / unit)
+        counts[at, j] = words[f"n{j}"].to_numpy() / unit
+    return row, tokens, row["words"].to_numpy(), c, m.emissions(c, counts)
 
 
 def _pass(m: Model, unit: int):
@@ -245,7 +245,7 @@ def _pass(m: Model, unit: int):
         found, moves, first = np.zeros_like(b), np.zeros((k, k)), np.zeros(k)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for part in _parts(sizes):
-            w, x, f, _ = expected(tokens[at[part.start] : at[part.stop]], sizes[part], b, m)
+            w, x, f, _ = expected(tokens[at[part.start] : at[part.stop]].astype(np.int64), sizes[part], b, m)
             found, moves, first = found + w, moves + x, first + f
         some = np.flatnonzero(found.any(1) & (c > RARE))
         whole = np.rint(np.concatenate([found[some], moves, first[None], found[c <= RARE].sum(0)[None]]) * unit).astype(np.int64)
@@ -291,6 +291,9 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = P
     blocks = bucketed(own.mapInArrow(_encode, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "block", "blocks")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("h"), F.col("x.counts").alias("c"))
     words = bucketed(listed.withColumn("c", F.sum("c").over(Window.partitionBy("h"))), "h", "dictionaries")
+    totals = words.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("totals"))
+    packed = bucketed(blocks.drop("counts").join(totals, "block"), "block", "blocks")
+    remove(spark, blocks)
     each = words.groupBy("h").agg(F.first("c").alias("c"))
     rare = F.col("c") <= RARE
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
@@ -300,7 +303,6 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = P
     even = sum(lean[1:], lean[0])
     counts = [f"n{j}" for j in range(states)]
     table = saved(each.where(~rare).select("h", *(F.rint(F.col("c") * lean[j] / even * unit).cast("long").alias(counts[j]) for j in range(states))), "emissions")
-    packed = blocks.select("block", "doc_id", "held", "sizes", "codes", "words")
 
     def model(start: np.ndarray, moves: np.ndarray, scarce: np.ndarray) -> Model:
         totals = table.agg(*(total(n).alias(n) for n in counts)).first()
@@ -308,7 +310,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = P
         return Model(smooth(start), smooth(moves), np.array(totals) / unit + scarce, scarce, sums.n, sums.v, sums.rare)
 
     def with_words(run, schema: str) -> DataFrame:
-        given = words.join(table, "h", "left").select("block", "i", "c", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts))
+        given = words.where(~rare).join(table, "h").select("block", "i", *counts)
         return packed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
 
     m = model(np.zeros(states), np.eye(states) * 4 * states, np.full(states, sums.rare / states))
