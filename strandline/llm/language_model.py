@@ -62,12 +62,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def block() -> pa.RecordBatch:
-        ids, held, sizes, hashes = (np.concatenate(x) if i else pa.concat_arrays(x) for i, x in enumerate(zip(*parts, strict=True)))
-        parts.clear()
-        words, tokens = np.unique(hashes, return_inverse=True)
+        ids, held, sizes, own, codes = zip(*parts, strict=True)
+        words = np.unique(np.concatenate(own))
+        tokens = np.concatenate([np.searchsorted(words, w).astype(np.uint32)[c] for w, c in zip(own, codes, strict=True)])
+        held, sizes = np.concatenate(held), np.concatenate(sizes)
         training = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
         listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        columns = [listed(ids), listed(pa.array(held)), listed(pa.array(sizes)), pa.array([squeeze.compress(tokens.astype(np.uint32).tobytes())]), listed(pa.array(words.view(np.int64))), listed(pa.array(training))]
+        columns = [listed(pa.concat_arrays(ids)), listed(pa.array(held)), listed(pa.array(sizes)), pa.array([squeeze.compress(tokens)]), listed(pa.array(words.view(np.int64))), listed(pa.array(training))]
+        parts.clear()
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held", "sizes", "codes", "words", "counts"])
 
     for whole in batches:
@@ -76,7 +78,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = w.counts
             hashes = np.full(len(w.start) + len(counts), END)
             hashes[np.arange(len(w.start)) + np.repeat(np.arange(len(counts)), counts)] = W.word_hashes(w)
-            parts.append((batch.column("doc_id"), batch.column("held").to_numpy(zero_copy_only=False), (counts + 1).astype(np.int32), hashes))
+            own, codes = np.unique(hashes, return_inverse=True)
+            parts.append((batch.column("doc_id"), batch.column("held").to_numpy(zero_copy_only=False), (counts + 1).astype(np.int32), own, codes.astype(np.uint32)))
             size += len(w.data)
             if size >= BLOCK_BYTES:
                 yield block()
@@ -246,7 +249,9 @@ def _pass(m: Model, unit: int):
         at = np.concatenate([[0], np.cumsum(sizes)])
         for part in _parts(sizes):
             w, x, f, _ = expected(tokens[at[part.start] : at[part.stop]].astype(np.int64), sizes[part], b, m)
-            found, moves, first = found + w, moves + x, first + f
+            found += w
+            moves += x
+            first += f
         some = np.flatnonzero(found.any(1) & (c > RARE))
         whole = np.rint(np.concatenate([found[some], moves, first[None], found[c <= RARE].sum(0)[None]]) * unit).astype(np.int64)
         kind = np.concatenate([np.full(len(some), _WORD), np.full(k, _MOVE), [_FIRST, _RARE]]).astype(np.int32)
