@@ -39,7 +39,7 @@ STATES, PASSES, HELD_OUT_OF, HELD_OUT = 8, 3, 5, 1
 #: Words seen so often or less in training share their expected counts.
 RARE = 8
 #: Bytes of text in a block, and tokens in a segment.
-BLOCK_BYTES, SEGMENT = 32_000_000, 64
+BLOCK_BYTES, SEGMENT = 16_000_000, 64
 #: Expected counts are summed as whole multiples of 1 / UNIT, so that the order in which partitions arrive changes nothing.
 UNIT = 1 << 10
 #: The smoothing of all states together is that of the base model, half a count a word.
@@ -105,8 +105,11 @@ class Model(NamedTuple):
 
     def emissions(self, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Probabilities of words by state from their counts in training and their expected ones; those of all words, and of one unknown, have the sum 1."""
-        own = np.where((c > RARE)[:, None], counts, c[:, None] * (self.rare / max(self.rare_tokens, 1)))
-        return (own + self.smoothing) / (self.totals + self.smoothing * (self.kinds + 1))
+        own, few = counts.copy(), c <= RARE
+        own[few] = c[few, None] * (self.rare / max(self.rare_tokens, 1))
+        own += self.smoothing
+        own /= self.totals + self.smoothing * (self.kinds + 1)
+        return own
 
 
 class Segments(NamedTuple):
@@ -216,7 +219,7 @@ def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) ->
     return words, moves * m.moves, first, float(total.sum())
 
 
-def _parts(sizes: np.ndarray, most: int = 200_000) -> Iterator[slice]:
+def _parts(sizes: np.ndarray, most: int = 100_000) -> Iterator[slice]:
     """Runs of texts of about so many tokens; a longer text is one of its own."""
     end, i = np.cumsum(sizes), 0
     while i < len(sizes):
