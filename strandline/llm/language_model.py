@@ -219,7 +219,7 @@ def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) ->
     return words, moves * m.moves, first, float(total.sum())
 
 
-def _parts(sizes: np.ndarray, most: int = 100_000) -> Iterator[slice]:
+def _parts(sizes: np.ndarray, most: int = 200_000) -> Iterator[slice]:
     """Runs of texts of about so many tokens; a longer text is one of its own."""
     end, i = np.cumsum(sizes), 0
     while i < len(sizes):
@@ -251,8 +251,9 @@ def _pass(m: Model, unit: int):
         found, moves, first = np.zeros_like(b), np.zeros((k, k)), np.zeros(k)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for part in _parts(sizes):
-            w, x, f, _ = expected(tokens[at[part.start] : at[part.stop]].astype(np.int64), sizes[part], b, m)
-            found += w
+            here, codes = np.unique(tokens[at[part.start] : at[part.stop]], return_inverse=True)
+            w, x, f, _ = expected(codes, sizes[part], b[here], m)
+            found[here] += w
             moves += x
             first += f
         some = np.flatnonzero(found.any(1) & (c > RARE))
