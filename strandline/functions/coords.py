@@ -31,13 +31,20 @@ def segments(exons: Column, cds_beg: Column, cds_end: Column, strand: Column) ->
     return F.when(strand == "+", run(cut)).otherwise(F.reverse(run(F.reverse(cut))))
 
 
-def cdna(pos: Column, segs: Column, strand: Column) -> Column:
+#: Which CDS base a position in an intron is told from: the nearer one, or that with the smaller or greater number in the coding sequence or in the genome.
+POLICIES = ("closer", "c_smaller", "c_greater", "g_smaller", "g_greater")
+
+
+def cdna(pos: Column, segs: Column, strand: Column, policy: str = "closer") -> Column:
     """struct(pos, offset) of a genomic position.
 
-    A CDS base has offset 0.  Between two CDS bases the nearer counts, the later
-    one if both are as near; before the first base it is 1 and after the last one
-    the CDS length, by genomic distance.
+    A CDS base has offset 0.  Between two CDS bases the policy says which one
+    counts; by default the nearer, the later one if both are as near.  Before the
+    first base it is 1 and after the last one the CDS length, by genomic
+    distance, whatever the policy.
     """
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}")
     plus = strand == "+"
     known = {
         "plus": plus, "pos": pos, "size": total_length(segs, "gb", "ge"), "first": F.get(segs, F.lit(0))["gb"], "last": F.try_element_at(segs, F.lit(-1))["ge"],
@@ -51,13 +58,15 @@ def cdna(pos: Column, segs: Column, strand: Column) -> Column:
         # the CDS base before and after, in the direction of the transcript
         gap = {
             "before": by(at - low["ge"], high["gb"] - at), "after": by(high["gb"] - at, at - low["ge"]), "index": by(low["cprev"] + low["ge"] - low["gb"] + 1, high["cprev"] + high["ge"] - high["gb"] + 1),
-            "lead": by(x["first"] - at, at - x["last"]), "tail": by(at - x["last"], x["first"] - at), "own": x["inside"]["cprev"] + by(at - x["inside"]["gb"], x["inside"]["ge"] - at) + 1, "size": x["size"],
+            "lead": by(x["first"] - at, at - x["last"]), "tail": by(at - x["last"], x["first"] - at), "own": x["inside"]["cprev"] + by(at - x["inside"]["gb"], x["inside"]["ge"] - at) + 1, "size": x["size"], "plus": x["plus"],
         }
         return bind(gap, choose)
 
     def choose(y: Column) -> Column:
+        smaller = {"closer": y["before"] < y["after"], "c_smaller": F.lit(True), "c_greater": F.lit(False), "g_smaller": y["plus"], "g_greater": ~y["plus"]}[policy]
+
         def pick(own: Column, lead: Column, tail: Column, near: Column, far: Column) -> Column:
-            return F.when(y["own"].isNotNull(), own).when(y["lead"] > 0, lead).when(y["tail"] > 0, tail).when(y["before"] < y["after"], near).otherwise(far).cast("bigint")
+            return F.when(y["own"].isNotNull(), own).when(y["lead"] > 0, lead).when(y["tail"] > 0, tail).when(smaller, near).otherwise(far).cast("bigint")
 
         zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
         return F.struct(pick(y["own"], one, y["size"], y["index"], y["index"] + 1).alias("pos"), pick(zero, -y["lead"], y["tail"], y["before"], -y["after"]).alias("offset"))

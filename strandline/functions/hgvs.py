@@ -19,7 +19,7 @@ def _groups(text: Column, form: str, n: int) -> list[Column]:
 
 
 def _nucleotides(text: Column, level: str, place: str) -> Column:
-    start = rf"^(?:{level}\.)?({place})(?:_({place}))?"
+    start = rf"^(?:{level}\.)?({place})(?:_({place}))?\.?"
     forms = {
         "sub": rf"^({_BASES}*|\?)>({_BASES}*|\?)$", "del": rf"^del({_BASES}*|\d+)$", "delins": rf"^del({_BASES}*|\d+)ins({_BASES}+)$",
         "ins": rf"^ins({_BASES}+)$", "dup": rf"^dup({_BASES}*|\d+)$", "reg": "^$",
@@ -32,13 +32,13 @@ def _nucleotides(text: Column, level: str, place: str) -> Column:
         (old, new), (gone,), (cut, put), (more,), (twice,) = (_groups(rest, forms[f], n) for f, n in (("sub", 2), ("del", 1), ("delins", 2), ("ins", 1), ("dup", 1)))
         fits = {f: rest.rlike(form) for f, form in forms.items()}
         of = lambda kind, last, ref, alt: F.struct(F.lit(kind).alias("kind"), x["beg"].alias("beg"), last.alias("end"), F.upper(ref).alias("ref"), F.upper(alt).alias("alt"))
-        # a substitution of several bases ends where these end, if places are plain numbers
-        span = F.coalesce((x["beg"].try_cast("bigint") + F.length(old) - 1).cast("string"), end)
+        # in the genome a substitution of several bases ends where these end; a coding one keeps the end that is told
+        span = F.coalesce((x["beg"].try_cast("bigint") + F.length(old) - 1).cast("string"), end) if level == "g" else end
         return (
             F.when(x["beg"] == "", F.lit(None))
             .when(fits["sub"] & (F.length(old) <= 1) & (F.length(new) <= 1), of("SNV", x["beg"], known(old), known(new)))
             .when(fits["sub"], of("MNV", F.when(F.length(old) > 1, span).otherwise(end), known(old), known(new)))
-            .when(fits["delins"] & (F.length(put) == 1) & cut.rlike(rf"^{_BASES}$"), of("SNV", x["beg"], cut, put))
+            .when(fits["delins"] & (F.length(put) == 1) & (F.length(cut) == 1), of("SNV", x["beg"], known(cut), put))
             .when(fits["delins"], of("MNV", end, known(cut), put))
             .when(fits["del"], of("DEL", end, known(gone), F.lit("")))
             .when(fits["ins"], of("INS", end, F.lit(""), more))

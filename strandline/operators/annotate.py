@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, sequence
-from . import genome
+from . import frontier, genome
 from .intervals import range_join
+from .tables import kept
 
 
 def on_transcripts(variants: DataFrame, transcripts: DataFrame, beg: str = "pos", end: str = "pos") -> DataFrame:
@@ -90,16 +91,12 @@ def turned(ins: Column, by: Column) -> Column:
     return F.substr(F.concat(ins, ins), by % F.greatest(n, F.lit(1)) + 1, n)
 
 
-#: Bases around a row that are read where a window isn't enough, and there is no table of whole contigs.
-REACH = 32_768
-
-
-def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64, most: int = 64) -> DataFrame:
+def align_deletions(rows: DataFrame, chunks: DataFrame, window: int = 64, most: int = 64) -> DataFrame:
     """rows (contig_id, pos, till) with right and left, how far the deletion of pos..till shifts either way.
 
-    Compared in a window taken from chunks; only rows that are longer than
-    `most`, or whose window ends before the repeat does, meet their whole contig
-    (contig_id, seq), or, without such a table, the REACH bases around them.
+    Compared in a window taken from chunks; rows that are longer than `most`, or
+    whose window ends before the repeat does, read on in rounds
+    (frontier.equal_run), however far it goes.
     """
     n = (F.col("till") - F.col("pos") + 1).cast("int")
     x = genome.bases_at(rows, chunks, __back=(-window, window), __fore=(0, window + most)).withColumn("__short", n <= most)
@@ -108,26 +105,45 @@ def align_deletions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | Non
     left = sequence.common_prefix(F.substr(F.reverse(F.concat(back, F.substr(fore, F.lit(1), n))), F.lit(1), F.lit(window)), F.reverse(back))
     x = x.withColumn("__right", F.when(F.col("__short"), right)).withColumn("__left", F.when(F.col("__short"), left))
     done = F.col("__short") & (F.col("__right") < window) & (F.col("__left") < window)
-    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"))
-    far = x.where(~done).select(*rows.columns)
-    far = far.join(contigs.select("contig_id", F.col("seq").alias("region")), "contig_id").withColumn("region_first", F.lit(1)) if contigs is not None else genome.regions(far, chunks, REACH)
-    place = lambda c: (F.col(c) - F.col("region_first") + 1).cast("int")
-    return near.union(far.select(*rows.columns, roll_right(F.col("region"), place("pos"), place("till")).alias("right"), roll_left(F.col("region"), place("pos"), place("till")).alias("left")))
+    x = kept(x.select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"), done.alias("__done"), F.monotonically_increasing_id().alias("__key")))
+    near, far = x.where("__done").select(*rows.columns, "right", "left"), x.where("not __done").select(*rows.columns, "__key")
+    if far.isEmpty():
+        return near
+    to_right = frontier.equal_run(far.withColumn("__after", F.col("till") + 1), chunks, "pos", "__after").withColumnRenamed("run", "right")
+    to_left = frontier.equal_run(far.withColumn("__before", F.col("pos") - 1), chunks, "__before", "till", back=True).withColumnRenamed("run", "left")
+    return near.union(far.join(to_right, "__key").join(to_left, "__key").select(*rows.columns, F.col("right").cast("int"), F.col("left").cast("int")))
 
 
-def align_insertions(rows: DataFrame, chunks: DataFrame, contigs: DataFrame | None = None, window: int = 64, left: bool = False) -> DataFrame:
-    """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions; left: with left, too."""
+def align_insertions(rows: DataFrame, chunks: DataFrame, window: int = 64, left: bool = False) -> DataFrame:
+    """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions; left: with left, too.
+
+    Where the inserted bases are also those that follow, it shifts as the deletion
+    of these would, and by their number more.
+    """
     x = genome.bases_at(rows, chunks, __fore=(1, window), __back=(1 - window, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
     before = F.reverse("__back")
     x = x.withColumn("__left", sequence.common_prefix(F.concat(F.reverse("ins"), before), before) if left else F.lit(0))
     done = (F.col("__right") < window) & (F.col("__left") < window) & (F.length("ins") <= window)
-    near = x.where(done).select(*rows.columns, F.col("__right").alias("right"), *([F.col("__left").alias("left")] if left else []))
-    far = x.where(~done).select(*rows.columns)
-    far = far.join(contigs.select("contig_id", F.col("seq").alias("region")), "contig_id").withColumn("region_first", F.lit(1)) if contigs is not None else genome.regions(far, chunks, REACH, "pos", "pos")
+    x = kept(x.select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"), done.alias("__done"), F.monotonically_increasing_id().alias("__key")))
+    near, far = x.where("__done").select(*rows.columns, "right", *(["left"] if left else [])), x.where("not __done").select(*rows.columns, "__key")
+    if far.isEmpty():
+        return near
+    n = F.length("ins")
+    far = genome.regions(far.withColumn("__low", F.col("pos") - n + 1).withColumn("__high", F.col("pos") + n), chunks, 0, "__low", "__high")
     at = (F.col("pos") - F.col("region_first") + 1).cast("int")
-    head = F.reverse(F.substr("region", F.lit(1), at))
-    back = F.coalesce(sequence.first_difference(F.concat(F.reverse("ins"), head), F.concat(head, F.lit("-"))) - 1, F.lit(0))
-    return near.union(far.select(*rows.columns, roll_insertion(F.col("region"), at, F.col("ins")).alias("right"), *([back.alias("left")] if left else [])))
+    lead = lambda s, t: F.coalesce(sequence.first_difference(s, F.left(t, F.length(s))) - 1, F.least(F.length(s), F.length(t)))
+    after, prior = F.substr("region", at + 1, n), F.reverse(F.left("region", at))
+    far = kept(far.withColumn("__after", lead(F.col("ins"), after)).withColumn("__prior", lead(F.reverse("ins"), prior)).withColumn("__n", n).drop("region", "region_first", "__low", "__high"))
+
+    def shift(rows: DataFrame, own: str, back: bool, name: str) -> DataFrame:
+        whole = rows.where(F.col(own) == F.col("__n"))
+        x, y = (F.col("pos") - F.col("__n"), F.col("pos")) if back else (F.col("pos") + 1, F.col("pos") + 1 + F.col("__n"))
+        run = frontier.equal_run(whole.withColumn("__a", x).withColumn("__b", y), chunks, "__a", "__b", back)
+        return rows.join(run, "__key", "left").withColumn(name, (F.col(own) + F.coalesce("run", F.lit(0))).cast("int")).drop("run")
+
+    far = shift(far, "__after", False, "right")
+    far = shift(far, "__prior", True, "left") if left else far
+    return near.union(far.select(*rows.columns, "right", *(["left"] if left else [])))
 
 
 def candidate_codons(spark: SparkSession) -> DataFrame:

@@ -20,12 +20,27 @@ def range_join(left: DataFrame, right: DataFrame, contig: str, left_span: tuple[
     (lb, le), (rb, re) = left_span, right_span
     bins = lambda b, e: F.explode(F.sequence(F.floor(b / width), F.floor(e / width)))
     a = left.withColumn("__bin", bins(F.col(lb), F.col(le)))
-    b = right.withColumn("__bin", bins(F.col(rb) - flank, F.col(re) + flank))
+    b = right if "__bin" in right.columns else right.withColumn("__bin", bins(F.col(rb) - flank, F.col(re) + flank))
     hit = (F.col(rb) - flank <= F.col(le)) & (F.col(re) + flank >= F.col(lb))
     own = F.col("__bin") == F.greatest(F.floor(F.col(lb) / width), F.floor((F.col(rb) - flank) / width))
     return a.join(b, [contig, "__bin"]).where(hit & own).drop("__bin")
 
 
+def stored_bins(features: DataFrame, contig: str, span: tuple[str, str], table: str, width: int = BIN, flank: int = 0, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """features listed in their bins, stored as a table bucketed by contig and bin, and read again: an index for range_join, whose side of the join needs no shuffle.
+
+    buckets: as many as there are shuffle partitions, unless told; path: the
+    table's folder, else the warehouse.
+    """
+    spark = features.sparkSession
+    beg, end = span
+    bins = F.explode(F.sequence(F.floor((F.col(beg) - flank) / width), F.floor((F.col(end) + flank) / width)))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = features.withColumn("__bin", bins).repartition(n, contig, "__bin").write.format("parquet").bucketBy(n, contig, "__bin").sortBy(contig, "__bin")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return spark.table(table)
+
+
 def nearest(sites: DataFrame, features: DataFrame, contig: str, pos: str, beg: str, end: str, name: str, upstream: bool, width: int = BIN) -> DataFrame:
     """sites with near_name, near_dist: the feature that ends last before pos, or begins first after it.
 
@@ -48,3 +63,56 @@ def nearest(sites: DataFrame, features: DataFrame, contig: str, pos: str, beg: s
     carried = steps.withColumn("__carry", F.max("__top").over(earlier)).select(contig, "__bin", "__carry")
     found = local.join(carried, [contig, "__bin"], "left").withColumn("__best", F.coalesce("__in", "__carry"))
     return found.select("__row.*", F.col("__best.id").alias("near_name"), (F.col("__at") - F.col("__best.at")).alias("near_dist"))
+
+
+def _carried(sites: DataFrame, features: DataFrame, contig: str, edge: str, at: str, width: int) -> DataFrame:
+    """Rows of sites and features with __n, how many features have an edge up to the row's place: within bins by a sorted pass, across them by sums of bins."""
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    marks = features.groupBy(contig, F.col(edge).alias("__at")).agg(F.count(F.lit(1)).alias("__many")).withColumn("__bin", bin_of("__at")).withColumn("__kind", F.lit(0))
+    sums = marks.groupBy(contig, "__bin").agg(F.sum("__many").alias("__sum"))
+    asked = sites.select(contig, F.struct(*(F.col(c) for c in sites.columns)).alias("__row"), F.col(at).alias("__at"), bin_of(at).alias("__bin"), F.lit(1).alias("__kind"))
+    inside = Window.partitionBy(contig, "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = asked.unionByName(marks, allowMissingColumns=True).withColumn("__in", F.coalesce(F.sum("__many").over(inside), F.lit(0))).where("__kind = 1")
+    steps = asked.select(contig, "__bin").distinct().join(sums, [contig, "__bin"], "full")
+    earlier = Window.partitionBy(contig).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = steps.select(contig, "__bin", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    return local.join(before, [contig, "__bin"]).withColumn("__n", F.col("__before") + F.col("__in"))
+
+
+def counted(sites: DataFrame, features: DataFrame, contig: str, edge: str, at: str, name: str, width: int = BIN) -> DataFrame:
+    """sites with `name`: how many features of the contig have an edge at or before the place `at`; no task sees more than a bin's rows, and a row a bin of its contig."""
+    return _carried(sites, features, contig, edge, at, width).select("__row.*", F.col("__n").cast("long").alias(name))
+
+
+def ranked(features: DataFrame, contig: str, edge: str, order: str, width: int = BIN) -> DataFrame:
+    """features with rank, from 1 in each contig, by edge and then by order."""
+    x = features.withColumn("__bin", F.floor(F.col(edge) / width))
+    sums = x.groupBy(contig, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = sums.select(contig, "__bin", F.coalesce(F.sum("__n").over(Window.partitionBy(contig).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(contig, "__bin").orderBy(edge, order))
+    return x.withColumn("__own", own).join(before, [contig, "__bin"]).select(*features.columns, (F.col("__before") + F.col("__own")).cast("long").alias("rank"))
+
+
+def contained(spans: DataFrame, features: DataFrame, contig: str, span: tuple[str, str], feature: tuple[str, str], name: str, most: int = 5, width: int = BIN) -> DataFrame:
+    """spans with n_inside, how many features lie wholly in each, and inside, their names in order, if there are no more than `most` (else null).
+
+    The count is that of features that end by the span's end, less those that end
+    before it begins, less those that end in it but begin before; only these
+    last ones, which lie over the span's first base, are met one by one.  Names
+    are looked up by rank among the ends, where few are to be told.  So the rows
+    of the plan don't grow with the length of spans.
+    """
+    (beg, end), (fbeg, fend) = span, feature
+    x = spans.select(*spans.columns).withColumn("__span", F.struct(contig, beg, end))
+    places = x.select("__span", contig, beg, end, (F.col(beg) - 1).alias("__below")).distinct()
+    places = counted(counted(places, features, contig, fend, end, "__upto", width), features, contig, fend, "__below", "__under", width)
+    f = features.select(contig, F.col(fbeg).alias("__fb"), F.col(fend).alias("__fe"), F.col(name).alias("__name"))
+    over = range_join(places.select("__span", contig, F.col(beg).alias("__p"), F.col(end).alias("__q")), f, contig, ("__p", "__p"), ("__fb", "__fe"), width).where("__fb < __p and __fe <= __q")
+    over = over.groupBy("__span").agg(F.count(F.lit(1)).alias("__over"))
+    n = F.col("__upto") - F.col("__under") - F.coalesce("__over", F.lit(0))
+    found = places.join(over, "__span", "left").withColumn("n_inside", n)
+    few = found.where((F.col("n_inside") > 0) & (F.col("n_inside") <= most)).withColumn("rank", F.explode(F.sequence(F.col("__under") + 1, F.col("__upto"))))
+    told = few.join(ranked(f, contig, "__fe", "__name", width), [contig, "rank"]).where(F.col("__fb") >= F.col(beg))
+    told = told.groupBy("__span").agg(F.transform(F.sort_array(F.collect_list(F.struct("__fb", "__name"))), lambda s: s["__name"]).alias("inside"))
+    found = found.select("__span", "n_inside").join(told, "__span", "left")
+    return x.join(found, "__span").select(*spans.columns, "n_inside", F.when(F.col("n_inside") == 0, F.array().cast("array<string>")).otherwise(F.col("inside")).alias("inside"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
-from . import annotate, coding
+from . import annotate, coding, intervals
 from .lookup import cascade
 
 
@@ -139,47 +139,96 @@ def summary(transcripts: DataFrame, before: int = 1000, after: int = 0) -> DataF
 def long_regions(spans: DataFrame, transcripts: DataFrame) -> DataFrame:
     """spans (vid, contig_id, pos, till) with every pair of a transcript at the beginning (beg_tid) and one at the end (end_tid), null where none is, and n_spanned, the transcripts between.
 
-    The two ends are looked up on their own and joined by span, so that a long
-    region costs no more bins than its ends.
+    The two ends are looked up on their own, and what lies between is counted by
+    the order of ends (intervals.contained), so that a long region costs no more
+    than its ends.
     """
     ends = spans.select("vid", "contig_id", "pos", "till")
-    at = lambda c, name: annotate.on_transcripts(ends, transcripts.select("tid", "contig_id", "beg", "tend"), c, c).select("vid", F.col("tid").alias(name))
-    inside = annotate.on_transcripts(ends, transcripts.select("tid", "contig_id", "beg", "tend"), "pos", "till").where("beg >= pos and tend <= till").groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
+    t = transcripts.select("tid", "contig_id", "beg", "tend")
+    at = lambda c, name: annotate.on_transcripts(ends, t, c, c).select("vid", F.col("tid").alias(name))
+    inside = intervals.contained(ends, t, "contig_id", ("pos", "till"), ("beg", "tend"), "tid", most=0).select("vid", F.col("n_inside").alias("n"))
     return ends.join(at("pos", "beg_tid"), "vid", "left").join(at("till", "end_tid"), "vid", "left").join(inside, "vid", "left").select("vid", "beg_tid", "end_tid", F.coalesce("n", F.lit(0)).alias("n_spanned"))
 
 
-def frameshift_candidates(pairs: DataFrame, max_deletion: int = 4, max_insertion: int = 2, reach: int = 10, most: int = 10) -> DataFrame:
-    """qid, tid, edit, size, rank, n_omitted: deletions and insertions that give the frameshift of each pair (a p. change of kind FS).
+def _shifted_deletions(x: DataFrame, lengths: tuple[int, ...], reach: int) -> DataFrame:
+    """Deletions of the given lengths that begin at one of the last `reach` bases up to the end of the codon named, and leave a frame that may fit."""
+    at = F.explode(F.sequence(F.greatest(3 * F.col("want.beg") - reach + 1, F.lit(2)), 3 * F.col("want.beg"))).alias("cbeg")
+    cut = x.select("*", at).withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumns({"cend": F.col("cbeg") + F.col("n") - 1, "alt": F.lit("")}).where("cend <= length(cds)")
+    new = F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), F.substr("cds", F.col("cend") + 1, F.length("cds")), F.coalesce("tail", F.lit("")))
+    codon = lambda i: sequence.codon_aa(F.substr(new, 3 * i - 2, F.lit(3)))
+    first, last = F.col("want.beg"), F.col("want.beg") + F.col("want.stop") - 1
+    return cut.where((F.col("want.alt") == "") | (codon(first) == F.col("want.alt"))).where(F.col("want.stop").isNull() | (codon(last) == "*"))
+
+
+def _shifted_insertions(x: DataFrame, lengths: tuple[int, ...], reach: int) -> DataFrame:
+    """Insertions before one of the last `reach` bases that may give the change asked for, found codon by codon.
 
-    Every edit at the last `reach` bases up to the end of the codon named is
-    made and read; those stay whose protein change is the one asked for (any new
-    amino acid, or stop, if it isn't told).  Edits that give the same coding
-    sequence are one, the last in the transcript's direction; shorter ones come
-    first, deletions before insertions, and the `most` first of a pair are
-    listed.  A pair has (reach * max_deletion + reach * 4 ** max_insertion) edits
-    at most, spread as rows; names must be those of the transcript.
+    What follows the codons that hold inserted bases is the same for all
+    insertions of a length at a place, so it is read once: it must keep the
+    protein up to the codon named, and stop where it is told to.  The codons with
+    inserted bases are then chosen one after the other among those that have the
+    bases around, and the amino acid, or stop, that is wanted there; a choice that
+    fails ends at its first codon.
     """
-    x = protein_changes(pairs).where("kind = 'FS'")
-    p = F.col("p")
-    lengths = F.array(*(F.lit(n) for n in range(1, max_deletion + 1) if n % 3))
-    bases = [""]
-    strings: list[str] = []
-    for n in range(1, max_insertion + 1):
-        bases = [a + b for a in bases for b in "ACGT"]
-        strings += bases if n % 3 else []
-    keep = ["qid", "tid", "cds", "tail"]
+    p = F.col("want")
     at = F.explode(F.sequence(F.greatest(3 * p["beg"] - reach + 1, F.lit(2)), 3 * p["beg"])).alias("cbeg")
-    told = F.concat("__want.beg_aa", F.col("__want.beg").cast("string"), "__want.alt")
-    x = x.select(*keep, p.alias("__want"), at)
-    cut = x.withColumn("n", F.explode(lengths)).withColumn("cend", F.col("cbeg") + F.col("n") - 1).withColumn("alt", F.lit("")).where("cend <= length(cds)")
-    put = x.withColumn("alt", F.explode(F.array(*map(F.lit, strings)))).withColumn("n", F.length("alt")).withColumn("cend", F.col("cbeg") - 1)
-    # what the answer says of single codons leaves few edits to read on
-    new = F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds")), F.coalesce("tail", F.lit("")))
-    codon = lambda i: sequence.codon_aa(F.substr(new, 3 * i - 2, F.lit(3)))
-    first, last = F.col("__want.beg"), F.col("__want.beg") + F.col("__want.stop") - 1
-    tried = cut.unionByName(put).where((F.col("__want.alt") == "") | (codon(first) == F.col("__want.alt"))).where(F.col("__want.stop").isNull() | (codon(last) == "*"))
+    x = x.select("*", at).withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumn("cend", F.col("cbeg") - 1)
+    # codons first..last of the new sequence hold inserted bases; base b beyond them is base b - n of the old one
+    x = x.withColumns({"first": F.floor((F.col("cbeg") + 2) / 3).cast("int"), "last": F.floor((F.col("cbeg") + F.col("n") + 1) / 3).cast("int"), "old": F.concat("cds", F.coalesce("tail", F.lit("")))})
+    x = x.where(F.col("first") <= p["beg"])
+    first, last, n, old = (F.col(c) for c in ("first", "last", "n", "old"))
+    protein = lambda low, codons: sequence.translate_all(F.substr("old", low, 3 * F.greatest(codons, F.lit(0))))
+    after = 3 * last + 1 - n
+    kept_codons = p["beg"] - 1 - last  # between the insertion and the codon named
+    x = x.where((kept_codons <= 0) | (protein(after, kept_codons) == protein(3 * last + 1, kept_codons)))
+    x = x.where((p["beg"] <= last) | (p["alt"] == "") | (protein(after + 3 * kept_codons, F.lit(1)) == p["alt"]))
+    stop = p["beg"] + p["stop"] - 1
+    x = x.where(p["stop"].isNull() | (stop <= last) | (F.instr(protein(after, stop - last), "*") == stop - last))
+
+    codons = F.array(*(F.struct(F.lit(a + b + c).alias("codon"), F.lit(sequence.STANDARD_CODE[16 * i + 4 * j + k]).alias("aa")) for i, a in enumerate(sequence.BASES) for j, b in enumerate(sequence.BASES) for k, c in enumerate(sequence.BASES)))
+    x = annotate.once(x.withColumn("made", F.lit("")), codons=codons)
+    for step in range((max(lengths) + 4) // 3):
+        q = first + step
+
+        def base(i: int, q: Column = q) -> Column:
+            b = 3 * q - 3 + i
+            return F.when(b < F.col("cbeg"), F.substr("cds", b, F.lit(1))).when(b < F.col("cbeg") + n, ".").otherwise(F.substr("old", b - n, F.lit(1)))
+
+        known = F.concat(F.lit("^"), base(1), base(2), base(3), F.lit("$"))
+        was = sequence.codon_aa(F.substr("cds", 3 * q - 2, F.lit(3)))
+        wanted = F.struct(known.alias("known"), was.alias("was"), q.alias("q"))
+        x = annotate.once(x, w=wanted)
+        w = F.col("w")
+
+        def fits(c: Column) -> Column:
+            w = F.col("w")
+            told = F.when(w["q"] < p["beg"], c["aa"] == w["was"]).when((w["q"] == p["beg"]) & (p["alt"] != ""), c["aa"] == p["alt"]).when(w["q"] == p["beg"], c["aa"] != w["was"]).otherwise(F.lit(True))
+            ends = F.when(p["stop"].isNull() | (w["q"] < p["beg"]), F.lit(True)).otherwise((c["aa"] == "*") == (w["q"] == stop))
+            return F.regexp_like(c["codon"], w["known"]) & told & ends
+
+        choices = F.when(w["q"] > last, F.array(F.lit(""))).otherwise(F.transform(F.filter("codons", fits), lambda c: c["codon"]))
+        x = x.withColumn("__c", F.explode(choices)).withColumn("made", F.concat("made", "__c")).drop("__c", "w")
+    return x.withColumn("alt", F.substr("made", (F.col("cbeg") - 1) % 3 + 1, n)).drop("made", "codons", "first", "last", "old")
+
+
+def frameshift_candidates(pairs: DataFrame, max_deletion: int = 4, max_insertion: int = 5, reach: int = 10, most: int = 10) -> DataFrame:
+    """qid, tid, edit, size, rank, n_omitted: deletions and insertions that give the frameshift of each pair (a p. change of kind FS).
+
+    Every edit at the last `reach` bases up to the end of the codon named counts
+    whose protein change is the one asked for (any new amino acid, or stop, if it
+    isn't told); insertions are searched codon by codon, so none of the
+    4 ** max_insertion is missed or spelled out in vain.  Edits that give the same
+    coding sequence are one, the last in the transcript's direction; shorter ones
+    come first, deletions before insertions, and the `most` first of a pair are
+    listed, with the number of the others.  Names must be those of the transcript.
+    """
+    x = protein_changes(pairs).where("kind = 'FS'").select("qid", "tid", "cds", "tail", F.col("p").alias("want"))
+    lengths = lambda longest: tuple(n for n in range(1, longest + 1) if n % 3)
+    keep = ["qid", "tid", "cds", "tail", "want", "cbeg", "cend", "alt", "n"]
+    tried = _shifted_deletions(x, lengths(max_deletion), reach).select(*keep).unionByName(_shifted_insertions(x, lengths(max_insertion), reach).select(*keep))
     edits = coding.protein_change(tried.withColumn("__key", F.md5(F.concat(F.substr("cds", F.lit(1), F.col("cbeg") - 1), "alt", F.substr("cds", F.col("cend") + 1, F.length("cds"))))))
-    stop = F.when(F.col("__want.stop").isNull(), F.col("change").contains("fs*")).otherwise(F.endswith("change", F.concat(F.lit("fs*"), F.col("__want.stop").cast("string"))))
+    told = F.concat("want.beg_aa", F.col("want.beg").cast("string"), "want.alt")
+    stop = F.when(F.col("want.stop").isNull(), F.col("change").contains("fs*")).otherwise(F.endswith("change", F.concat(F.lit("fs*"), F.col("want.stop").cast("string"))))
     fits = edits.where(F.startswith("change", told) & stop & F.col("change").contains("fs*"))
     text = F.when(F.col("alt") == "", F.concat(F.col("cbeg").cast("string"), F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("cend").cast("string"))), F.lit("del"), F.substr("cds", F.col("cbeg"), F.col("n")))).otherwise(F.concat(F.col("cend").cast("string"), F.lit("_"), F.col("cbeg").cast("string"), F.lit("ins"), "alt"))
     one = fits.groupBy("qid", "tid", "__key").agg(F.max_by(F.struct(text.alias("edit"), F.col("n").cast("int").alias("size"), (F.col("alt") != "").alias("put"), F.col("cbeg").alias("at")), F.col("cbeg")).alias("e"))

@@ -41,13 +41,19 @@ def transcript_text(t: str = "name") -> Column:
     return F.concat(F.col(t), F.coalesce(F.concat(F.lit("."), text(F.col("version"))), F.lit("")), F.lit(" ("), F.col("transcript_type"), F.lit(")"))
 
 
-def place_text(site: Column, coding_site: Column, strand: Column, gene: Column | None = None) -> Column:
-    """What a region says of one point: UTR first, then exon or intron (numbered in the direction of the transcript), then the gene."""
+def optional(rows: DataFrame, name: str) -> Column:
+    """The column, or null where rows don't have it."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast("string")
+
+
+def place_text(site: Column, coding_site: Column, strand: Column, outside: Column | None = None) -> Column:
+    """What a region says of one point: UTR first, then exon or intron (numbered in the direction of the transcript); outside: what it says beyond the transcript."""
     utr = F.when(site["utr"].isNotNull(), F.concat(text(site["utr"]), F.lit("-UTR")))
     # intron k of a transcript lies between exons k and k + 1; text names the lower one first
     between = F.concat(F.lit("intron_between_exon_"), text(site["exon"]), F.lit("_and_"), text(site["exon"] + 1))
     exon = F.concat(F.when(coding_site, "cds_in_exon_").otherwise("noncoding_exon_"), text(site["exon"]))
-    return F.concat_ws(";", utr, F.when(site["part"] == "intronic", between).when(site["part"] == "exonic", exon).otherwise("outside"), *([gene] if gene is not None else []))
+    beyond = F.lit("outside") if outside is None else F.coalesce(outside, F.lit("outside"))
+    return F.concat_ws(";", utr, F.when(site["part"] == "intronic", between).when(site["part"] == "exonic", exon).otherwise(beyond))
 
 
 def splice_text(site: Column, exons: Column, strand: Column, contig: Column, pos: Column) -> Column:
@@ -89,6 +95,11 @@ def span_labels(span: Column, word: str) -> Column:
     return F.filter(F.array(*found), lambda s: s.isNotNull())
 
 
+def point_labels(site: Column, word: str) -> Column:
+    """Labels of a point at a splice site, or in the first or last codon."""
+    return F.filter(F.array(F.when(site["splice"].startswith("Splice"), F.concat(site["splice"], F.lit(word))), F.concat(site["codon"], F.lit(word))), lambda s: s.isNotNull())
+
+
 def one_label(labels: Column) -> Column:
     """The label; Multi: and all of them, if there are more; Unclassified, if none."""
     return F.when(F.size(labels) == 0, "Unclassified").when(F.size(labels) == 1, F.get(labels, F.lit(0))).otherwise(F.concat(F.lit("Multi:"), F.array_join(labels, ",")))
@@ -100,10 +111,16 @@ def placed(pairs: DataFrame, *points: Column) -> DataFrame:
     return annotate.once(pairs, __c=F.transform(F.array(*points), lambda p: coords.cdna(p, F.col("segs"), F.col("strand"))), __sites=F.transform(F.array("pos", "till"), site))
 
 
-def between_text(a: Column, b: Column, ca: Column, cb: Column) -> Column:
-    """inside_[] of two ends that are in one place, or from_[]_to_[]."""
-    begin, last = place_text(a, ca["offset"] == 0, F.col("strand")), place_text(b, cb["offset"] == 0, F.col("strand"))
-    return F.when(begin == last, F.concat(F.lit("inside_["), begin, F.lit("]"))).otherwise(F.concat(F.lit("from_["), begin, F.lit("]_to_["), last, F.lit("]")))
+def between_text(rows: DataFrame, a: Column, b: Column, ca: Column, cb: Column) -> Column:
+    """inside_[] of two ends that are in one place, or from_[]_to_[], with the genes that lie between; rows may have the columns of regions.told."""
+    coding_site = lambda c: F.coalesce(c["offset"] == 0, F.lit(False))
+    begin, last = place_text(a, coding_site(ca), F.col("strand"), optional(rows, "outside_beg")), place_text(b, coding_site(cb), F.col("strand"), optional(rows, "outside_end"))
+    return F.when(begin == last, F.concat(F.lit("inside_["), begin, F.lit("]"))).otherwise(F.concat(F.lit("from_["), begin, F.lit("]_to_["), last, F.lit("]"), F.coalesce(optional(rows, "spanning"), F.lit(""))))
+
+
+def dbsnp(rows: DataFrame) -> Column:
+    """dbsnp= of known variants, if rows have the column known and it isn't null."""
+    return F.concat(F.lit("dbsnp="), optional(rows, "known"))
 
 
 def named_fields(coordinates: Column, region: Column, *items: Column) -> list[Column]:
@@ -126,10 +143,10 @@ def snv_records(pairs: DataFrame) -> DataFrame:
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), text(F.col("pos")), "ref", F.lit(">"), "alt", F.lit("/c."), "cpos", turn("ref"), F.lit(">"), turn("alt"), F.lit("/"), protein)
     three = coords.codon_places(F.col("aa_pos"), F.col("segs"), F.col("strand"))
     codon = F.when(told, F.concat(F.lit("codon_pos="), F.array_join(F.transform(three, text), "-"), F.lit(";ref_codon_seq="), "codon"))
-    items = (F.concat(F.lit("CSQN="), "csqn"), *site_items(site), codon)
+    items = (F.concat(F.lit("CSQN="), "csqn"), dbsnp(x), *site_items(site), codon, optional(x, "warning"))
     return x.select(
         "vid", "tid", "input", transcript_text().alias("transcript"), F.col("gene_name").alias("gene"), "strand", coordinates.alias("coordinates"),
-        F.concat(F.lit("inside_["), place_text(site, c["offset"] == 0, F.col("strand")), F.lit("]")).alias("region"), info(*items, *tail_items()).alias("info"),
+        F.concat(F.lit("inside_["), place_text(site, F.coalesce(c["offset"] == 0, F.lit(False)), F.col("strand")), F.lit("]")).alias("region"), info(*items, *tail_items()).alias("info"),
         F.col("contig_id").cast("string").alias("CHROM"), text(F.col("pos")).alias("POS"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"),
     )
 
@@ -138,8 +155,10 @@ def deletion_records(pairs: DataFrame, seqmax: int = 10) -> DataFrame:
     """pairs of deletion (vid, input, contig_id, pos, till, bases, right, left) and transcript with vid, tid and FIELDS.
 
     The main identifiers are aligned right, in the direction of the genome and
-    of the transcript; the others stand in the info.  Splice sites, start and
-    stop come first, then the protein, then the region.
+    of the transcript; the others stand in the info, with what the deletion takes
+    besides the protein.  Splice sites, start and stop come first, then the
+    protein, then the region.  pairs may have warning, known, and the columns of
+    regions.told.
     """
     x = pairs.withColumn("between", F.lit(False)).withColumn("alt", F.lit(""))
     x = annotate.once(x, __span=coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end")))
@@ -163,14 +182,18 @@ def deletion_records(pairs: DataFrame, seqmax: int = 10) -> DataFrame:
 
     span = F.col("__span")
     same = coords.same_intron(a["c"], b["c"])
-    labels = span_labels(span, "Deletion")
-    hit = (F.size(labels) > 0) | (span["whole"] > 0)
+    point = F.col("pos") == F.col("till")
+    labels = F.when(point, point_labels(a["site"], "Deletion")).otherwise(span_labels(span, "Deletion"))
+    hit = (F.size(labels) > 0) | F.when(point, a["site"]["edge"].isNotNull()).otherwise(span["whole"] > 0)
     region = F.concat(annotate.region_text(a["site"]), F.lit("Deletion"))
+    coding_type = F.col("transcript_type") == "protein_coding"
     csqn = F.when(~same & hit, one_label(labels)).when(framed, F.col("csqn")).when(same, region).otherwise("UnclassifiedDeletion")
     protein = F.when(framed & ~hit, F.concat(F.lit("p."), "change")).otherwise(".")
-    where = between_text(a["site"], b["site"], a["c"], b["c"])
-    items = [F.concat(F.lit("CSQN="), csqn), F.concat(F.lit("left_align_gDNA="), genomic(shifts["left"])), F.concat(F.lit("unaligned_gDNA="), genomic(shifts["own"])), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own"))]
-    coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic(shifts["right"]), F.lit("/"), transcript("right"), F.lit("/"), protein)
+    where = between_text(x, a["site"], b["site"], a["c"], b["c"])
+    gene = F.when((F.col("till") > F.col("cds_end") - 2) & (F.col("pos") < F.col("cds_beg") + 2), "whole_gene_deletion")
+    lost = [F.when(coding_type & ~same, F.when(point, i) if at_point else F.when(~point, i)) for at_point, items in ((True, site_items(a["site"])), (False, span_items(F.col("pos"), F.col("till"), "_lost"))) for i in items]
+    items = [F.concat(F.lit("CSQN="), csqn), optional(x, "warning"), dbsnp(x), gene, F.concat(F.lit("left_align_gDNA="), genomic(shifts["left"])), F.concat(F.lit("unaligned_gDNA="), genomic(shifts["own"])), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own")), *lost]
+    coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic(shifts["right"]), F.lit("/"), F.coalesce(transcript("right"), F.lit(".")), F.lit("/"), protein)
     return x.select(*named_fields(coordinates, where, *items))
 
 
@@ -206,14 +229,14 @@ def insertion_records(pairs: DataFrame) -> DataFrame:
         back = insertion_id(told(mirror, 1), told(mirror, 0), told(mirror, 3), sequence.reverse_complement(moved(mirror)), copies_after[mirror], -1)
         return F.concat(F.lit("c."), F.when(plus, forward).otherwise(back))
 
-    labels = F.filter(F.array(F.when(site["splice"].startswith("Splice"), F.concat(site["splice"], F.lit("Insertion"))), F.concat(site["codon"], F.lit("Insertion"))), lambda s: s.isNotNull())
+    labels = point_labels(site, "Insertion")
     hit = (F.size(labels) > 0) | site["edge"].isNotNull()
     csqn = F.when(hit, one_label(labels)).when(framed, F.col("csqn")).otherwise(F.concat(annotate.region_text(site), F.lit("Insertion")))
     protein = F.when(framed & ~hit, F.concat(F.lit("p."), "change"))
     phase = F.when(framed & ~hit & F.col("csqn").isin("InFrameInsertion", "MultiAAMissense"), F.concat(F.lit("phase="), text(F.col("cend") % 3)))
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic("right"), F.lit("/"), F.coalesce(transcript("right"), F.lit(".")), F.lit("/"), F.coalesce(protein, F.lit(".")))
     items = [F.concat(F.lit("CSQN="), csqn), F.concat(F.lit("left_align_gDNA="), genomic("left")), F.concat(F.lit("unalign_gDNA="), genomic("own")), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own"))]
-    where = F.concat(F.lit("inside_["), place_text(site, a["offset"] == 0, F.col("strand")), F.lit("]"))
+    where = F.concat(F.lit("inside_["), place_text(site, F.coalesce(a["offset"] == 0, F.lit(False)), F.col("strand")), F.lit("]"))
     return x.select(*named_fields(coordinates, where, *items, *site_items(site), phase))
 
 
@@ -226,9 +249,11 @@ def block_records(pairs: DataFrame) -> DataFrame:
     turn = lambda s: F.when(plus, F.col(s)).otherwise(sequence.reverse_complement(F.col(s)))
     x = x.withColumn("cbeg", F.when(framed, F.least(a["pos"], b["pos"])).cast("int")).withColumn("cend", F.when(framed, F.greatest(a["pos"], b["pos"])).cast("int"))
     x = coding.protein_change(x.withColumn("alt", turn("galt")))
-    labels = span_labels(span, "BlockSubstitution")
-    hit = (F.size(labels) > 0) | (span["whole"] > 0)
     first, last = (F.get("__sites", F.lit(i)) for i in (0, 1))
+    point = F.col("pos") == F.col("till")
+    labels = F.when(point, point_labels(first, "BlockSubstitution")).otherwise(span_labels(span, "BlockSubstitution"))
+    hit = (F.size(labels) > 0) | F.when(point, first["edge"].isNotNull()).otherwise(span["whole"] > 0)
+    lost = [F.when(point, i) for i in site_items(first)] + [F.when(~point, i) for i in span_items(F.col("pos"), F.col("till"), "_lost")]
     region = F.when(annotate.region_text(first) == annotate.region_text(last), annotate.region_text(first)).otherwise("Unclassified")
     csqn = F.when(hit, one_label(labels)).when(framed, F.col("csqn")).otherwise(F.concat(region, F.lit("BlockSubstitution")))
     codon = lambda i: F.concat_ws("-", *(text(3 * i - 2 + k) for k in range(3)))
@@ -238,7 +263,7 @@ def block_records(pairs: DataFrame) -> DataFrame:
     ends = [coords.position_text(p) for p in (a, b)]
     coding_id = F.concat(F.lit("c."), block_id(F.when(plus, ends[0]).otherwise(ends[1]), F.when(plus, ends[1]).otherwise(ends[0]), turn("ref"), F.col("alt")))
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), block_id(text(F.col("pos")), text(F.col("till")), F.col("ref"), F.col("galt")), F.lit("/"), F.coalesce(coding_id, F.lit(".")), F.lit("/"), F.coalesce(F.when(framed & ~hit, F.concat(F.lit("p."), "change")), F.lit(".")))
-    return x.select(*named_fields(coordinates, between_text(first, last, a, b), F.concat(F.lit("CSQN="), csqn), codons))
+    return x.select(*named_fields(coordinates, between_text(x, first, last, a, b), F.concat(F.lit("CSQN="), csqn), dbsnp(x), *lost, codons))
 
 
 def span_items(beg: Column, end: Column, action: str) -> list[Column]:
@@ -259,8 +284,8 @@ def span_items(beg: Column, end: Column, action: str) -> list[Column]:
     return [donors, acceptors, F.when(numbers != "", F.concat(F.lit("whole_exon_["), numbers, F.lit("]" + action))), edge("cds_beg", "cds_start", "cds_stop"), edge("cds_end", "cds_end", "cds_start")]
 
 
-def region_records(pairs: DataFrame) -> DataFrame:
-    """pairs of region (vid, input, contig_id, pos, till, ref, the base of a point) and a transcript that holds it, with vid, tid and FIELDS.
+def region_records(pairs: DataFrame, promoter: Column | None = None) -> DataFrame:
+    """pairs of region (vid, input, contig_id, pos, till, ref, the base of a point) and transcript, with vid, tid and FIELDS; promoter: an item that comes first.
 
     There is no label, as nothing changes.  An end in an intron leans to the
     coding base inside the region.
@@ -273,7 +298,7 @@ def region_records(pairs: DataFrame) -> DataFrame:
     one, two = F.col("__one"), F.col("__two")
     amino = lambda i: F.concat(sequence.codon_aa(F.substr("cds", (3 * i - 2).cast("int"), F.lit(3))), text(i))
     places = lambda i: F.array_join(F.transform(coords.codon_places(i, F.col("segs"), F.col("strand")), text), "-")
-    told = ~coords.same_intron(a, b) & (size >= 3 * F.greatest(one, two))
+    told = (F.col("transcript_type") == "protein_coding") & ~coords.same_intron(a, b) & (size >= 3 * F.greatest(one, two))
     protein = F.when(point, F.when(a["offset"] == 0, amino(one))).when(told, F.when(one == two, amino(one)).otherwise(F.concat_ws("_", amino(one), amino(two))))
     start, end = F.when(plus, one).otherwise(two), F.when(plus, two).otherwise(one)
     codons = F.when(told, F.when(one == two, F.concat(F.lit("codon="), places(one))).otherwise(F.concat(F.lit("start_codon="), places(start), F.lit(";end_codon="), places(end))))
@@ -285,7 +310,33 @@ def region_records(pairs: DataFrame) -> DataFrame:
     near = F.floor((a["pos"] + 2) / 3).cast("bigint")
     body = F.concat(F.lit("is_gene_body"), F.coalesce(F.concat(F.lit(";codon_pos="), places(near)), F.lit("")))
     items = [F.when(~point, s) for s in span_items(F.col("pos"), F.col("till"), "_included")]
-    return x.select(*named_fields(coordinates, between_text(F.get("__sites", F.lit(0)), F.get("__sites", F.lit(1)), a, b), F.when(point, body), *items, F.when(~point, codons)))
+    region = between_text(x, F.get("__sites", F.lit(0)), F.get("__sites", F.lit(1)), a, b)
+    return x.select(*named_fields(coordinates, region, *([promoter] if promoter is not None else []), F.when(point, body), *items, F.when(~point, codons)))
+
+
+def unplaced_records(rows: DataFrame, coordinates: Column, *items: Column) -> DataFrame:
+    """vid and FIELDS of rows (vid, input, region) that no single transcript tells of: the genome's coordinates, dots for the transcript's, or the columns transcript, gene and strand."""
+    dot = F.lit(".")
+    where = F.concat(F.col("contig_id").cast("string"), F.lit(":g."), coordinates, F.lit("/./."))
+    return rows.select("vid", "input", *(F.coalesce(optional(rows, c), dot).alias(c) for c in ("transcript", "gene", "strand")), where.alias("coordinates"), "region", info(*items).alias("info"))
+
+
+def deletion_ids(seqmax: int = 10) -> dict[str, Column]:
+    """Identifiers, without contig and level, of deletions (pos, till, bases, right, left) as they stand (own) and shifted right and left."""
+    n = F.length("bases")
+    moved = lambda by: F.substr(F.concat("bases", "bases"), (F.pmod(by, n) + 1).cast("int"), n)
+    shifts = {"right": F.col("right").cast("bigint"), "left": -F.col("left").cast("bigint"), "own": F.lit(0).cast("bigint")}
+    return {k: deletion_id(text(F.col("pos") + by), text(F.col("till") + by), moved(by), seqmax, n == 1) for k, by in shifts.items()}
+
+
+def insertion_ids() -> dict[str, Column]:
+    """The same of insertions (pos, ins, right, left) after pos; one that repeats the bases before it is a duplication."""
+    n, out = F.length("ins"), {}
+    dup = {"right": F.col("right") + F.col("left") >= n, "left": F.lit(False), "own": F.col("left") >= n}
+    for k, by in {"right": F.col("right").cast("bigint"), "left": -F.col("left").cast("bigint"), "own": F.lit(0).cast("bigint")}.items():
+        at, moved = F.col("pos") + by, F.substr(F.concat("ins", "ins"), (F.pmod(by, n) + 1).cast("int"), n)
+        out[k] = insertion_id(text(at), text(at + 1), text(at - n + 1), moved, dup[k], -1)
+    return out
 
 
 def lines(records: DataFrame, *more: str) -> DataFrame:
@@ -298,8 +349,15 @@ def write_lines(records: DataFrame, path: str, *more: str) -> None:
 
 
 def write_vcf(rows: DataFrame, header: DataFrame, path: str, columns: tuple[str, ...] = FIELDS[1:]) -> None:
-    """A VCF with annotation: the lines of header (value), with the columns added to its last line, then line of rows, each with the columns; the header leads the first file."""
+    """A VCF with annotation: the lines of header (value), with the columns added to its last line, then line of rows, each with the columns.
+
+    Both have `place`, where the line stood in its file (tracks.line_place), and
+    the output is in that order, records of one line by tid or transcript: rows
+    are laid in ranges of places and sorted there, and the header leads.
+    """
     added = "\t".join(columns)
-    top = header.select(F.when(F.col("value").startswith("#CHROM"), F.concat("value", F.lit("\t" + added))).otherwise(F.col("value")).alias("value"), F.lit(0).alias("__part"), F.when(F.col("value").startswith("##"), 0).otherwise(1).alias("__kind"))
-    body = rows.select(F.concat_ws("\t", "line", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns)).alias("value"), F.lit(1).alias("__part"), F.lit(2).alias("__kind"))
-    top.unionByName(body).orderBy("__part", "__kind", "value").select("value").write.text(path)
+    order = [c for c in ("alt_number", "transcript", "coordinates", "info") if c in rows.columns]
+    top = header.select(F.when(F.col("value").startswith("#CHROM"), F.concat("value", F.lit("\t" + added))).otherwise(F.col("value")).alias("value"), "place", F.lit(0).alias("__kind"))
+    body = rows.select(F.concat_ws("\t", "line", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns)).alias("value"), "place", F.lit(1).alias("__kind"), *order)
+    keys = ["__kind", "place", *order]
+    top.unionByName(body, allowMissingColumns=True).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.text(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
-from ..operators import annotate, coding, genome, intervals, levels, lookup, records
+from ..operators import annotate, coding, genes, genome, intervals, levels, lookup, records
 from .fixture import SQL, Genome
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,10 +71,11 @@ def tlen_cdslen(g: Genome) -> DataFrame:
     return g.transcripts.select("tid", coords.total_length(F.col("exons")).alias("tlen"), coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
 
 
-@query("SELECT contig_id, tid, tlen FROM (SELECT contig_id, tid, nex * elen AS tlen, row_number() OVER (PARTITION BY contig_id ORDER BY nex * elen DESC, tid) AS r FROM tx) WHERE r = 1")
+@query("SELECT contig_id, tid, tlen FROM (SELECT contig_id, tid, nex * elen AS tlen, row_number() OVER (PARTITION BY contig_id, tid // 4 ORDER BY nex * elen DESC, tid) AS r FROM tx) WHERE r = 1")
 def longest_tx_per_gene(g: Genome) -> DataFrame:
-    t = g.transcripts.select("contig_id", "tid", coords.total_length(F.col("exons")).alias("tlen"))
-    return t.groupBy("contig_id").agg(F.max(F.struct("tlen", (-F.col("tid")).alias("neg"))).alias("m")).select("contig_id", (-F.col("m.neg")).alias("tid"), "m.tlen")
+    t = genes.gene_table(g.named)
+    one = F.filter("transcripts", lambda x: x["tid"] == F.col("longest"))[0]
+    return t.select("contig_id", F.col("longest").alias("tid"), one["length"].alias("tlen"))
 
 
 @query("SELECT tid, length(cds) AS cds_len, md5(cds) AS cds_md5 FROM cds")
@@ -159,9 +160,10 @@ def promoter_site(g: Genome) -> DataFrame:
     return hit.select("vid", "tid", F.when(plus, F.col("pos") - F.col("beg")).otherwise(F.col("tend") - F.col("pos")).alias("dist2tss"))
 
 
-@query(f"SELECT s.vid, t.tid, round(100.0 * (least(s.till, t.beg) - greatest(s.pos, t.beg - 100) + 1) / (s.till - s.pos + 1), 2) AS promoter_pct FROM ({SPAN}) s JOIN tx t ON t.strand = '+' AND s.contig_id = t.contig_id AND t.beg - 100 <= s.till AND t.beg >= s.pos")
+@query(f"SELECT s.vid, t.tid, round(100.0 * (least(s.till, pe) - greatest(s.pos, pb) + 1) / (s.till - s.pos + 1), 2) AS promoter_pct FROM ({SPAN}) s JOIN (SELECT *, CASE strand WHEN '+' THEN beg - 100 ELSE tend END AS pb, CASE strand WHEN '+' THEN beg ELSE tend + 100 END AS pe FROM tx) t ON s.contig_id = t.contig_id AND pb <= s.till AND pe >= s.pos")
 def promoter_overlap_pct(g: Genome) -> DataFrame:
-    t = g.transcripts.where("strand = '+'").withColumn("p_beg", F.col("beg") - 100).withColumn("p_end", F.col("beg"))
+    plus = F.col("strand") == "+"
+    t = g.transcripts.withColumn("p_beg", F.when(plus, F.col("beg") - 100).otherwise(F.col("tend"))).withColumn("p_end", F.when(plus, F.col("beg")).otherwise(F.col("tend") + 100))
     spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
     hit = intervals.range_join(spans, t, "contig_id", ("pos", "till"), ("p_beg", "p_end"), width=200)
     share = 100.0 * (F.least("till", "p_end") - F.greatest("pos", "p_beg") + 1) / (F.col("till") - F.col("pos") + 1)
@@ -320,12 +322,12 @@ def _until(test: str) -> str:
 
 @query(f"SELECT vid, {_until('till + 1 + j > length(seq) OR substr(seq, pos + j, 1) <> substr(seq, till + 1 + j, 1)')} AS roll FROM {_DELETIONS} d")
 def del_right_align(g: Genome) -> DataFrame:
-    return annotate.align_deletions(_deletions(g), g.chunks, g.contigs).select("vid", F.col("right").alias("roll"))
+    return annotate.align_deletions(_deletions(g), g.chunks).select("vid", F.col("right").alias("roll"))
 
 
 @query(f"SELECT vid, {_until('pos - 1 - j < 1 OR substr(seq, till - j, 1) <> substr(seq, pos - 1 - j, 1)')} AS roll FROM {_DELETIONS} d")
 def del_left_align(g: Genome) -> DataFrame:
-    return annotate.align_deletions(_deletions(g), g.chunks, g.contigs).select("vid", F.col("left").alias("roll"))
+    return annotate.align_deletions(_deletions(g), g.chunks).select("vid", F.col("left").alias("roll"))
 
 
 @query(f"""SELECT vid, t AS ins, CASE WHEN p >= n AND substr(seq, p - n + 1, n) = t THEN (CASE WHEN n = 1 THEN '' ELSE (p - n + 1) || '_' END) || p || 'dup' || t ELSE p || '_' || (p + 1) || 'ins' || t END AS id FROM (
@@ -335,7 +337,7 @@ def del_left_align(g: Genome) -> DataFrame:
 def ins_dup_detect(g: Genome) -> DataFrame:
     """An insertion, shifted right as far as it goes, that repeats the bases before it is a duplication."""
     v = g.around(three=(0, 3)).where("pos + 4 <= len").withColumn("ins", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int"))).drop("three")
-    x = annotate.align_insertions(v, g.chunks, g.contigs)
+    x = annotate.align_insertions(v, g.chunks)
     x = x.select("vid", "contig_id", (F.col("pos") + F.col("right")).alias("pos"), annotate.turned(F.col("ins"), F.col("right")).alias("ins"))
     x = genome.bases_at(x, g.chunks, before=(-2, 3))
     n, s = F.length("ins"), lambda d: (F.col("pos") + d).cast("string")
@@ -365,24 +367,25 @@ def dbsnp_snv(g: Genome) -> DataFrame:
     return v.join(known, ["contig_id", "pos", "ref"], "left").select("vid", F.when(F.array_contains("alts", F.col("alt")), F.col("id")).alias("id"))
 
 
-@query("SELECT s.vid, string_agg(f.name, ',' ORDER BY f.name) AS features FROM snv s LEFT JOIN (SELECT 1 + c_custkey % n AS contig_id, 1 + (c_custkey * 31) % 2000 AS fb, 1 + (c_custkey * 31) % 2000 + c_custkey % 400 AS fe, c_name AS name FROM customer, nc) f ON f.contig_id = s.contig_id AND s.pos BETWEEN fb AND fe GROUP BY s.vid")
+@query("SELECT s.vid, string_agg(f.name, ',' ORDER BY f.name) AS features FROM snv s LEFT JOIN (SELECT contig_id, 1 + (c_custkey * 31) % length(seq) AS fb, 1 + (c_custkey * 31) % length(seq) + c_custkey % 400 AS fe, c_name AS name FROM (SELECT *, 1 + c_custkey % n AS contig_id FROM customer, nc) JOIN contig USING (contig_id) WHERE length(seq) > 0) f ON f.contig_id = s.contig_id AND s.pos BETWEEN fb AND fe GROUP BY s.vid")
 def feature_overlap(g: Genome) -> DataFrame:
     c = g.read("customer").crossJoin(F.broadcast(g.number))  # one row
-    f = c.select((1 + F.col("c_custkey") % F.col("n_contigs")).alias("contig_id"), (1 + (F.col("c_custkey") * 31) % 2000).alias("fb"), (1 + (F.col("c_custkey") * 31) % 2000 + F.col("c_custkey") % 400).alias("fe"), F.col("c_name").alias("name"))
+    c = c.withColumn("contig_id", 1 + F.col("c_custkey") % F.col("n_contigs")).join(g.sizes, "contig_id").where("len > 0").withColumn("fb", 1 + (F.col("c_custkey") * 31) % F.col("len"))
+    f = c.select("contig_id", "fb", (F.col("fb") + F.col("c_custkey") % 400).alias("fe"), F.col("c_name").alias("name"))
     hits = intervals.range_join(g.variants, f, "contig_id", ("pos", "pos"), ("fb", "fe")).groupBy("vid").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("features"))
     return g.variants.select("vid").distinct().join(hits, "vid", "left")
 
 
 @query("""SELECT a.tid AS tid1, b.tid AS tid2, a.k AS codon1, (b.cpos + 2) // 3 AS codon2, min(a.g) AS gpos FROM (
  SELECT t.tid, t.contig_id, k, CASE t.strand WHEN '+' THEN gb + (3 * k - 2 + o) - cprev - 1 ELSE ge - (3 * k - 2 + o - cprev - 1) END AS g
- FROM (SELECT tid, contig_id, strand, 1 + tid % 8 AS k FROM tx) t, range(0, 3) r(o) JOIN segment s ON true WHERE s.tid = t.tid AND 3 * k - 2 + o BETWEEN cprev + 1 AND cprev + ge - gb + 1) a
+ FROM (SELECT tid, contig_id, strand, unnest(range(1, length(cds) // 3 + 1)) AS k FROM tx JOIN (SELECT tid, cds FROM cds) USING (tid)) t, range(0, 3) r(o) JOIN segment s ON true WHERE s.tid = t.tid AND 3 * k - 2 + o BETWEEN cprev + 1 AND cprev + ge - gb + 1) a
 JOIN (SELECT tid, contig_id, gb, ge, cprev, strand FROM segment) s2 ON s2.contig_id = a.contig_id AND a.g BETWEEN s2.gb AND s2.ge AND s2.tid <> a.tid
 JOIN LATERAL (SELECT s2.tid AS tid, s2.cprev + CASE s2.strand WHEN '+' THEN a.g - s2.gb ELSE s2.ge - a.g END + 1 AS cpos) b ON true
 JOIN cds ON cds.tid = b.tid WHERE (b.cpos + 2) // 3 <> a.k AND ((b.cpos + 2) // 3) * 3 <= length(cds.cds) GROUP BY 1, 2, 3, 4""")
 def codonsearch(g: Genome) -> DataFrame:
-    """Codons of other transcripts that share a base with one codon of each transcript, under another number."""
+    """Codons of other transcripts that share a base with a codon of each transcript, under another number."""
     t = g.transcripts
-    ask = t.withColumn("k", 1 + F.col("tid") % 8).withColumn("o", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    ask = t.where("length(cds) > 2").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.length("cds") / 3)))).withColumn("o", F.explode(F.array(*(F.lit(i) for i in range(3)))))
     ask = ask.select(F.col("tid").alias("tid1"), "contig_id", F.col("k").alias("codon1"), coords.genomic(3 * F.col("k") - 2 + F.col("o"), F.col("segs"), F.col("strand")).alias("gpos")).where("gpos is not null")
     hit = intervals.range_join(ask, t, "contig_id", ("gpos", "gpos"), ("beg", "tend")).where("tid <> tid1").withColumn("c", coords.cdna(F.col("gpos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
     hit = hit.withColumn("codon2", F.floor((F.col("c.pos") + 2) / 3).cast("bigint")).where((F.col("codon2") != F.col("codon1")) & (F.col("codon2") * 3 <= coords.total_length(F.col("segs"), "gb", "ge")))
@@ -411,11 +414,10 @@ def oneline_render(g: Genome) -> DataFrame:
     return v.select("vid").join(lines, "vid", "left").withColumn("line", F.coalesce("line", F.lit(".\t.\tno_valid_transcript_found")))
 
 
-@query("SELECT vid, tid, elen * nex AS tlen FROM (SELECT *, row_number() OVER (PARTITION BY vid, contig_id ORDER BY elen * nex DESC, tid) AS r FROM pair) WHERE r = 1")
+@query("SELECT vid, tid, elen * nex AS tlen FROM (SELECT *, row_number() OVER (PARTITION BY vid, contig_id, tid // 4 ORDER BY elen * nex DESC, tid) AS r FROM pair) WHERE r = 1")
 def longest_overlap_tx(g: Genome) -> DataFrame:
-    p = annotate.on_transcripts(g.variants, g.transcripts).withColumn("tlen", coords.total_length(F.col("exons")))
-    rank = F.row_number().over(Window.partitionBy("vid", "contig_id").orderBy(F.desc("tlen"), "tid"))
-    return p.withColumn("r", rank).where("r = 1").select("vid", "tid", "tlen")
+    pairs = annotate.on_transcripts(g.variants, g.named.select("tid", "source", "contig_id", "gene_name", "beg", "tend", "exons"))
+    return genes.longest_only(pairs).select("vid", "tid", genes.transcript_length().alias("tlen"))
 
 
 @query("SELECT csqn, count(*)::BIGINT AS n, count(DISTINCT tid)::BIGINT AS n_tx FROM consequence GROUP BY csqn")
@@ -533,10 +535,11 @@ def span_region(g: Genome) -> DataFrame:
     return hit.select(*KEYS, s.alias("s")).select(*KEYS, "s.*")
 
 
-@query("SELECT contig_id, tid, cdslen FROM (SELECT t.contig_id, t.tid, length(cds) AS cdslen, row_number() OVER (PARTITION BY t.contig_id ORDER BY length(cds) DESC, t.tid) AS r FROM tx t JOIN cds USING (tid)) WHERE r = 1")
+@query("SELECT contig_id, tid, cdslen FROM (SELECT t.contig_id, t.tid, length(cds) AS cdslen, row_number() OVER (PARTITION BY t.contig_id, t.tid // 4 ORDER BY length(cds) DESC, t.tid) AS r FROM tx t JOIN cds USING (tid)) WHERE r = 1")
 def longest_coding_per_gene(g: Genome) -> DataFrame:
-    t = g.transcripts.select("contig_id", "tid", coords.total_length(F.col("segs"), "gb", "ge").alias("cdslen"))
-    return t.groupBy("contig_id").agg(F.max(F.struct("cdslen", (-F.col("tid")).alias("neg"))).alias("m")).select("contig_id", (-F.col("m.neg")).alias("tid"), "m.cdslen")
+    t = genes.gene_table(g.named)
+    one = F.filter("transcripts", lambda x: x["tid"] == F.col("longest_coding"))[0]
+    return t.select("contig_id", F.col("longest_coding").alias("tid"), one["coding"].alias("cdslen"))
 
 
 _KNOWN = "SELECT contig_id, pos - 1 AS anchor, 'rs' || vid AS id, substr(seq, CAST(pos - 1 AS INT), CAST(2 + qty % 6 AS INT)) AS padded FROM snv JOIN contig USING (contig_id) WHERE qty % 3 = 0 AND pos > 1 AND pos + 10 <= length(seq)"

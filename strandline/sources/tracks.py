@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -155,28 +155,37 @@ def fetch(spans: DataFrame, genome: DataFrame, chunk: int = 1_000_000) -> DataFr
     return spans.join(whole, key, "left").select(*spans.columns, "bases")
 
 
+def line_place() -> Column:
+    """Where a line of text stands: its file, the split of the file, and its number in that; lines of one scan are in this order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:
-    """Header lines (value) of a VCF, for records.write_vcf."""
-    return spark.read.text(path).where(F.col("value").startswith("#"))
+    """Header lines (value, place) of a VCF, for records.write_vcf."""
+    return spark.read.text(path).select("value", line_place().alias("place")).where(F.col("value").startswith("#"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each ALT: line, chrom, pos, id, ref, alt, kind, beg, end, bases.
+    """One row for each ALT: line, place, alt_number, chrom, pos, id, ref, alt, kind, beg, end, bases.
 
-    kind: SNV, DEL (also <DEL> with END=), INS, MNV; the padding base of DEL and INS is taken off.
+    kind: SNV, DEL (also <DEL> with END=, from pos on), INS, MNV; the padding
+    base of DEL and INS is taken off.  place and alt_number order rows as the
+    file does.
     """
-    f = lambda i: F.col("f")[i]
-    rows = _fields(spark, path, 5).select(F.concat_ws("\t", "f").alias("line"), f(0).alias("chrom"), f(1).cast("bigint").alias("pos"), f(2).alias("id"), F.upper(f(3)).alias("ref"), F.get("f", F.lit(7)).alias("info"), F.explode(F.split(f(4), ",")).alias("alt"))
+    lines = spark.read.text(path).select("value", line_place().alias("place")).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    f = lambda i: F.get("f", F.lit(i))
+    rows = lines.withColumn("f", F.split("value", "\t")).where(F.size("f") >= 5)
+    rows = rows.select(F.col("value").alias("line"), "place", f(0).alias("chrom"), f(1).try_cast("bigint").alias("pos"), f(2).alias("id"), F.upper(f(3)).alias("ref"), f(7).alias("info"), F.posexplode(F.split(f(4), ",")).alias("alt_number", "alt"))
     r, a, n = F.col("ref"), F.upper("alt"), F.length("ref")
     symbol = F.col("alt").startswith("<DEL")
     pad = (F.substr(r, F.lit(1), F.lit(1)) == F.substr(a, F.lit(1), F.lit(1)))
     kind = F.when(symbol, "DEL").when((n == 1) & (F.length(a) == 1), "SNV").when(pad & (F.length(a) == 1), "DEL").when(pad & (n == 1), "INS").otherwise("MNV")
     stop = F.regexp_extract("info", r"(?:^|;)END=(\d+)", 1).try_cast("bigint")
     x = rows.withColumn("alt", a).withColumn("kind", kind)
-    beg = F.when(symbol | (F.col("kind") == "DEL"), F.col("pos") + 1).otherwise(F.col("pos"))
+    beg = F.when((F.col("kind") == "DEL") & ~symbol, F.col("pos") + 1).otherwise(F.col("pos"))
     end = F.when(symbol, F.coalesce(stop, F.col("pos") + n - 1)).when(F.col("kind") == "INS", F.col("pos") + 1).otherwise(F.col("pos") + n - 1)
     bases = F.when(F.col("kind") == "DEL", F.when(symbol, "").otherwise(F.substr(r, F.lit(2)))).when(F.col("kind") == "INS", F.substr(a, F.lit(2))).otherwise(a)
-    return x.select("line", "chrom", "pos", "id", "ref", "alt", "kind", beg.alias("beg"), end.alias("end"), bases.alias("bases"))
+    return x.select("line", "place", "alt_number", "chrom", "pos", "id", "ref", "alt", "kind", beg.alias("beg"), end.alias("end"), bases.alias("bases"))
 
 
 def columns_of(spec: str, n: int) -> list[int]:

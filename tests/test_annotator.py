@@ -1,5 +1,7 @@
 """End to end, from files to text records; the lines are documented ones, on small references that hold the same bases."""
 
+import itertools
+import random
 import re
 
 import pytest
@@ -70,7 +72,7 @@ def test_insertions_blocks_regions(spark, world):
     r = got["chr3:g.1733_1734delinsTT"]
     assert r["coordinates"] == "chr3:g.1733_1734delinsTT/c.1633_1634delinsTT/p.E545L" and r["info"].startswith("CSQN=Missense;codon_cDNA=1633-1634-1635;")
     assert "fs*" in got["chr3:g.1733_1734delinsTTT"]["coordinates"]
-    assert got["chr3:g.1732_1733delCTinsCA"]["info"] == "Error=invalid_reference_seq_CT_(expect_TG)"
+    assert got["chr3:g.1732_1733delCTinsCA"]["info"] == "CSQN=Unclassified;invalid_reference_seq_CT_(expect_TG)"
     r = got["chr3:g.1733_1800"]
     assert r["coordinates"] == "chr3:g.1733_1800/c.1633_1664+36/p.E545_A555" and r["region"] == "from_[cds_in_exon_1]_to_[intron_between_exon_1_and_2]"
     assert r["info"] == "C2=donor_splice_site_on_exon_1_at_chr3:1765_included;start_codon=1733-1734-1735;end_codon=1763-1764-1865;dbxref=PIK3CA;source=CCDS"
@@ -97,14 +99,14 @@ def test_coding_and_protein_queries(spark, world):
 
 
 def test_text_sinks(spark, tmp_path):
-    row = spark.createDataFrame([("i", "t", None, "+", "c", "r", "x", "chr1", "5", "1\t5\t.\tA\tC")], "input string, transcript string, gene string, strand string, coordinates string, region string, info string, CHROM string, POS string, line string")
+    row = spark.createDataFrame([("i", "t", None, "+", "c", "r", "x", "chr1", "5", "1\t5\t.\tA\tC", 2)], "input string, transcript string, gene string, strand string, coordinates string, region string, info string, CHROM string, POS string, line string, place int")
     records.write_lines(row, str(tmp_path / "o"), "CHROM", "POS")
     assert [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["i\tt\t.\t+\tc\tr\tx\tchr1\t5"]
-    header = spark.createDataFrame([("#CHROM\tPOS",), ("##a",)], "value string")
+    header = spark.createDataFrame([("#CHROM\tPOS", 1), ("##z", 0)], "value string, place int")
     records.write_vcf(row, header, str(tmp_path / "v"))
     files = sorted((tmp_path / "v").glob("part-*"))
     text = "".join(f.read_text() for f in files).splitlines()
-    assert text[0] == "##a" and text[1].startswith("#CHROM\tPOS\ttranscript\tgene") and text[2] == "1\t5\t.\tA\tC\tt\t.\t+\tc\tr\tx"
+    assert text[0] == "##z" and text[1].startswith("#CHROM\tPOS\ttranscript\tgene") and text[2] == "1\t5\t.\tA\tC\tt\t.\t+\tc\tr\tx"
 
 
 def test_nearest_by_text_names(spark):
@@ -146,7 +148,7 @@ def test_frameshifts_step_by_step(spark):
     n, head, stop = change(cds[:60] + cds[61:])
     want = set()
     for b in range(3 * n - 9, 3 * n + 1):
-        for new in [cds[: b - 1] + cds[b - 1 + k :] for k in (1, 2, 4)] + [cds[: b - 1] + x + cds[b - 1 :] for x in [p + q for p in ("", *"ACGT") for q in "ACGT"]]:
+        for new in [cds[: b - 1] + cds[b - 1 + k :] for k in (1, 2, 4)] + [cds[: b - 1] + "".join(x) + cds[b - 1 :] for k in (1, 2, 4, 5) for x in itertools.product("ACGT", repeat=k)]:
             if change(new)[1:] == (head, stop):
                 want.add(new)
     t = spark.createDataFrame([(1, 7, f"p.{head}fs*{stop}", "+", cds, tail)], "qid bigint, tid bigint, change string, strand string, cds string, tail string").withColumn("segs", F.array(F.struct(F.lit(1).cast("bigint").alias("gb"), F.lit(len(cds)).cast("bigint").alias("ge"), F.lit(0).cast("bigint").alias("cprev"))))
