@@ -153,10 +153,11 @@ def _carries(s: Segments, emit: np.ndarray, m: Model) -> tuple[np.ndarray, np.nd
     k = len(m.start)
     carry = np.where(s.first[:, None, None], m.start[None, None, :], m.moves[None, :, :]) * emit[s.at][:, None, :]
     log = np.zeros(len(s.at))
+    every = 8 if carry.dtype == np.float64 else 4  # the products of so many tokens stay above the least number
     for t, n in enumerate(_active(s)):
         if t:
             carry[:n] = (carry[:n].reshape(-1, k) @ m.moves).reshape(n, k, k) * emit[s.at[:n] + t][:, None, :]
-        if t % 8 == 7:
+        if t % every == every - 1:
             scale = carry[:n].sum((1, 2))
             carry[:n] /= scale[:, None, None]
             log[:n] += np.log(scale)
@@ -165,9 +166,9 @@ def _carries(s: Segments, emit: np.ndarray, m: Model) -> tuple[np.ndarray, np.nd
 
 def _entries(s: Segments, carry: np.ndarray, log: np.ndarray, k: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """The state before each segment, given all tokens before it, and the log likelihood of each text."""
-    before = np.zeros((len(s.at), k))
+    before = np.zeros((len(s.at), k), carry.dtype)
     total = np.zeros(texts)
-    state = np.full((texts, k), 1 / k)  # a text's first matrix forgets it
+    state = np.full((texts, k), 1 / k, carry.dtype)  # a text's first matrix forgets it
     for seg in s.chain:
         n = len(seg)
         before[seg] = state[:n]
@@ -179,18 +180,22 @@ def _entries(s: Segments, carry: np.ndarray, log: np.ndarray, k: int, texts: int
 
 
 def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of words by state, of moves and of first states, and the log likelihood of some texts; b: emissions of the dictionary's words."""
+    """Expected counts of words by state, of moves and of first states, and the log likelihood of some texts; b: emissions of the dictionary's words.
+
+    b may be of single precision, as the model then must be; a word's emissions
+    may have any factor in common, which changes the likelihood alone.
+    """
     k = len(m.start)
     s, emit = segments_of(sizes), b[tokens]
     carry, log = _carries(s, emit, m)
     before, total = _entries(s, carry, log, k, len(sizes))
-    after = np.ones((len(s.at), k))
+    after = np.ones((len(s.at), k), b.dtype)
     for j in range(len(s.chain) - 1, 0, -1):
         seg = s.chain[j]
         back = np.einsum("nij,nj->ni", carry[seg], after[seg])
         after[s.chain[j - 1][: len(seg)]] = back / back.sum(1, keepdims=True)
     active = _active(s)
-    ahead = np.zeros((len(active), len(s.at), k))
+    ahead = np.zeros((len(active), len(s.at), k), b.dtype)
     state = before
     for t, n in enumerate(active):
         step = state[:n] @ m.moves
@@ -199,7 +204,7 @@ def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) ->
         step *= emit[s.at[:n] + t]
         state = step / step.sum(1, keepdims=True)
         ahead[t, :n] = state
-    gamma = np.zeros((len(tokens), k))
+    gamma = np.zeros((len(tokens), k), b.dtype)
     moves, first = np.zeros((k, k)), np.zeros(k)
     beta = after
     for t in range(len(active) - 1, -1, -1):
@@ -209,13 +214,13 @@ def expected(tokens: np.ndarray, sizes: np.ndarray, b: np.ndarray, m: Model) ->
         back = emit[s.at[:n] + t] * beta[:n]
         prior = ahead[t - 1, :n] if t else before
         pair = np.flatnonzero(~s.first) if not t else slice(None)
-        norm = np.einsum("ni,ij,nj->n", prior[pair], m.moves, back[pair], optimize=True)
+        norm = ((prior[pair] @ m.moves) * back[pair]).sum(1)
         moves += (prior[pair] / norm[:, None]).T @ back[pair]
         back = back @ m.moves.T
         beta[:n] = back / back.sum(1, keepdims=True)
     starts = np.cumsum(sizes) - sizes
     first += gamma[starts].sum(0)
-    words = np.stack([np.bincount(tokens, gamma[:, i], len(b)) for i in range(k)], 1)
+    words = np.stack([np.bincount(tokens, g, len(b)) for g in np.ascontiguousarray(gamma.T)], 1)
     return words, moves * m.moves, first, float(total.sum())
 
 
@@ -250,9 +255,12 @@ def _pass(m: Model, unit: int):
         tokens, sizes = tokens[np.repeat(training, sizes)], sizes[training]
         found, moves, first = np.zeros_like(b), np.zeros((k, k)), np.zeros(k)
         at = np.concatenate([[0], np.cumsum(sizes)])
+        # counts need no more than single precision, if no emission is near its least number
+        b = (b / b.max(1, keepdims=True)).astype(np.float32)
+        single = m._replace(start=m.start.astype(np.float32), moves=m.moves.astype(np.float32))
         for part in _parts(sizes):
             here, codes = np.unique(tokens[at[part.start] : at[part.stop]], return_inverse=True)
-            w, x, f, _ = expected(codes, sizes[part], b[here], m)
+            w, x, f, _ = expected(codes, sizes[part], b[here], single)
             found[here] += w
             moves += x
             first += f
@@ -319,7 +327,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = P
         return Model(smooth(start), smooth(moves), np.array(totals) / unit + scarce, scarce, sums.n, sums.v, sums.rare)
 
     def with_words(run, schema: str) -> DataFrame:
-        given = words.where(~rare).join(table, "h").select("block", "i", *counts)
+        given = words.where(~rare).join(table.hint("shuffle_hash"), "h").select("block", "i", *counts)
         return packed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
 
     m = model(np.zeros(states), np.eye(states) * 4 * states, np.full(states, sums.rare / states))
