@@ -23,6 +23,15 @@ def named(queries: DataFrame, transcripts: DataFrame, idmap: DataFrame, strict_v
     return rows.where(F.col(only).isNull() | (F.upper(only) == F.upper("name"))) if only else rows
 
 
+def coding_places(pairs: DataFrame) -> DataFrame:
+    """pairs of c. change and transcript with __h, the parsed change, __p and __q, its two places, and __a and __b, these in the genome; places that aren't there, or don't name a real edge, go."""
+    x = annotate.once(pairs, __h=hgvs.parse_coding(F.col("change"))).where("__h.kind is not null").drop("change")
+    x = annotate.once(x, __p=hgvs.parse_position(F.col("__h.beg")), __q=hgvs.parse_position(F.col("__h.end")))
+    place = lambda c: coords.genomic_at(F.col(c), F.col("segs"), F.col("strand"))
+    edge = lambda c: coords.on_boundary(F.col(c), F.col("segs"), F.col("strand"))
+    return annotate.once(x, __fits=edge("__p") & edge("__q"), __a=place("__p"), __b=place("__q")).where("__fits and __a is not null and __b is not null").drop("__fits")
+
+
 def coding_changes(pairs: DataFrame, ignore_reference: bool = False) -> DataFrame:
     """pairs of c. change and transcript with kind, gbeg, gend, gref, galt (+ strand), cbeg, cend, alt, csqn and change of the protein.
 
@@ -32,11 +41,7 @@ def coding_changes(pairs: DataFrame, ignore_reference: bool = False) -> DataFram
     duplication is an insertion after itself.  A change outside the CDS bases is
     labelled by its region.
     """
-    x = annotate.once(pairs, __h=hgvs.parse_coding(F.col("change"))).where("__h.kind is not null").drop("change")
-    x = annotate.once(x, __p=hgvs.parse_position(F.col("__h.beg")), __q=hgvs.parse_position(F.col("__h.end")))
-    place = lambda c: coords.genomic_at(F.col(c), F.col("segs"), F.col("strand"))
-    edge = lambda c: coords.on_boundary(F.col(c), F.col("segs"), F.col("strand"))
-    x = annotate.once(x, __fits=edge("__p") & edge("__q"), __a=place("__p"), __b=place("__q")).where("__fits and __a is not null and __b is not null")
+    x = coding_places(pairs)
     inside = (F.col("__p.offset") == 0) & (F.col("__q.offset") == 0)
     last = lambda p: F.when(p["pos"] == -1, F.length("cds")).otherwise(p["pos"]).cast("int")
     x = annotate.once(x, __beg=last(F.col("__p")), __end=last(F.col("__q"))).where("__beg <= __end")

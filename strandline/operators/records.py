@@ -197,9 +197,12 @@ def deletion_records(pairs: DataFrame, seqmax: int = 10) -> DataFrame:
     return x.select(*named_fields(coordinates, where, *items))
 
 
-def insertion_records(pairs: DataFrame) -> DataFrame:
+def insertion_records(pairs: DataFrame, both: bool = False) -> DataFrame:
     """pairs of insertion (vid, input, contig_id, pos, ins, right, left), after pos, and transcript with vid, tid and FIELDS.
 
+    both: the bases on both sides, as a span, give the region and the splice sites
+    that are affected, not the one before alone.
+
     An insertion that repeats the bases before it is a duplication; it does so
     wherever it can shift back by its own length.  A splice site, start or stop
     at pos comes before the protein, and that before the region.
@@ -229,15 +232,19 @@ def insertion_records(pairs: DataFrame) -> DataFrame:
         back = insertion_id(told(mirror, 1), told(mirror, 0), told(mirror, 3), sequence.reverse_complement(moved(mirror)), copies_after[mirror], -1)
         return F.concat(F.lit("c."), F.when(plus, forward).otherwise(back))
 
-    labels = point_labels(site, "Insertion")
-    hit = (F.size(labels) > 0) | site["edge"].isNotNull()
+    span = coding.span_site(F.col("pos"), F.col("till"), F.col("exons"), F.col("strand"), F.col("cds_beg"), F.col("cds_end"))
+    labels = span_labels(span, "Insertion") if both else point_labels(site, "Insertion")
+    hit = (F.size(labels) > 0) | (span["whole"] > 0 if both else site["edge"].isNotNull())
     csqn = F.when(hit, one_label(labels)).when(framed, F.col("csqn")).otherwise(F.concat(annotate.region_text(site), F.lit("Insertion")))
     protein = F.when(framed & ~hit, F.concat(F.lit("p."), "change"))
     phase = F.when(framed & ~hit & F.col("csqn").isin("InFrameInsertion", "MultiAAMissense"), F.concat(F.lit("phase="), text(F.col("cend") % 3)))
     coordinates = F.concat(F.col("contig_id").cast("string"), F.lit(":"), genomic("right"), F.lit("/"), F.coalesce(transcript("right"), F.lit(".")), F.lit("/"), F.coalesce(protein, F.lit(".")))
     items = [F.concat(F.lit("CSQN="), csqn), F.concat(F.lit("left_align_gDNA="), genomic("left")), F.concat(F.lit("unalign_gDNA="), genomic("own")), F.concat(F.lit("left_align_cDNA="), transcript("left")), F.concat(F.lit("unalign_cDNA="), transcript("own"))]
     where = F.concat(F.lit("inside_["), place_text(site, F.coalesce(a["offset"] == 0, F.lit(False)), F.col("strand")), F.lit("]"))
-    return x.select(*named_fields(coordinates, where, *items, *site_items(site), phase))
+    if both:
+        where = between_text(x, site, F.get("__sites", F.lit(1)), a, b)
+    touched = span_items(F.col("pos"), F.col("till"), "_affected") if both else site_items(site)
+    return x.select(*named_fields(coordinates, where, *items, *touched, phase))
 
 
 def block_records(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, hgvs, sequence
-from ..operators import annotate, frontier, genome, haplotypes, intervals, levels, records, regions
+from ..operators import annotate, frontier, genes, genome, haplotypes, intervals, level_records, levels, records, regions
 from ..operators import known as known_variants
 from ..operators.tables import kept
 from ..sources import tracks
@@ -167,3 +167,19 @@ def change_records(q: DataFrame, transcripts: DataFrame, chunks: DataFrame, size
 def coding_records(queries: DataFrame, transcripts: DataFrame, idmap: DataFrame) -> DataFrame:
     """qid, input and what a c. query changes in the genome and the protein, by transcript."""
     return levels.coding_changes(levels.named(queries.where("level = 'c'").select("qid", "input", "tok", "change"), transcripts, idmap))
+
+
+def coding_text_records(queries: DataFrame, transcripts: DataFrame, idmap: DataFrame, chunks: DataFrame, longest: bool = False, longest_coding: bool = False, **options: object) -> DataFrame:
+    """vid (qid) and the seven FIELDS of c. queries, one for each transcript that their name finds and that fits; a query that fits none gets a record of dots.
+
+    longest and longest_coding keep the longest transcript of each gene.
+    """
+    q = queries.where("level = 'c'").select("qid", "input", "tok", "change")
+    pairs = levels.named(q, transcripts, idmap)
+    if longest or longest_coding:
+        pairs = genes.longest_only(pairs, "qid", coding=longest_coding)
+    out = level_records.coding_records(pairs, chunks, **options).select("vid", *records.FIELDS)
+    out = kept(out)
+    dot = F.lit(".")
+    none = q.join(out.select(F.col("vid").alias("qid")).distinct(), "qid", "left_anti")
+    return out.union(none.select("qid", "input", dot, dot, dot, dot, dot, F.lit("no_valid_transcript_found")))

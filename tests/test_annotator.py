@@ -98,6 +98,35 @@ def test_coding_and_protein_queries(spark, world):
     assert (d["gbeg"], d["gend"], d["bases"]) == (1733, 1738, "GAGGCT")
 
 
+def test_coding_text_records(spark, world):
+    chunks, t, n = world
+    g = lambda c: 101 + n - c  # noqa: E731  place of c. in AAAS
+    lines = ["PIK3CA:c.1633G>A", "PIK3CA:c.1633C>A", "PIK3CA:c.1664+5C>T", "PIK3CA:c.*3T>A", "AAAS:c.669_671del", "AAAS:c.672_673insG", "AAAS:c.670_672dup", "PIK3CA:c.1633_1634delGAinsTT", "PIK3CA:c.1661_1664+3", "AAAS:c.4_9", "AAAS:c.4", "PIK3CA:c.1600+1G>A", "PIK3CA:c.1663_1664insA"]
+    q = annotator.read_queries(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = {r["input"]: r for r in annotator.coding_text_records(q, t, tracks.idmap_of(t), chunks, longest=True).collect()}
+    assert set(got) == set(lines)
+    tail = "dbxref=PIK3CA;source=CCDS"
+    want = {
+        "PIK3CA:c.1633G>A": ("chr3:g.1733G>A/c.1633G>A/p.E545K", "inside_[cds_in_exon_1]", "CSQN=Missense;reference_codon=GAG;alternative_codon=AAG;" + tail),
+        "PIK3CA:c.1664+5C>T": ("chr3:g.1769C>T/c.1664+5C>T/.", "inside_[intron_between_exon_1_and_2]", "CSQN=IntronicSNV;" + tail),
+        "PIK3CA:c.1661_1664+3": ("chr3:g.1761_1767CTGCGTC/c.1661_1664+3CTGCGTC/p.554_555AA", "from_[cds_in_exon_1]_to_[intron_between_exon_1_and_2]", "C2=donor_splice_site_on_exon_1_at_chr3:1765_included;" + tail),
+        "AAAS:c.4_9": (f"chr12:g.{g(9)}_{g(4)}AGCAGC/c.4_9GCTGCT/p.2_3AA", "inside_[cds_in_exon_1]", "dbxref=AAAS;source=CCDS"),
+        "AAAS:c.4": (f"chr12:g.{g(4)}C/c.4G/.", "inside_[cds_in_exon_1]", "dbxref=AAAS;source=CCDS"),
+    }
+    for k, w in want.items():
+        assert (got[k]["coordinates"], got[k]["region"], got[k]["info"]) == w
+    assert got["PIK3CA:c.1633C>A"]["info"] == got["PIK3CA:c.1600+1G>A"]["info"] == "no_valid_transcript_found"
+    assert got["PIK3CA:c.*3T>A"]["coordinates"].endswith("/c.*3T>A/.") or got["PIK3CA:c.*3T>A"]["info"] == "no_valid_transcript_found"
+    r = got["AAAS:c.669_671del"]
+    assert r["coordinates"] == f"chr12:g.{g(669)}_{g(667)}delCCC/c.670_672delGGG/p.G224delG" and "unalign_cDNA=c.669_671delGGG;" in r["info"]
+    r = got["AAAS:c.672_673insG"]
+    assert r["coordinates"].startswith(f"chr12:g.{g(667)}dupC/c.672dupG/p.") and r["info"].startswith("CSQN=Frameshift;") and "unalign_cDNA=c.672dupG;" in r["info"]
+    assert got["AAAS:c.670_672dup"]["coordinates"] == f"chr12:g.{g(669)}_{g(667)}dupCCC/c.670_672dupGGG/p.G224dupG"
+    r = got["PIK3CA:c.1633_1634delGAinsTT"]
+    assert r["coordinates"] == "chr3:g.1733_1734delinsTT/c.1633_1634delinsTT/p.E545L" and r["info"].startswith("CSQN=Missense;codon_cDNA=1633-1634-1635;")
+    assert got["PIK3CA:c.1663_1664insA"]["info"].startswith("CSQN=SpliceDonorInsertion;") and "C2=donor_splice_site_on_exon_1_at_chr3:1765_affected" in got["PIK3CA:c.1663_1664insA"]["info"]
+
+
 def test_text_sinks(spark, tmp_path):
     row = spark.createDataFrame([("i", "t", None, "+", "c", "r", "x", "chr1", "5", "1\t5\t.\tA\tC", 2)], "input string, transcript string, gene string, strand string, coordinates string, region string, info string, CHROM string, POS string, line string, place int")
     records.write_lines(row, str(tmp_path / "o"), "CHROM", "POS")
