@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import coords, hgvs, sequence
 from ..operators import annotate, coding, genes, genome, intervals, levels, lookup, records
