@@ -70,15 +70,43 @@ def codon_aa(codon: Column) -> Column:
 
 
 def translate_all(cds: Column) -> Column:
-    """Amino acids of all whole codons, stops included; X for a codon that has none."""
-    place = lambda i: F.instr(F.lit(_CODONS), F.concat(F.lit(" "), F.substr(cds, 3 * i + 1, F.lit(3))))
-    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(cds) / 3).cast("int") - 1), lambda i: F.substr(F.lit("X" + STANDARD_CODE), F.shiftright(place(i) + 3, 2) + 1, F.lit(1)))
-    return F.when(F.length(cds) >= 3, F.array_join(codons, "")).when(cds.isNotNull(), "")
+    """Amino acids of all whole codons, stops included; X for a codon that has none.
+
+    The codons are cut in one pass: a substr for each would walk from the
+    beginning every time, which costs the square of the length.
+    """
+    table = literal_map({a + b + c: STANDARD_CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)})
+    codons = F.transform(F.regexp_extract_all(cds, F.lit("(?s)..."), F.lit(0)), lambda c: F.coalesce(table[c], F.lit("X")))
+    return F.array_join(codons, "")
+
+
+def first_stop(s: Column) -> Column:
+    """Which codon of s is its first stop, from 1; 0 if none is."""
+    return (F.length(F.regexp_extract(s, "^(?s:...)*?(?:TAA|TAG|TGA)", 0)) / 3).cast("int")
 
 
 def translate(cds: Column) -> Column:
-    """Protein of whole codons, up to and with the first stop."""
-    return F.regexp_extract(translate_all(cds), r"^[^*]*\*?", 0)
+    """Protein of whole codons, up to and with the first stop; nothing behind that is translated."""
+    return bind({"s": cds, "n": first_stop(cds)}, lambda x: translate_all(F.when(x["n"] > 0, F.left(x["s"], 3 * x["n"])).otherwise(x["s"])))
+
+
+def first_change(a: Column, b: Column, near: int = 8) -> Column:
+    """Which codon of two sequences is the first with another amino acid, from 1; null if one protein begins with the other.
+
+    The first few codons are translated; where these are equal, what lies before
+    the next base that differs is passed over, then more, and all, are.
+    """
+
+    def part(x: Column, s: str, skip: Column, n: int) -> Column:
+        return translate_all(F.substr(x[s], 3 * skip + 1, F.lit(n)))
+
+    def beyond(x: Column) -> Column:
+        skip = F.floor((x["d"] - 1) / 3).cast("int")
+        return F.coalesce(*(skip + first_difference(part(x, "a", skip, n), part(x, "b", skip, n)) for n in (24 * near, 2**31 - 1)))
+
+    far = bind({"a": a, "b": b, "d": first_difference(a, b)}, lambda x: F.when(x["d"].isNotNull(), beyond(x)))
+    first = first_difference(translate_all(F.left(a, F.lit(3 * near))), translate_all(F.left(b, F.lit(3 * near))))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(first, far))
 
 
 def until_stops(s: Column) -> Column:

@@ -70,20 +70,24 @@ def protein_change(edits: DataFrame, seqmax: int = 10) -> DataFrame:
     size = F.length(cds)
     x = edits.withColumn("__one", F.floor((b + 2) / 3).cast("int")).withColumn("__last", F.floor((e + 2) / 3).cast("int"))
     one, last = F.col("__one"), F.col("__last")
-    x = x.withColumn("__new_cds", F.concat(_part(cds, F.lit(1), b - 1), alt, _part(cds, e + 1, size))).withColumn("__p", sequence.translate_all(cds))
-    x = x.withColumn("__old", _part(F.col("__p"), one, last)).withColumn("__new", sequence.translate_all(F.concat(_part(cds, 3 * one - 2, b - 1), alt, _part(cds, e + 1, 3 * last))))
+    x = x.withColumn("__new_cds", F.concat(_part(cds, F.lit(1), b - 1), alt, _part(cds, e + 1, size)))
+    x = x.withColumn("__old", sequence.translate_all(_part(cds, 3 * one - 2, 3 * last))).withColumn("__new", sequence.translate_all(F.concat(_part(cds, 3 * one - 2, b - 1), alt, _part(cds, e + 1, 3 * last))))
     p, old, new = F.col("__p"), F.col("__old"), F.col("__new")
     deleted, inserted = F.length(alt) == 0, e < b
     x = x.withColumn("__framed", ((F.length(alt) - (e - b + 1)) % 3 == 0) & ~(inserted & new.contains("*")))
     framed = F.col("__framed")
+    # what rolls along the protein; other edits don't need it
+    x = x.withColumn("__p", F.when(framed & (old != new), sequence.translate_all(cds)))
 
     # out of frame: both readings from the first codon touched
-    read = lambda s: sequence.translate_all(F.concat(F.substr(s, 3 * one - 2, F.lit(2**31 - 1)), tail))
+    read = lambda s: F.concat(F.substr(s, 3 * one - 2, F.lit(2**31 - 1)), tail)
     x = x.withColumn("__was", F.when(~framed, read(cds))).withColumn("__is", F.when(~framed, read(F.col("__new_cds"))))
-    x = x.withColumn("__at", sequence.first_difference(F.col("__was"), F.col("__is"))).withColumn("__stop", F.instr("__is", "*"))
+    x = x.withColumn("__at", F.when(~framed, sequence.first_change(F.col("__was"), F.col("__is")))).withColumn("__stop", sequence.first_stop(F.col("__is")))
     at, stop = F.col("__at"), F.col("__stop")
     silent = at.isNull() | ((stop > 0) & (stop < at))
-    shift = F.concat(F.substr("__was", at, F.lit(1)), (one + at - 1).cast("string"), F.substr("__is", at, F.lit(1)), F.lit("fs*"), F.when(stop > 0, (stop - at + 1).cast("string")).otherwise("?"))
+    aa_at = lambda s: sequence.translate_all(F.substr(s, 3 * at - 2, F.lit(3)))
+    x = x.withColumn("__lost", aa_at("__was")).withColumn("__put", aa_at("__is"))
+    shift = F.concat("__lost", (one + at - 1).cast("string"), "__put", F.lit("fs*"), F.when(stop > 0, (stop - at + 1).cast("string")).otherwise("?"))
 
     # in frame: what is left between common ends
     flip = lambda s: F.when(deleted, F.reverse(s)).otherwise(s)
@@ -98,7 +102,7 @@ def protein_change(edits: DataFrame, seqmax: int = 10) -> DataFrame:
     nonsense = deleted & (sub == "*")
     whole = ((3 * last <= size) | ~framed) & cds.isNotNull() & alt.isNotNull()
     csqn = (
-        F.when(~framed, F.when(silent, "Synonymous").when(inserted & (F.substr("__is", at, F.lit(1)) == "*"), "Nonsense").otherwise("Frameshift"))
+        F.when(~framed, F.when(silent, "Synonymous").when(inserted & (F.col("__put") == "*"), "Nonsense").otherwise("Frameshift"))
         .when(old == new, "Synonymous")
         .when(sub == "", "InFrameDeletion")
         .when(ref == "", "InFrameInsertion")
@@ -115,8 +119,9 @@ def protein_change(edits: DataFrame, seqmax: int = 10) -> DataFrame:
         .otherwise(swapped)
     )
     protein = F.when(framed, sequence.translate(F.col("__new_cds"))).otherwise(sequence.translate(F.concat(F.col("__new_cds"), tail)))
-    x = annotate.once(x, csqn=F.when(whole, csqn), change=F.when(whole, change), variant_protein=protein)
-    return x.drop("__one", "__last", "__new_cds", "__p", "__old", "__new", "__framed", "__was", "__is", "__at", "__stop", "__t", "__ref", "__alt", "__beg", "__end", "__roll")
+    # the protein stays outside of the generator, so that who doesn't ask for it doesn't make it
+    x = annotate.once(x, csqn=F.when(whole, csqn), change=F.when(whole, change)).withColumn("variant_protein", protein)
+    return x.drop("__one", "__last", "__new_cds", "__p", "__old", "__new", "__framed", "__was", "__is", "__at", "__stop", "__lost", "__put", "__t", "__ref", "__alt", "__beg", "__end", "__roll")
 
 
 def span_site(beg: Column, end: Column, exons: Column, strand: Column, cds_beg: Column, cds_end: Column) -> Column:

@@ -1,6 +1,7 @@
 """Protein changes against a step-by-step version, and texts worked out by hand."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,20 @@ def test_long_trim(spark):
     from pyspark.sql import functions as F
 
     assert tuple(spark.range(1).select(sequence.trim(F.lit(a), F.lit(b)).alias("x")).first()["x"]) == ("G", "TT", 100)
+
+
+def test_long_proteins_cost_their_length(spark):
+    """A frame that stays open over 400,000 bases: the codons are cut in one pass, not by a walk from the beginning each."""
+    n = 400_000 // 3
+    d = spark.range(1).select(F.lit("ATGGCAGCC").alias("cds"), F.repeat(F.lit("GCA"), F.lit(n)).alias("tail"), F.lit(5).alias("cbeg"), F.lit(4).alias("cend"), F.lit("C").alias("alt"))
+    start = time.time()
+    r = coding.protein_change(d).select("csqn", "change", F.length("variant_protein").alias("n")).first()
+    assert (r.csqn, r.change, r.n) == ("Frameshift", "A3Sfs*?", 3 + n)
+    assert time.time() - start < 20
+
+
+def test_first_change(spark):
+    """Codons that read alike are passed over, near and far; one protein that begins with the other gives null."""
+    rows = [("GCAGCAAAA", "GCTGCAAAC", 3), ("GCA" * 300 + "AAA", "GCT" * 300 + "AAC", 301), ("GCA" * 300, "GCT" * 299, None), ("", "GCA", None), ("GCAG", "GCAT", None), (None, "GCA", None)]
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, a string, b string").select("i", sequence.first_change(F.col("a"), F.col("b")).alias("d"), sequence.first_stop(F.col("a")).alias("s")).orderBy("i").collect()
+    assert [r.d for r in got] == [r[2] for r in rows] and [r.s for r in got] == [0, 0, 0, 0, 0, None]
