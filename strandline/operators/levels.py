@@ -131,6 +131,24 @@ def codon_known(codons: DataFrame, known: DataFrame) -> DataFrame:
     return codons.select("tid", "index", "codon").join(ids, ["tid", "index"], "left")
 
 
+def shared_codons(transcripts: DataFrame) -> DataFrame:
+    """tid1, tid2, codon1, codon2, gpos: whole codons of two transcripts that share a base under different numbers, with the first such base.
+
+    Transcripts that overlap are paired once; their bases in common follow from
+    the segments of both by arithmetic.  The pairs are dealt out before their
+    bases are listed, so that these are grouped where they are.
+    """
+    n = int(transcripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = transcripts.where("length(cds) > 2")
+    side = lambda k: t.select("contig_id", *(F.col(c).alias(c + k) for c in ("tid", "beg", "tend", "strand", "segs")), (F.length("cds") if k == "1" else coords.total_length(F.col("segs"), "gb", "ge")).alias("size" + k))
+    pairs = intervals.range_join(side("1"), side("2"), "contig_id", ("beg1", "tend1"), ("beg2", "tend2")).where("tid1 <> tid2").drop("contig_id", "beg1", "tend1", "beg2", "tend2")
+    x = pairs.repartition(n, "tid1", "tid2").withColumn("s1", F.explode("segs1")).drop("segs1").withColumn("s2", F.explode("segs2")).drop("segs2").where("s1.gb <= s2.ge and s2.gb <= s1.ge")
+    x = x.withColumn("gpos", F.explode(F.sequence(F.greatest("s1.gb", "s2.gb"), F.least("s1.ge", "s2.ge"))))
+    codon = lambda k: F.floor((F.col(f"s{k}.cprev") + F.when(F.col(f"strand{k}") == "+", F.col("gpos") - F.col(f"s{k}.gb")).otherwise(F.col(f"s{k}.ge") - F.col("gpos")) + 3) / 3).cast("bigint")
+    x = x.select("tid1", "tid2", codon("1").alias("codon1"), codon("2").alias("codon2"), "gpos", "size1", "size2").where("codon1 <> codon2 and 3 * codon1 <= size1 and 3 * codon2 <= size2")
+    return x.groupBy("tid1", "tid2", "codon1", "codon2").agg(F.min("gpos").alias("gpos"))
+
+
 def summary(transcripts: DataFrame, before: int = 1000, after: int = 0) -> DataFrame:
     """name, promoter (beg, end), n_exons, the coding bounds, first and last amino acid and length of the protein of each transcript."""
     plus = F.col("strand") == "+"

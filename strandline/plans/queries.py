@@ -383,12 +383,7 @@ JOIN LATERAL (SELECT s2.tid AS tid, s2.cprev + CASE s2.strand WHEN '+' THEN a.g
 JOIN cds ON cds.tid = b.tid WHERE (b.cpos + 2) // 3 <> a.k AND ((b.cpos + 2) // 3) * 3 <= length(cds.cds) GROUP BY 1, 2, 3, 4""")
 def codonsearch(g: Genome) -> DataFrame:
     """Codons of other transcripts that share a base with a codon of each transcript, under another number."""
-    t = g.transcripts
-    ask = t.where("length(cds) > 2").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.length("cds") / 3)))).withColumn("o", F.explode(F.array(*(F.lit(i) for i in range(3)))))
-    ask = ask.select(F.col("tid").alias("tid1"), "contig_id", F.col("k").alias("codon1"), coords.genomic(3 * F.col("k") - 2 + F.col("o"), F.col("segs"), F.col("strand")).alias("gpos")).where("gpos is not null")
-    hit = intervals.range_join(ask, t, "contig_id", ("gpos", "gpos"), ("beg", "tend")).where("tid <> tid1").withColumn("c", coords.cdna(F.col("gpos"), F.col("segs"), F.col("strand"))).where("c.offset = 0")
-    hit = hit.withColumn("codon2", F.floor((F.col("c.pos") + 2) / 3).cast("bigint")).where((F.col("codon2") != F.col("codon1")) & (F.col("codon2") * 3 <= coords.total_length(F.col("segs"), "gb", "ge")))
-    return hit.groupBy("tid1", F.col("tid").alias("tid2"), "codon1", "codon2").agg(F.min("gpos").alias("gpos"))
+    return levels.shared_codons(g.transcripts)
 
 
 @query(f"SELECT s.vid, count(t.tid)::BIGINT AS n, CASE WHEN count(t.tid) <= 5 THEN string_agg(t.tid || '', ',' ORDER BY t.tid) END AS names FROM ({SPAN}) s JOIN tx t ON t.contig_id = s.contig_id AND t.beg >= s.pos AND t.tend <= s.till GROUP BY s.vid")
