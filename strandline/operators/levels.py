@@ -245,7 +245,9 @@ def frameshift_candidates(pairs: DataFrame, max_deletion: int = 4, max_insertion
     come first, deletions before insertions, and the `most` first of a pair are
     listed, with the number of the others.  Names must be those of the transcript.
     """
-    x = protein_changes(pairs).where("kind = 'FS'").select("qid", "tid", "cds", "tail", F.col("p").alias("want"))
+    # pairs are few bytes and much work, so they are dealt out by number; what follows groups by the same keys
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = protein_changes(pairs.repartition(n, "qid", "tid")).where("kind = 'FS'").select("qid", "tid", "cds", "tail", F.col("p").alias("want"))
     lengths = lambda longest: tuple(n for n in range(1, longest + 1) if n % 3)
     keep = ["qid", "tid", "cds", "tail", "want", "cbeg", "cend", "alt", "n"]
     tried = _shifted_deletions(x, lengths(max_deletion), reach).select(*keep).unionByName(_shifted_insertions(x, lengths(max_insertion), reach).select(*keep))
