@@ -26,6 +26,15 @@ def range_join(left: DataFrame, right: DataFrame, contig: str, left_span: tuple[
     return a.join(b, [contig, "__bin"]).where(hit & own).drop("__bin")
 
 
+def outside(sites: DataFrame, features: DataFrame, contig: str, pos: str, span: tuple[str, str], width: int = BIN) -> DataFrame:
+    """sites that lie in no feature; a site has one bin, so an anti-join by bins tells, and sites needn't meet again by name."""
+    beg, end = span
+    a = sites.withColumn("__bin", F.floor(F.col(pos) / width)).alias("a")
+    b = features.select(contig, beg, end, F.explode(F.sequence(F.floor(F.col(beg) / width), F.floor(F.col(end) / width))).alias("__bin")).alias("b")
+    same = (F.col(f"a.{contig}") == F.col(f"b.{contig}")) & (F.col("a.__bin") == F.col("b.__bin"))
+    return a.join(b, same & F.col(f"a.{pos}").between(F.col(f"b.{beg}"), F.col(f"b.{end}")), "left_anti").select(*(F.col(f"a.{c}") for c in sites.columns))
+
+
 def stored_bins(features: DataFrame, contig: str, span: tuple[str, str], table: str, width: int = BIN, flank: int = 0, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """features listed in their bins, stored as a table bucketed by contig and bin, and read again: an index for range_join, whose side of the join needs no shuffle.
 

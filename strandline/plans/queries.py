@@ -135,8 +135,8 @@ def nearest_downstream(g: Genome) -> DataFrame:
 @query(f"""SELECT s.vid, 'intergenic_between_' || coalesce('T' || u.near_tid || '(' || u.near_dist || '_bp_upstream)', '5''-telomere') || '_and_' || coalesce('T' || d.near_tid || '(' || d.near_dist || '_bp_downstream)', '3''-telomere') AS region
 FROM snv s JOIN ({_near("tend", "<", "max")}) u USING (vid) JOIN ({_near("beg", ">", "min")}) d USING (vid) WHERE NOT EXISTS (SELECT 1 FROM tx t WHERE t.contig_id = s.contig_id AND s.pos BETWEEN t.beg AND t.tend)""")
 def intergenic_desc(g: Genome) -> DataFrame:
-    v, t = g.variants, g.transcripts
-    outside = v.join(annotate.on_transcripts(v, t).select("vid").distinct(), "vid", "left_anti")
+    v, t = g.variants.select("vid", "contig_id", "pos"), g.transcripts.select("tid", "contig_id", "beg", "tend")
+    outside = intervals.outside(v, t, "contig_id", "pos", ("beg", "tend"))
     args = ("contig_id", "pos", "beg", "tend", "tid")
     up = intervals.nearest(outside, t, *args, True, width=200).withColumnsRenamed({"near_name": "u", "near_dist": "ud"})
     both = intervals.nearest(up, t, *args, False, width=200)
@@ -307,7 +307,7 @@ def strict_version(g: Genome) -> DataFrame:
 
 def _deletions(g: Genome) -> DataFrame:
     """A deletion of one to six bases at each variant."""
-    return g.variants.withColumn("till", F.col("pos") + F.col("qty") % 6).where("till < len")
+    return g.variants.withColumn("till", F.col("pos") + F.col("qty") % 6).where("till < len").select("vid", "contig_id", "pos", "till")
 
 
 _DELETIONS = "(SELECT s.*, seq, pos + qty % 6 AS till FROM snv s JOIN contig USING (contig_id) WHERE pos + qty % 6 < length(seq))"
@@ -335,7 +335,7 @@ def del_left_align(g: Genome) -> DataFrame:
    SELECT s.*, seq, 1 + qty % 3 AS n, substr(seq, pos, CAST(1 + qty % 3 AS INT)) AS ins FROM snv s JOIN contig USING (contig_id) WHERE pos + 4 <= length(seq))))""")
 def ins_dup_detect(g: Genome) -> DataFrame:
     """An insertion, shifted right as far as it goes, that repeats the bases before it is a duplication."""
-    v = g.around(three=(0, 3)).where("pos + 4 <= len").withColumn("ins", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int"))).drop("three")
+    v = g.around(three=(0, 3)).where("pos + 4 <= len").select("vid", "contig_id", "pos", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int")).alias("ins"))
     x = annotate.align_insertions(v, g.chunks)
     x = x.select("vid", "contig_id", (F.col("pos") + F.col("right")).alias("pos"), annotate.turned(F.col("ins"), F.col("right")).alias("ins"))
     x = genome.bases_at(x, g.chunks, before=(-2, 3))
