@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import coding, haplotypes, intervals, levels, records, regions
+from ..operators import coding, genome, haplotypes, intervals, levels, records, regions
 from .fixture import Genome
 from .queries import query
 
@@ -109,10 +109,9 @@ _HAPLOTYPE = "substr(b, 1, 3) || translate(substr(b, 4, 1), 'AGTC', 'GTCA') || s
 def haplotype_rebuilt(g: Genome) -> DataFrame:
     """A haplotype at every variant, taken apart by alignment and put together again from its edits."""
     alt = F.expr(_HAPLOTYPE.replace("repeat('T', qty % 3)", "repeat('T', int(qty % 3))").replace("substr(b, 11 + qty % 4)", "substr(b, int(11 + qty % 4))"))
-    v = g.around(b=(0, 24)).withColumn("ref", F.col("b")).select("vid", "contig_id", "pos", "ref", alt.alias("alt"))
-    edits = haplotypes.decomposed(v).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("pos", F.length("ref").alias("gone"), "alt"))).alias("edits"))
-    x = v.select("vid", "pos", "ref").join(edits, "vid", "left")
-    return x.select("vid", haplotypes.rebuilt(F.col("ref"), F.col("pos"), F.coalesce("edits", F.array().cast("array<struct<pos:bigint,gone:int,alt:string>>"))).alias("alt"))
+    v = genome.bases_at(g.places, g.chunks, b=(0, 24)).withColumn("ref", F.col("b")).select("vid", "pos", "ref", alt.alias("alt"))
+    edits = F.transform("edits", lambda e: F.struct((F.col("pos") + e["at"]).alias("pos"), F.length(e["ref"]).alias("gone"), e["alt"].alias("alt")))
+    return haplotypes.with_edits(v).select("vid", haplotypes.rebuilt(F.col("ref"), F.col("pos"), edits).alias("alt"))
 
 
 def _policy(name: str, later: str) -> str:
