@@ -72,7 +72,7 @@ def tlen_cdslen(g: Genome) -> DataFrame:
 
 @query("SELECT contig_id, tid, tlen FROM (SELECT contig_id, tid, nex * elen AS tlen, row_number() OVER (PARTITION BY contig_id, tid // 4 ORDER BY nex * elen DESC, tid) AS r FROM tx) WHERE r = 1")
 def longest_tx_per_gene(g: Genome) -> DataFrame:
-    t = genes.gene_table(g.named)
+    t = genes.gene_table(g.named_layout)
     one = F.filter("transcripts", lambda x: x["tid"] == F.col("longest"))[0]
     return t.select("contig_id", F.col("longest").alias("tid"), one["length"].alias("tlen"))
 

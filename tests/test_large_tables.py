@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from strandline.operators import haplotypes
+from strandline.plans import queries
+from strandline.plans.fixture import Genome
 
 
 def _plan(d):
@@ -26,3 +28,11 @@ def test_edits_stay_with_their_rows(spark):
     edit = F.transform("edits", lambda e: F.struct((F.col("pos") + e["at"]).alias("pos"), F.length(e["ref"]).alias("gone"), e["alt"].alias("alt")))
     assert told.where(haplotypes.rebuilt(F.col("ref"), F.col("pos"), edit) != F.col("alt")).isEmpty()
     assert {r.vid for r in out.collect()} == {i for i, p in enumerate([*pairs, ("", "AC"), ("AC", "")]) if p[0] != p[1]}
+
+
+def test_lengths_are_enough(spark):
+    """What needs no bases derives no sequences."""
+    g = Genome(spark, "/root/testdata/sf0.001")
+    queries.longest_tx_per_gene(g)
+    assert not {"contigs", "chunks", "transcripts"} & set(vars(g))
+    assert g.sizes.exceptAll(g.contigs.select("contig_id", F.length("seq").cast("bigint").alias("len"))).isEmpty()
