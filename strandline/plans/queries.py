@@ -109,7 +109,8 @@ def flank_overlap(g: Genome) -> DataFrame:
 
 @query("SELECT s.vid, t.tid FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND s.pos BETWEEN t.cds_beg AND t.cds_end")
 def cds_overlap(g: Genome) -> DataFrame:
-    return intervals.range_join(g.variants, g.transcripts, "contig_id", ("pos", "pos"), ("cds_beg", "cds_end")).select("vid", "tid")
+    v, t = g.places.select("vid", "contig_id", "pos"), g.layout.select("tid", "contig_id", "cds_beg", "cds_end")
+    return intervals.range_join(v, t, "contig_id", ("pos", "pos"), ("cds_beg", "cds_end")).select("vid", "tid")
 
 
 def _near(edge: str, test: str, best: str) -> str:

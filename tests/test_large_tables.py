@@ -33,6 +33,6 @@ def test_edits_stay_with_their_rows(spark):
 def test_lengths_are_enough(spark):
     """What needs no bases derives no sequences."""
     g = Genome(spark, "/root/testdata/sf0.001")
-    queries.longest_tx_per_gene(g)
-    assert not {"contigs", "chunks", "transcripts"} & set(vars(g))
+    queries.longest_tx_per_gene(g), queries.cds_overlap(g)
+    assert not {"contigs", "chunks", "transcripts", "variants"} & set(vars(g))
     assert g.sizes.exceptAll(g.contigs.select("contig_id", F.length("seq").cast("bigint").alias("len"))).isEmpty()
