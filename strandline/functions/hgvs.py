@@ -18,6 +18,11 @@ def _groups(text: Column, form: str, n: int) -> list[Column]:
     return [F.regexp_extract(text, form, i) for i in range(1, n + 1)]
 
 
+def _or_nulls(got: Column, fields: dict[str, str]) -> Column:
+    """A null struct as one of nulls.  It is mentioned once: generators and lambdas would read the text anew for each of its fields."""
+    return F.coalesce(got, F.struct(*(F.lit(None).cast(t).alias(f) for f, t in fields.items())))
+
+
 def _nucleotides(text: Column, level: str, place: str) -> Column:
     start = rf"^(?:{level}\.)?({place})(?:_({place}))?\.?"
     forms = {
@@ -46,9 +51,7 @@ def _nucleotides(text: Column, level: str, place: str) -> Column:
             .when(fits["reg"], of("REG", end, F.lit(""), F.lit("")))
         )
 
-    # a null struct as one of nulls
-    got = bind(head, read)
-    return F.struct(*(got[f].alias(f) for f in ("kind", "beg", "end", "ref", "alt")))
+    return _or_nulls(bind(head, read), {"kind": "string", "beg": "string", "end": "string", "ref": "string", "alt": "string"})
 
 
 def parse_genomic(text: Column) -> Column:
@@ -130,8 +133,7 @@ def parse_protein(text: Column) -> Column:
             .when(fits["alt"], of("REG", F.upper(alt), none))
         )
 
-    got = bind(head, read)
-    return F.struct(*(got[f].alias(f) for f in ("kind", "beg", "end", "beg_aa", "end_aa", "ref", "alt", "stop")))
+    return _or_nulls(bind(head, read), {"kind": "string", "beg": "int", "end": "int", "beg_aa": "string", "end_aa": "string", "ref": "string", "alt": "string", "stop": "int"})
 
 
 def split_identifier(text: Column) -> Column:
