@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.sequence import bind
+from .tables import kept
+
 #: Width of a bin in bases.
 BIN = 100_000
+#: Bins of the lists that contained looks up, and how many features a list holds at most.
+NEAR, CROWD = 32_768, 1000
 
 
 def range_join(left: DataFrame, right: DataFrame, contig: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = BIN, flank: int = 0) -> DataFrame:
@@ -102,9 +107,39 @@ def ranked(features: DataFrame, contig: str, edge: str, order: str, width: int =
     return x.withColumn("__own", own).join(before, [contig, "__bin"]).select(*features.columns, (F.col("__before") + F.col("__own")).cast("long").alias("rank"))
 
 
-def contained(spans: DataFrame, features: DataFrame, contig: str, span: tuple[str, str], feature: tuple[str, str], name: str, most: int = 5, width: int = BIN) -> DataFrame:
+def contained(spans: DataFrame, features: DataFrame, contig: str, span: tuple[str, str], feature: tuple[str, str], name: str, most: int = 5, width: int = BIN, near: int = NEAR, crowd: int = CROWD) -> DataFrame:
     """spans with n_inside, how many features lie wholly in each, and inside, their names in order, if there are no more than `most` (else null).
 
+    A span within one bin of `near` bases meets the list of features that end in
+    that bin, and is shuffled for this once.  Spans over several bins, and those in
+    bins where more than `crowd` features end, are told by the order of ends.
+    """
+    (beg, end), (fbeg, fend) = span, feature
+    bin_of = lambda c: F.floor(F.col(c) / near)
+    f = features.select(contig, F.col(fbeg).alias("__fb"), F.col(fend).alias("__fe"), F.col(name).alias("__name")).withColumn("__bin", bin_of("__fe"))
+    x = spans.where(F.col(contig).isNotNull()).withColumn("__bin", F.when((F.col(beg) <= F.col(end)) & (bin_of(beg) == bin_of(end)), bin_of(end)))
+    far = x.where(F.col("__bin").isNull())
+    crowded = kept(f.groupBy(contig, "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > crowd).drop("__n"))
+    if not crowded.isEmpty():
+        far = far.union(x.join(crowded, [contig, "__bin"], "left_semi").select(*x.columns))
+        x, f = x.join(crowded, [contig, "__bin"], "left_anti"), f.join(crowded, [contig, "__bin"], "left_anti")
+    lists = f.groupBy(contig, "__bin").agg(F.collect_list(F.struct("__fb", "__name", "__fe")).alias("__list"))
+    hit = F.filter("__list", lambda e: (e["__fb"] >= F.col(beg)) & e["__fe"].between(F.col(beg), F.col(end)))
+
+    def told(y: Column) -> Column:
+        n = F.size(y["hit"]).cast("long")
+        names = F.transform(F.sort_array(y["hit"]), lambda e: e["__name"])
+        return F.struct(n.alias("n_inside"), F.when((n == 0) | (n <= most), names).alias("inside"))
+
+    hit = F.coalesce(hit, F.array().cast(lists.schema["__list"].dataType))
+    met = x.where(F.col("__bin").isNotNull()).join(lists, [contig, "__bin"], "left").select(*spans.columns, F.inline(F.array(bind({"hit": hit}, told))))
+    far = kept(far.drop("__bin"))
+    return met if far.isEmpty() else met.union(_by_ends(far, features, contig, span, feature, name, most, width))
+
+
+def _by_ends(spans: DataFrame, features: DataFrame, contig: str, span: tuple[str, str], feature: tuple[str, str], name: str, most: int, width: int) -> DataFrame:
+    """contained for spans of any length.
+
     The count is that of features that end by the span's end, less those that end
     before it begins, less those that end in it but begin before; only these
     last ones, which lie over the span's first base, are met one by one.  Names

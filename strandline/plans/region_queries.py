@@ -56,8 +56,8 @@ _SPANS = "SELECT vid, contig_id, pos, least(pos + qty * qty * 10, length(seq)) A
 _GENES = "SELECT contig_id, 'G' || tid // 4 AS gene, beg AS gb, tend AS ge FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, tid // 4 ORDER BY nex * elen DESC, tid) AS r FROM tx) WHERE r = 1"
 
 
-def _spans(g: Genome) -> DataFrame:
-    return g.variants.select("vid", "contig_id", "pos", F.least(F.col("pos") + F.col("qty") * F.col("qty") * 10, F.col("len")).alias("till"))
+def _spans(places: DataFrame) -> DataFrame:
+    return places.select("vid", "contig_id", "pos", F.least(F.col("pos") + F.col("qty") * F.col("qty") * 10, F.col("len")).alias("till"))
 
 
 _END = "SELECT s.vid, t.tid, 'T' || t.tid || '.1 (protein_coding)' AS full_name, 'G' || t.tid // 4 AS gene, {text} AS text FROM s JOIN way USING (vid) JOIN tx t ON t.contig_id = s.contig_id AND s.{place} BETWEEN t.beg AND t.tend WHERE way = 'wide'"
@@ -88,7 +88,7 @@ UNION ALL SELECT vid, NULL, 'inside_[' || {_BETWEEN} || ']' FROM n JOIN way USIN
 @query(_DRIVER)
 def span_driver(g: Genome) -> DataFrame:
     """Spans of all lengths by one transcript each, by both ends, or by their neighbours."""
-    told = regions.told(_spans(g), g.named, g.sizes, width=2000)
+    told = regions.told(_spans(g.variants), g.named, g.sizes, width=2000)
     x = records.placed(told.pairs, F.col("pos"), F.col("till"))
     text = records.between_text(x, F.get("__sites", F.lit(0)), F.get("__sites", F.lit(1)), F.get("__c", F.lit(0)), F.get("__c", F.lit(1)))
     near = x.select("vid", records.transcript_text().alias("transcript"), text.alias("region"))
@@ -98,7 +98,7 @@ def span_driver(g: Genome) -> DataFrame:
 @query(f", s AS ({_SPANS}), gene AS ({_GENES}) SELECT vid, count(gene)::BIGINT AS n_inside, CASE WHEN count(gene) <= 5 THEN coalesce(string_agg(gene, ',' ORDER BY gb, gene), '') END AS inside FROM s LEFT JOIN gene g ON g.contig_id = s.contig_id AND gb >= pos AND ge <= till GROUP BY vid")
 def genes_inside(g: Genome) -> DataFrame:
     """How many genes lie in each span, and their names, by the order of ends."""
-    found = intervals.contained(_spans(g), regions.gene_spans(g.named), "contig_id", ("pos", "till"), ("gene_beg", "gene_end"), "gene_name", width=2000)
+    found = intervals.contained(_spans(g.places), regions.gene_spans(g.named_layout), "contig_id", ("pos", "till"), ("gene_beg", "gene_end"), "gene_name", width=2000)
     return found.select("vid", "n_inside", F.array_join("inside", ",").alias("inside"))
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import haplotypes
+from strandline.operators import haplotypes, intervals
 from strandline.plans import queries
 from strandline.plans.fixture import Genome
 
@@ -36,3 +36,21 @@ def test_lengths_are_enough(spark):
     queries.longest_tx_per_gene(g), queries.cds_overlap(g)
     assert not {"contigs", "chunks", "transcripts", "variants"} & set(vars(g))
     assert g.sizes.exceptAll(g.contigs.select("contig_id", F.length("seq").cast("bigint").alias("len"))).isEmpty()
+
+
+def test_contained_meets_lists(spark):
+    """Spans in one bin are shuffled once, with no windows; longer ones and crowded bins give the same."""
+    rng = random.Random(7)
+    f = [(f"g{i}", c, b, b + rng.randrange(60)) for i, (c, b) in enumerate((rng.choice("ab"), rng.choice([rng.randrange(400), rng.randrange(40)])) for _ in range(80))]
+    spans = [(i, rng.choice("abc"), b, b + rng.choice([0, 5, 40, 300])) for i, b in enumerate(rng.randrange(420) for _ in range(150))]
+    features = spark.createDataFrame(f, "name string, contig string, fb long, fe long")
+    x = spark.createDataFrame(spans, "vid int, contig string, beg long, end long")
+    args = (x, features, "contig", ("beg", "end"), ("fb", "fe"), "name")
+    near = intervals.contained(*args)
+    assert "Window" not in _plan(near) and _plan(near).count("Exchange hashpartitioning") <= 3
+    for got in (near, intervals.contained(*args, width=90, near=64, crowd=6)):
+        assert got.columns == ["vid", "contig", "beg", "end", "n_inside", "inside"]
+        for r in got.collect():
+            names = [n for _, n in sorted((b, n) for n, c, b, e in f if c == r.contig and b >= r.beg and e <= r.end)]
+            assert (r.n_inside, r.inside) == (len(names), names if len(names) <= 5 else None)
+        assert got.count() == len(spans)
