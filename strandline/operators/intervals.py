@@ -31,6 +31,47 @@ def range_join(left: DataFrame, right: DataFrame, contig: str, left_span: tuple[
     return a.join(b, [contig, "__bin"]).where(hit & own).drop("__bin")
 
 
+def in_bins(spans: DataFrame, features: DataFrame, contig: str, span: tuple[str, str], feature: tuple[str, str], near: int = NEAR, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked, lists, far): spans within one bin of `near` bases, with __bin; for each bin __list, the features that overlap it, as structs; and all other spans.
+
+    asked meet lists in one join by contig and __bin, for which they are shuffled
+    once, whatever is to be told of the features.  far are spans over several bins,
+    those in bins that more than `crowd` features overlap, and those without a
+    place, so that no list is longer.
+    """
+    (beg, end), (fbeg, fend) = span, feature
+    bin_of = lambda c: F.floor(F.col(c) / near)
+    f = features.withColumn("__bin", F.explode(F.sequence(bin_of(fbeg), bin_of(fend))))
+    x = spans.withColumn("__bin", F.when(F.col(contig).isNotNull() & (F.col(beg) <= F.col(end)) & (bin_of(beg) == bin_of(end)), bin_of(end)))
+    asked, far = x.where(F.col("__bin").isNotNull()), x.where(F.col("__bin").isNull()).drop("__bin")
+    crowded = kept(f.groupBy(contig, "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > crowd).drop("__n"))
+    if not crowded.isEmpty():
+        far = far.union(asked.join(crowded, [contig, "__bin"], "left_semi").select(*spans.columns))
+        asked, f = asked.join(crowded, [contig, "__bin"], "left_anti").select(*x.columns), f.join(crowded, [contig, "__bin"], "left_anti")
+    return asked, f.groupBy(contig, "__bin").agg(F.collect_list(F.struct(*(F.col(c) for c in features.columns if c != contig))).alias("__list")), far
+
+
+def pairs_by_lists(left: DataFrame, right: DataFrame, contig: str, left_span: tuple[str, str], right_span: tuple[str, str], near: int = NEAR, crowd: int = CROWD) -> DataFrame:
+    """The pairs of range_join, for features that are few in a bin of `near` bases: these are listed there, so that wide bins do, and a span is in few of them.
+
+    Bins that more than `crowd` features overlap are joined row by row.
+    """
+    (lb, le), (rb, re) = left_span, right_span
+    bin_of = lambda c: F.floor(c / near)
+    listed = lambda rows, b, e: rows.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(b)), bin_of(F.col(e)))))
+    x, f = listed(left, lb, le), listed(right, rb, re)
+    fits = lambda b, e: (b <= F.col(le)) & (e >= F.col(lb)) & (F.col("__bin") == F.greatest(bin_of(F.col(lb)), bin_of(b)))
+    crowded = kept(f.groupBy(contig, "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > crowd).drop("__n"))
+    few, many = f, None
+    if not crowded.isEmpty():
+        few = f.join(crowded, [contig, "__bin"], "left_anti")
+        many = x.join(f.join(crowded, [contig, "__bin"], "left_semi"), [contig, "__bin"]).where(fits(F.col(rb), F.col(re)))
+    own = [c for c in right.columns if c != contig]
+    lists = few.groupBy(contig, "__bin").agg(F.collect_list(F.struct(*own)).alias("__list"))
+    met = x.join(lists, [contig, "__bin"]).select(*left.columns, F.inline(F.filter("__list", lambda t: fits(t[rb], t[re]))))
+    return met if many is None else met.union(many.select(*met.columns))
+
+
 def outside(sites: DataFrame, features: DataFrame, contig: str, pos: str, span: tuple[str, str], width: int = BIN) -> DataFrame:
     """sites that lie in no feature; a site has one bin, so an anti-join by bins tells, and sites needn't meet again by name."""
     beg, end = span

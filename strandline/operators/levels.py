@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from ..functions import coords, hgvs, sequence
 from . import annotate, coding, intervals
 from .lookup import cascade
+from .tables import kept
 
 
 def named(queries: DataFrame, transcripts: DataFrame, idmap: DataFrame, strict_version: bool = False, coding_only: bool = False, only: str | None = None) -> DataFrame:
@@ -159,15 +160,27 @@ def summary(transcripts: DataFrame, before: int = 1000, after: int = 0) -> DataF
     )
 
 
-def long_regions(spans: DataFrame, transcripts: DataFrame) -> DataFrame:
+def long_regions(spans: DataFrame, transcripts: DataFrame, near: int = intervals.NEAR, crowd: int = intervals.CROWD) -> DataFrame:
     """spans (vid, contig_id, pos, till) with every pair of a transcript at the beginning (beg_tid) and one at the end (end_tid), null where none is, and n_spanned, the transcripts between.
 
-    The two ends are looked up on their own, and what lies between is counted by
-    the order of ends (intervals.contained), so that a long region costs no more
-    than its ends.
+    A span within one bin meets the transcripts of that bin, once for its ends and
+    what lies between.  For others the two ends are looked up on their own, and what
+    lies between is counted by the order of ends (intervals.contained), so that a
+    long region costs no more than its ends.
     """
     ends = spans.select("vid", "contig_id", "pos", "till")
     t = transcripts.select("tid", "contig_id", "beg", "tend")
+    asked, lists, far = intervals.in_bins(ends, t, "contig_id", ("pos", "till"), ("beg", "tend"), near, crowd)
+    over = lambda c: F.transform(F.filter("__list", lambda x: F.col(c).between(x["beg"], x["tend"])), lambda x: x["tid"])
+    between = F.size(F.filter("__list", lambda x: (x["beg"] >= F.col("pos")) & (x["tend"] <= F.col("till"))))
+    x = asked.join(lists, ["contig_id", "__bin"], "left").select("vid", over("pos").alias("b"), over("till").alias("e"), F.when(F.col("__list").isNull(), 0).otherwise(between).cast("bigint").alias("n_spanned"))
+    met = x.select("vid", F.explode_outer("b").alias("beg_tid"), "e", "n_spanned").select("vid", "beg_tid", F.explode_outer("e").alias("end_tid"), "n_spanned")
+    far = kept(far)
+    return met if far.isEmpty() else met.union(_far_regions(far, t))
+
+
+def _far_regions(ends: DataFrame, t: DataFrame) -> DataFrame:
+    """long_regions of spans of any length."""
     at = lambda c, name: annotate.on_transcripts(ends, t, c, c).select("vid", F.col("tid").alias(name))
     inside = intervals.contained(ends, t, "contig_id", ("pos", "till"), ("beg", "tend"), "tid", most=0).select("vid", F.col("n_inside").alias("n"))
     return ends.join(at("pos", "beg_tid"), "vid", "left").join(at("till", "end_tid"), "vid", "left").join(inside, "vid", "left").select("vid", "beg_tid", "end_tid", F.coalesce("n", F.lit(0)).alias("n_spanned"))
