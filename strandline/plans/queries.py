@@ -98,8 +98,9 @@ SPAN = "SELECT *, pos + qty * 20 AS till FROM snv"
 
 @query(f"SELECT s.vid, t.tid FROM ({SPAN}) s JOIN tx t ON s.contig_id = t.contig_id AND t.beg <= s.till AND t.tend >= s.pos")
 def span_tx_overlap(g: Genome) -> DataFrame:
-    spans = g.variants.withColumn("till", F.col("pos") + F.col("qty") * 20)
-    return intervals.range_join(spans, g.transcripts, "contig_id", ("pos", "till"), ("beg", "tend"), width=200).select("vid", "tid")
+    spans = g.places.select("vid", "contig_id", "pos", (F.col("pos") + F.col("qty") * 20).alias("till"))
+    t = g.layout.select("tid", "contig_id", "beg", "tend")
+    return intervals.pairs_by_lists(spans, t, "contig_id", ("pos", "till"), ("beg", "tend")).select("vid", "tid")
 
 
 @query("SELECT s.vid, t.tid FROM snv s JOIN tx t ON s.contig_id = t.contig_id AND t.beg - 100 <= s.pos AND t.tend + 100 >= s.pos")
@@ -724,7 +725,7 @@ _LONG = "SELECT *, least(pos + qty * 200, length(seq)) AS till FROM snv JOIN con
 @query(f"SELECT s.vid, a.tid AS beg_tid, b.tid AS end_tid, (SELECT count(*) FROM tx t WHERE t.contig_id = s.contig_id AND t.beg >= s.pos AND t.tend <= s.till) AS n_spanned FROM ({_LONG}) s LEFT JOIN tx a ON a.contig_id = s.contig_id AND s.pos BETWEEN a.beg AND a.tend LEFT JOIN tx b ON b.contig_id = s.contig_id AND s.till BETWEEN b.beg AND b.tend")
 def long_region_endpoints(g: Genome) -> DataFrame:
     """Regions of up to ten thousand bases by the transcripts at their two ends."""
-    return levels.long_regions(g.variants.withColumn("till", F.least(F.col("pos") + F.col("qty") * 200, F.col("len"))), g.transcripts)
+    return levels.long_regions(g.places.withColumn("till", F.least(F.col("pos") + F.col("qty") * 200, F.col("len"))), g.layout)
 
 
 _TAIL = "CASE WHEN tid % 5 = 0 THEN ';dbxref=ID:' || tid ELSE '' END || CASE WHEN tid % 3 = 0 THEN ';aliases=P' || tid ELSE '' END || ';source=S'"

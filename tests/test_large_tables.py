@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import haplotypes, intervals
+from strandline.operators import haplotypes, intervals, levels
 from strandline.plans import queries
 from strandline.plans.fixture import Genome
 
@@ -54,3 +54,22 @@ def test_contained_meets_lists(spark):
             names = [n for _, n in sorted((b, n) for n, c, b, e in f if c == r.contig and b >= r.beg and e <= r.end)]
             assert (r.n_inside, r.inside) == (len(names), names if len(names) <= 5 else None)
         assert got.count() == len(spans)
+
+
+def test_spans_meet_lists(spark):
+    """Pairs of spans and features, and regions by their ends, need no bases and are the same by lists, over bins and in crowded bins; duplicates of names count."""
+    rng = random.Random(11)
+    f = [(i, rng.choice("ab"), b, b + rng.randrange(60)) for i, b in enumerate(rng.randrange(400) for _ in range(90))]
+    spans = [(i, rng.choice("abc"), b, b + rng.choice([0, 5, 40, 300])) for i, b in enumerate(rng.randrange(420) for _ in range(120))]
+    t = spark.createDataFrame(f, "tid long, contig_id string, beg long, tend long")
+    x = spark.createDataFrame(spans, "vid long, contig_id string, pos long, till long")
+    want = sorted((v, i) for v, c, b, e in spans for i, d, fb, fe in f if c == d and fb <= e and fe >= b)
+    over = lambda c, p: [i for i, d, fb, fe in f if c == d and fb <= p <= fe] or [None]
+    ends = sorted(((v, i, j, sum(c == d and fb >= b and fe <= e for _, d, fb, fe in f)) for v, c, b, e in spans for i in over(c, b) for j in over(c, e)), key=str)
+    for at in ({}, {"near": 64, "crowd": 6}, {"near": 64}):
+        pairs = intervals.pairs_by_lists(x, t, "contig_id", ("pos", "till"), ("beg", "tend"), **at)
+        assert sorted((r.vid, r.tid) for r in pairs.collect()) == want
+        assert sorted((tuple(r) for r in levels.long_regions(x, t, **at).collect()), key=str) == ends
+    g = Genome(spark, "/root/testdata/sf0.001")
+    queries.span_tx_overlap(g), queries.long_region_endpoints(g)
+    assert not {"contigs", "chunks", "transcripts", "variants"} & set(vars(g))
