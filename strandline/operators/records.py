@@ -36,9 +36,9 @@ def block_id(beg: Column, end: Column, ref: Column, alt: Column) -> Column:
     return F.when((F.length(ref) == 1) & (F.length(alt) == 1), F.concat(beg, ref, F.lit(">"), alt)).when(F.length(ref) == 1, F.concat(beg, F.lit("delins"), alt)).otherwise(F.concat(beg, F.lit("_"), end, F.lit("delins"), alt))
 
 
-def transcript_text(t: str = "name") -> Column:
-    """NAME.VERSION (type)."""
-    return F.concat(F.col(t), F.coalesce(F.concat(F.lit("."), text(F.col("version"))), F.lit("")), F.lit(" ("), F.col("transcript_type"), F.lit(")"))
+def transcript_text(t: str = "name", of: str = "") -> Column:
+    """NAME.VERSION (type); of: where version and type are, if not among the columns."""
+    return F.concat(F.col(t), F.coalesce(F.concat(F.lit("."), text(F.col(f"{of}version"))), F.lit("")), F.lit(" ("), F.col(f"{of}transcript_type"), F.lit(")"))
 
 
 def optional(rows: DataFrame, name: str) -> Column:

@@ -342,3 +342,18 @@ def test_stored_bins_are_not_shuffled(spark, crowd, spans, tmp_path):
         for k, v in kept.items():
             spark.conf.set(k, v)
         spark.sql("DROP TABLE crowd_bins")
+
+
+def test_driver_by_lists(spark, crowd, spans):
+    """Spans within a bin meet its list once; over bins, in crowded bins, without a place or by joins alone they are told the same."""
+    rows, t = crowd
+    s = spark.createDataFrame([*spans, (900, "c9", 5, 9), (901, None, 5, 9), (902, "c1", 6000, 6000), (903, "c2", 6000, 7000)], "vid bigint, contig_id string, pos bigint, till bigint")
+    sizes = spark.createDataFrame([("c1", 5000), ("c2", 5000)], "contig_id string, len bigint")
+    point = s.where("pos = till")
+    pick = lambda told: [sorted(map(str, x.collect())) for x in (told.pairs.select("vid", "tid", "name", "segs", "outside_beg", "outside_end", "spanning"), told.wide, told.between)]
+    want, places = pick(regions.told_by_joins(s, t, sizes)), pick(regions.told_by_joins(point, t, sizes, ranges=False))
+    assert pick(regions.told(s, t, sizes, near=1000, crowd=12)) == want
+    assert pick(regions.told(point, t, sizes, ranges=False)) == places
+    near, far = regions.told_by_lists(s, t, sizes)
+    assert sorted(r.vid for r in far.collect()) == [901]
+    assert "vid" not in str([line for line in near.pairs._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in line])
