@@ -44,8 +44,8 @@ _BETWEEN = "'intergenic_between_' || before || '_and_' || after"
 @query(f", hit AS (SELECT vid, tid, 'inside_[' || {_text('pos')} || ']' AS region FROM snv JOIN tx USING (contig_id) WHERE pos BETWEEN beg AND tend), {_neighbours('n', 'SELECT vid, contig_id, pos AS low, pos AS high FROM snv WHERE vid NOT IN (SELECT vid FROM hit)')} SELECT vid, tid, region FROM hit UNION ALL SELECT vid, NULL, 'inside_[' || {_BETWEEN} || ']' FROM n")
 def genomic_region(g: Genome) -> DataFrame:
     """Every variant by all transcripts over it, or by its neighbours."""
-    spans = g.variants.select("vid", "contig_id", "pos", F.col("pos").alias("till"))
-    told = regions.told(spans, g.named, g.sizes, ranges=False)
+    spans = g.places.select("vid", "contig_id", "pos", F.col("pos").alias("till"))
+    told = regions.told(spans, g.named_layout, g.sizes, ranges=False)
     x = records.placed(told.pairs, F.col("pos"), F.col("till"))
     site, c = F.get("__sites", F.lit(0)), F.get("__c", F.lit(0))
     genic = F.concat(F.lit("inside_["), records.place_text(site, F.coalesce(c["offset"] == 0, F.lit(False)), F.col("strand")), F.lit("]"))
@@ -88,7 +88,7 @@ UNION ALL SELECT vid, NULL, 'inside_[' || {_BETWEEN} || ']' FROM n JOIN way USIN
 @query(_DRIVER)
 def span_driver(g: Genome) -> DataFrame:
     """Spans of all lengths by one transcript each, by both ends, or by their neighbours."""
-    told = regions.told(_spans(g.variants), g.named, g.sizes, width=2000)
+    told = regions.told(_spans(g.places), g.named_layout, g.sizes, width=2000)
     x = records.placed(told.pairs, F.col("pos"), F.col("till"))
     text = records.between_text(x, F.get("__sites", F.lit(0)), F.get("__sites", F.lit(1)), F.get("__c", F.lit(0)), F.get("__c", F.lit(1)))
     near = x.select("vid", records.transcript_text().alias("transcript"), text.alias("region"))
