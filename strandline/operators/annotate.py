@@ -114,18 +114,24 @@ def align_deletions(rows: DataFrame, chunks: DataFrame, window: int = 64, most:
     return near.union(far.join(to_right, "__key").join(to_left, "__key").select(*rows.columns, F.col("right").cast("int"), F.col("left").cast("int")))
 
 
-def align_insertions(rows: DataFrame, chunks: DataFrame, window: int = 64, left: bool = False) -> DataFrame:
+def align_insertions(rows: DataFrame, chunks: DataFrame, window: int = 64, left: bool = False, before: int = 0) -> DataFrame:
     """rows (contig_id, pos, ins) with right, how far the insertion after pos shifts right, like align_deletions; left: with left, too.
 
     Where the inserted bases are also those that follow, it shifts as the deletion
-    of these would, and by their number more.
+    of these would, and by their number more.  before: with `before`, up to so many
+    bases (no more than window) before the insertion's place after the shift.  rows
+    may have __fore and __back, the bases of the window after and up to pos, and
+    are then read without meeting chunks.
     """
-    x = genome.bases_at(rows, chunks, __fore=(1, window), __back=(1 - window, window)).withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
-    before = F.reverse("__back")
-    x = x.withColumn("__left", sequence.common_prefix(F.concat(F.reverse("ins"), before), before) if left else F.lit(0))
+    x = rows if "__fore" in rows.columns else genome.bases_at(rows, chunks, __fore=(1, window), __back=(1 - window, window))
+    rows = rows.drop("__fore", "__back")
+    x = x.withColumn("__right", sequence.common_prefix(F.concat("ins", "__fore"), F.col("__fore")))
+    behind = F.reverse("__back")
+    x = x.withColumn("__left", sequence.common_prefix(F.concat(F.reverse("ins"), behind), behind) if left else F.lit(0))
     done = (F.col("__right") < window) & (F.col("__left") < window) & (F.length("ins") <= window)
-    x = kept(x.select(*rows.columns, F.col("__right").alias("right"), F.col("__left").alias("left"), done.alias("__done"), F.monotonically_increasing_id().alias("__key")))
-    near, far = x.where("__done").select(*rows.columns, "right", *(["left"] if left else [])), x.where("not __done").select(*rows.columns, "__key")
+    x = x.withColumn("before", F.right(F.concat("__back", F.left("__fore", F.col("__right"))), F.lit(before))) if before else x
+    x = kept(x.select(*rows.columns, *(["before"] if before else []), F.col("__right").alias("right"), F.col("__left").alias("left"), done.alias("__done"), F.monotonically_increasing_id().alias("__key")))
+    near, far = x.where("__done").select(*rows.columns, "right", *(["left"] if left else []), *(["before"] if before else [])), x.where("not __done").select(*rows.columns, "__key")
     if far.isEmpty():
         return near
     n = F.length("ins")
@@ -143,7 +149,10 @@ def align_insertions(rows: DataFrame, chunks: DataFrame, window: int = 64, left:
 
     far = shift(far, "__after", False, "right")
     far = shift(far, "__prior", True, "left") if left else far
-    return near.union(far.select(*rows.columns, "right", *(["left"] if left else [])))
+    far = far.select(*rows.columns, "right", *(["left"] if left else []))
+    if before:
+        far = genome.bases_at(far.withColumn("__to", F.col("pos") + F.col("right")), chunks, pos="__to", before=(1 - before, before)).drop("__to")
+    return near.union(far)
 
 
 def candidate_codons(spark: SparkSession) -> DataFrame:

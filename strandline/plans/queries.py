@@ -337,10 +337,10 @@ def del_left_align(g: Genome) -> DataFrame:
    SELECT s.*, seq, 1 + qty % 3 AS n, substr(seq, pos, CAST(1 + qty % 3 AS INT)) AS ins FROM snv s JOIN contig USING (contig_id) WHERE pos + 4 <= length(seq))))""")
 def ins_dup_detect(g: Genome) -> DataFrame:
     """An insertion, shifted right as far as it goes, that repeats the bases before it is a duplication."""
-    v = g.around(three=(0, 3)).where("pos + 4 <= len").select("vid", "contig_id", "pos", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int")).alias("ins"))
-    x = annotate.align_insertions(v, g.chunks)
-    x = x.select("vid", "contig_id", (F.col("pos") + F.col("right")).alias("pos"), annotate.turned(F.col("ins"), F.col("right")).alias("ins"))
-    x = genome.bases_at(x, g.chunks, before=(-2, 3))
+    v = genome.bases_at(g.places.where("pos + 4 <= len"), g.chunks_once, three=(0, 3), __fore=(1, 64), __back=(-63, 64))
+    v = v.select("vid", "contig_id", "pos", F.substr("three", F.lit(1), (1 + F.col("qty") % 3).cast("int")).alias("ins"), "__fore", "__back")
+    x = annotate.align_insertions(v, g.chunks_once, before=3)
+    x = x.select("vid", "contig_id", (F.col("pos") + F.col("right")).alias("pos"), annotate.turned(F.col("ins"), F.col("right")).alias("ins"), "before")
     n, s = F.length("ins"), lambda d: (F.col("pos") + d).cast("string")
     dup = F.right("before", n) == F.col("ins")
     return x.select("vid", "ins", F.when(dup, F.concat(F.when(n == 1, "").otherwise(F.concat(s(1 - n), F.lit("_"))), s(0), F.lit("dup"), "ins")).otherwise(F.concat(s(0), F.lit("_"), s(1), F.lit("ins"), "ins")).alias("id"))
