@@ -545,11 +545,12 @@ _KNOWN = "SELECT contig_id, pos - 1 AS anchor, 'rs' || vid AS id, substr(seq, CA
 LEFT JOIN ({_KNOWN}) k ON k.contig_id = v.contig_id AND k.anchor = v.pos - 1 AND substr(k.padded, 2) = v.gone GROUP BY v.vid""")
 def dbsnp_indel(g: Genome) -> DataFrame:
     """Known deletions stand at the base before, with that base in front of their own."""
-    v = g.around(near=(-1, 8)).where("pos + 10 <= len").withColumn("n", (F.col("qty") % 6).cast("int"))
+    v = genome.bases_at(g.places.where("pos + 10 <= len"), g.chunks_once, near=(-1, 8)).withColumn("n", (F.col("qty") % 6).cast("int"))
     known = v.where("qty % 3 = 0 and pos > 1").select("contig_id", (F.col("pos") - 1).alias("anchor"), F.concat(F.lit("rs"), "vid").alias("id"), F.substr("near", F.lit(1), F.col("n") + 2).alias("padded"))
     known = known.groupBy("contig_id", "anchor", F.substr("padded", F.lit(2)).alias("gone")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
-    asked = v.select("vid", "contig_id", (F.col("pos") - 1).alias("anchor"), F.substr("near", F.when(F.col("pos") > 1, 2).otherwise(1), F.col("n") + 1).alias("gone")).distinct()
-    return asked.join(known, ["contig_id", "anchor", "gone"], "left").select("vid", "ids")
+    asked = v.select("vid", "contig_id", (F.col("pos") - 1).alias("anchor"), F.substr("near", F.when(F.col("pos") > 1, 2).otherwise(1), F.col("n") + 1).alias("gone"))
+    # rows of one vid meet where its key is, and are one there
+    return asked.join(known, ["contig_id", "anchor", "gone"], "left").dropDuplicates(["contig_id", "anchor", "gone", "vid"]).select("vid", "ids")
 
 
 @query(_CASCADE.format(strict="") + " AND way = 3", bare=True)
