@@ -441,12 +441,17 @@ _EDITS = {
 }
 
 
+def _near_genes(g: Genome) -> DataFrame:
+    """places on contigs that have transcripts; an edit of a coding sequence lies on no other."""
+    return g.places.join(g.layout.select("contig_id").distinct(), "contig_id", "left_semi")
+
+
 def _edits(g: Genome, kind: str) -> DataFrame:
     till, alt, between = _EDITS[kind]
-    v = g.around(after=(0, 20)).where("pos + 20 <= len")
+    v = genome.bases_at(_near_genes(g).where("pos + 20 <= len"), g.chunks_once, after=(0, 20))
     alt = alt.replace("seq", "after").replace("pos", "1")
     v = v.select("vid", "contig_id", "pos", F.expr(till).alias("till"), F.expr(alt).alias("alt"), F.expr(between).alias("between"))
-    return coding.on_coding(v, g.transcripts)
+    return coding.on_coding(v, g.transcripts_once.select("tid", "contig_id", "strand", "beg", "tend", "segs", "cds", "tail"))
 
 
 _READINGS = f"""made AS (SELECT *, (cbeg + 2) // 3 AS one, (cend + 2) // 3 AS last, substr(cds, 1, cbeg - 1) || alt || substr(cds, cend + 1) AS new_cds, (length(alt) - (cend - cbeg + 1)) % 3 = 0 AS level FROM edit),
