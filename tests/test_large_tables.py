@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import haplotypes, intervals, levels
+from strandline.operators import annotate, genome, haplotypes, intervals, levels
 from strandline.plans import queries
 from strandline.plans.fixture import Genome
 
@@ -73,3 +73,19 @@ def test_spans_meet_lists(spark):
     g = Genome(spark, "/root/testdata/sf0.001")
     queries.span_tx_overlap(g), queries.long_region_endpoints(g)
     assert not {"contigs", "chunks", "transcripts", "variants"} & set(vars(g))
+
+
+def test_bases_are_met_once(spark):
+    """Queries of bases around variants keep no tables of the genome, and an insertion's window serves its shift and what lies before it."""
+    g = Genome(spark, "/root/testdata/sf0.001")
+    queries.ins_dup_detect(g), queries.dbsnp_indel(g), queries.mnv_coding(g), queries.variant_protein(g)
+    assert not {"contigs", "chunks", "transcripts", "variants"} & set(vars(g))
+    seq = "ACGT" * 20 + "A" * 90 + "CGCGCGT" * 9
+    chunks = genome.chunks(spark.createDataFrame([("c", seq)], "contig_id string, seq string"))
+    puts = [("c", p, ins) for p in (1, 2, 7, 60, 82, 100, 169, 170, 180, 228) for ins in ("A", "CG", "ACG", seq[p : p + 2])]
+    x = spark.createDataFrame(puts, "contig_id string, pos long, ins string")
+    plain = {tuple(r) for r in annotate.align_insertions(x, chunks).collect()}
+    window = genome.bases_at(x, chunks, __fore=(1, 64), __back=(-63, 64))
+    got = annotate.align_insertions(window, chunks, before=3).collect()
+    assert {(r.contig_id, r.pos, r.ins, r.right) for r in got} == plain and any(r.right > 64 for r in got)
+    assert all(r.before == seq[max(r.pos + r.right - 3, 0) : r.pos + r.right] for r in got)
